@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forgeframe.llm import mixing, sentencepiece_bpe, sharding, url_filter
+from forgeframe.llm import language_id, license_scan, matroska, mixing, sentencepiece_bpe, sharding, simhash, url_filter
+from forgeframe.llm._common import crc_mod
 
 
 def table(spark, sf_dir, name):
@@ -29,13 +30,43 @@ def op3_mixing(spark, sf_dir):
     return found.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs.select("doc_id", "text"), docs.filter(crc_mod("doc_id", 5) != 0))
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_simhash(spark, sf_dir):
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op8_license_scan(spark, sf_dir):
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, own = F.col("base.label"), F.col("matches.label")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("bigint").alias("n_base"),
+        F.array_min("base.start").alias("first_word"),
+        F.array_max("base.start").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"),
+        "score",
+    )
+
+
+def op9_matroska(spark, sf_dir):
+    return matroska.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark, sf_dir):
     import public_tokenizers
 
     return sentencepiece_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_mixing, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_mixing, op4_language_id, op7_simhash, op8_license_scan, op9_matroska, op10_sentencepiece)}
 SQL: dict[str, str] = {}
 
 
