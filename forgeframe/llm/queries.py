@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forgeframe.llm import language_id, license_scan, matroska, mixing, sentencepiece_bpe, sharding, simhash, url_filter
+from forgeframe.llm import language_id, license_scan, matroska, mixing, ngram_trie, sentencepiece_bpe, sharding, simhash, url_filter
 from forgeframe.llm._common import crc_mod
 
 
@@ -36,6 +36,14 @@ def op4_language_id(spark, sf_dir):
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_lm_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 7) == 2
+    shape = ngram_trie.train(docs.filter(~held_out))
+    found = ngram_trie.score(docs, shape)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(shape["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 def op7_simhash(spark, sf_dir):
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -66,7 +74,7 @@ def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_mixing, op4_language_id, op7_simhash, op8_license_scan, op9_matroska, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_mixing, op4_language_id, op6_lm_score, op7_simhash, op8_license_scan, op9_matroska, op10_sentencepiece)}
 SQL: dict[str, str] = {}
 
 
