@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forgeframe.llm import language_id, license_scan, matroska, mixing, ngram_trie, sentencepiece_bpe, sharding, simhash, url_filter
+from forgeframe.llm import language_id, license_scan, matroska, mixing, ngram_trie, sentencepiece_bpe, sharding, simhash, url_filter, vector_graph
 from forgeframe.llm._common import crc_mod
 
 
@@ -36,6 +36,11 @@ def op4_language_id(spark, sf_dir):
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_embedding_dedup(spark, sf_dir):
+    found = vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op6_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod("doc_id", 7) == 2
@@ -74,7 +79,7 @@ def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_mixing, op4_language_id, op6_lm_score, op7_simhash, op8_license_scan, op9_matroska, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_mixing, op4_language_id, op5_embedding_dedup, op6_lm_score, op7_simhash, op8_license_scan, op9_matroska, op10_sentencepiece)}
 SQL: dict[str, str] = {}
 
 

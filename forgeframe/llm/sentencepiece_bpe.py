@@ -13,13 +13,12 @@ Nulls encode like the empty text: no ids. Order, ties and repeated rows need no
 columns are kept by ``encode`` under their own names.
 """
 
-from __future__ import annotations
-
 import re
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -243,22 +242,34 @@ class Coder:
         return out
 
 
-def encode(docs, model_path: str, text: str = "text"):
-    """``docs`` with a column ``ids`` (array of int): the ids of each whole text, none for null."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import ArrayType, IntegerType
+def encode(docs, model_path: str, text: str = "text", keep: list[str] | None = None):
+    """The columns ``keep`` (all) of ``docs`` with n_tokens and ids (array of int): the ids of each whole text, none for null."""
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
     blob = open(model_path, "rb").read()
-    state: dict = {}
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def ids(texts):
-        import pandas as pd
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "ids")]
+    schema = StructType([*[docs.schema[c] for c in keep], StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType(), False))])
+
+    def run(batches):
+        model, met = Model(blob), {}
+        for batch in batches:
+            step = max(1, int(batch.num_rows * (4 << 20) / max(batch.nbytes, 1)))
+            for at in range(0, batch.num_rows, step):
+                rows = batch.slice(at, step)
+                cut = [model.cut(t) for t in rows.column(rows.num_columns - 1).to_pylist()]
+                if len(met) > 400_000:
+                    met.clear()
+                new = list({p for parts in cut for p in parts} - met.keys())
+                met.update(zip(new, (np.array(x, np.int32).tobytes() for x in model.encode_parts(new)) if new else ()))
+                found = [b"".join([met[p] for p in parts]) for parts in cut]
+                size = np.array([len(x) // 4 for x in found], np.int64)
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(size), ids], [*keep, "n_tokens", "ids"])
 
-        coder = state.setdefault("coder", Coder(blob))
-        return pd.Series([[int(x) for x in a.split(b",")] if a else [] for a, _ in coder(list(texts))])
+    from pyspark.sql import functions as F
 
-    return docs.withColumn("ids", ids(F.col(text)))
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def decode(docs, model_path: str, ids: str = "ids"):
@@ -266,14 +277,12 @@ def decode(docs, model_path: str, ids: str = "ids"):
     from pyspark.sql import functions as F
 
     blob = open(model_path, "rb").read()
-    state: dict = {}
 
     @F.pandas_udf("string")
-    def text(rows):
-        import pandas as pd
-
-        model = state.setdefault("model", None) or state.__setitem__("model", Model(blob)) or state["model"]
-        return pd.Series([None if r is None else model.decode(int(x) for x in r) for r in rows])
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = Model(blob)
+        for rows in batches:
+            yield pd.Series([None if r is None else model.decode(int(x) for x in r) for r in rows], dtype=object)
 
     return docs.withColumn("decoded", text(F.col(ids)))
 
