@@ -7,3 +7,10 @@ SQL oracles). ``llm`` is separate: nothing here imports it.
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# workers need not have this package: functions that run there travel with the tasks
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

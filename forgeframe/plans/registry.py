@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("feed",)
+MODULES = ("feed", "listings", "relations", "texts", "changes")
 
 
 def _all():
