@@ -52,7 +52,7 @@ def load(uri: str) -> dict:
     import numpy as np
 
     if (path := mounted(uri)) is not None:
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))
     else:
         from pyarrow import fs
 

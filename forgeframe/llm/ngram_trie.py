@@ -11,6 +11,9 @@ Bigrams and trigrams seen once are left to the shorter context (so only trigrams
 two words are kept need counting). The terms are rounded down to 256 levels and each bow is
 what they leave, rounded down too, so no context's probabilities sum to more than 1.
 
+Every text is cut into words twice: once to count the vocabulary, once to number its words;
+counting and scoring read the numbers, from a table that ``op6`` keeps for all documents.
+
 Trie: the words of the vocabulary are numbered in the order of their 64-bit hash. A level is
 one monotone sequence, ``number of the context in the level above * 2**bits + word``, stored
 by Elias and Fano: packed low bits, and high bits in which the ones of a context's successors
@@ -34,13 +37,12 @@ import posixpath
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from forgeframe.llm import _files
 from forgeframe.llm._common import Scratch, map_rows
 
 DISCOUNT, SHARD, TOP_BITS, LEVELS, NONE = 0.75, 4_000_000, 12, 255, 255
-END = b"\x00end"  # no word: words of a text can hold a NUL, so its hash is moved, too
 FLUSH = 4_000_000
 
 
@@ -167,119 +169,173 @@ def coded(x, name: str) -> dict:
     return {f"{name}.code": code.astype(np.uint8), f"{name}.scale": np.append(scale, 1.0)}
 
 
+# ---- tokens -------------------------------------------------------------------------------
+
+ROOT, ROOT_INVERSE, MIX = 0x9E3779B97F4A7C15, 0xF1DE83E19937733D, 0xBF58476D1CE4E5B9
+#: The hash of the end of a text.
+END = -0x1E4D
+
+
+class Tokens:
+    """Cuts texts into tokens and hashes them, all of a block at once.
+
+    The hash of a word is a polynomial over its bytes modulo 2**64, from differences of one
+    running sum, mixed with its length.
+    """
+
+    def __init__(self):
+        import numpy as np
+
+        self.space = np.zeros(256, bool)
+        self.space[[0x20, *range(0x09, 0x0E)]] = True
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def __call__(self, texts: list[str | None]):
+        """Hashes (int64) of all words in order, and how many words each text has."""
+        import numpy as np
+
+        raw = [(t or "").encode().lower() for t in texts]
+        joined = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        if len(self.power) < len(joined):
+            one = np.ones(len(joined), np.uint64)
+            one[1:] = ROOT
+            self.power = np.cumprod(one)
+            one[1:] = ROOT_INVERSE
+            self.inverse = np.cumprod(one)
+        word = ~self.space[joined]
+        turn = np.diff(word.view(np.int8), prepend=np.int8(0))
+        begin, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        sums = joined.astype(np.uint64)
+        sums += np.uint64(1)
+        sums *= self.power[: len(joined)]
+        np.cumsum(sums, out=sums)
+        h = (sums[end - 1] - np.where(begin > 0, sums[np.maximum(begin - 1, 0)], np.uint64(0))) * self.inverse[begin]
+        h += (end - begin).astype(np.uint64) * np.uint64(ROOT)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(MIX)
+        h ^= h >> np.uint64(31)
+        edge = np.cumsum([0, *[len(r) + 1 for r in raw]])
+        return h.view(np.int64), np.diff(np.searchsorted(begin, edge))
+
+
 # ---- the trie -----------------------------------------------------------------------------
 
 
 class Trie:
     """The mapped shards of a model. shape: dict with path, tokens (N), words (V), cuts and offsets of the shards, bits."""
 
-    def __init__(self, shape: dict, levels: int):
+    def __init__(self, shape: dict):
         import numpy as np
 
-        self.shape, self.levels = shape, levels
+        self.shape = shape
         self.cuts = np.array(shape["cuts"], np.int64)  # first bucket of each shard
         self.offsets = np.array(shape["offsets"], np.int64)
         self.opened: dict = {}
-        self.met = {END: 0}
-        ids, counts = self.words([END])
-        self.ids, self.counts = ids, counts
+        self.tokens = Tokens()
+        self.end = self.words(np.array([END], np.int64))[0]
 
     def level(self, n: int, shard: int):
-        """(arrays, sequence) of a shard; None if it has no words."""
+        """(arrays, sequence) of a shard that has words."""
         if (n, shard) not in self.opened:
-            a = _files.load(posixpath.join(self.shape["path"], f"level{n}-{shard}")) if self.offsets[shard + 1] > self.offsets[shard] else None
-            self.opened[n, shard] = a and (a, Monotone(a, "keys"))
+            a = _files.load(posixpath.join(self.shape["path"], f"level{n}-{shard}"))
+            self.opened[n, shard] = a, Monotone(a, "keys")
         return self.opened[n, shard]
 
-    def words(self, tokens: list[bytes]):
-        """Numbers (-1: unknown) and counts of words."""
+    def parted(self, shard, lane):
+        """(shard, its part of lane) for each shard that holds words."""
         import numpy as np
 
-        h = np.array([word_hash(t) for t in tokens], np.int64)
-        ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        shard = np.searchsorted(self.cuts, bucket(h), "right") - 1
-        for s in np.unique(shard).tolist():
-            found = self.level(1, s)
-            if found:
-                lane = np.flatnonzero(shard == s)
-                at = found[1].find(relative(h[lane], int(found[0]["base"][0])))
-                ok = at >= 0
-                ids[lane[ok]] = at[ok] + self.offsets[s]
-                counts[lane[ok]] = found[0]["n"][at[ok]]
-        return ids, counts
-
-    def sequence(self, texts: list[str | None], most: int = 600_000):
-        """All tokens of the texts, each text between ends: numbers, counts, and which begin a text."""
+        if len(self.offsets) == 2:
+            parts = [(0, lane)]
+        else:
+            s = shard[lane].astype(np.uint16)
+            lane = lane[np.argsort(s, kind="stable")]
+            edge = np.cumsum(np.r_[0, np.bincount(s, minlength=len(self.offsets) - 1)])
+            parts = [(i, lane[edge[i] : edge[i + 1]]) for i in range(len(edge) - 1)]
+        return [(i, x) for i, x in parts if len(x) and self.offsets[i + 1] > self.offsets[i]]
+
+    def words(self, h):
+        """Numbers of hashes of words, -1: unknown."""
         import numpy as np
 
-        if len(self.met) > most:
-            self.met, self.ids, self.counts = {END: 0}, self.ids[:1], self.counts[:1]
-        cut = [(t or "").encode().lower().split() for t in texts]
-        new = list({w for ws in cut for w in ws} - self.met.keys())
-        if new:
-            n = len(self.ids)
-            ids, counts = self.words(new)
-            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-            self.met.update(zip(new, range(n, n + len(new))))
-        sizes = np.array([len(ws) + 2 for ws in cut], np.int64)
-        place = np.zeros(int(sizes.sum()), np.int64)
-        first = np.cumsum(np.r_[0, sizes])[:-1]
-        inside = np.ones(len(place), bool)
-        inside[first] = inside[first + sizes - 1] = False
-        get = self.met.__getitem__
-        place[inside] = np.fromiter((get(w) for ws in cut for w in ws), np.int64, int(inside.sum()))
-        return self.ids[place], self.counts[place], first, sizes
+        ids = np.full(len(h), -1, np.int64)
+        for s, lane in self.parted(np.searchsorted(self.cuts, bucket(h), "right") - 1, np.arange(len(h))):
+            a, keys = self.level(1, s)
+            at = keys.find(relative(h[lane], int(a["base"][0])))
+            ids[lane] = np.where(at >= 0, at + self.offsets[s], -1)
+        return ids
 
-    def contexts(self, n: int, shard, context):
-        """bow of contexts (numbers within the shard) of level n, and which have successors."""
+    def number(self, texts: list[str | None]) -> list[bytes]:
+        """The numbers of each text's words, as bytes of int32 (int64 for vocabularies over 2**31)."""
         import numpy as np
 
-        bow, some = np.ones(len(context)), np.zeros(len(context), bool)
-        for s in np.unique(shard[context >= 0]).tolist():
-            lane = np.flatnonzero((shard == s) & (context >= 0))
-            a = self.level(n, s)[0]
-            code = a["bow.code"][context[lane]]
-            bow[lane], some[lane] = a["bow.scale"][code], code != NONE
-        return bow, some
+        h, sizes = self.tokens(texts)
+        distinct, place = np.unique(h, return_inverse=True)
+        ids = self.words(distinct)[place].astype(self.kind())
+        edge = np.cumsum(np.r_[0, sizes])
+        return [ids[a:z].tobytes() for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())]
+
+    def kind(self):
+        return "<i4" if self.shape["words"] < 2**31 else "<i8"
 
-    def successors(self, n: int, shard, context, word):
-        """Positions in level n of (context, word), -1 if absent, and their terms."""
+    def sequence(self, numbered: list[bytes]):
+        """All tokens of texts, each between ends; where texts begin, and their lengths with both ends."""
         import numpy as np
 
-        at, term = np.full(len(word), -1, np.int64), np.zeros(len(word))
-        for s in np.unique(shard[(context >= 0) & (word >= 0)]).tolist():
-            lane = np.flatnonzero((shard == s) & (context >= 0) & (word >= 0))
-            a, keys = self.level(n, s)
-            found = keys.find((context[lane].astype(np.uint64) << np.uint64(self.shape["bits"])) | word[lane].astype(np.uint64))
-            ok = found >= 0
-            at[lane[ok]] = found[ok]
-            term[lane[ok]] = a["term.scale"][a["term.code"][found[ok]]]
-        return at, term
+        size = np.dtype(self.kind()).itemsize
+        sizes = np.array([len(b) // size + 2 for b in numbered], np.int64)
+        first = np.cumsum(np.r_[0, sizes])[:-1]
+        ids = np.full(int(sizes.sum()), self.end, np.int64)
+        inside = np.ones(len(ids), bool)
+        inside[first] = inside[first + sizes - 1] = False
+        ids[inside] = np.frombuffer(b"".join(numbered), self.kind())
+        return ids, first, sizes
 
     def home(self, ids):
         """Shard of words and their numbers within it (-1: unknown)."""
         import numpy as np
 
+        if len(self.offsets) == 2:
+            return np.zeros(len(ids), np.int64), ids
         shard = np.maximum(np.searchsorted(self.offsets, ids, "right") - 1, 0)
         return shard, np.where(ids >= 0, ids - self.offsets[shard], -1)
 
+    def step(self, n: int, shard, context, word):
+        """Level n at (context, word): position (-1: absent) and term, and the context's bow (1: no such context)."""
+        import numpy as np
+
+        at, term, bow = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.ones(len(word))
+        bits = np.uint64(self.shape["bits"])
+        for s, lane in self.parted(shard, np.flatnonzero(context >= 0)):
+            a, keys = self.level(n, s)
+            code = a["bow.code"][context[lane]]
+            bow[lane] = a["bow.scale"][code]
+            lane = lane[(code != NONE) & (word[lane] >= 0)]
+            found = keys.find((context[lane].astype(np.uint64) << bits) | word[lane].astype(np.uint64))
+            ok = found >= 0
+            lane, found = lane[ok], found[ok]
+            at[lane] = found
+            term[lane] = a["term.scale"][a["term.code"][found]]
+        return at, term, bow
+
     def bigrams(self, ids, first):
-        """For each token: shard and position of (token before, token), -1 where a text begins or it isn't kept; and what P(w | b) needs."""
+        """For each token: shard, and step() of level 2 with the token before it; absent where a text begins."""
         import numpy as np
 
         before = np.r_[-1, ids[:-1]]
         before[first] = -1
         shard, context = self.home(before)
-        bow, some = self.contexts(2, shard, context)
-        at, term = self.successors(2, shard, np.where(some, context, -1), ids)
-        return shard, at, term, bow
+        return shard, *self.step(2, shard, context, ids)
 
-    def score(self, texts: list[str | None]):
+    def score(self, numbered: list[bytes]):
         """Tokens, known tokens, base score and score (both log10) of each text."""
         import numpy as np
 
-        ids, counts, first, sizes = self.sequence(texts)
+        ids, first, sizes = self.sequence(numbered)
         n_all, n_words = self.shape["tokens"], self.shape["words"]
+        counts = np.zeros(len(ids), np.int64)
+        shard, own = self.home(ids)
+        for s, lane in self.parted(shard, np.flatnonzero(own >= 0)):
+            counts[lane] = self.level(1, s)[0]["n"][own[lane]]
         single = (counts + 1) / (n_all + n_words + 1)
         p = single
         if n_all:
@@ -287,8 +343,7 @@ class Trie:
             p = term + bow * single
             shard, at = np.r_[0, shard[:-1]], np.r_[-1, at[:-1]]  # of the two tokens before
             at[first] = at[first + 1] = -1
-            bow, some = self.contexts(3, shard, at)
-            _, term = self.successors(3, shard, np.where(some, at, -1), ids)
+            _, term, bow = self.step(3, shard, at, ids)
             p = term + bow * p
         real = np.ones(len(ids), bool)
         real[first] = False
@@ -296,13 +351,6 @@ class Trie:
         return sizes - 1, add(counts > 0), add(np.log10(single)), add(np.log10(p))
 
 
-def word_hash(token: bytes) -> int:
-    import xxhash
-
-    x = xxhash.xxh64_intdigest(token, 1 if token is END else 0)
-    return x - (1 << 64) if x >> 63 else x
-
-
 def bucket(h):
     return (h >> (64 - TOP_BITS)) + (1 << (TOP_BITS - 1))
 
@@ -335,16 +383,26 @@ def unpacked(blob: bytes):
     return np.cumsum(step, dtype=np.uint64), raw[8 * k :].view(np.uint32).astype(np.int64)
 
 
-def summed(keys, counts):
-    """Sorted distinct keys and the sums of their counts."""
+def united(parts):
+    """Sorted distinct keys of several (keys, counts) that occur more than once in all, and their counts."""
     import numpy as np
 
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(counts, first)
+    # most counts are 1: those keys are only sorted, which is much faster than sorting pairs
+    keys, counts = np.unique(np.concatenate([k[c == 1] for k, c in parts]), return_counts=True)
+    more, n = np.concatenate([k[c > 1] for k, c in parts]), np.concatenate([c[c > 1] for _, c in parts])
+    if len(more):
+        order = np.argsort(more)
+        more, n = more[order], n[order]
+        first = np.flatnonzero(np.r_[True, more[1:] != more[:-1]])
+        more, n = more[first], np.add.reduceat(n, first)
+        at = np.minimum(np.searchsorted(keys, more), max(0, len(keys) - 1))
+        both = keys[at] == more if len(keys) else np.zeros(len(more), bool)
+        counts[at[both]] += n[both]
+        more, n = more[~both], n[~both]
+    keys, counts = keys[counts > 1], counts[counts > 1]
+    keys, counts = np.concatenate([keys, more]), np.concatenate([counts, n])
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
 
 # ---- building -----------------------------------------------------------------------------
@@ -355,27 +413,29 @@ def vocabulary(docs: DataFrame, text: str) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        from collections import Counter
+        import numpy as np
 
-        found: Counter = Counter()
+        tokens, held, size, ends = Tokens(), [], 0, 0
 
         def out():
-            rows = pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in found], pa.int64()), pa.array(list(found.values()), pa.int64())], ["h", "n"])
-            found.clear()
-            return rows
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
-        ends = 0
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.column(0).slice(at, 256).to_pylist()
+            step = max(1, int(b.num_rows * (2 << 20) / max(b.nbytes, 1)))
+            for at in range(0, b.num_rows, step):
+                part = b.column(0).slice(at, step).to_pylist()
                 ends += len(part)
-                for t in part:
-                    found.update((t or "").encode().lower().split())
-                if len(found) > 500_000:
+                held.append(tokens(part)[0])
+                size += len(held[-1])
+                if size > FLUSH:
                     yield out()
+                    size = 0
+        if held:
+            yield out()
         if ends:
-            found[END] = ends
-        yield out()
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.int64()), pa.array([ends], pa.int64())], ["h", "n"])
 
     return docs.select(text).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
@@ -430,26 +490,26 @@ def level_of(keys, counts, whole, n_contexts: int, bits: int) -> dict:
     return Monotone.build(keys, "keys") | terms | bows | {"bow.code": code}
 
 
-def count_grams(docs: DataFrame, text: str, shape: dict, n: int) -> DataFrame:
-    """(shard, grams): packed sorted n-grams of each task and shard."""
+def count_grams(numbered: DataFrame, shape: dict, n: int) -> DataFrame:
+    """(shard, grams): packed sorted n-grams of each task and shard, from (words)."""
     import pyarrow as pa
 
     def run(batches):
         import numpy as np
 
-        trie = Trie(shape, n - 1)
+        trie = Trie(shape)
         held: dict[int, list] = {}
         size = 0
 
         def out():
-            rows = [(s, packed(*summed(np.concatenate([k for k, _ in v]), np.concatenate([c for _, c in v])))) for s, v in sorted(held.items())]
+            rows = [(s, packed(*np.unique(np.concatenate(v), return_counts=True))) for s, v in sorted(held.items())]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([g for _, g in rows], pa.binary())], ["shard", "grams"])
 
         for b in batches:
-            step = max(1, int(b.num_rows * (4 << 20) / max(b.nbytes, 1)))
+            step = max(1, int(b.num_rows * (3 << 20) / max(b.nbytes, 1)))
             for at in range(0, b.num_rows, step):
-                ids, _, first, _ = trie.sequence(b.column(0).slice(at, step).to_pylist())
+                ids, first, _ = trie.sequence(b.column(0).slice(at, step).to_pylist())
                 if n == 2:
                     before = np.r_[-1, ids[:-1]]
                     before[first] = -1
@@ -459,28 +519,40 @@ def count_grams(docs: DataFrame, text: str, shape: dict, n: int) -> DataFrame:
                     shard, context = np.r_[0, shard[:-1]], np.r_[-1, context[:-1]]
                     context[first] = context[first + 1] = -1
                 key = (context.astype(np.uint64) << np.uint64(shape["bits"])) | ids.astype(np.uint64)
-                for s in np.unique(shard[context >= 0]).tolist():
-                    keys, counts = np.unique(key[(shard == s) & (context >= 0)], return_counts=True)
-                    held.setdefault(s, []).append((keys, counts))
-                    size += len(keys)
+                for s, lane in trie.parted(shard, np.flatnonzero(context >= 0)):
+                    held.setdefault(s, []).append(key[lane])
+                    size += len(lane)
                 if size > FLUSH:
                     yield out()
                     size = 0
         yield out()
 
-    return docs.select(text).mapInArrow(run, "shard bigint, grams binary")
+    return numbered.select("words").mapInArrow(run, "shard bigint, grams binary")
+
 
+def number(docs: DataFrame, shape: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and words: the numbers of each whole text's words, as bytes."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "words"]
+    rows = docs.select(*keep, F.col(text).alias("_text"))
 
-def train(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD) -> dict:
-    """Counts ``docs`` and writes the trie; returns what ``Trie`` needs. Two passes over the texts for each order above one."""
+    def make():
+        trie = Trie(shape)
+        return lambda columns: [*columns[:-1], trie.number(columns[-1])]
+
+    return map_rows(rows, StructType([*[docs.schema[c] for c in keep], StructField("words", BinaryType())]), make)
+
+
+def train_words(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD) -> dict:
+    """Counts the words of ``docs`` and writes level 1; returns the shape that ``number`` and ``train_grams`` need."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     path = posixpath.join(scratch.path, "trie")
     words = scratch.table(vocabulary(docs, text), "words")
-    sums = {r.b: (r.n, r.v) for r in words.groupBy(F.expr(f"shiftright(h, {64 - TOP_BITS}) + {1 << (TOP_BITS - 1)}").cast("int").alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    range_of = F.expr(f"shiftright(h, {64 - TOP_BITS}) + {1 << (TOP_BITS - 1)}").cast("int")
+    sums = {r.b: (r.n, r.v) for r in words.groupBy(range_of.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # at most 2**TOP_BITS hash ranges
     tokens, n_words = sum(n for n, _ in sums.values()), sum(v for _, v in sums.values())
     cuts, load = [0], 0
-    for b in sorted(sums):  # at most 2**TOP_BITS hash ranges
+    for b in sorted(sums):
         if load and load + sums[b][0] > shard_tokens:
             cuts.append(b)
             load = 0
@@ -491,9 +563,9 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD) -> dic
         offsets.append(offsets[-1] + sum(v for b, (_, v) in sums.items() if c <= b < end))
     shape = {"path": path, "tokens": int(tokens), "words": int(n_words), "cuts": cuts, "offsets": offsets, "bits": max(1, int(n_words).bit_length())}
     if not tokens:
-        return shape
+        return shape | {"offsets": [0, 0], "cuts": [0]}
     ranges = spark.createDataFrame([(b, bisect.bisect_right(cuts, b) - 1) for b in range(1 << TOP_BITS)], "b int, shard bigint")
-    numbered = words.withColumn("b", F.expr(f"shiftright(h, {64 - TOP_BITS}) + {1 << (TOP_BITS - 1)}").cast("int")).join(F.broadcast(ranges), "b").select("shard", "h", "n")
+    numbered = words.withColumn("b", range_of).join(F.broadcast(ranges), "b").select("shard", "h", "n")
 
     def write_words(s, columns):
         import numpy as np
@@ -503,35 +575,43 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD) -> dic
         _files.save(posixpath.join(path, f"level1-{s}"), Monotone.build(relative(h, base), "keys") | {"n": n.astype(np.int64), "base": np.array([base], np.int64)})
         return s, len(h)
 
-    dealt(numbered, len(cuts), "h").transform(lambda d: merged(d, write_words, "shard bigint, n bigint")).agg(F.sum("n")).collect()
+    merged(dealt(numbered, len(cuts), "h"), write_words, "shard bigint, n bigint").agg(F.sum("n")).collect()
+    scratch.drop("words")
+    return shape
+
+
+def train_grams(numbered: DataFrame, shape: dict) -> dict:
+    """Counts the n-grams of (words) from ``number`` and writes the upper levels."""
+    path, spark = shape["path"], numbered.sparkSession
+    if not shape["tokens"]:
+        return shape
 
     def write_grams(order):
         def write(s, columns):
-            import numpy as np
-
-            parts = [unpacked(b) for b in columns[0].to_pylist()]
-            keys, counts = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-            del parts
-            if order == 2:
-                whole = _files.load(posixpath.join(path, f"level1-{s}"))["n"]
-            else:
-                whole = _files.load(posixpath.join(path, f"level2-{s}"))["n"]
-            kept = counts > 1
-            keys, counts = keys[kept], counts[kept]
+            keys, counts = united([unpacked(b) for b in columns[0].to_pylist()])
+            whole = _files.load(posixpath.join(path, f"level{order - 1}-{s}"))["n"]
             found = level_of(keys, counts, whole, len(whole), shape["bits"])
             _files.save(posixpath.join(path, f"level{order}-{s}"), found | ({"n": counts} if order == 2 else {}))
             return s, len(keys)
 
         return write
 
+    shards = len(shape["cuts"])
+    used = [s for s in range(shards) if shape["offsets"][s + 1] > shape["offsets"][s]]
+    every = spark.createDataFrame([(s, EMPTY) for s in used], "shard bigint, grams binary")  # so that every shard is written
     for order in (2, 3):
-        grams = count_grams(docs, text, shape, order)
-        every = spark.range(len(cuts)).select(F.col("id").alias("shard"), F.lit(EMPTY).alias("grams"))
-        dealt(grams.unionByName(every), len(cuts)).transform(lambda d, o=order: merged(d, write_grams(o), "shard bigint, n bigint")).agg(F.sum("n")).collect()
-    scratch.drop("words")
+        grams = count_grams(numbered, shape, order).unionByName(every)
+        merged(dealt(grams, shards), write_grams(order), "shard bigint, n bigint").agg(F.sum("n")).collect()
     return shape
 
 
+def train(docs: DataFrame, text: str = "text") -> dict:
+    """The shape of a trie trained on all of ``docs``."""
+    shape = train_words(docs, text)
+    table = Scratch(docs.sparkSession, "numbered").table(number(docs, shape, text, []), "words")
+    return train_grams(table, shape)
+
+
 def _empty() -> bytes:
     import numpy as np
 
@@ -539,17 +619,22 @@ def _empty() -> bytes:
 
 
 EMPTY = bytearray(_empty())
+SCORES = [("n_tokens", LongType()), ("n_known", LongType()), ("base_score", DoubleType()), ("score", DoubleType())]
 
 
-def score(docs: DataFrame, shape: dict, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, n_known, base_score and score of each whole text."""
-    own = ["n_tokens", "n_known", "base_score", "score"]
-    docs = docs.select(*[c for c in docs.columns if c not in own])
-    at = docs.columns.index(text)
+def score_numbered(numbered: DataFrame, shape: dict) -> DataFrame:
+    """Rows of ``number`` with n_tokens, n_known, base_score and score in place of words."""
+    keep = [c for c in numbered.columns if c != "words"]
 
     def make():
-        trie = Trie(shape, 3)
-        return lambda columns: [*columns, *([x.tolist() for x in trie.score(columns[at])] if columns[at] else [[]] * 4)]
+        trie = Trie(shape)
+        return lambda columns: [*columns[:-1], *([x.tolist() for x in trie.score(columns[-1])] if columns[-1] else [[]] * len(SCORES))]
+
+    return map_rows(numbered.select(*keep, "words"), StructType([*[numbered.schema[c] for c in keep], *[StructField(n, k) for n, k in SCORES]]), make, 3 << 20)
+
 
-    kinds = [LongType(), LongType(), DoubleType(), DoubleType()]
-    return map_rows(docs, StructType([*docs.schema.fields, *[StructField(n, k) for n, k in zip(own, kinds)]]), make)
+def score(docs: DataFrame, shape: dict, text: str = "text") -> DataFrame:
+    """``docs`` with n_tokens, n_known, base_score and score of each whole text."""
+    own = [n for n, _ in SCORES]
+    docs = docs.select(*[c for c in docs.columns if c not in own])
+    return score_numbered(number(docs, shape, text), shape)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forgeframe.llm import language_id, license_scan, matroska, mixing, ngram_trie, sentencepiece_bpe, sharding, simhash, url_filter, vector_graph
-from forgeframe.llm._common import crc_mod
+from forgeframe.llm._common import Scratch, crc_mod
 
 
 def table(spark, sf_dir, name):
@@ -43,10 +43,12 @@ def op5_embedding_dedup(spark, sf_dir):
 
 def op6_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = crc_mod("doc_id", 7) == 2
-    shape = ngram_trie.train(docs.filter(~held_out))
-    found = ngram_trie.score(docs, shape)
-    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(shape["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score")
+    docs = docs.withColumn("held_out", crc_mod("doc_id", 7) == 2)
+    shape = ngram_trie.train_words(docs.filter("not held_out"))
+    numbered = Scratch(spark, "op6").table(ngram_trie.number(docs, shape, keep=["doc_id", "held_out"]), "numbered")
+    ngram_trie.train_grams(numbered.filter("not held_out"), shape)
+    found = ngram_trie.score_numbered(numbered, shape)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(shape["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op7_simhash(spark, sf_dir):
