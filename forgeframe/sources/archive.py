@@ -88,7 +88,7 @@ def label_templates(lines: DataFrame) -> DataFrame:
 
 def authorized_keys(keys: DataFrame, command: str) -> DataFrame:
     """(value): one line for each public key, newest first, ready for a text sink."""
-    line = F.concat(F.lit(f'command="{command} serv key-'), F.col("id").cast("string"), F.lit('",no-port-forwarding,no-X11-forwarding,no-agent-forwarding,no-pty '), F.trim("content"))
+    line = F.concat(F.lit(f'command="{command} serv key-'), F.col("id").cast("string"), F.lit('",no-port-forwarding,no-X11-forwarding,no-agent-forwarding,no-pty '), F.regexp_replace("content", r"^\s+|\s+$", ""))
     return keys.orderBy(F.desc("id")).select(line.alias("value"))
 
 
