@@ -125,8 +125,11 @@ class Classifier:
             root = base + c
             to = self.flat[root + state[:, :n] * self.width]
             miss = to == 0
-            count[:, :n] += miss
-            state[:, :n] = np.where(miss, self.flat[root], to)
+            again = self.flat[root]
+            # the phrase before ends; a symbol that the sample hasn't is one of its own
+            count[:, :n] += miss & (state[:, :n] != 0)
+            count[:, :n] += miss & (again == 0)
+            state[:, :n] = np.where(miss, again, to)
         count += state != 0
         for row, per_block in zip(out, count):
             row += np.bincount(of, per_block, len(texts)).astype(np.int64)
