@@ -51,6 +51,11 @@ class Scratch:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(name: str) -> str:
+    """A column name that no input has."""
+    return f"_{name}_{uuid.uuid4().hex[:12]}"
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[list]], list[list]]], block_bytes: int = 4 << 20) -> DataFrame:
     """``df`` through ``mapInArrow``: ``make()`` runs once a task and gives a function from
     columns (lists) to columns (lists). Rows are handed over in blocks of about

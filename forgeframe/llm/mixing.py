@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from forgeframe.llm._common import WORD, Scratch
+from forgeframe.llm._common import WORD, Scratch, fresh
 from forgeframe.llm.sharding import BITS, hash60
 
 CELL_BITS = 10
@@ -80,9 +80,11 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share=1.5, cap=2.0, key="doc_i
     scratch = Scratch(docs.sparkSession, "mix")
     rows = plan(docs, weights, share, cap, key, source, text, scratch)
     in_last = (F.col("rest") - F.col("before")) * 2 >= F.greatest(F.col("size"), F.lit(1))
-    ends = rows.groupBy("s", "none").agg(F.max(F.when(in_last, F.col("k"))).alias("_last"), F.first("epochs").alias("_epochs"))
-    ends = scratch.table(ends.withColumnsRenamed({"s": "_s", "none": "_none"}), "ends")
-    name, none = F.coalesce(F.col(source).cast("string"), F.lit("")), F.col(source).isNull()
-    times = F.col("_epochs") + F.when(hash60(F.coalesce(F.col(key).cast("string"), F.lit(""))) <= F.col("_last"), 1).otherwise(0)
-    taken = docs.join(ends, (name == F.col("_s")) & (none == F.col("_none"))).withColumn("_times", times.cast("int")).filter("_times > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    s, none, last, epochs, times = map(fresh, ("s", "none", "last", "epochs", "times"))
+    ends = rows.groupBy("s", "none").agg(F.max(F.when(in_last, F.col("k"))).alias(last), F.first("epochs").alias(epochs))
+    ends = scratch.table(ends.withColumnsRenamed({"s": s, "none": none}), "ends")
+    same = (F.coalesce(F.col(source).cast("string"), F.lit("")) == F.col(s)) & (F.col(source).isNull() == F.col(none))
+    k = hash60(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    n = (F.col(epochs) + F.when(k <= F.col(last), 1).otherwise(0)).cast("int")
+    taken = docs.join(ends, same).withColumn(times, n).filter(F.col(times) > 0)
+    return taken.withColumn(last, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

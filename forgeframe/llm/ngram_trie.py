@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from forgeframe.llm import _files
-from forgeframe.llm._common import Scratch, map_rows
+from forgeframe.llm._common import Scratch, fresh, map_rows
 
 DISCOUNT, SHARD, TOP_BITS, LEVELS, NONE = 0.75, 4_000_000, 12, 255, 255
 FLUSH = 4_000_000
@@ -118,7 +118,7 @@ class Monotone:
             return out
         high = (values >> np.uint64(self.bits)).astype(np.int64)
         n_zeros = int(self.zeros[-1]) + 64 - int(np.bitwise_count(self.high[-1]))
-        lane = np.flatnonzero(high < n_zeros)
+        lane = np.flatnonzero((high >= 0) & (high < n_zeros))  # of 64 bits, the highest turn negative
         high = high[lane]
         want = values[lane] & np.uint64((1 << self.bits) - 1)
         begin = np.where(high > 0, self.zero(np.maximum(high - 1, 0)) + 1, 0)
@@ -533,7 +533,7 @@ def count_grams(numbered: DataFrame, shape: dict, n: int) -> DataFrame:
 def number(docs: DataFrame, shape: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` and words: the numbers of each whole text's words, as bytes."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "words"]
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    rows = docs.select(*keep, F.col(text).alias(fresh("text")))
 
     def make():
         trie = Trie(shape)

@@ -269,7 +269,9 @@ def encode(docs, model_path: str, text: str = "text", keep: list[str] | None = N
 
     from pyspark.sql import functions as F
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    from forgeframe.llm._common import fresh
+
+    return docs.select(*keep, F.col(text).alias(fresh("text"))).mapInArrow(run, schema)
 
 
 def decode(docs, model_path: str, ids: str = "ids"):

@@ -32,7 +32,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgeframe.llm._common import Scratch, map_rows
+from forgeframe.llm._common import Scratch, fresh, map_rows
 from forgeframe.llm._graph import components
 
 BUCKET = 64
@@ -369,20 +369,18 @@ def similar(docs: DataFrame, scratch: Scratch, text: str = "text", words: int =
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of equal or similar texts: the one with the smallest key.
 
-    Null and empty texts are equal texts. Texts are not shuffled: rows are chosen by (key, hash of the text).
+    Null and empty texts are equal texts. Rows are chosen by (key, hash of the text): what is
+    grouped and linked is narrow, and the texts meet the choice in one join.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
     h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    groups = similar(docs, scratch, text, words, similarity).withColumnsRenamed({"h": "_h"})
-    rows = docs.select(F.col(key).alias("_key"), h.alias("_h"))
-    by_text = scratch.table(rows.groupBy("_h").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"))).alias("least"), F.count("*").alias("_n")), "by_text")
-    rooted = by_text.join(groups, "_h", "left").withColumn("root", F.coalesce("root", "_h"))
-    kept = rooted.groupBy("root").agg(F.min(F.struct("least", "_h")).alias("x")).select(F.col("x.least.key").alias("_key"), F.col("x._h").alias("_h"))
-    kept = scratch.table(kept, "kept")
-    out = docs.withColumn("_h2", h).join(kept, (F.col("_h2") == F.col("_h")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    # rows that repeat key and text: one of them
-    twice = scratch.table(docs.select(F.col(key).alias("_key"), h.alias("_h")).groupBy("_key", "_h").count().filter("count > 1").select("_key", "_h"), "twice")
-    same = (F.col("_h2") == F.col("_h")) & F.col(key).eqNullSafe(F.col("_key"))
-    once = out.join(twice, same, "left_anti")
-    again = out.join(twice, same, "left_semi").dropDuplicates([key, "_h2"])
-    return once.unionByName(again).select(*docs.columns)
+    groups = similar(docs, scratch, text, words, similarity)
+    rows = scratch.table(docs.select(F.col(key).alias("key"), h.alias("h")).groupBy("h", "key").agg(F.count("*").alias("n")), "rows")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "n")).alias("first")
+    rooted = rows.groupBy("h").agg(first).join(groups, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    kept = rooted.groupBy("root").agg(F.min(F.struct("first", "h")).alias("x"))
+    mine, hash_, its, many = map(fresh, ("mine", "hash", "key", "many"))
+    kept = scratch.table(kept.select(F.col("x.first.key").alias(its), F.col("x.h").alias(hash_), (F.col("x.first.n") > 1).alias(many)), "kept")
+    out = docs.withColumn(mine, h).join(kept, (F.col(mine) == F.col(hash_)) & F.col(key).eqNullSafe(F.col(its)))
+    again = out.filter(many).dropDuplicates([key, mine])  # rows that repeat key and text
+    return out.filter(~F.col(many)).unionByName(again).select(*docs.columns)
