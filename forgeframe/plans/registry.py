@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("feed", "listings", "relations", "texts", "changes")
+MODULES = ("feed", "listings", "relations", "texts", "changes", "views")
 
 
 def _all():

@@ -84,6 +84,8 @@ def sql(text: str) -> str:
     views = ", ".join(f"{v} AS ({VIEWS[v].format(**{t: t for t in RAW})})" for v in used)
     if not used:
         return text
+    if text.strip().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {text.strip()[15:]}"
     return f"WITH {views}, {text.strip()[5:]}" if text.strip().startswith("WITH ") else f"WITH {views} {text}"
 
 
