@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forgeframe.llm import language_id, license_scan, matroska, mixing, ngram_trie, sentencepiece_bpe, sharding, simhash, url_filter, vector_graph
+from forgeframe.llm import language_id, license_scan, matroska, mixing, ngram_trie, oracles, sentencepiece_bpe, sharding, simhash, url_filter, vector_graph
 from forgeframe.llm._common import Scratch, crc_mod
 
 
@@ -82,7 +82,6 @@ def op10_sentencepiece(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_mixing, op4_language_id, op5_embedding_dedup, op6_lm_score, op7_simhash, op8_license_scan, op9_matroska, op10_sentencepiece)}
-SQL: dict[str, str] = {}
 
 
 def queries() -> dict:
@@ -90,4 +89,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(oracles.SQL)
