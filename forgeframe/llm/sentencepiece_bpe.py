@@ -100,17 +100,44 @@ class Model:
         order = sorted(worded, key=lambda p: -self.scores[self.id_of[p]])
         self.piece_of = np.array([self.id_of[p] for p in order], np.int32)
         pairs = sorted((symbol[p[:k]] * self.width + symbol[p[k:]], r) for r, p in enumerate(order) for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol)
-        self.keys = np.array([k for k, _ in pairs], np.int64)
-        self.ranks = np.array([r for _, r in pairs], np.int32)
+        self._hash(np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int32))
         merging = {c for p in worded for c in p}
         alone = "".join(f"\\x{i:02x}" for i in range(32) if chr(i) not in merging)
         #: A part: spaces and what follows up to the next space, or spaces, or one control character that never merges.
         self.parts = re.compile(rf"[ {SPACE}]*[^ {SPACE}{alone}]+|[ {SPACE}]+" + (rf"|[{alone}]" if alone else ""))
 
+    def _hash(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """An open-addressed table of pairs at a load of a quarter at most; -1: free."""
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NO_RANK, np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            order = np.flatnonzero(self.keys[at] == -1)
+            _, one = np.unique(at[order], return_index=True)  # of several for one slot, the first
+            put = order[one]
+            self.keys[at[put]], self.ranks[at[put]] = keys[put], ranks[put]
+            rest = np.ones(len(keys), bool)
+            rest[put] = False
+            keys, ranks, at = keys[rest], ranks[rest], (at[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, ``NO_RANK`` for those that no piece has."""
         key = a.astype(np.int64) * self.width + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
+        at = self._slot(key)
+        seen = self.keys[at]
+        out = np.where(seen == key, self.ranks[at], NO_RANK)
+        left = np.flatnonzero((seen != key) & (seen != -1))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            seen = self.keys[at[left]]
+            hit = seen == key[left]
+            out[left[hit]] = self.ranks[at[left[hit]]]
+            left = left[~hit & (seen != -1)]
+        return out
 
     def run(self, k: int) -> tuple[int, ...]:
         """Ids of k spaces alone: all their pieces have one score, so the leftmost pair merges first."""
@@ -188,20 +215,23 @@ class Model:
         lead = [len(p) - len(b) for p, b in zip(parts, bodies)]
         words = [SPACE + b if k and b else b for b, k in zip(bodies, lead)]
         sym, word, char = self.merge(words)
-        count = np.bincount(word, minlength=len(words))
-        ids, chars, at, out = sym.tolist(), None, 0, []
+        ends = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
+        ids, at, out = sym.tolist(), 0, []
+        n_pieces, lone = len(self.pieces), self.id_of[SPACE]
         has_other = np.zeros(len(words), bool)
-        has_other[word[sym >= len(self.pieces)]] = True
-        lone = self.id_of[SPACE]
-        for i, k in enumerate(lead):
-            n = int(count[i])
-            mine = ids[at : at + n]
-            if has_other[i]:
-                mine = [x for j, s in enumerate(mine) for x in ([s] if s < len(self.pieces) else self.byte_id[list(chr(char[at + j]).encode())].tolist())]
-            at += n
-            if k and bodies[i]:
+        has_other[word[sym >= n_pieces]] = True
+        for k, body, other, end in zip(lead, bodies, has_other.tolist(), ends):
+            mine = ids[at:end]
+            if other:
+                mine = [x for j, s in enumerate(mine) for x in ([s] if s < n_pieces else self.byte_id[list(chr(char[at + j]).encode())].tolist())]
+            at = end
+            if k == 1 and body:  # by far the most: the space is part of the word
+                out.append(mine)
+            elif k and body:
                 k, mine = (k, mine[1:]) if mine[0] == lone else (k - 1, mine)
-            out.append([*self.run(k), *mine] if k else mine)
+                out.append([*self.run(k), *mine])
+            else:
+                out.append([*self.run(k)] if k else mine)
         return out
 
     def cut(self, text: str | None) -> list[str]:
@@ -223,22 +253,28 @@ class Model:
 class Coder:
     """Encodes blocks of texts; keeps the ids and the decoded bytes of parts that it has met."""
 
-    def __init__(self, blob: bytes, most: int = 400_000):
+    def __init__(self, blob: bytes, most: int = 500_000):
+        import gc
+
+        gc.set_threshold(200_000)  # no cycles are made here, and each look at the kept parts takes long
         self.model, self.most, self.met = Model(blob), most, {}
+        self.digits = [str(i).encode() for i in range(len(self.model.pieces))]
 
     def __call__(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """For each text its ids as decimal digits joined by commas, and what they decode to."""
         if len(self.met) > self.most:
             self.met.clear()
         cut = [self.model.cut(t) for t in texts]
-        new = list({p for parts in cut for p in parts} - self.met.keys())
-        surface = self.model.surface
+        met = self.met
+        found = [list(map(met.get, parts)) for parts in cut]
+        new = list({p for parts, f in zip(cut, found) for p, x in zip(parts, f) if x is None})
+        surface, digits = self.model.surface, self.digits
         for part, ids in zip(new, self.model.encode_parts(new) if new else []):
-            self.met[part] = (",".join(map(str, ids)).encode(), b"".join(map(surface.__getitem__, ids)))
+            met[part] = (b",".join([digits[i] for i in ids]), b"".join([surface[i] for i in ids]))
         out = []
-        for parts in cut:
-            found = [self.met[p] for p in parts]
-            out.append((b",".join([x[0] for x in found]), b"".join([x[1] for x in found])[1:]))
+        for parts, f in zip(cut, found):
+            f = [met[p] if x is None else x for p, x in zip(parts, f)]
+            out.append((b",".join([x[0] for x in f]), b"".join([x[1] for x in f])[1:]))
         return out
 
 
@@ -258,9 +294,9 @@ def encode(docs, model_path: str, text: str = "text", keep: list[str] | None = N
             for at in range(0, batch.num_rows, step):
                 rows = batch.slice(at, step)
                 cut = [model.cut(t) for t in rows.column(rows.num_columns - 1).to_pylist()]
-                if len(met) > 400_000:
+                if len(met) > 500_000:
                     met.clear()
-                new = list({p for parts in cut for p in parts} - met.keys())
+                new = list({p for parts in cut for p in parts if p not in met})
                 met.update(zip(new, (np.array(x, np.int32).tobytes() for x in model.encode_parts(new)) if new else ()))
                 found = [b"".join([met[p] for p in parts]) for parts in cut]
                 size = np.array([len(x) // 4 for x in found], np.int64)
