@@ -42,13 +42,12 @@ def tags_after(tags: DataFrame, position: str, name: str, after: str, limit: int
 
     tags: one repository's, with a unique order column; an unknown cursor starts at the top.
     """
-    ranked = tags.select(F.col(name).alias("name"), F.row_number().over(W.orderBy(position)).alias("r"))
-    stats = ranked.agg(F.max(F.when(F.col("name") == after, F.col("r"))).alias("at"), F.count(F.lit(1)).alias("total"))
+    every = W.partitionBy()
+    rows = tags.select(F.col(name).alias("name"), F.row_number().over(W.orderBy(position)).alias("r"))
+    rows = rows.withColumns({"at": F.max(F.when(F.col("name") == after, F.col("r"))).over(every), "total": F.count(F.lit(1)).over(every)})
     last = F.coalesce(F.col("at"), F.lit(0))
     on = (F.col("r") > last) & (F.col("r") <= last + limit) if limit > 0 else F.col("r") > last
     back = F.when(F.col("r") == F.col("at") - limit, F.col("name")) if after and limit > 0 else F.lit(None).cast("string")
-    # the page and the cursor's row together: a bounded number of rows of one repository
-    rows = ranked.join(F.broadcast(stats))
     shown = F.array_sort(F.collect_list(F.when(on, F.struct("r", "name"))))
     out = rows.groupBy("at", "total").agg(shown.alias("p"), F.max(back).alias("previous_after"))
     next_ = F.col("total") > last + limit if limit > 0 else F.lit(False)

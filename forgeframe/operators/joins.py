@@ -101,7 +101,7 @@ def organization_feed(actions: DataFrame, repos: DataFrame, team_repo: DataFrame
     linked = team_repo.select("team_id", F.col("repo_id").alias("id")).join(teams, "team_id", "left")
     from forgeframe.operators.predicates import public
 
-    seen = repos.join(linked, "id").filter(F.col("_member") | public()).select(F.col("id").alias("repo_id")).distinct()
+    seen = repos.join(linked, "id").filter(F.col("_member") | public()).select(F.col("id").alias("repo_id"))
     return actions.filter(F.col("user_id") == org_id).join(seen, "repo_id", "left_semi")
 
 
@@ -162,12 +162,12 @@ def read_flags(issue: DataFrame, issue_user: DataFrame, uid: int) -> DataFrame:
 
 def missing(rows: DataFrame, key: str, present: DataFrame, present_key: str) -> DataFrame:
     """Rows whose key isn't present, such as repositories without a folder."""
-    return rows.join(present.select(F.col(present_key).alias(key)).distinct(), key, "left_anti")
+    return rows.join(present.select(F.col(present_key).alias(key)), key, "left_anti")
 
 
 def not_named(names: DataFrame, told: DataFrame, column: str = "name") -> DataFrame:
     """Names that nobody told has, without regard to case."""
-    known = told.select(F.lower(column).alias("_low")).distinct()
+    known = told.select(F.lower(column).alias("_low"))
     return names.join(known, F.lower(names[column]) == F.col("_low"), "left_anti")
 
 
@@ -181,7 +181,7 @@ def blob_batch(wanted: DataFrame, stored: DataFrame) -> DataFrame:
 def allowed_ids(branches: DataFrame, csv: str, allowed: DataFrame, key: str) -> DataFrame:
     """A list of ids as text, reduced to those allowed for the branch's repository, in numeric order."""
     ids = branches.select("id", "repo_id", F.explode(F.split(csv, ",")).alias("_t")).select("id", "repo_id", F.expr("try_cast(trim(_t) as bigint)").alias(key))
-    kept = ids.join(allowed.select("repo_id", key).distinct(), ["repo_id", key], "left_semi")
+    kept = ids.join(allowed.select("repo_id", key), ["repo_id", key], "left_semi")
     joined = kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(key)), lambda x: x.cast("string")), ",").alias(csv))
     return branches.drop(csv).join(joined, "id", "left").withColumn(csv, F.coalesce(csv, F.lit("")))
 

@@ -16,14 +16,13 @@ from forgeframe.operators.aggregates import access_modes, recounted
 def add_edges(edges: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """Edges with those of ``new`` that aren't there yet (M1); ids go on from the highest."""
     fresh = new.select(*keys).distinct().join(edges.select(*keys), list(keys), "left_anti")
-    top = edges.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = fresh.withColumn("_n", F.row_number().over(W.orderBy(*keys))).join(F.broadcast(top))
-    return edges.unionByName(numbered.withColumn("id", F.col("_top") + F.col("_n")).select("id", *keys), allowMissingColumns=True)
+    top = edges.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
+    return edges.unionByName(fresh.select((top + F.row_number().over(W.orderBy(*keys))).alias("id"), *keys), allowMissingColumns=True)
 
 
 def remove_edges(edges: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     """Edges without those of ``gone`` (M2)."""
-    return edges.join(gone.select(*keys).distinct(), list(keys), "left_anti")
+    return edges.join(gone.select(*keys), list(keys), "left_anti")
 
 
 def replace_rows(table: DataFrame, key: Column, new: DataFrame) -> DataFrame:
@@ -37,8 +36,8 @@ USER_ROWS = {"watch": "user_id", "star": "uid", "follow": ("user_id", "follow_id
 
 def deletable_users(users: DataFrame, repos: DataFrame, org_user: DataFrame) -> DataFrame:
     """Users who own no repository and belong to no organisation (M4's precondition)."""
-    left = users.join(repos.select(F.col("owner_id").alias("id")).distinct(), "id", "left_anti")
-    return left.join(org_user.select(F.col("uid").alias("id")).distinct(), "id", "left_anti")
+    left = users.join(repos.select(F.col("owner_id").alias("id")), "id", "left_anti")
+    return left.join(org_user.select(F.col("uid").alias("id")), "id", "left_anti")
 
 
 def without_rows(tables: dict[str, DataFrame], where: dict[str, str | tuple], gone: DataFrame) -> dict[str, DataFrame]:
@@ -47,7 +46,7 @@ def without_rows(tables: dict[str, DataFrame], where: dict[str, str | tuple], go
     for name, columns in where.items():
         if name in out:
             for c in (columns,) if isinstance(columns, str) else columns:
-                out[name] = out[name].join(gone.select(F.col("id").alias("_gone")).distinct(), F.col(c) == F.col("_gone"), "left_anti")
+                out[name] = out[name].join(gone.select(F.col("id").alias("_gone")), F.col(c) == F.col("_gone"), "left_anti")
     return out
 
 
@@ -91,7 +90,7 @@ def delete_repos(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, Dat
 
 def delete_organizations(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
     """All tables after deleting organisations that own no repository (M6)."""
-    gone = gone.select("id").join(tables["repository"].select(F.col("owner_id").alias("id")).distinct(), "id", "left_anti")
+    gone = gone.select("id").join(tables["repository"].select(F.col("owner_id").alias("id")), "id", "left_anti")
     return without_rows(tables, {"team": "org_id", "org_user": "org_id", "team_user": "org_id", "team_repo": "org_id", "user": "id"}, gone)
 
 
@@ -153,19 +152,19 @@ def create_issues(issue: DataFrame, new: DataFrame, milestone: DataFrame, access
     repository and an assignee without write access are dropped.
     """
     top = issue.groupBy("repo_id").agg(F.max("index").alias("_index"))
-    ids = issue.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_id"))
+    last = issue.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
     rows = new.join(milestone.select(F.col("id").alias("milestone_id"), "repo_id", F.lit(True).alias("_m")), ["milestone_id", "repo_id"], "left")
     writers = access.filter("mode >= 2").select(F.col("user_id").alias("assignee_id"), "repo_id", F.lit(True).alias("_a"))
-    rows = rows.join(writers, ["assignee_id", "repo_id"], "left").join(top, "repo_id", "left").join(F.broadcast(ids))
+    rows = rows.join(writers, ["assignee_id", "repo_id"], "left").join(top, "repo_id", "left")
     order = ["repo_id", "poster_id", "name"]
     rows = rows.withColumns({
-        "id": F.col("_id") + F.row_number().over(W.orderBy(*order)),
+        "id": last + F.row_number().over(W.orderBy(*order)),
         "index": F.coalesce("_index", F.lit(0)) + F.row_number().over(W.partitionBy("repo_id").orderBy(*order)),
         "milestone_id": F.when(F.col("_m"), F.col("milestone_id")).otherwise(0).cast("bigint"),
         "assignee_id": F.when(F.col("_a"), F.col("assignee_id")).otherwise(0).cast("bigint"),
         "is_closed": F.lit(False), "is_pull": F.lit(False), "num_comments": F.lit(0).cast("bigint"),
     })
-    return issue.unionByName(rows.drop("_m", "_a", "_index", "_id"), allowMissingColumns=True)
+    return issue.unionByName(rows.drop("_m", "_a", "_index"), allowMissingColumns=True)
 
 
 def change_status(tables: dict[str, DataFrame], issues: DataFrame, closed: bool) -> dict[str, DataFrame]:

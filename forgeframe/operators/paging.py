@@ -33,15 +33,3 @@ def page_links(total: int, size: int, page: int) -> dict[str, int]:
     last = -(-total // size) if size > 0 else 0
     links = {"next": page + 1, "last": last} if page < last else {}
     return links | ({"first": 1, "prev": page - 1} if page > 1 else {})
-
-
-def page_after_value(df: DataFrame, order: Column, key: str, cursor: str | None, size: int) -> DataFrame:
-    """``size`` rows after the row whose ``key`` is ``cursor``; an unknown or empty cursor starts at the top.
-
-    The cursor row is one row, so it is joined as a broadcast of size one at most.
-    """
-    if not cursor:
-        return df.orderBy(order).limit(size)
-    start = df.filter(F.col(key) == cursor).select(F.col(key).alias("_cursor")).limit(1)
-    rows = df.join(F.broadcast(start), F.lit(True), "left")
-    return rows.filter(F.col("_cursor").isNull() | (F.col(key) < F.col("_cursor"))).drop("_cursor").orderBy(order).limit(size)

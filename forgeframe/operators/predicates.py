@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRUE = F.lit
-
 
 def every(*conditions: Column | None) -> Column:
     """Conjunction of the conditions that are given (None: not set)."""
@@ -113,4 +111,4 @@ def masked(column: str, signed_in: bool) -> Column:
 
 def having(df: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
     """Rows that exist in ``other`` by key."""
-    return df.join(other.select(*keys).distinct(), list(keys), "left_semi")
+    return df.join(other.select(*keys), list(keys), "left_semi")

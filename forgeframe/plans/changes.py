@@ -33,7 +33,9 @@ def tables(s, *names):
 
 def user_delete(s):
     out = M.delete_users(tables(s, "users", "repository", "star", "watch", "follow", "issue", "access") | {"org_user": s.org_user.filter("uid % 2 = 0")}, s.users.filter("id between 151 and 400"))
-    return out["repository"].groupBy().agg(F.sum("num_stars").cast("bigint").alias("stars")).join(out["user"].groupBy().agg(F.count("*").alias("users"), F.sum("num_following").cast("bigint").alias("following")))
+    one = lambda name, df, value: df.agg(value.cast("bigint").alias("n")).select(F.lit(name).alias("name"), "n")
+    rows = one("stars", out["repository"], F.sum("num_stars")).unionByName(one("users", out["user"], F.count("*")))
+    return rows.unionByName(one("following", out["user"], F.sum("num_following")))
 
 
 def repo_delete(s):
@@ -169,7 +171,7 @@ QUERIES = {
     "follow_add": query(follow_add, f"SELECT follow_id, COUNT(DISTINCT user_id) AS n FROM ({EDGES} UNION ALL {NEW}) WHERE follow_id <= 5 GROUP BY 1"),
     "unfollow": query(unfollow, "SELECT follow_id, COUNT(*) AS n FROM follow WHERE follow_id <> 3 GROUP BY 1"),
     "access_replace": query(access_replace, "SELECT user_id, repo_id, mode FROM access WHERE repo_id IN (8, 10) UNION ALL SELECT id, 9, 2 FROM users WHERE id IN (1, 2)"),
-    "user_delete": query(user_delete, f"SELECT (SELECT COUNT(*) FROM star JOIN repository r ON r.id = star.repo_id WHERE uid NOT IN ({GONE})) AS stars, (SELECT COUNT(*) FROM users WHERE id NOT IN ({GONE})) AS users, (SELECT COUNT(*) FROM follow WHERE user_id IN (SELECT id FROM users) AND user_id NOT IN ({GONE}) AND follow_id NOT IN ({GONE})) AS following"),
+    "user_delete": query(user_delete, f"SELECT 'stars' AS name, COUNT(*) AS n FROM star JOIN repository r ON r.id = star.repo_id WHERE uid NOT IN ({GONE}) UNION ALL SELECT 'users', COUNT(*) FROM users WHERE id NOT IN ({GONE}) UNION ALL SELECT 'following', COUNT(*) FROM follow WHERE user_id IN (SELECT id FROM users) AND user_id NOT IN ({GONE}) AND follow_id NOT IN ({GONE})"),
     "repo_delete": query(
         repo_delete,
         """SELECT 'repository' AS name, COUNT(*) AS n FROM repository WHERE id > 10 UNION ALL SELECT 'star', COUNT(*) FROM star WHERE repo_id > 10
