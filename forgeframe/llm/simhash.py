@@ -240,76 +240,153 @@ def most_bits(similarity: float, bits: int) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def scan(rows: DataFrame, radius: int, hot: int) -> DataFrame:
-    """Leader links in buckets (k, salt): each row is linked with the first earlier leader within the radius, else leads itself.
+def near_in(fp, sure: int, most: int, partners: int = 3):
+    """Of rows of fingerprints: the smallest row each is connected to by distances up to ``sure``, and
+    (a, b) of up to ``partners`` nearest others at distances up to ``most`` outside of that group."""
+    import numpy as np
 
-    rows: (k, salt, split, id, fp binary). Returns (u, v) links, and for split buckets their leaders (k, id, fp) with v null.
-    Reads sorted rows and holds the leaders of one bucket; near copies have few.
+    n = len(fp)
+    label = np.arange(n)
+    pair_a, pair_b, far_a, far_b, far_d = [], [], [], [], []
+    for at in range(0, n, 512):
+        d = np.zeros((min(512, n - at), n), np.int32)
+        for w in range(fp.shape[1]):
+            d += np.bitwise_count(fp[at : at + 512, w, None] ^ fp[None, :, w])
+        d[np.arange(len(d)), np.arange(at, at + len(d))] = 1 << 20
+        a, b = np.nonzero(d <= sure)
+        pair_a.append(a + at)
+        pair_b.append(b)
+        band = np.where(d > sure, d, 1 << 20)
+        k = min(partners, n - 1)
+        near = np.argpartition(band, k - 1, axis=1)[:, :k]
+        dist = np.take_along_axis(band, near, 1)
+        row, col = np.nonzero(dist <= most)
+        far_a.append(row + at)
+        far_b.append(near[row, col])
+    a, b = np.concatenate(pair_a), np.concatenate(pair_b)
+    while len(a):
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    x, y = np.concatenate(far_a), np.concatenate(far_b)
+    other = label[x] != label[y]
+    return label, x[other], y[other]
+
+
+def scan(rows: DataFrame, sure: int, most: int) -> DataFrame:
+    """What the buckets (k, salt) of rows (k, salt, split, id, fp) show, a bounded number of rows for each of theirs:
+
+    (u, v, true): connected by sure distances, v the smallest id; (u, v, false): to be verified;
+    (u, null, k, fp): a group's smallest of a split bucket, to be compared over its salts.
     """
     import numpy as np
     import pyarrow as pa
 
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("k", pa.int64()), ("fp", pa.binary())])
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sure", pa.bool_()), ("k", pa.int64()), ("fp", pa.binary())])
+
+    def flush(held):
+        k, salt, split, ids, fp = (np.concatenate(x) for x in zip(*held))
+        edge = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (salt[1:] != salt[:-1]), True])
+        size = np.diff(edge)
+        out = []
+        # most buckets hold two
+        two = edge[:-1][size == 2]
+        d = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1)
+        for ok, kind in ((d <= sure, True), ((d > sure) & (d <= most), False)):
+            out.append((ids[two[ok] + 1], ids[two[ok]], kind))
+        tops = [two, two[d > sure] + 1, edge[:-1][size == 1]]
+        for a, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist()):
+            label, x, y = near_in(fp[a : a + n], sure, most)
+            own = np.arange(n)
+            out += [(ids[a + own[label != own]], ids[a + label[label != own]], True), (np.maximum(ids[a + x], ids[a + y]), np.minimum(ids[a + x], ids[a + y]), False)]
+            tops.append(a + own[label == own])
+        top = np.concatenate(tops)
+        top = top[split[top]]
+        u = np.concatenate([*[x for x, _, _ in out], ids[top]])
+        none = np.zeros(len(top), np.int64)
+        v = pa.array(np.concatenate([*[x for _, x, _ in out], none]), mask=np.r_[np.zeros(len(u) - len(top), bool), np.ones(len(top), bool)])
+        kind = np.concatenate([*[np.full(len(x), kind) for x, _, kind in out], np.zeros(len(top), bool)])
+        ks = pa.array([None] * (len(u) - len(top)) + k[top].tolist(), pa.int64())
+        fs = pa.array([None] * (len(u) - len(top)) + [f.tobytes() for f in fp[top]], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(u), v, pa.array(kind), ks, fs], schema=schema)
 
     def run(batches):
-        state = {"key": None, "ids": [], "fps": np.zeros((0, 8), np.uint64)}
+        held: list = []
         for b in batches:
-            k, salt = b.column("k").to_numpy(), b.column("salt").to_numpy()
-            ids, split = b.column("id").to_numpy(), b.column("split").to_numpy(zero_copy_only=False)
             n = b.num_rows
             if not n:
                 continue
-            raw = b.column("fp")
-            fp = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(n, -1)
-            edge = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (salt[1:] != salt[:-1]), True])
-            out_u, out_v, lead = [], [], []
-            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                if (int(k[a]), int(salt[a])) != state["key"]:
-                    state = {"key": (int(k[a]), int(salt[a])), "ids": [], "fps": np.zeros((0, fp.shape[1]), np.uint64)}
-                    if z - a == 1 and z < n and not split[a]:
-                        continue  # alone in its bucket
-                rest = np.arange(a, z)
-                # against the leaders so far, then each new leader against those left
-                for i, known in zip(state["ids"], state["fps"]):
-                    if not len(rest):
-                        break
-                    near = np.bitwise_count(fp[rest] ^ known).sum(1) <= radius
-                    out_u += ids[rest[near]].tolist()
-                    out_v += [i] * int(near.sum())
-                    rest = rest[~near]
-                while len(rest):
-                    first = rest[0]
-                    state["ids"].append(int(ids[first]))
-                    state["fps"] = np.vstack([state["fps"], fp[first : first + 1]])
-                    if split[first]:
-                        lead.append(int(first))
-                    near = np.bitwise_count(fp[rest] ^ fp[first]).sum(1) <= radius
-                    near[0] = False
-                    out_u += ids[rest[near]].tolist()
-                    out_v += [int(ids[first])] * int(near.sum())
-                    near[0] = True
-                    rest = rest[~near]
-            us = out_u + [int(ids[i]) for i in lead]
-            vs = out_v + [None] * len(lead)
-            ks = [None] * len(out_u) + [int(k[i]) for i in lead]
-            fs = [None] * len(out_u) + [fp[i].tobytes() for i in lead]
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ks, pa.int64()), pa.array(fs, pa.binary())], schema=schema)
+            fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint64).reshape(n, -1)
+            now = [*(b.column(c).to_numpy(zero_copy_only=False) for c in ("k", "salt", "split", "id")), fp]
+            # the last bucket may go on in the next batch
+            last = int(np.flatnonzero(np.r_[True, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])])[-1])
+            if held and last == 0 and (held[-1][0][-1], held[-1][1][-1]) == (now[0][0], now[1][0]):
+                held.append(now)
+                continue
+            if last:
+                held.append([x[:last] for x in now])
+            if held:
+                yield flush(held)
+            held = [[x[last:] for x in now]]
+        if held:
+            yield flush(held)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "k", "salt").sortWithinPartitions("k", "salt", "id").mapInArrow(run, "u bigint, v bigint, k bigint, fp binary")
+    return rows.repartition(parts, "k", "salt").sortWithinPartitions("k", "salt", "id").mapInArrow(run, "u bigint, v bigint, sure boolean, k bigint, fp binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, text: str, words: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) of text hashes whose shingle sets have that Jaccard similarity."""
+    import numpy as np
 
+    asked = scratch.table(pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct(), "asked")
+    rows = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("t")).join(asked, "h", "left_semi")
 
-def similar(docs: DataFrame, scratch: Scratch, text: str = "text", words: int = 5, similarity: float = 0.8, n_planes: int = 8, turns: int = 2, hot: int = 2000) -> DataFrame:
+    def make():
+        def block(columns):
+            hashes, counts = shingle_hashes(columns[1], words)
+            cut = np.split(hashes.astype(np.uint32), np.cumsum(counts)[:-1])
+            return [columns[0], [np.unique(c).tobytes() for c in cut]]
+
+        return block
+
+    sets = scratch.table(map_rows(rows, "h bigint, s binary", make).groupBy("h").agg(F.first("s").alias("s")), "sets")
+    one = sets.select(F.col("h").alias("u"), F.col("s").alias("a"))
+    two = sets.select(F.col("h").alias("v"), F.col("s").alias("b"))
+
+    def compare():
+        def block(columns):
+            alike = []
+            for a, b in zip(columns[2], columns[3]):
+                a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                alike.append(both >= similarity * (len(a) + len(b) - both))
+            return [*columns[:2], alike]
+
+        return block
+
+    found = map_rows(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b"), "u bigint, v bigint, alike boolean", compare)
+    return scratch.table(found.filter("alike").select("u", "v"), "verified")
+
+
+def similar(docs: DataFrame, scratch: Scratch, text: str = "text", words: int = 5, similarity: float = 0.8, n_planes: int = 8, turns: int = 3, hot: int = 2000) -> DataFrame:
     """(h, root): of each distinct text (its 64-bit hash), the root of its group, for texts that have one.
 
-    Two texts are linked if their ``64 * n_planes`` bits differ by no more than is expected at
-    the similarity. Bits are cut into parts of log2(texts) + 2 bits, over ``turns``
-    arrangements of the bits; texts that agree on a part are compared. By the pigeonhole
-    principle this is certain where fewer bits differ than an arrangement has parts; beyond,
-    at 512 bits and 250,000 texts, about 0.86 of pairs of similarity 0.8 share a part, 0.96 of
-    0.85 and 0.998 of 0.9. In a bucket each text is compared with the bucket's leaders only, so
-    a large group costs its size, not its square; buckets over ``hot`` texts are split by salt
-    and their leaders compared again.
+    Texts have ``64 * n_planes`` bits; how many differ tells their similarity to about 0.03. Bits
+    are cut into parts of log2(texts) + 2 bits, over ``turns`` arrangements; texts that agree on a
+    part are compared. By the pigeonhole principle this is certain where fewer bits differ than an
+    arrangement has parts; beyond, at 512 bits and 250,000 texts, 0.95 of pairs of similarity 0.8
+    share a part, 0.99 of 0.85 and all but one in 10,000 of 0.9.
+
+    Pairs at distances that only similarities above the wanted one have are linked; those in a
+    band around it are verified by the Jaccard similarity of their whole shingle sets. A bucket
+    gives no more than four rows for each of its own: its groups by sure links as stars, and for
+    each text the three nearest in the band. Buckets over ``hot`` texts are split by a salt that
+    differs from part to part, and their groups' smallest are compared over the salts.
     """
     import random
 
@@ -321,7 +398,10 @@ def similar(docs: DataFrame, scratch: Scratch, text: str = "text", words: int =
     def make():
         def block(columns):
             hashes, counts = shingle_hashes(columns[1], words)
-            found = planes(hashes, counts, n_planes)
+            # of sets: a line that a text repeats counts once, as in the similarity
+            sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+            counts = np.array([len(x) for x in sets], np.int64)
+            found = planes(np.concatenate(sets), counts, n_planes)
             return [columns[0], [r.tobytes() for r in found], (counts > 0).tolist()]
 
         return block
@@ -353,16 +433,28 @@ def similar(docs: DataFrame, scratch: Scratch, text: str = "text", words: int =
 
     keys = scratch.table(texts.mapInArrow(keyed, "k bigint, id bigint"), "keys")
     shared = scratch.table(keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    met = scratch.table(keys.join(shared, "k").withColumn("split", F.col("n") > hot).withColumn("salt", F.when(F.col("split"), F.pmod(F.col("id"), F.ceil(F.col("n") / hot))).otherwise(0).cast("bigint")).drop("n"), "met")
+    salt = F.when(F.col("split"), F.pmod(F.xxhash64("id", "k"), F.ceil(F.col("n") / hot))).otherwise(0).cast("bigint")
+    met = scratch.table(keys.join(shared, "k").withColumn("split", F.col("n") > hot).withColumn("salt", salt).drop("n"), "met")
     scratch.drop("keys")
-    radius = most_bits(similarity, n_bits)
+    middle, spread = most_bits(similarity, n_bits), math.sqrt(n_bits * 0.13)
+    sure, most = round(middle - 2.8 * spread), round(middle + 2.2 * spread)
     met = met.join(texts.select(F.col("h").alias("id"), "fp"), "id").select("k", "salt", "split", "id", "fp")
-    one = scratch.table(scan(met, radius, hot), "scan")
-    leaders = one.filter("v is null").select("k", F.lit(-1).cast("bigint").alias("salt"), F.lit(False).alias("split"), F.col("u").alias("id"), "fp")
-    edges = one.filter("v is not null").select("u", "v").unionByName(scan(leaders, radius, hot).filter("v is not null").select("u", "v"))
-    found = scratch.table(components(edges, scratch), "similar")
+    one = scratch.table(scan(met, sure, most), "scan")
+    tops = one.filter("v is null").select("k", F.lit(-1).cast("bigint").alias("salt"), F.lit(False).alias("split"), F.col("u").alias("id"), "fp")
+    edges = scratch.table(one.filter("v is not null").select("u", "v", "sure").unionByName(scan(tops, sure, most).select("u", "v", "sure")).distinct(), "edges")
     for old in ("met", "scan", "shared", "planes", "texts"):
         scratch.drop(old)
+    linked = edges.filter("sure").select("u", "v")
+    groups = components(linked, scratch, "sure")
+    # pairs to verify that sure links connect already are left out
+    band = edges.filter("not sure").select("u", "v")
+    for c in ("u", "v"):
+        band = band.join(groups.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    band = scratch.table(band.filter("u_root <> v_root").select("u", "v"), "band")
+    more = verified(band, docs, scratch, text, words, similarity)
+    found = scratch.table(components(linked.unionByName(more), scratch), "similar")
+    for old in ("sets", "asked", "band", "edges"):
+        scratch.drop(old)
     return found.select(F.col("node").alias("h"), "root")
 
 

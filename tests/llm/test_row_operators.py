@@ -279,14 +279,32 @@ def test_deduplicate(spark):
             for _ in range(2):
                 copy[draw.randrange(300)] = f"new{k}"
             rows.append((100 + 10 * i + k, " ".join(copy)))
+    for i, t in enumerate(base[6:9]):  # alike, but well below 0.8: they stay
+        words = t.split()
+        for k in draw.sample(range(300), 25):
+            words[k] = "other"
+        rows.append((400 + i, " ".join(words)))
     rows += [(3, base[3]), (200, base[4]), (300, None), (301, ""), (302, None), (None, "lonely text"), (None, "lonely text")]
     docs = spark.createDataFrame([(i, t, "l", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, _h int")
     out = simhash.deduplicate(docs)
     assert out.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [*range(12), 300, None]))
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [*range(12), 300, 400, 401, 402, None]))
     assert simhash.deduplicate(docs.limit(0)).count() == 0 and simhash.classes(docs.limit(0)).count() == 0
 
 
+def test_buckets_connect_what_is_near():
+    rng = np.random.default_rng(2)
+    centre = rng.integers(0, 2**64, (6, 8), dtype=np.uint64)
+    fp = np.repeat(centre, 30, 0)
+    for row in fp:
+        for b in rng.integers(0, 512, 30):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    label, x, y = simhash.near_in(fp, 55, 96)
+    d = np.array([[int(np.bitwise_count(a ^ b).sum()) for b in fp] for a in fp])
+    assert label.tolist() == groups(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if d[i, j] <= 55])
+    assert all(55 < d[i, j] <= 96 and label[i] != label[j] for i, j in zip(x, y)) and len(x) <= 3 * len(fp)
+
+
 def test_components(spark):
     draw = random.Random(9)
     pairs = [(draw.randrange(200), draw.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(7, 7), (500, 400)] + [(900, x) for x in range(901, 960)]
