@@ -77,7 +77,7 @@ class Automaton:
 
 
 class Classifier:
-    """Automata of all languages. samples: (language, text) in a fixed order."""
+    """Automata of all languages. samples: (language, text) in a fixed order; most: symbols a language, 30,000 at most."""
 
     def __init__(self, samples: list[tuple[str, str]], most: int = SAMPLE):
         import numpy as np
@@ -90,13 +90,14 @@ class Classifier:
         texts = {k: " ".join(x for x in by[k] if x)[:most] for k in self.langs}
         letters = sorted({c for t in texts.values() for c in t} | {" "})
         self.code = {c: i + 1 for i, c in enumerate(letters)}  # 0: letters that no sample has
-        self.of_char = np.zeros(0x110000, np.int32)
+        self.of_char = np.zeros(0x110000, np.uint16)
         for c, i in self.code.items():
             self.of_char[ord(c)] = i
         self.width = len(letters) + 1
-        tables = [Automaton([self.code[c] for c in texts[k]], self.width).table for k in self.langs]
-        self.base = np.cumsum([0, *[t.size for t in tables]])[:-1].astype(np.int32)
-        self.flat = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
+        # an automaton has less than two states a symbol, so its states fit 16 bits
+        tables = [Automaton([self.code[c] for c in texts[k]], self.width).table.astype(np.uint16) for k in self.langs]
+        self.base = np.cumsum([0, *[t.size for t in tables]])[:-1].astype(np.int64)
+        self.flat = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.uint16)
         self.bits = np.array([math.log2(max(2, len(texts[k]))) for k in self.langs])
 
     def phrases(self, texts: list[str]):
@@ -116,7 +117,7 @@ class Classifier:
         if not len(of):
             return out, size
         base = self.base[:, None]
-        state = np.zeros((len(self.langs), len(of)), np.int32)
+        state = np.zeros((len(self.langs), len(of)), np.int64)
         count = np.zeros((len(self.langs), len(of)), np.int32)
         active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # blocks longer than t
         for t in range(int(length[0])):
@@ -176,12 +177,13 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str
     spark = docs.sparkSession
     own = ["lang_pred", "score", "phrase"]
     docs = docs.select(*[c for c in docs.columns if c not in own])
-    learned = spark.sparkContext.broadcast(samples(labelled, text, lang, key))  # a bounded sample
+    # built once, of a bounded sample: at most 16 * SAMPLE symbols, two states each, two bytes a letter
+    learned = spark.sparkContext.broadcast(Classifier(samples(labelled, text, lang, key)))
     names = docs.columns
     at = names.index(text)
 
     def make():
-        classify = Classifier(learned.value)
+        classify = learned.value
 
         def block(columns):
             found = classify(columns[at])
