@@ -67,8 +67,9 @@ def pruned(x):
     lists: list[list[int]] = [[] for _ in range(n)]
     if pool < 1:
         return np.full((n, 1), -1, np.int32)
-    for a in range(0, n, 256):
-        s = x[a : a + 256] @ x.T
+    step = max(1, min(256, 8_000_000 // n))  # so that a block's cosines stay at 64 MB
+    for a in range(0, n, step):
+        s = x[a : a + step] @ x.T
         m = len(s)
         s[np.arange(m), np.arange(a, a + m)] = -2
         near = np.argpartition(-s, pool - 1, axis=1)[:, :pool]
@@ -111,6 +112,7 @@ def search(x, adjacent, least: float, block: int = 512):
     n = len(x)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    block = max(1, min(block, 32_000_000 // n))
     medoid = int(np.argmax(x @ x.mean(0)))
     found_q, found_x = [], []
     for a in range(0, n, block):
