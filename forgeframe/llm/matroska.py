@@ -286,7 +286,7 @@ def packets(files: DataFrame, key: str, content: str) -> DataFrame:
 
         return block
 
-    return map_rows(files.select(key, content), f"{key} {dict(files.dtypes)[key]}, track bigint, timestamp_ms double, offset bigint, size bigint, key_frame boolean, cluster bigint, lacing int, error string", make)
+    return map_rows(files.select(key, content), f"`{key}` {dict(files.dtypes)[key]}, track bigint, timestamp_ms double, offset bigint, size bigint, key_frame boolean, cluster bigint, lacing int, error string", make)
 
 
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -295,7 +295,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def make():
         return lambda columns: [columns[0], [write(padded((t or "").encode())) for t in columns[1]]]
 
-    return map_rows(docs.select(key, text), f"{key} {dict(docs.dtypes)[key]}, media binary", make)
+    return map_rows(docs.select(key, text), f"`{key}` {dict(docs.dtypes)[key]}, media binary", make)
 
 
 def padded(b: bytes, unit: int = 64) -> bytes:
@@ -316,4 +316,4 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     def make():
         return lambda columns: [columns[0], *([list(x) for x in zip(*[features((t or "").encode()) for t in columns[1]])] or [[] for _ in range(7)])]
 
-    return map_rows(docs.select(key, text), f"{key} {dict(docs.dtypes)[key]}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", make)
+    return map_rows(docs.select(key, text), f"`{key}` {dict(docs.dtypes)[key]}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", make)

@@ -344,4 +344,4 @@ def digest(docs, model_path: str, key: str = "doc_id", text: str = "text"):
 
         return block
 
-    return map_rows(docs.select(key, text), f"{key} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
+    return map_rows(docs.select(key, text), f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)

@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
         return block
 
-    return map_rows(docs.select(key, text), f"{key} {dict(docs.dtypes)[key]}, f bigint", make)
+    return map_rows(docs.select(key, text), f"`{key}` {dict(docs.dtypes)[key]}, f bigint", make)
 
 
 def bit_counts(found: DataFrame):
