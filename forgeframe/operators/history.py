@@ -1,6 +1,6 @@
 """Version history as tables: commits (sha, parents array, topo, message), file changes, tree entries (§ git views).
 
-Ancestors are found by growing sets of (start, sha) along the parent edges, one join a round.
+Ancestors are found by growing sets of (start, sha) along composed parent edges.
 """
 
 from __future__ import annotations
@@ -21,22 +21,22 @@ def search(commits: DataFrame, keyword: str) -> DataFrame:
     return commits.filter(F.lower("message").contains(keyword.lower()))
 
 
-def ancestors(commits: DataFrame, starts: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(start, sha): every commit that each start reaches, itself included. Rounds double the distance, so they are few.
+def ancestors(commits: DataFrame, starts: DataFrame, doublings: int = 6) -> DataFrame:
+    """(start, sha): every commit that each start reaches, itself included.
 
-    Each round's pairs are checkpointed: lineage stays short.
+    Edges are first composed to jumps of up to ``2 ** doublings`` generations, which bounds both
+    their number and, for long histories, the rounds; then only what a round has newly found is
+    joined again. Every round is checkpointed, so lineage stays short.
     """
-    step = commits.select(F.col("sha").alias("a"), F.explode("parents").alias("b")).distinct().checkpoint()
-    found = starts.select(F.col("sha").alias("start"), "sha").distinct().checkpoint()
-    size = found.count()
-    for _ in range(rounds):
-        more = found.join(step, found["sha"] == step["a"]).select("start", F.col("b").alias("sha"))
-        found = found.unionByName(more).distinct().checkpoint()
-        now = found.count()
-        if now == size:
-            break
-        size = now
-        step = step.unionByName(step.alias("x").join(step.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")).distinct().checkpoint()
+    jump = commits.select(F.col("sha").alias("a"), F.explode("parents").alias("b")).distinct().checkpoint()
+    for _ in range(doublings):
+        further = jump.alias("x").join(jump.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
+        jump = jump.unionByName(further).distinct().checkpoint()
+    found = new = starts.select(F.col("sha").alias("start"), "sha").distinct().checkpoint()
+    while not new.isEmpty():
+        more = new.join(jump, F.col("sha") == F.col("a")).select("start", F.col("b").alias("sha")).distinct()
+        new = more.join(found, ["start", "sha"], "left_anti").checkpoint()
+        found = found.unionByName(new).checkpoint()
     return found
 
 
