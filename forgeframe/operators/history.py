@@ -29,9 +29,13 @@ def ancestors(commits: DataFrame, starts: DataFrame, doublings: int = 6) -> Data
     joined again. Every round is checkpointed, so lineage stays short.
     """
     jump = commits.select(F.col("sha").alias("a"), F.explode("parents").alias("b")).distinct().checkpoint()
+    size = jump.count()
     for _ in range(doublings):
         further = jump.alias("x").join(jump.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
         jump = jump.unionByName(further).distinct().checkpoint()
+        size, before = jump.count(), size
+        if size == before:
+            break
     found = new = starts.select(F.col("sha").alias("start"), "sha").distinct().checkpoint()
     while not new.isEmpty():
         more = new.join(jump, F.col("sha") == F.col("a")).select("start", F.col("b").alias("sha")).distinct()
