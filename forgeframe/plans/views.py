@@ -65,7 +65,7 @@ def api_teams(s):
 
 
 def api_commits(s):
-    rows = s.events.filter("event_id <= 300").select(F.sha1(F.col("event_id").cast("string").cast("binary")).alias("sha"), F.col("event_type").alias("message"), F.lit("A").alias("author_name"), F.concat(F.lit("Customer#"), F.lpad((F.col("event_id") % 400 * 7).cast("string"), 9, "0"), F.lit("@example.com")).alias("author_email"), F.lit("B").alias("committer_name"), F.lit("none@x").alias("committer_email"))
+    rows = s.events.filter("event_id <= 300").select(F.sha1(F.col("event_id").cast("string").cast("binary")).alias("sha"), F.col("event_type").alias("message"), F.lit("A").alias("author_name"), F.concat(F.lit("Customer#"), F.lpad((F.col("event_id") % 400 * 7).cast("string"), 9, "0"), F.lit("@example.com")).alias("author_email"), F.lit("B").alias("committer_name"), F.concat(F.lit("none"), (F.col("event_id") % 3).cast("string"), F.lit("@x")).alias("committer_email"))
     return api.commits(rows, s.users).select("id", "message", F.col("author.username").alias("author"), F.col("committer.username").alias("committer"))
 
 
@@ -149,7 +149,7 @@ QUERIES = {
            a.name AS assignee, CASE WHEN i.is_closed THEN 'closed' ELSE 'open' END AS state, CASE WHEN i.is_pull THEN i.id % 3 = 0 END AS merged
            FROM issue i LEFT JOIN users u ON u.id = i.poster_id LEFT JOIN users a ON a.id = i.assignee_id WHERE i.repo_id <= 20""",
     ),
-    "api_repositories": query(api_repositories, "SELECT r.id, u.name || '/' || r.name AS full_name, r.is_private AS private, r.is_fork AS fork, 'https://git.example.com/' || u.name || '/' || r.name || '.git' AS clone_url, false AS admin, true AS push FROM repository r JOIN users u ON u.id = r.owner_id"),
+    "api_repositories": query(api_repositories, "SELECT r.id, concat_ws('/', u.name, r.name) AS full_name, r.is_private AS private, r.is_fork AS fork, 'https://git.example.com/' || concat_ws('/', u.name, r.name) || '.git' AS clone_url, false AS admin, true AS push FROM repository r LEFT JOIN users u ON u.id = r.owner_id"),
     "api_collaborators": query(api_collaborators, "SELECT u.id, c.mode >= 3 AS admin, c.mode >= 2 AS push, true AS pull FROM collaboration c LEFT JOIN users u ON u.id = c.user_id WHERE c.repo_id = 3"),
     "api_releases": query(api_releases, "SELECT r.id, r.tag_name, r.is_draft AS draft, u.name AS author FROM release r LEFT JOIN users u ON u.id = r.id % 200"),
     "api_comments": query(api_comments, "SELECT c.id, 'c' || c.id AS body, u.id AS user_id FROM comment c LEFT JOIN users u ON u.id = c.poster_id"),
