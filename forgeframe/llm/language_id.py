@@ -178,12 +178,13 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str
     own = ["lang_pred", "score", "phrase"]
     docs = docs.select(*[c for c in docs.columns if c not in own])
     # built once, of a bounded sample: at most 16 * SAMPLE symbols, two states each, two bytes a letter
-    learned = spark.sparkContext.broadcast(Classifier(samples(labelled, text, lang, key)))
+    learned = spark.sparkContext.broadcast(vars(Classifier(samples(labelled, text, lang, key))))  # plain arrays: workers need not have this module
     names = docs.columns
     at = names.index(text)
 
     def make():
-        classify = learned.value
+        classify = Classifier.__new__(Classifier)
+        vars(classify).update(learned.value)
 
         def block(columns):
             found = classify(columns[at])
