@@ -97,6 +97,20 @@ def mention_links(c: Column, subpath: str = "") -> Column:
     return F.aggregate(found(c, MENTION), c, link)
 
 
+def auto_link(url: Column, site: str, prefix: str) -> Column:
+    """A bare URL as a link: this site's commits by short SHA, its issues by number (with the repository if another), others in full."""
+    commit = r"^https?.*commit/([0-9a-zA-Z]+)(?:#+[0-9a-zA-Z-]*)?"
+    issue = r"^https?.*issues/([0-9]+)(?:#+[0-9a-zA-Z-]*)?"
+    whole = lambda p: F.regexp_extract(url, p, 0)
+    link = lambda to, label: F.concat(F.lit('<a href="'), to, F.lit('">'), label, F.lit("</a>"))
+    number = F.concat(F.lit("#"), F.regexp_extract(url, issue, 1))
+    repo = F.regexp_replace(F.substring(whole(issue), F.lit(len(site) + 1), F.length(url)), r"/issues/.*$", "")
+    here = whole(issue).startswith(site + prefix.removeprefix("/"))
+    own = F.when(url.rlike(commit), F.concat(F.lit(" <code>"), link(whole(commit), short_sha(F.regexp_extract(url, commit, 1))), F.lit("</code>")))
+    own = own.when(url.rlike(issue), link(whole(issue), F.when(here, number).otherwise(F.concat(repo, number))))
+    return F.when(url.startswith(site) & (url.rlike(commit) | url.rlike(issue)), own).otherwise(link(url, escape_html(url)))
+
+
 def special_links(c: Column, prefix: str, repo_link: str, site: str, subpath: str = "") -> Column:
     """Mentions, issues, other repositories' issues and commits as links, in this order."""
     return sha_links(cross_links(issue_links(mention_links(c, subpath), prefix), site), repo_link)

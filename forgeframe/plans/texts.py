@@ -137,6 +137,11 @@ def file_names(s):
     return s.part.select("p_partkey", T.markup_kind(name).alias("kind"), T.is_readme(name).alias("readme"), T.task_item(F.concat(F.when(F.col("p_size") % 3 == 0, "[x] ").when(F.col("p_size") % 3 == 1, "[ ] ").otherwise(""), F.lit("t"))).alias("task"))
 
 
+def auto_links(s):
+    url = F.concat(F.lit("https://g/u/"), F.when(F.col("p_size") % 2 == 0, "r").otherwise("other"), F.lit("/issues/"), F.col("p_size").cast("string"))
+    return s.part.select("p_partkey", T.auto_link(url, "https://g/", "/u/r").alias("x"))
+
+
 def urls(s):
     return s.users.select("id", T.repo_url("https://g/", F.col("lower_name"), F.lit("r")).alias("url"), T.compare_path(F.col("lower_name"), F.lit("r"), F.lit("a"), F.lit("b")).alias("compare"), T.avatar(F.col("email")).alias("avatar"))
 
@@ -243,6 +248,7 @@ QUERIES = {
     ),
     "file_names": query(file_names, "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'markdown' WHEN 1 THEN 'orgmode' WHEN 2 THEN 'ipynb' ELSE '' END AS kind, p_size % 2 = 0 AS readme, CASE p_size % 3 WHEN 0 THEN '<input type=\"checkbox\" disabled=\"\" checked=\"\" /> t' WHEN 1 THEN '<input type=\"checkbox\" disabled=\"\" /> t' ELSE 't' END AS task FROM part"),
     "urls": query(urls, "SELECT id, 'https://g/' || lower_name || '/r' AS url, lower_name || '/r/compare/a...b' AS compare, 'https://secure.gravatar.com/avatar/' || md5(email) || '?d=identicon' AS avatar FROM users"),
+    "auto_links": query(auto_links, """SELECT p_partkey, '<a href="https://g/u/' || CASE WHEN p_size % 2 = 0 THEN 'r' ELSE 'other' END || '/issues/' || p_size || '">' || CASE WHEN p_size % 2 = 0 THEN '' ELSE 'u/other' END || '#' || p_size || '</a>' AS x FROM part"""),
     "encrypted": query(encrypted, "SELECT id, name FROM users"),
     "signatures": query(signatures, "SELECT id, CAST(64 AS BIGINT) AS n FROM users"),
     "version_checks": query(version_checks, "SELECT p_partkey, p_size % 3 > 1 OR (p_size % 3 = 1 AND p_size % 7 >= 3) AS newer FROM part"),

@@ -42,6 +42,20 @@ def test_sha_links(spark):
     assert one(spark, T.sha_links(F.lit("test"), "/r")) == "test"
 
 
+@pytest.mark.parametrize(
+    "url, want",
+    [
+        ("https://s/a/b/commit/d8a994ef243349f321568f9e36d5c3f444b99cae#diff-2", ' <code><a href="https://s/a/b/commit/d8a994ef243349f321568f9e36d5c3f444b99cae#diff-2">d8a994ef24</a></code>'),
+        ("https://s/a/b/issues/4#issue-685", '<a href="https://s/a/b/issues/4#issue-685">#4</a>'),
+        ("https://s/x/y/issues/7", '<a href="https://s/x/y/issues/7">x/y#7</a>'),
+        ("https://s/x/y", '<a href="https://s/x/y">https://s/x/y</a>'),
+        ("http://other/a/b/issues/1", '<a href="http://other/a/b/issues/1">http://other/a/b/issues/1</a>'),
+    ],
+)
+def test_auto_links(spark, url, want):
+    assert one(spark, T.auto_link(F.lit(url), "https://s/", "/a/b")) == want
+
+
 def test_special_links_agree(spark):
     text = "@ann (#5) see bob/site#9 at deadbeef0 and 7654321 by @ann"
     assert one(spark, T.special_links(F.lit(text), "/p", "/r", "https://s/")) == H.special_links(text, "/p", "/r", "https://s/")
