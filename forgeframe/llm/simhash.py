@@ -16,7 +16,7 @@ one neighbour are all within two bits of each other, at most 65 of them, and get
 This is exact for a radius of two and linear in the rows whatever the bucket's size.
 
 ``similar``: groups of texts of a given shingle similarity (such as 0.8 of five words), which
-for 64 bits would be a radius of 14. It uses several planes of 64 bits; see there.
+for 64 bits would be a radius of 14. It compares shingle sets by a prefix filter; see there.
 
 Nulls: null texts count as empty, null keys never become a component's name unless all its
 keys are null. Equal texts have equal fingerprints; repeated rows are all returned. Empty
@@ -36,6 +36,7 @@ from forgeframe.llm._common import Scratch, fresh, map_rows
 from forgeframe.llm._graph import components
 
 BUCKET = 64
+ODD = 2048
 
 
 def shingle_hashes(texts: list[str | None], words: int):
@@ -215,29 +216,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     return rows.join(by_f, "f").select(key, "f", "component")
 
 
-# ---- similarity of shingles: several planes ----------------------------------------------
-
-
-def planes(hashes, counts, n: int):
-    """n fingerprints of each text: the hashes themselves, then remixed with n - 1 constants."""
-    import numpy as np
-
-    out = np.empty((len(counts), n), np.uint64)
-    for k in range(n):
-        h = hashes
-        if k:  # a 64-bit finaliser over hash + k * odd constant
-            with np.errstate(over="ignore"):
-                h = h + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                h = h ^ (h >> np.uint64(31))
-        out[:, k] = majority(np.ascontiguousarray(h), counts)
-    return out
-
-
-def most_bits(similarity: float, bits: int) -> int:
-    """The expected number of differing bits of two shingle sets of that Jaccard similarity."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+# ---- similarity of shingles ----------------------------------------------
 
 
 def near_in(fp, sure: int, most: int, partners: int = 3):
@@ -277,52 +256,148 @@ def near_in(fp, sure: int, most: int, partners: int = 3):
     return label, x[other], y[other]
 
 
-def scan(rows: DataFrame, sure: int, most: int) -> DataFrame:
-    """What the buckets (k, salt) of rows (k, salt, split, id, fp) show, a bounded number of rows for each of theirs:
+def common(rows: DataFrame, scratch: Scratch, words: int, texts: int = 1 << 14, most: int = 1 << 18):
+    """(hashes, ranks): shingles that several of a sample of texts have, sorted by hash; at most ``most``, the most frequent.
 
-    (u, v, true): connected by sure distances, v the smallest id; (u, v, false): to be verified;
-    (u, null, k, fp): a group's smallest of a split bucket, to be compared over its salts.
+    They only order the shingles of a text. Any order gives the same groups; one that puts common
+    shingles last gives few candidates.
     """
     import numpy as np
     import pyarrow as pa
 
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sure", pa.bool_()), ("k", pa.int64()), ("fp", pa.binary())])
+    every = max(1, rows.count() // texts)
+    sample = rows.filter(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(every)) == 0).select("t")
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                hashes, counts = shingle_hashes(b.column("t").slice(at, 256).to_pylist(), words)
+                sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["s"])
+
+    counted = scratch.table(sample.mapInArrow(run, "s bigint").groupBy("s").agg(F.count("*").alias("n")).filter("n > 2"), "common")
+    least, total = 3, 0
+    for r in sorted(counted.groupBy("n").agg(F.count("*").alias("m")).collect(), key=lambda r: -r.n):
+        total += r.m
+        if total > most:
+            least = r.n + 1
+            break
+    found = counted.filter(F.col("n") >= least).toArrow()
+    scratch.drop("common")
+    hashes, ranks = found.column("s").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], ranks[order]
+
+
+def prefixes(rows: DataFrame, last, words: int, num: int, den: int) -> DataFrame:
+    """(k, id, size, pos, odd): of each text's distinct shingles, in one order for all texts, as many of the
+    first that two texts of similarity num / den share one of them. odd, at position 0 only: of each of ``ODD``
+    classes of hashes, whether the text has an odd number."""
+    import numpy as np
+    import pyarrow as pa
+
+    sent = rows.sparkSession.sparkContext.broadcast(last)
+
+    def run(batches):
+        common_hash, common_rank = sent.value
+        for b in batches:
+            step = max(1, b.num_rows if b.nbytes <= 4 << 20 else int(b.num_rows * (4 << 20) / b.nbytes))
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                hashes, counts = shingle_hashes(part.column("t").to_pylist(), words)
+                rank = np.zeros(len(hashes), np.int64)
+                if len(common_hash):
+                    i = np.minimum(np.searchsorted(common_hash, hashes), len(common_hash) - 1)
+                    rank = np.where(common_hash[i] == hashes, common_rank[i], 0)
+                owner = np.repeat(np.arange(len(counts)), counts)
+                order = np.lexsort((hashes, rank, owner))
+                hashes, owner = hashes[order], owner[order]
+                new = np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])][: len(hashes)]
+                hashes, owner = hashes[new], owner[new]
+                size = np.bincount(owner, minlength=len(counts))
+                pos = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+                odd = np.zeros((len(counts), ODD), np.uint8)
+                np.bitwise_xor.at(odd, (owner, (hashes >> np.uint64(20)) % np.uint64(ODD)), 1)
+                odd = np.packbits(odd, axis=1)
+                take = pos <= size[owner] + -num * size[owner] // den
+                own = owner[take]
+                ids = part.column("h").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[take].view(np.int64)), pa.array(ids[own]), pa.array(size[own].astype(np.int32)), pa.array(pos[take].astype(np.int32)), pa.array([None if i else odd[o].tobytes() for i, o in zip(pos[take].tolist(), own.tolist())], pa.binary())], ["k", "id", "size", "pos", "odd"])
+
+    return rows.mapInArrow(run, "k bigint, id bigint, size int, pos int, odd binary")
+
+
+def possible(pairs: DataFrame, odd: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (u, v), those that odd (id, size, odd) doesn't rule out: each class in which one is odd
+    and the other even has a shingle that only one of them has, so no similar pair is lost."""
+    import numpy as np
+
+    def make():
+        def block(columns):
+            if not columns[0]:
+                return [[], [], []]
+            a, b = (np.frombuffer(b"".join(c), np.uint64).reshape(len(c), -1) for c in columns[4:])
+            both = np.array(columns[2], np.int64) + np.array(columns[3], np.int64)
+            apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+            # 2 * overlap = both - what differs
+            return [*columns[:2], ((both - apart) * (num + den) >= 2 * num * both).tolist()]
+
+        return block
+
+    one = odd.select(F.col("id").alias("u"), F.col("size").alias("m"), F.col("odd").alias("a"))
+    two = odd.select(F.col("id").alias("v"), F.col("size").alias("n"), F.col("odd").alias("b"))
+    rows = pairs.join(one, "u").join(two, "v").select("u", "v", "m", "n", "a", "b")
+    return map_rows(rows, "u bigint, v bigint, ok boolean", make).filter("ok").select("u", "v")
+
+
+def can_reach(size, pos, size2, pos2, num: int, den: int, least):
+    """Whether sets of these sizes whose first common element stands at these positions can be of similarity num / den."""
+    return (least(size, size2) * (num + den) >= (size + size2) * num) & (least(size - pos, size2 - pos2) * (num + den) >= (size + size2) * num)
+
+
+def across(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v), u > v: all pairs of different roots that rows (k, cell, half, id, size, pos, root) of a bucket's cell allow.
+
+    A half of -1: every pair of the cell; otherwise those of its two halves.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def pairs(half, ids, size, pos, root):
+        for at in range(0, len(ids), 256):
+            x = slice(at, at + 256)
+            ok = can_reach(size[x, None], pos[x, None], size[None], pos[None], num, den, np.minimum)
+            ok &= (root[x, None] != root[None]) & (ids[x, None] > ids[None]) & ((half[x, None] != half[None]) | (half[None] < 0))
+            a, b = np.nonzero(ok)
+            yield ids[a + at], ids[b]
 
     def flush(held):
-        k, salt, split, ids, fp = (np.concatenate(x) for x in zip(*held))
-        edge = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (salt[1:] != salt[:-1]), True])
-        size = np.diff(edge)
-        out = []
-        # most buckets hold two
-        two = edge[:-1][size == 2]
-        d = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1)
-        for ok, kind in ((d <= sure, True), ((d > sure) & (d <= most), False)):
-            out.append((ids[two[ok] + 1], ids[two[ok]], kind))
-        tops = [two, two[d > sure] + 1, edge[:-1][size == 1]]
-        for a, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist()):
-            label, x, y = near_in(fp[a : a + n], sure, most)
-            own = np.arange(n)
-            out += [(ids[a + own[label != own]], ids[a + label[label != own]], True), (np.maximum(ids[a + x], ids[a + y]), np.minimum(ids[a + x], ids[a + y]), False)]
-            tops.append(a + own[label == own])
-        top = np.concatenate(tops)
-        top = top[split[top]]
-        u = np.concatenate([*[x for x, _, _ in out], ids[top]])
-        none = np.zeros(len(top), np.int64)
-        v = pa.array(np.concatenate([*[x for _, x, _ in out], none]), mask=np.r_[np.zeros(len(u) - len(top), bool), np.ones(len(top), bool)])
-        kind = np.concatenate([*[np.full(len(x), kind) for x, _, kind in out], np.zeros(len(top), bool)])
-        ks = pa.array([None] * (len(u) - len(top)) + k[top].tolist(), pa.int64())
-        fs = pa.array([None] * (len(u) - len(top)) + [f.tobytes() for f in fp[top]], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(u), v, pa.array(kind), ks, fs], schema=schema)
+        k, cell, *rest = (np.concatenate(x) for x in zip(*held))
+        edge = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (cell[1:] != cell[:-1]), True])
+        length = np.diff(edge)
+        out, some = [], 0
+        two = edge[:-1][length == 2]  # most buckets hold two
+        half, ids, size, pos, root = rest
+        ok = can_reach(size[two], pos[two], size[two + 1], pos[two + 1], num, den, np.minimum) & (root[two] != root[two + 1]) & ((half[two] != half[two + 1]) | (half[two] < 0))
+        x, y = ids[two[ok]], ids[two[ok] + 1]
+        out.append((np.maximum(x, y), np.minimum(x, y)))
+        for a, n in zip(edge[:-1][length > 2].tolist(), length[length > 2].tolist()):
+            for found in pairs(*(c[a : a + n] for c in rest)):
+                out.append(found)
+                some += len(found[0])
+                if some > 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["u", "v"])
+                    out, some = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["u", "v"])
 
     def run(batches):
         held: list = []
         for b in batches:
-            n = b.num_rows
-            if not n:
+            if not b.num_rows:
                 continue
-            fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint64).reshape(n, -1)
-            now = [*(b.column(c).to_numpy(zero_copy_only=False) for c in ("k", "salt", "split", "id")), fp]
-            # the last bucket may go on in the next batch
+            now = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "cell", "half", "id", "size", "pos", "root")]
+            # the last cell may go on in the next batch
             last = int(np.flatnonzero(np.r_[True, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])])[-1])
             if held and last == 0 and (held[-1][0][-1], held[-1][1][-1]) == (now[0][0], now[1][0]):
                 held.append(now)
@@ -330,17 +405,17 @@ def scan(rows: DataFrame, sure: int, most: int) -> DataFrame:
             if last:
                 held.append([x[:last] for x in now])
             if held:
-                yield flush(held)
+                yield from flush(held)
             held = [[x[last:] for x in now]]
         if held:
-            yield flush(held)
+            yield from flush(held)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "k", "salt").sortWithinPartitions("k", "salt", "id").mapInArrow(run, "u bigint, v bigint, sure boolean, k bigint, fp binary")
+    return rows.repartition(parts, "k", "cell").sortWithinPartitions("k", "cell").mapInArrow(run, "u bigint, v bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, text: str, words: int, similarity: float) -> DataFrame:
-    """Pairs (u, v) of text hashes whose shingle sets have that Jaccard similarity."""
+def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, text: str, words: int, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) of text hashes whose shingle sets have a Jaccard similarity of num / den or more."""
     import numpy as np
 
     asked = scratch.table(pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct(), "asked")
@@ -349,7 +424,7 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, text: str, wor
     def make():
         def block(columns):
             hashes, counts = shingle_hashes(columns[1], words)
-            cut = np.split(hashes.astype(np.uint32), np.cumsum(counts)[:-1])
+            cut = np.split(hashes, np.cumsum(counts)[:-1])
             return [columns[0], [np.unique(c).tobytes() for c in cut]]
 
         return block
@@ -362,9 +437,9 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, text: str, wor
         def block(columns):
             alike = []
             for a, b in zip(columns[2], columns[3]):
-                a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                alike.append(both >= similarity * (len(a) + len(b) - both))
+                alike.append(both * den >= num * (len(a) + len(b) - both))
             return [*columns[:2], alike]
 
         return block
@@ -373,87 +448,53 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, text: str, wor
     return scratch.table(found.filter("alike").select("u", "v"), "verified")
 
 
-def similar(docs: DataFrame, scratch: Scratch, text: str = "text", words: int = 5, similarity: float = 0.8, n_planes: int = 8, turns: int = 3, hot: int = 2000) -> DataFrame:
+def similar(docs: DataFrame, scratch: Scratch, text: str = "text", words: int = 5, similarity: float = 0.8, hot: int = 2000) -> DataFrame:
     """(h, root): of each distinct text (its 64-bit hash), the root of its group, for texts that have one.
 
-    Texts have ``64 * n_planes`` bits; how many differ tells their similarity to about 0.03. Bits
-    are cut into parts of log2(texts) + 2 bits, over ``turns`` arrangements; texts that agree on a
-    part are compared. By the pigeonhole principle this is certain where fewer bits differ than an
-    arrangement has parts; beyond, at 512 bits and 250,000 texts, 0.95 of pairs of similarity 0.8
-    share a part, 0.99 of 0.85 and all but one in 10,000 of 0.9.
-
-    Pairs at distances that only similarities above the wanted one have are linked; those in a
-    band around it are verified by the Jaccard similarity of their whole shingle sets. A bucket
-    gives no more than four rows for each of its own: its groups by sure links as stars, and for
-    each text the three nearest in the band. Buckets over ``hot`` texts are split by a salt that
-    differs from part to part, and their groups' smallest are compared over the salts.
-    """
-    import random
+    Exact at any size: groups are the components of all pairs whose shingle sets have that Jaccard
+    similarity. Candidates come from a prefix filter: with the shingles of all texts in one order,
+    two such texts share one of the first n - ceil(similarity * n) + 1 of each, and what follows
+    the first one shared must suffice for the similarity (``can_reach``).
 
-    import numpy as np
+    Every link is verified on whole shingle sets, unless ``possible`` rules it out before. First each text of a bucket (the texts with one
+    shingle in their prefixes) is compared with the bucket's smallest; then, in buckets that hold
+    several of the groups found so far, all pairs of different groups. Buckets over ``hot`` texts
+    are cut into blocks, and every block is compared with every other, in a cell of its own.
+    """
+    from fractions import Fraction
 
-    n_bits = 64 * n_planes
+    num, den = Fraction(str(similarity)).as_integer_ratio()
     rows = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("t"))
-
-    def make():
-        def block(columns):
-            hashes, counts = shingle_hashes(columns[1], words)
-            # of sets: a line that a text repeats counts once, as in the similarity
-            sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
-            counts = np.array([len(x) for x in sets], np.int64)
-            found = planes(np.concatenate(sets), counts, n_planes)
-            return [columns[0], [r.tobytes() for r in found], (counts > 0).tolist()]
-
-        return block
-
-    marked = scratch.table(map_rows(rows, "h bigint, fp binary, worded boolean", make), "planes")
-    texts = scratch.table(marked.filter("worded").groupBy("h").agg(F.first("fp").alias("fp")), "texts")
-    n = texts.count()
-    width = min(40, max(8, math.ceil(math.log2(max(n, 2))) + 2))
-    draw = random.Random(7)
-    parts = []
-    for _ in range(turns):
-        order = draw.sample(range(n_bits), n_bits)
-        parts += [order[i : i + width] for i in range(0, n_bits - width + 1, width)]
-    cut = np.array(parts)
-
-    def keyed(batches):
-        import pyarrow as pa
-
-        weight = np.uint64(1) << np.arange(width, dtype=np.uint64)
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                m = part.num_rows
-                raw = part.column("fp").to_pylist()
-                bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(m, -1), axis=1, bitorder="little")
-                value = np.stack([bits[:, c].astype(np.uint64) @ weight for c in cut], 1)
-                k = (value | (np.arange(len(cut), dtype=np.uint64) << np.uint64(width))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(part.column("h").to_numpy(), len(cut)))], ["k", "id"])
-
-    keys = scratch.table(texts.mapInArrow(keyed, "k bigint, id bigint"), "keys")
-    shared = scratch.table(keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    salt = F.when(F.col("split"), F.pmod(F.xxhash64("id", "k"), F.ceil(F.col("n") / hot))).otherwise(0).cast("bigint")
-    met = scratch.table(keys.join(shared, "k").withColumn("split", F.col("n") > hot).withColumn("salt", salt).drop("n"), "met")
+    keys = scratch.table(prefixes(rows, common(rows, scratch, words), words, num, den), "keys")
+    shared = keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
+    met = scratch.table(keys.drop("odd").join(shared, "k").distinct(), "met")  # equal texts give equal rows
+    odd = scratch.table(keys.filter("odd is not null").select("id", "size", "odd").join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "odd")
     scratch.drop("keys")
-    middle, spread = most_bits(similarity, n_bits), math.sqrt(n_bits * 0.13)
-    sure, most = round(middle - 2.8 * spread), round(middle + 2.2 * spread)
-    met = met.join(texts.select(F.col("h").alias("id"), "fp"), "id").select("k", "salt", "split", "id", "fp")
-    one = scratch.table(scan(met, sure, most), "scan")
-    tops = one.filter("v is null").select("k", F.lit(-1).cast("bigint").alias("salt"), F.lit(False).alias("split"), F.col("u").alias("id"), "fp")
-    edges = scratch.table(one.filter("v is not null").select("u", "v", "sure").unionByName(scan(tops, sure, most).select("u", "v", "sure")).distinct(), "edges")
-    for old in ("met", "scan", "shared", "planes", "texts"):
+
+    first = met.groupBy("k").agg(F.min(F.struct("id", "size", "pos")).alias("x"), F.count("*").alias("n")).filter("n > 1").select("k", "x")
+    near = can_reach(F.col("size"), F.col("pos"), F.col("x.size"), F.col("x.pos"), num, den, F.least)
+    stars = scratch.table(met.join(first, "k").filter((F.col("id") != F.col("x.id")) & near).select(F.col("id").alias("u"), F.col("x.id").alias("v")).distinct(), "stars")
+    asked = scratch.table(possible(stars, odd, num, den), "possible")
+    linked = scratch.table(verified(asked, docs, scratch, text, words, num, den), "linked")
+    groups = scratch.table(components(linked, scratch, "first"), "groups")
+
+    rooted = met.join(groups.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = scratch.table(rooted, "rooted")
+    several = rooted.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a <> b")
+    several = several.select("k", F.ceil(F.col("n") / hot).cast("bigint").alias("blocks"))
+    open_ = rooted.join(several, "k").withColumn("block", F.pmod(F.xxhash64("id", "k"), "blocks"))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    cell = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+    half = F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).cast("bigint")
+    # a block's own cell has all its pairs; a cell of two blocks has the pairs between them
+    cells = open_.select("k", cell.alias("cell"), half.alias("half"), "id", "size", "pos", "root")
+    band = across(cells, num, den).distinct().join(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
+    band = scratch.table(possible(band, odd, num, den), "band")
+    for old in ("met", "rooted", "sets", "asked", "stars", "odd", "possible"):
         scratch.drop(old)
-    linked = edges.filter("sure").select("u", "v")
-    groups = components(linked, scratch, "sure")
-    # pairs to verify that sure links connect already are left out
-    band = edges.filter("not sure").select("u", "v")
-    for c in ("u", "v"):
-        band = band.join(groups.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    band = scratch.table(band.filter("u_root <> v_root").select("u", "v"), "band")
-    more = verified(band, docs, scratch, text, words, similarity)
+    more = verified(band, docs, scratch, text, words, num, den)
     found = scratch.table(components(linked.unionByName(more), scratch), "similar")
-    for old in ("sets", "asked", "band", "edges"):
+    for old in ("sets", "asked", "band", "verified", "linked", "groups"):
         scratch.drop(old)
     return found.select(F.col("node").alias("h"), "root")
 

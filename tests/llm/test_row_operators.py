@@ -292,6 +292,74 @@ def test_deduplicate(spark):
     assert simhash.deduplicate(docs.limit(0)).count() == 0 and simhash.classes(docs.limit(0)).count() == 0
 
 
+def shingles(text, words=5):
+    found = text.encode().lower().split()
+    return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def alike(a, b):
+    """Whether two shingle sets have a Jaccard similarity of 0.8 or more."""
+    return 5 * len(a & b) >= 4 * len(a | b) > 0
+
+
+def check_groups(spark, texts, **how):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    scratch = Scratch(spark, "t")
+    root = {r.h: r.root for r in simhash.similar(docs, scratch, **how).collect()}
+    hashes = [r.h for r in docs.select(F.xxhash64("text").alias("h")).collect()]
+    sets = [shingles(t) for t in texts]
+    label = groups(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])])
+    got = [root.get(h, h) for h in hashes]
+    assert len(set(zip(got, label))) == len(set(got)) == len(set(label))
+    return label
+
+
+def invented(draw, n):
+    return ["".join(draw.choices("abcdefghijklmnop", k=7)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("hot", [2000, 8])
+def test_dedup_finds_every_pair(spark, hot):
+    """Pairs of two about and at 0.8, and texts of 8 and 9 words, against brute force."""
+    draw = random.Random(11)
+    texts = []
+    for k in range(150):  # 2 * 5 shingles of 100 to 140 differ for each word changed: 0.74 to 0.90
+        words = invented(draw, 100 + k % 40)
+        copy = list(words)
+        for at in draw.sample(range(0, len(words), 10), 2 + k % 3):
+            copy[at] = "other"
+        texts += [" ".join(words), " ".join(copy)]
+    for _ in range(60):
+        words = invented(draw, 9)
+        texts += [" ".join(words[:8]), " ".join(words)]
+    label = check_groups(spark, texts, hot=hot)
+    assert all(label[i + 1] == i for i in range(300, 420, 2)) and len(set(label)) > 220
+
+
+@pytest.mark.parametrize("hot", [2000, 8])
+def test_dedup_bridges_crowds(spark, hot):
+    """Two crowds, each a chain of near copies, that one pair alone connects, and crowds just below 0.8."""
+    draw = random.Random(12)
+    texts = []
+    for bridge in (True, False):
+        words = invented(draw, 260)
+        windows = [words[at : at + 200] for at in range(0, 61, 2)]  # a chain: neighbours alike, the ends not
+        far = [[*words[60:260], *invented(draw, 49 if bridge else 60)]]  # 196 of 245 shingles: 0.8, of the last window only
+        for _ in range(30):
+            copy = list(far[0])
+            copy[100] = invented(draw, 1)[0]
+            far.append(copy)
+        texts += [" ".join(w) for w in [*windows, *far]]
+    label = check_groups(spark, texts, hot=hot)
+    assert len(set(label)) == 3
+    template = invented(draw, 170)  # many neighbours below 0.8 that share most shingles, a few above
+    crowd = [[*template, *invented(draw, 25)] for _ in range(60)]
+    crowd += [[*c[:190], *invented(draw, 5)] for c in crowd[:10]]
+    check_groups(spark, [" ".join(c) for c in crowd], hot=hot)
+
+
 def test_buckets_connect_what_is_near():
     rng = np.random.default_rng(2)
     centre = rng.integers(0, 2**64, (6, 8), dtype=np.uint64)
