@@ -1,8 +1,10 @@
 """The corpus pipeline: language ID, near-dedup, mixing, tokenization.
 
 Every stage works on all rows that its predecessor kept, written as Parquet and read again; all
-but the last return the columns of ``documents``. Null texts and texts without a letter are
-rejected by language ID, so later stages don't see them; empty tables pass through.
+but the last return the columns of ``documents``, input columns named like an operator's own
+among them. Null texts and texts without a letter are rejected by language ID, so later stages
+don't see them; empty tables pass through. Whole texts are read, however long. Of rows that
+repeat key and text one stays; ties between documents go to the smaller key.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from forgeframe.llm import language_id, mixing, sentencepiece_bpe, simhash
-from forgeframe.llm._common import Scratch, crc_mod
+from forgeframe.llm._common import Scratch, crc_mod, fresh
 
 #: Mean symbols in a phrase below which a text is in no known language (letters that no sample has make phrases of one).
 STRANGE = 1.5
@@ -21,8 +23,10 @@ STRANGE = 1.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts in none of the learned languages."""
-    found = language_id.identify(docs, docs.filter(crc_mod("doc_id", 5) != 0))
-    return found.filter(f"lang_pred <> 'und' and phrase >= {STRANGE}").select(*docs.columns)
+    aside = {c: fresh(c) for c in docs.columns if c in language_id.OWN}
+    found = language_id.identify(docs.withColumnsRenamed(aside), docs.filter(crc_mod("doc_id", 5) != 0))
+    kept = found.filter(f"lang_pred <> 'und' and phrase >= {STRANGE}").drop(*language_id.OWN)
+    return kept.withColumnsRenamed({new: old for old, new in aside.items()}).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,8 @@ from pyspark.sql import Window as W
 
 from forgeframe.llm._common import map_rows
 
+#: Columns that ``identify`` adds.
+OWN = ["lang_pred", "score", "phrase"]
 SAMPLE, DOCS, PER_DOC, BLOCK = 30_000, 96, 2_000, 1024
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -175,8 +177,7 @@ def samples(labelled: DataFrame, text: str, lang: str, key: str) -> list[tuple[s
 def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """``docs`` with lang_pred, score and phrase (mean symbols in a phrase), learned from ``labelled``."""
     spark = docs.sparkSession
-    own = ["lang_pred", "score", "phrase"]
-    docs = docs.select(*[c for c in docs.columns if c not in own])
+    docs = docs.select(*[c for c in docs.columns if c not in OWN])
     # built once, of a bounded sample: at most 16 * SAMPLE symbols, two states each, two bytes a letter
     learned = spark.sparkContext.broadcast(vars(Classifier(samples(labelled, text, lang, key))))  # plain arrays: workers need not have this module
     names = docs.columns

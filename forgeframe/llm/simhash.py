@@ -16,7 +16,8 @@ one neighbour are all within two bits of each other, at most 65 of them, and get
 This is exact for a radius of two and linear in the rows whatever the bucket's size.
 
 ``similar``: groups of texts of a given shingle similarity (such as 0.8 of five words), which
-for 64 bits would be a radius of 14. It compares shingle sets by a prefix filter; see there.
+for 64 bits would be a radius of 14. ``links`` finds the nearest of them; a prefix filter on the
+shingles finds the rest, as no radius that parts of 64 bits can be probed for reaches them.
 
 Nulls: null texts count as empty, null keys never become a component's name unless all its
 keys are null. Equal texts have equal fingerprints; repeated rows are all returned. Empty
@@ -92,7 +93,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
         return block
 
-    return map_rows(docs.select(key, text), f"`{key}` {dict(docs.dtypes)[key]}, f bigint", make)
+    return map_rows(docs.select(key, text), f"`{key}` {dict(docs.dtypes)[key]}, f bigint", make, 1 << 20)
 
 
 def bit_counts(found: DataFrame):
@@ -219,43 +220,6 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 # ---- similarity of shingles ----------------------------------------------
 
 
-def near_in(fp, sure: int, most: int, partners: int = 3):
-    """Of rows of fingerprints: the smallest row each is connected to by distances up to ``sure``, and
-    (a, b) of up to ``partners`` nearest others at distances up to ``most`` outside of that group."""
-    import numpy as np
-
-    n = len(fp)
-    label = np.arange(n)
-    pair_a, pair_b, far_a, far_b, far_d = [], [], [], [], []
-    for at in range(0, n, 512):
-        d = np.zeros((min(512, n - at), n), np.int32)
-        for w in range(fp.shape[1]):
-            d += np.bitwise_count(fp[at : at + 512, w, None] ^ fp[None, :, w])
-        d[np.arange(len(d)), np.arange(at, at + len(d))] = 1 << 20
-        a, b = np.nonzero(d <= sure)
-        pair_a.append(a + at)
-        pair_b.append(b)
-        band = np.where(d > sure, d, 1 << 20)
-        k = min(partners, n - 1)
-        near = np.argpartition(band, k - 1, axis=1)[:, :k]
-        dist = np.take_along_axis(band, near, 1)
-        row, col = np.nonzero(dist <= most)
-        far_a.append(row + at)
-        far_b.append(near[row, col])
-    a, b = np.concatenate(pair_a), np.concatenate(pair_b)
-    while len(a):
-        before = label.copy()
-        least = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = label[label]
-        if (label == before).all():
-            break
-    x, y = np.concatenate(far_a), np.concatenate(far_b)
-    other = label[x] != label[y]
-    return label, x[other], y[other]
-
-
 def common(rows: DataFrame, scratch: Scratch, words: int, texts: int = 1 << 14, most: int = 1 << 18):
     """(hashes, ranks): shingles that several of a sample of texts have, sorted by hash; at most ``most``, the most frequent.
 
@@ -290,9 +254,9 @@ def common(rows: DataFrame, scratch: Scratch, words: int, texts: int = 1 << 14,
 
 
 def prefixes(rows: DataFrame, last, words: int, num: int, den: int) -> DataFrame:
-    """(k, id, size, pos, odd): of each text's distinct shingles, in one order for all texts, as many of the
-    first that two texts of similarity num / den share one of them. odd, at position 0 only: of each of ``ODD``
-    classes of hashes, whether the text has an odd number."""
+    """(k, id, size, pos, odd, f): of each text's distinct shingles, in one order for all texts, as many of the
+    first that two texts of similarity num / den share one of them. At position 0 only: odd, of each of ``ODD``
+    classes of hashes whether the text has an odd number, and f, the text's fingerprint."""
     import numpy as np
     import pyarrow as pa
 
@@ -301,10 +265,11 @@ def prefixes(rows: DataFrame, last, words: int, num: int, den: int) -> DataFrame
     def run(batches):
         common_hash, common_rank = sent.value
         for b in batches:
-            step = max(1, b.num_rows if b.nbytes <= 4 << 20 else int(b.num_rows * (4 << 20) / b.nbytes))
+            step = max(1, b.num_rows if b.nbytes <= 1 << 20 else int(b.num_rows * (1 << 20) / b.nbytes))
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
                 hashes, counts = shingle_hashes(part.column("t").to_pylist(), words)
+                prints = majority(hashes, counts).view(np.int64).tolist()
                 rank = np.zeros(len(hashes), np.int64)
                 if len(common_hash):
                     i = np.minimum(np.searchsorted(common_hash, hashes), len(common_hash) - 1)
@@ -322,9 +287,9 @@ def prefixes(rows: DataFrame, last, words: int, num: int, den: int) -> DataFrame
                 take = pos <= size[owner] + -num * size[owner] // den
                 own = owner[take]
                 ids = part.column("h").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[take].view(np.int64)), pa.array(ids[own]), pa.array(size[own].astype(np.int32)), pa.array(pos[take].astype(np.int32)), pa.array([None if i else odd[o].tobytes() for i, o in zip(pos[take].tolist(), own.tolist())], pa.binary())], ["k", "id", "size", "pos", "odd"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[take].view(np.int64)), pa.array(ids[own]), pa.array(size[own].astype(np.int32)), pa.array(pos[take].astype(np.int32)), *[pa.array([None if i else make(o) for i, o in zip(pos[take].tolist(), own.tolist())], kind) for make, kind in ((lambda o: odd[o].tobytes(), pa.binary()), (prints.__getitem__, pa.int64()))]], ["k", "id", "size", "pos", "odd", "f"])
 
-    return rows.mapInArrow(run, "k bigint, id bigint, size int, pos int, odd binary")
+    return rows.mapInArrow(run, "k bigint, id bigint, size int, pos int, odd binary, f bigint")
 
 
 def possible(pairs: DataFrame, odd: DataFrame, num: int, den: int) -> DataFrame:
@@ -355,41 +320,61 @@ def can_reach(size, pos, size2, pos2, num: int, den: int, least):
     return (least(size, size2) * (num + den) >= (size + size2) * num) & (least(size - pos, size2 - pos2) * (num + den) >= (size + size2) * num)
 
 
-def across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v), u > v: all pairs of different roots that rows (k, cell, half, id, size, pos, root) of a bucket's cell allow.
+def forest(cells: DataFrame, num: int, den: int, more: int = 0) -> DataFrame:
+    """(k, cell, u, v): of each bucket's cell, edges that join its roots as all its pairs do that may be similar.
 
-    A half of -1: every pair of the cell; otherwise those of its two halves.
+    cells: (k, cell, half, id, size, pos, root, odd). A half of -1: every pair of the cell counts; otherwise those of
+    its two halves. A half of -2: (id, root) is a pair known not to be similar. A pair may be similar if
+    ``can_reach`` and the classes in which the two are odd allow it. There are fewer edges than members; with
+    ``more``, up to so many times the members of the other possible pairs are given as well.
     """
     import numpy as np
     import pyarrow as pa
 
-    def pairs(half, ids, size, pos, root):
+    def edges(half, ids, size, pos, root, odd):
+        known = half == -2
+        bad = set(zip(ids[known].tolist(), root[known].tolist())) if known.any() else ()
+        half, ids, size, pos, root, odd = (x[~known] for x in (half, ids, size, pos, root, odd))
+        order = np.argsort(ids)
+        half, ids, size, pos, root, odd = (x[order] for x in (half, ids, size, pos, root, odd))
+        label = np.unique(root, return_inverse=True)[1]
+        first, left = (label.copy(), more * len(ids)) if more else (label, 0)
+        place = np.arange(len(ids))
         for at in range(0, len(ids), 256):
             x = slice(at, at + 256)
             ok = can_reach(size[x, None], pos[x, None], size[None], pos[None], num, den, np.minimum)
-            ok &= (root[x, None] != root[None]) & (ids[x, None] > ids[None]) & ((half[x, None] != half[None]) | (half[None] < 0))
+            apart = first if left else label
+            ok &= (apart[x, None] != apart[None]) & (place[x, None] < place[None]) & ((half[x, None] != half[None]) | (half[None] < 0))
             a, b = np.nonzero(ok)
-            yield ids[a + at], ids[b]
+            a += at
+            for part in range(0, len(a), 4096):
+                i, j = a[part : part + 4096], b[part : part + 4096]
+                apart = first if left else label
+                open_ = apart[i] != apart[j]
+                i, j = i[open_], j[open_]
+                both = size[i] + size[j]
+                # 2 * overlap = both - what differs
+                near = (both - np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64)) * (num + den) >= 2 * num * both
+                i, j = i[near], j[near]
+                while len(i):  # labels change with each edge, so what an edge joins is dropped
+                    u, v = int(ids[j[0]]), int(ids[i[0]])
+                    joins = label[i[0]] != label[j[0]]
+                    if (u, v) in bad or not (joins or left):
+                        i, j = i[1:], j[1:]
+                        continue
+                    yield u, v
+                    if joins:
+                        label[label == label[i[0]]] = label[j[0]]
+                        i, j = (i[1:], j[1:]) if left else (x[1:][label[i[1:]] != label[j[1:]]] for x in (i, j))
+                    else:
+                        i, j, left = i[1:], j[1:], left - 1
 
     def flush(held):
         k, cell, *rest = (np.concatenate(x) for x in zip(*held))
         edge = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (cell[1:] != cell[:-1]), True])
-        length = np.diff(edge)
-        out, some = [], 0
-        two = edge[:-1][length == 2]  # most buckets hold two
-        half, ids, size, pos, root = rest
-        ok = can_reach(size[two], pos[two], size[two + 1], pos[two + 1], num, den, np.minimum) & (root[two] != root[two + 1]) & ((half[two] != half[two + 1]) | (half[two] < 0))
-        x, y = ids[two[ok]], ids[two[ok] + 1]
-        out.append((np.maximum(x, y), np.minimum(x, y)))
-        for a, n in zip(edge[:-1][length > 2].tolist(), length[length > 2].tolist()):
-            for found in pairs(*(c[a : a + n] for c in rest)):
-                out.append(found)
-                some += len(found[0])
-                if some > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["u", "v"])
-                    out, some = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["u", "v"])
+        rows = [(int(k[a]), int(cell[a]), u, v) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()) for u, v in edges(*(c[a:z] for c in rest))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["k", "cell", "u", "v"])
 
     def run(batches):
         held: list = []
@@ -397,6 +382,8 @@ def across(rows: DataFrame, num: int, den: int) -> DataFrame:
             if not b.num_rows:
                 continue
             now = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "cell", "half", "id", "size", "pos", "root")]
+            none = bytes(ODD // 8)
+            now.append(np.frombuffer(b"".join(x or none for x in b.column("odd").to_pylist()), np.uint64).reshape(b.num_rows, -1))
             # the last cell may go on in the next batch
             last = int(np.flatnonzero(np.r_[True, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])])[-1])
             if held and last == 0 and (held[-1][0][-1], held[-1][1][-1]) == (now[0][0], now[1][0]):
@@ -410,107 +397,126 @@ def across(rows: DataFrame, num: int, den: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "k", "cell").sortWithinPartitions("k", "cell").mapInArrow(run, "u bigint, v bigint")
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(parts, "k", "cell").sortWithinPartitions("k", "cell").mapInArrow(run, "k bigint, cell bigint, u bigint, v bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, text: str, words: int, num: int, den: int) -> DataFrame:
-    """Pairs (u, v) of text hashes whose shingle sets have a Jaccard similarity of num / den or more."""
+def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch, words: int, num: int, den: int, name: str) -> DataFrame:
+    """Pairs (u, v) of text ids whose shingle sets have a Jaccard similarity of num / den or more. rows: (h, t)."""
     import numpy as np
+    import pyarrow as pa
 
-    asked = scratch.table(pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct(), "asked")
-    rows = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("t")).join(asked, "h", "left_semi")
-
-    def make():
-        def block(columns):
-            hashes, counts = shingle_hashes(columns[1], words)
-            cut = np.split(hashes, np.cumsum(counts)[:-1])
-            return [columns[0], [np.unique(c).tobytes() for c in cut]]
+    pairs = scratch.table(pairs, f"{name}-asked")
+    asked = pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct()
 
-        return block
+    def run(batches):
+        for b in batches:
+            step = max(1, int(b.num_rows * (2 << 20) / max(b.nbytes, 1)))
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                hashes, counts = shingle_hashes(part.column("t").to_pylist(), words)
+                sets = [np.unique(x) for x in np.split(hashes.view(np.int64), np.cumsum(counts)[:-1])]
+                ends = np.cumsum([0, *map(len, sets)])
+                yield pa.RecordBatch.from_arrays([part.column("h"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["h", "s"])
 
-    sets = scratch.table(map_rows(rows, "h bigint, s binary", make).groupBy("h").agg(F.first("s").alias("s")), "sets")
+    sets = scratch.table(rows.join(asked, "h", "left_semi").select("h", "t").mapInArrow(run, "h bigint, s array<bigint>").dropDuplicates(["h"]), f"{name}-sets")
     one = sets.select(F.col("h").alias("u"), F.col("s").alias("a"))
     two = sets.select(F.col("h").alias("v"), F.col("s").alias("b"))
-
-    def compare():
-        def block(columns):
-            alike = []
-            for a, b in zip(columns[2], columns[3]):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                alike.append(both * den >= num * (len(a) + len(b) - both))
-            return [*columns[:2], alike]
-
-        return block
-
-    found = map_rows(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b"), "u bigint, v bigint, alike boolean", compare)
-    return scratch.table(found.filter("alike").select("u", "v"), "verified")
+    common_ = F.size(F.array_intersect("a", "b"))
+    alike = common_ * den >= num * (F.size("a") + F.size("b") - common_)
+    found = scratch.table(pairs.join(one, "u").join(two, "v").filter(alike).select("u", "v"), f"{name}-verified")
+    scratch.drop(f"{name}-sets")
+    return found
 
 
-def similar(docs: DataFrame, scratch: Scratch, text: str = "text", words: int = 5, similarity: float = 0.8, hot: int = 2000) -> DataFrame:
-    """(h, root): of each distinct text (its 64-bit hash), the root of its group, for texts that have one.
+def similar(rows: DataFrame, scratch: Scratch, words: int = 5, similarity: float = 0.8, block: int = 4096) -> DataFrame:
+    """(h, root): of each distinct text of rows (h its id, t), the root of its group, for texts that have one.
 
     Exact at any size: groups are the components of all pairs whose shingle sets have that Jaccard
-    similarity. Candidates come from a prefix filter: with the shingles of all texts in one order,
-    two such texts share one of the first n - ceil(similarity * n) + 1 of each, and what follows
-    the first one shared must suffice for the similarity (``can_reach``).
-
-    Every link is verified on whole shingle sets, unless ``possible`` rules it out before. First each text of a bucket (the texts with one
-    shingle in their prefixes) is compared with the bucket's smallest; then, in buckets that hold
-    several of the groups found so far, all pairs of different groups. Buckets over ``hot`` texts
-    are cut into blocks, and every block is compared with every other, in a cell of its own.
+    similarity, and every link is verified on whole shingle sets.
+
+    First, pairs that ``links`` finds among the texts' fingerprints, and pairs of each text of a bucket with the
+    bucket's smallest. Buckets come from a prefix filter: with the shingles of all texts in one order, two similar
+    texts share one of the first n - ceil(similarity * n) + 1 of each, and what follows the first one shared must
+    suffice for the similarity (``can_reach``). What is linked is contracted. Then, in buckets that still hold
+    several groups, all pairs of different groups are compared where they lie and only a ``forest`` of edges
+    leaves the bucket; where an edge turns out not to be similar, its cell is asked again without that pair, until
+    none is left. Buckets over ``block`` texts are cut into blocks, and every block is compared with every other,
+    in a cell of its own.
     """
     from fractions import Fraction
 
     num, den = Fraction(str(similarity)).as_integer_ratio()
-    rows = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("t"))
     keys = scratch.table(prefixes(rows, common(rows, scratch, words), words, num, den), "keys")
+    marks = scratch.table(keys.filter("odd is not null").select("id", "size", "odd", "f").dropDuplicates(["id"]), "marks")
+
+    prints = scratch.table(marks.groupBy("f").agg(F.min("id").alias("first")), "prints")
+    name = lambda c: prints.select(F.col("f").alias(c), F.col("first").alias(f"{c}_first"))
+    near = links(prints.select("f"), scratch).join(name("u"), "u").join(name("v"), "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
+    equal = marks.join(prints, "f").filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+
     shared = keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-    met = scratch.table(keys.drop("odd").join(shared, "k").distinct(), "met")  # equal texts give equal rows
-    odd = scratch.table(keys.filter("odd is not null").select("id", "size", "odd").join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "odd")
+    met = scratch.table(keys.select("k", "id", "size", "pos").join(shared, "k").distinct(), "buckets")  # equal texts give equal rows
     scratch.drop("keys")
-
     first = met.groupBy("k").agg(F.min(F.struct("id", "size", "pos")).alias("x"), F.count("*").alias("n")).filter("n > 1").select("k", "x")
-    near = can_reach(F.col("size"), F.col("pos"), F.col("x.size"), F.col("x.pos"), num, den, F.least)
-    stars = scratch.table(met.join(first, "k").filter((F.col("id") != F.col("x.id")) & near).select(F.col("id").alias("u"), F.col("x.id").alias("v")).distinct(), "stars")
-    asked = scratch.table(possible(stars, odd, num, den), "possible")
-    linked = scratch.table(verified(asked, docs, scratch, text, words, num, den), "linked")
+    reach = can_reach(F.col("size"), F.col("pos"), F.col("x.size"), F.col("x.pos"), num, den, F.least)
+    stars = met.join(first, "k").filter((F.col("id") != F.col("x.id")) & reach).select(F.col("id").alias("u"), F.col("x.id").alias("v"))
+    asked = near.unionByName(equal).unionByName(stars).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    asked = scratch.table(asked, "asked")
+    linked = verified(possible(asked, marks, num, den), rows, scratch, words, num, den, "first")
     groups = scratch.table(components(linked, scratch, "first"), "groups")
 
-    rooted = met.join(groups.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = scratch.table(rooted, "rooted")
-    several = rooted.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a <> b")
-    several = several.select("k", F.ceil(F.col("n") / hot).cast("bigint").alias("blocks"))
-    open_ = rooted.join(several, "k").withColumn("block", F.pmod(F.xxhash64("id", "k"), "blocks"))
+    root = lambda df: df.join(groups.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = root(met).groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a <> b and n > 2")
+    several = several.select("k", F.ceil(F.col("n") / block).cast("bigint").alias("blocks"))
+    open_ = met.join(several, "k").withColumn("block", F.pmod(F.xxhash64("id", "k"), "blocks"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     cell = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
     half = F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).cast("bigint")
     # a block's own cell has all its pairs; a cell of two blocks has the pairs between them
-    cells = open_.select("k", cell.alias("cell"), half.alias("half"), "id", "size", "pos", "root")
-    band = across(cells, num, den).distinct().join(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
-    band = scratch.table(possible(band, odd, num, den), "band")
-    for old in ("met", "rooted", "sets", "asked", "stars", "odd", "possible"):
-        scratch.drop(old)
-    more = verified(band, docs, scratch, text, words, num, den)
-    found = scratch.table(components(linked.unionByName(more), scratch), "similar")
-    for old in ("sets", "asked", "band", "verified", "linked", "groups"):
-        scratch.drop(old)
-    return found.select(F.col("node").alias("h"), "root")
+    cells = scratch.table(open_.select("k", cell.alias("cell"), half.alias("half"), "id", "size", "pos"), "cells")
+    scratch.drop("buckets")
+    bad = None
+    turn = 0
+    while True:
+        turn += 1
+        full = root(cells).join(marks.select("id", "odd"), "id").select("k", "cell", "half", "id", "size", "pos", "root", "odd")
+        if bad is not None:
+            pair = [F.lit(-2).cast("bigint").alias("half"), F.col("u").alias("id"), F.lit(0).alias("size"), F.lit(0).alias("pos"), F.col("v").alias("root"), F.lit(None).cast("binary").alias("odd")]
+            full = full.unionByName(bad.select("k", "cell", *pair))
+        found = scratch.table(forest(full, num, den, 16 if bad is not None else 0), f"forest{turn}")
+        if found.isEmpty():
+            break
+        linked = linked.unionByName(verified(found.select("u", "v").distinct(), rows, scratch, words, num, den, f"turn{turn}"))
+        groups = scratch.table(components(linked, scratch, f"turn{turn}"), f"groups{turn}")
+        wrong = scratch.table(found.join(linked, ["u", "v"], "left_anti"), f"wrong{turn}")
+        if wrong.isEmpty():
+            break
+        bad = wrong if bad is None else bad.unionByName(wrong)
+        cells = scratch.table(cells.join(wrong.select("k", "cell").distinct(), ["k", "cell"], "left_semi"), f"cells{turn}")
+    return groups.select(F.col("node").alias("h"), "root")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of equal or similar texts: the one with the smallest key.
 
-    Null and empty texts are equal texts. Rows are chosen by (key, hash of the text): what is
-    grouped and linked is narrow, and the texts meet the choice in one join.
+    Null and empty texts are equal texts; texts without a word are similar to none. Whole texts are compared, however
+    long. A text's id is a 64-bit hash, or another one for texts whose MD5 shows that they share it. Rows are chosen
+    by (key, id): what is grouped and linked is narrow, and the texts meet the choice in one join. Rows that repeat
+    key and text are one; null keys come last. An empty table gives an empty result; all columns are kept, whatever
+    their names.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
-    h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    groups = similar(docs, scratch, text, words, similarity)
-    rows = scratch.table(docs.select(F.col(key).alias("key"), h.alias("h")).groupBy("h", "key").agg(F.count("*").alias("n")), "rows")
+    t = F.coalesce(F.col(text), F.lit(""))
+    seen = scratch.table(docs.select(F.col(key).alias("key"), F.xxhash64(t).alias("h"), F.unhex(F.md5(t.cast("binary"))).alias("m")).groupBy("h", "m", "key").agg(F.count("*").alias("n")), "seen")
+    # two of 2**32 texts share a hash by chance; at 10**11 texts some hundreds do
+    clash = [r.h for r in seen.groupBy("h").agg(F.min("m").alias("a"), F.max("m").alias("b")).filter("a <> b").select("h").collect()]
+    differ = lambda h, other: F.when(h.isin(clash), other).otherwise(h) if clash else h
+    h = differ(F.xxhash64(t), F.xxhash64(F.unhex(F.md5(t.cast("binary"))), F.lit(1)))
+    groups = similar(docs.select(h.alias("h"), F.col(text).alias("t")), scratch, words, similarity)
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "n")).alias("first")
-    rooted = rows.groupBy("h").agg(first).join(groups, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    ids = seen.withColumn("h", differ(F.col("h"), F.xxhash64("m", F.lit(1))))
+    rooted = ids.groupBy("h").agg(first).join(groups, "h", "left").withColumn("root", F.coalesce("root", "h"))
     kept = rooted.groupBy("root").agg(F.min(F.struct("first", "h")).alias("x"))
     mine, hash_, its, many = map(fresh, ("mine", "hash", "key", "many"))
     kept = scratch.table(kept.select(F.col("x.first.key").alias(its), F.col("x.h").alias(hash_), (F.col("x.first.n") > 1).alias(many)), "kept")

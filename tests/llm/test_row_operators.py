@@ -307,7 +307,7 @@ def check_groups(spark, texts, **how):
 
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     scratch = Scratch(spark, "t")
-    root = {r.h: r.root for r in simhash.similar(docs, scratch, **how).collect()}
+    root = {r.h: r.root for r in simhash.similar(docs.select(F.xxhash64("text").alias("h"), F.col("text").alias("t")), scratch, **how).collect()}
     hashes = [r.h for r in docs.select(F.xxhash64("text").alias("h")).collect()]
     sets = [shingles(t) for t in texts]
     label = groups(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])])
@@ -320,8 +320,8 @@ def invented(draw, n):
     return ["".join(draw.choices("abcdefghijklmnop", k=7)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("hot", [2000, 8])
-def test_dedup_finds_every_pair(spark, hot):
+@pytest.mark.parametrize("block", [4096, 8])
+def test_dedup_finds_every_pair(spark, block):
     """Pairs of two about and at 0.8, and texts of 8 and 9 words, against brute force."""
     draw = random.Random(11)
     texts = []
@@ -334,12 +334,12 @@ def test_dedup_finds_every_pair(spark, hot):
     for _ in range(60):
         words = invented(draw, 9)
         texts += [" ".join(words[:8]), " ".join(words)]
-    label = check_groups(spark, texts, hot=hot)
+    label = check_groups(spark, texts, block=block)
     assert all(label[i + 1] == i for i in range(300, 420, 2)) and len(set(label)) > 220
 
 
-@pytest.mark.parametrize("hot", [2000, 8])
-def test_dedup_bridges_crowds(spark, hot):
+@pytest.mark.parametrize("block", [4096, 8])
+def test_dedup_bridges_crowds(spark, block):
     """Two crowds, each a chain of near copies, that one pair alone connects, and crowds just below 0.8."""
     draw = random.Random(12)
     texts = []
@@ -352,25 +352,35 @@ def test_dedup_bridges_crowds(spark, hot):
             copy[100] = invented(draw, 1)[0]
             far.append(copy)
         texts += [" ".join(w) for w in [*windows, *far]]
-    label = check_groups(spark, texts, hot=hot)
+    label = check_groups(spark, texts, block=block)
     assert len(set(label)) == 3
     template = invented(draw, 170)  # many neighbours below 0.8 that share most shingles, a few above
     crowd = [[*template, *invented(draw, 25)] for _ in range(60)]
     crowd += [[*c[:190], *invented(draw, 5)] for c in crowd[:10]]
-    check_groups(spark, [" ".join(c) for c in crowd], hot=hot)
+    check_groups(spark, [" ".join(c) for c in crowd], block=block)
 
 
-def test_buckets_connect_what_is_near():
-    rng = np.random.default_rng(2)
-    centre = rng.integers(0, 2**64, (6, 8), dtype=np.uint64)
-    fp = np.repeat(centre, 30, 0)
-    for row in fp:
-        for b in rng.integers(0, 512, 30):
-            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-    label, x, y = simhash.near_in(fp, 55, 96)
-    d = np.array([[int(np.bitwise_count(a ^ b).sum()) for b in fp] for a in fp])
-    assert label.tolist() == groups(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if d[i, j] <= 55])
-    assert all(55 < d[i, j] <= 96 and label[i] != label[j] for i, j in zip(x, y)) and len(x) <= 3 * len(fp)
+def test_dedup_of_a_crowd(spark):
+    """5,000 near copies of one text, most pairs of them below 0.8: classes are the components of all pairs at 0.8 or more."""
+    draw = random.Random(13)
+    template, texts = invented(draw, 64), set()
+    while len(texts) < 5000:
+        copy = list(template)
+        for at in draw.sample(range(64), draw.choice([1, 2, 2, 3, 3, 4])):
+            copy[at] = "other"
+        texts.add(" ".join(copy))
+    texts = sorted(texts)
+    number: dict = {}
+    sets = [[number.setdefault(x, len(number)) for x in shingles(t)] for t in texts]
+    has = np.zeros((len(texts), len(number)), np.float32)
+    for row, s in zip(has, sets):
+        row[s] = 1
+    both, sizes = has @ has.T, has.sum(1)
+    pairs = np.argwhere(5 * both >= 4 * (sizes[:, None] + sizes[None] - both))
+    label = groups(len(texts), [(i, j) for i, j in pairs.tolist() if j < i])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {r.doc_id for r in simhash.deduplicate(docs).collect()}
+    assert kept == set(label) and 1 < len(kept) < 4000
 
 
 def test_components(spark):
@@ -444,4 +454,8 @@ def test_pipeline(spark):
     assert len(rows) == mixed.count() and all(r.n_tokens == len(r.ids) > 0 for r in rows)
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+    clash = docs.limit(40).selectExpr("*", "doc_id % 3 AS score", "'x' AS lang_pred", "2 AS phrase", "doc_id AS h", "text AS t", "source AS root", "7 AS k")
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, clash, sf)
+        assert out.columns == clash.columns and all(r.score == r.doc_id % 3 and r.lang_pred == "x" and r.h == r.doc_id and r.root == r.source for r in out.collect())
     assert p.run(spark, sf).count() > 0 and len(p.STAGES) == 4
