@@ -5,40 +5,73 @@ against each: a phrase is the longest match from where the last one ended, found
 the automaton. A language's cost is phrases * log2(sample length) / symbols, the bits that
 pointers into the sample would take; the least cost wins, ties go to the smaller name.
 
-Symbols are letters in lower case, everything between letters counts as one space; letters
-that the samples don't have are one symbol that matches nothing. Whole texts are parsed, in
-blocks of ``BLOCK`` symbols (a phrase ends with its block), all blocks and languages of a batch
-side by side in numpy.
-
-The classifier is fitted on a bounded sample, ``SAMPLE`` symbols a language (less for more than
-16 languages), from the ``DOCS`` documents of lowest hash whose label is not null.
+Symbols are letters and marks (Unicode categories L and M) in lower case, everything between
+them counts as one space; symbols that a sample doesn't have match nothing there. Whole texts
+are parsed, however long: all texts and languages of a batch side by side in numpy, in blocks of
+``BLOCK`` symbols that are first parsed as if a phrase began with each of them; then the phrase
+that goes on over a block's start is followed until it meets a phrase of the block, so that the
+result is that of one parse from the first symbol to the last.
+
+The classifier is fitted on a bounded sample of labelled rows: of each language at most ``rows``
+whole texts of ``longest`` characters or fewer, lowest hash first, as long as they have
+``symbols`` in all; where a language has only longer ones, its shortest text. It knows the
+``ALPHABET`` most frequent symbols of a sample. More than ``labels`` languages raise an error:
+each needs an automaton in every task (25 MB for 70,000 symbols of 60 kinds).
 
 Null texts and texts without a letter: ``und`` with score 0. Without labelled texts all are
 ``und``. Score: how much cheaper the best language is than the second, 0 to 1 (1 if there is
-one language). Rows with equal texts get equal values; extra columns are kept; input columns
-named like an output column are replaced.
+one language). Rows with equal texts get equal values; equal labelled rows count once. An empty
+table gives an empty result. Extra columns are kept; input columns named like an output column
+are replaced.
 """
 
 from __future__ import annotations
 
 import math
-import re
+import unicodedata
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from forgeframe.llm._common import map_rows
+from forgeframe.llm._common import fresh, map_rows
 
 #: Columns that ``identify`` adds.
 OWN = ["lang_pred", "score", "phrase"]
-SAMPLE, DOCS, PER_DOC, BLOCK = 30_000, 96, 2_000, 1024
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+ROWS, LONGEST, SYMBOLS, LABELS, ALPHABET, BLOCK = 16, 10_000, 60_000, 16, 255, 1024
+
+
+def kinds():
+    """For each code point: 2 a letter, 1 a mark, 0 anything else."""
+    import numpy as np
+
+    category = unicodedata.category
+    of = {"L": 2, "M": 1}
+    return np.array([of.get(category(chr(i))[0], 0) for i in range(0x110000)], np.uint8)
 
 
-def plain(text: str | None) -> str:
-    """Letters in lower case, one space between runs of them; without letters the empty text."""
-    return NOT_LETTERS.sub(" ", text or "").strip().lower()
+def symbols(texts: list[str | None], kind):
+    """Code points of all texts, lower-cased, one space between runs of letters and marks; how many each text
+    has; 0 for texts without a letter."""
+    import numpy as np
+
+    lowered = [(t or "").lower() + "\n" for t in texts]
+    size = np.array([len(t) for t in lowered], np.int64)
+    points = np.frombuffer("".join(lowered).encode("utf-32-le"), np.uint32)
+    k = kind[points]
+    owner = np.repeat(np.arange(len(texts)), size)
+    lettered = np.bincount(owner[k == 2], minlength=len(texts)) > 0
+    inside = k > 0
+    # a gap is a space if something of the text stands before it and after it
+    gap = ~inside & np.r_[False, inside[:-1]]
+    last = np.zeros(len(texts), np.int64)
+    at = np.flatnonzero(inside)
+    last[owner[at]] = at
+    keep = (inside | (gap & (np.arange(len(points)) < last[owner]))) & lettered[owner]
+    points = np.where(inside, points, 32)[keep]
+    return points, np.bincount(owner[keep], minlength=len(texts))
 
 
 class Automaton:
@@ -79,74 +112,100 @@ class Automaton:
 
 
 class Classifier:
-    """Automata of all languages. samples: (language, text) in a fixed order; most: symbols a language, 30,000 at most."""
+    """Automata of all languages. samples: (language, text) in a fixed order; most: symbols a language, in whole texts."""
 
-    def __init__(self, samples: list[tuple[str, str]], most: int = SAMPLE):
+    def __init__(self, samples: list[tuple[str, str]], most: int = SYMBOLS):
         import numpy as np
 
-        by: dict[str, list[str]] = {}
+        self.kind = kinds()
+        by: dict[str, list[int]] = {}
         for lang, text in samples:
-            by.setdefault(lang, []).append(plain(text))
-        self.langs = sorted(k for k, v in by.items() if any(v))
-        most = most if len(self.langs) <= 16 else most * 16 // len(self.langs)
-        texts = {k: " ".join(x for x in by[k] if x)[:most] for k in self.langs}
-        letters = sorted({c for t in texts.values() for c in t} | {" "})
-        self.code = {c: i + 1 for i, c in enumerate(letters)}  # 0: letters that no sample has
-        self.of_char = np.zeros(0x110000, np.uint16)
-        for c, i in self.code.items():
-            self.of_char[ord(c)] = i
-        self.width = len(letters) + 1
-        # an automaton has less than two states a symbol, so its states fit 16 bits
-        tables = [Automaton([self.code[c] for c in texts[k]], self.width).table.astype(np.uint16) for k in self.langs]
+            found = symbols([text], self.kind)[0].tolist()
+            if found and (lang not in by or len(by[lang]) + len(found) < most):
+                by[lang] = [*by[lang], 32, *found] if lang in by else found
+        self.langs = sorted(by)
+        self.code = np.zeros((max(1, len(by)), 0x110000), np.uint8)  # 0: symbols that the sample doesn't have
+        tables, self.width = [], np.zeros(len(by), np.int64)
+        for i, lang in enumerate(self.langs):
+            known = [c for c, _ in sorted(Counter(by[lang]).items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
+            self.code[i, known] = np.arange(1, len(known) + 1)
+            self.width[i] = len(known) + 1
+            tables.append(Automaton(self.code[i][by[lang]].tolist(), len(known) + 1).table)
         self.base = np.cumsum([0, *[t.size for t in tables]])[:-1].astype(np.int64)
-        self.flat = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.uint16)
-        self.bits = np.array([math.log2(max(2, len(texts[k]))) for k in self.langs])
+        self.flat = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
+        self.bits = np.array([math.log2(max(2, len(by[k]))) for k in self.langs])
 
-    def phrases(self, texts: list[str]):
-        """Phrases of each text in each language, and symbols of each text. texts: plain ones."""
+    def phrases(self, points, size):
+        """Phrases of each text in each language. points, size: as ``symbols`` gives them."""
         import numpy as np
 
-        size = np.array([len(t) for t in texts])
-        codes = self.of_char[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+        full = np.flatnonzero(size)
+        out = np.zeros((len(self.langs), len(size)), np.int64)
+        if not len(full) or not self.langs:
+            return out
+        codes = self.code[:, points]
         first = np.cumsum(np.r_[0, size])[:-1]
         blocks = -(-size // BLOCK)
-        of = np.repeat(np.arange(len(texts)), blocks)
-        inner = (np.arange(len(of)) - np.repeat(np.cumsum(np.r_[0, blocks])[:-1], blocks)) * BLOCK
-        start, length = first[of] + inner, np.minimum(BLOCK, size[of] - inner)
+        of = np.repeat(np.arange(len(size)), blocks)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(np.r_[0, blocks])[:-1], blocks)
+        start, length = first[of] + inner * BLOCK, np.minimum(BLOCK, size[of] - inner * BLOCK)
         order = np.argsort(-length, kind="stable")
-        start, length, of = start[order], length[order], of[order]
-        out = np.zeros((len(self.langs), len(texts)), np.int64)
-        if not len(of):
-            return out, size
-        base = self.base[:, None]
-        state = np.zeros((len(self.langs), len(of)), np.int64)
-        count = np.zeros((len(self.langs), len(of)), np.int32)
-        active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # blocks longer than t
-        for t in range(int(length[0])):
-            n = int(active[t])
-            c = codes[start[:n] + t]
-            root = base + c
-            to = self.flat[root + state[:, :n] * self.width]
+        base, width = self.base[:, None], self.width[:, None]
+        state = np.zeros((len(self.langs), len(of)), np.int64)  # in the blocks' order by length
+        begins = np.zeros(codes.shape, bool)  # whether a phrase begins with a symbol
+        active = np.searchsorted(-length[order], -np.arange(int(length.max())), side="left")  # blocks longer than t
+        by_length = start[order]
+        for t, n in enumerate(active.tolist()):
+            at = by_length[:n] + t
+            root = base + codes[:, at]
+            to = self.flat[root + state[:, :n] * width]
             miss = to == 0
-            again = self.flat[root]
-            # the phrase before ends; a symbol that the sample hasn't is one of its own
-            count[:, :n] += miss & (state[:, :n] != 0)
-            count[:, :n] += miss & (again == 0)
-            state[:, :n] = np.where(miss, again, to)
-        count += state != 0
-        for row, per_block in zip(out, count):
-            row += np.bincount(of, per_block, len(texts)).astype(np.int64)
-        return out, size
+            begins[:, at] = miss | (state[:, :n] == 0)
+            state[:, :n] = np.where(miss, self.flat[root], to)
+        end = np.empty_like(state)
+        end[:, order] = state
+        # blocks into which a phrase goes on: follow it until both parses begin one at the same symbol
+        lang, block = np.nonzero((inner > 0)[None, :] & (np.c_[np.zeros(len(self.langs), np.int64), end[:, :-1]] != 0))
+        while len(block):
+            now, live = end[lang, block - 1], np.arange(len(block))
+            ended = []
+            t = 0
+            while len(live):
+                over = t >= length[block[live]]
+                if over.any():
+                    ended.append(live[over])
+                    live = live[~over]
+                at = start[block[live]] + t
+                row = lang[live]
+                root = self.base[row] + codes[row, at]
+                to = self.flat[root + now[live] * self.width[row]]
+                new = (to == 0) | (now[live] == 0)
+                met = new & begins[row, at]
+                begins[row, at] = new
+                now[live] = np.where(to == 0, self.flat[root], to)
+                live = live[~met]
+                t += 1
+            # a phrase that goes on over a whole block changes what enters the next one
+            done = np.concatenate(ended) if ended else np.zeros(0, np.int64)
+            changed = done[end[lang[done], block[done]] != now[done]]
+            end[lang[changed], block[changed]] = now[changed]
+            lang, block = lang[changed], block[changed] + 1
+            some = block < len(of)
+            lang, block = lang[some], block[some]
+            some = inner[block] > 0
+            lang, block = lang[some], block[some]
+        out[:, full] = np.add.reduceat(begins, first[full], axis=1, dtype=np.int64)
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """For each text: language, score, symbols in a phrase of that language."""
         import numpy as np
 
-        found = [plain(t) for t in texts]
         out: list[tuple[str, float, float]] = [("und", 0.0, 0.0)] * len(texts)
         if not self.langs:
             return out
-        count, size = self.phrases(found)
+        points, size = symbols(texts, self.kind)
+        count = self.phrases(points, size)
         cost = count * self.bits[:, None] / np.maximum(size, 1)
         best = np.argmin(cost, 0)
         ranked = np.sort(cost, 0)
@@ -157,31 +216,33 @@ class Classifier:
         return out
 
 
-def samples(labelled: DataFrame, text: str, lang: str, key: str) -> list[tuple[str, str]]:
-    """The bounded sample: of each language the ``DOCS`` texts of lowest hash, ``PER_DOC`` characters of each."""
-    rows = labelled.filter(F.col(lang).isNotNull() & (F.length(text) > 0))
-    h = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.length(text))
-    rows = rows.select(F.col(lang).alias("lang"), h.alias("h"), F.substring(F.col(text), 1, PER_DOC).alias("t"))
+def samples(labelled: DataFrame, text: str, lang: str, rows: int, longest: int, labels: int) -> list[tuple[str, str]]:
+    """(language, whole text) of the bounded sample, in order of language and hash."""
+    n = F.length(F.col(text))
+    h = F.xxhash64(F.col(text))
+    found = labelled.filter(F.col(lang).isNotNull() & (n > 0)).select(F.col(lang).cast("string").alias("lang"), h.alias("h"), n.alias("n")).distinct()
     # ranks on narrow rows; the rank filter is applied before and after the exchange
-    top = rows.select("lang", "h").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= DOCS)
-    limit = {r.lang: r.h for r in top.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    keep = F.lit(False)
-    for name, h in limit.items():
-        keep = keep | ((F.col("lang") == name) & (F.col("h") <= h))
-    found: dict[str, set] = {}
-    for r in rows.filter(keep).dropDuplicates(["lang", "h"]).collect():
-        found.setdefault(r.lang, set()).add((r.h, r.t))
-    return [(k, t) for k in sorted(found) for _, t in sorted(found[k])]
-
-
-def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    over = F.col("n") > longest
+    ranked = found.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(over, F.when(over, F.col("n")).otherwise(0), "h"))).filter(F.col("r") <= rows)
+    top = ranked.filter(~over | (F.col("r") == 1)).select("lang", "h").distinct().limit(labels * rows + 1).collect()
+    if len({r.lang for r in top}) > labels or len(top) > labels * rows:
+        raise ValueError(f"more than {labels} languages: pass a larger labels if its automata fit a task's memory")
+    if not top:
+        return []
+    wanted = labelled.sparkSession.createDataFrame([(r.lang, r.h) for r in top], "lang string, h bigint")  # at most labels * rows
+    texts = labelled.select(F.col(lang).cast("string").alias("lang"), h.alias("h"), F.col(text).alias("t")).join(F.broadcast(wanted), ["lang", "h"])
+    return [(r.lang, r.t) for r in sorted(texts.dropDuplicates(["lang", "h"]).collect(), key=lambda r: (r.lang, r.h))]
+
+
+def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS, longest: int = LONGEST, most: int = SYMBOLS, labels: int = LABELS) -> DataFrame:
     """``docs`` with lang_pred, score and phrase (mean symbols in a phrase), learned from ``labelled``."""
     spark = docs.sparkSession
-    docs = docs.select(*[c for c in docs.columns if c not in OWN])
-    # built once, of a bounded sample: at most 16 * SAMPLE symbols, two states each, two bytes a letter
-    learned = spark.sparkContext.broadcast(vars(Classifier(samples(labelled, text, lang, key))))  # plain arrays: workers need not have this module
-    names = docs.columns
-    at = names.index(text)
+    docs = docs.select(*[c for c in docs.columns if c not in OWN or c == text])
+    # built once, of a bounded sample: at most labels * (most + longest) symbols
+    learned = spark.sparkContext.broadcast(vars(Classifier(samples(labelled, text, lang, rows, longest, labels), most)))  # plain arrays: workers need not have this module
+    own = dict(zip(map(fresh, OWN), OWN))
+    schema = StructType([*docs.schema.fields, *[StructField(c, k) for c, k in zip(own, (StringType(), DoubleType(), DoubleType()))]])
+    at = docs.columns.index(text)
 
     def make():
         classify = Classifier.__new__(Classifier)
@@ -193,7 +254,5 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str
 
         return block
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("phrase", DoubleType())])
-    return map_rows(docs, schema, make)
+    out = map_rows(docs, schema, make, 2 << 20)
+    return out.drop(*[c for c in docs.columns if c in OWN]).withColumnsRenamed(own)
