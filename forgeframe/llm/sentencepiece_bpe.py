@@ -22,6 +22,8 @@ import pandas as pd
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Parts whose ids a task keeps, about 0.4 kB each.
+KEPT = 150_000
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -253,7 +255,7 @@ class Model:
 class Coder:
     """Encodes blocks of texts; keeps the ids and the decoded bytes of parts that it has met."""
 
-    def __init__(self, blob: bytes, most: int = 500_000):
+    def __init__(self, blob: bytes, most: int = KEPT):
         import gc
 
         gc.set_threshold(200_000)  # no cycles are made here, and each look at the kept parts takes long
@@ -294,7 +296,7 @@ def encode(docs, model_path: str, text: str = "text", keep: list[str] | None = N
             for at in range(0, batch.num_rows, step):
                 rows = batch.slice(at, step)
                 cut = [model.cut(t) for t in rows.column(rows.num_columns - 1).to_pylist()]
-                if len(met) > 500_000:
+                if len(met) > KEPT:
                     met.clear()
                 new = list({p for parts in cut for p in parts if p not in met})
                 met.update(zip(new, (np.array(x, np.int32).tobytes() for x in model.encode_parts(new)) if new else ()))

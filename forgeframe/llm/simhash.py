@@ -38,6 +38,8 @@ from forgeframe.llm._graph import components
 
 BUCKET = 64
 ODD = 2048
+#: Ids of up to so many texts (8 MB) are sent to all tasks instead of shuffling the texts to them.
+SENT = 1_000_000
 
 
 def shingle_hashes(texts: list[str | None], words: int):
@@ -292,6 +294,37 @@ def prefixes(rows: DataFrame, last, words: int, num: int, den: int) -> DataFrame
     return rows.mapInArrow(run, "k bigint, id bigint, size int, pos int, odd binary, f bigint")
 
 
+def shared(keys: DataFrame) -> DataFrame:
+    """(k, id, size, pos) of the shingles k that several distinct texts have, each text once: one exchange, one sorted pass."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["k", "id", "size", "pos"]
+
+    def run(batches):
+        held, had = None, False  # the last row so far, and whether its shingle has one before it
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if held is not None:
+                now = [np.r_[x, y] for x, y in zip(held, now)]
+            k, i = now[:2]
+            new = np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]
+            now = [x[new] for x in now]
+            same = now[0][1:] == now[0][:-1]
+            several = np.r_[same, False] | np.r_[had, same]
+            out = [x[:-1][several[:-1]] for x in now]
+            held, had = [x[-1:] for x in now], bool(several[-1])
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+        if had:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names)
+
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.select(*names).repartition(parts, "k").sortWithinPartitions("k", "id").mapInArrow(run, "k bigint, id bigint, size int, pos int")
+
+
 def possible(pairs: DataFrame, odd: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (u, v), those that odd (id, size, odd) doesn't rule out: each class in which one is odd
     and the other even has a shingle that only one of them has, so no similar pair is lost."""
@@ -407,13 +440,21 @@ def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch, words: int, nu
     import pyarrow as pa
 
     pairs = scratch.table(pairs, f"{name}-asked")
-    asked = pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct()
+    asked = scratch.table(pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct(), f"{name}-ids")
+    if asked.count() <= SENT:  # then texts need not be shuffled
+        asked = F.broadcast(asked)
 
     def run(batches):
+        seen: set = set()  # equal texts: once a task
         for b in batches:
-            step = max(1, int(b.num_rows * (2 << 20) / max(b.nbytes, 1)))
+            step = max(1, int(b.num_rows * (1 << 20) / max(b.nbytes, 1)))
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
+                ids = part.column("h").to_pylist()
+                new = [i for i, h in enumerate(ids) if not (h in seen or seen.add(h))]
+                if not new:
+                    continue
+                part = part.take(pa.array(new))
                 hashes, counts = shingle_hashes(part.column("t").to_pylist(), words)
                 sets = [np.unique(x) for x in np.split(hashes.view(np.int64), np.cumsum(counts)[:-1])]
                 ends = np.cumsum([0, *map(len, sets)])
@@ -448,17 +489,17 @@ def similar(rows: DataFrame, scratch: Scratch, words: int = 5, similarity: float
 
     num, den = Fraction(str(similarity)).as_integer_ratio()
     keys = scratch.table(prefixes(rows, common(rows, scratch, words), words, num, den), "keys")
-    marks = scratch.table(keys.filter("odd is not null").select("id", "size", "odd", "f").dropDuplicates(["id"]), "marks")
+    met = scratch.table(shared(keys), "buckets")
+    marks = keys.filter("odd is not null").select("id", "size", "odd", "f").join(met.select("id").distinct(), "id", "left_semi")  # others are similar to none
+    marks = scratch.table(marks.dropDuplicates(["id"]), "marks")
+    scratch.drop("keys")
 
     prints = scratch.table(marks.groupBy("f").agg(F.min("id").alias("first")), "prints")
     name = lambda c: prints.select(F.col("f").alias(c), F.col("first").alias(f"{c}_first"))
     near = links(prints.select("f"), scratch).join(name("u"), "u").join(name("v"), "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
     equal = marks.join(prints, "f").filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
 
-    shared = keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-    met = scratch.table(keys.select("k", "id", "size", "pos").join(shared, "k").distinct(), "buckets")  # equal texts give equal rows
-    scratch.drop("keys")
-    first = met.groupBy("k").agg(F.min(F.struct("id", "size", "pos")).alias("x"), F.count("*").alias("n")).filter("n > 1").select("k", "x")
+    first = met.groupBy("k").agg(F.min(F.struct("id", "size", "pos")).alias("x"))
     reach = can_reach(F.col("size"), F.col("pos"), F.col("x.size"), F.col("x.pos"), num, den, F.least)
     stars = met.join(first, "k").filter((F.col("id") != F.col("x.id")) & reach).select(F.col("id").alias("u"), F.col("x.id").alias("v"))
     asked = near.unionByName(equal).unionByName(stars).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -513,9 +554,15 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     clash = [r.h for r in seen.groupBy("h").agg(F.min("m").alias("a"), F.max("m").alias("b")).filter("a <> b").select("h").collect()]
     differ = lambda h, other: F.when(h.isin(clash), other).otherwise(h) if clash else h
     h = differ(F.xxhash64(t), F.xxhash64(F.unhex(F.md5(t.cast("binary"))), F.lit(1)))
-    groups = similar(docs.select(h.alias("h"), F.col(text).alias("t")), scratch, words, similarity)
-    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "n")).alias("first")
     ids = seen.withColumn("h", differ(F.col("h"), F.xxhash64("m", F.lit(1))))
+    # of texts that many documents have, one is compared: at most 10,000 such texts, so they are sent to all tasks
+    counts = scratch.table(ids.groupBy("h").agg(F.sum("n").alias("n"), F.count("key").alias("named"), F.min("key").alias("key")), "counts")
+    many = F.greatest(F.lit(100), F.ceil(counts.agg(F.sum("n")).scalar() / 10_000))
+    often = scratch.table(counts.filter((F.col("n") > many) & (F.col("named") > 0)).select(F.col("h").alias("often"), F.col("key").alias("chosen")), "often")
+    rows = docs.select(h.alias("h"), F.col(text).alias("t"), F.col(key).alias("key")).join(F.broadcast(often), F.col("h") == F.col("often"), "left")
+    rows = rows.filter("often is null or key = chosen").select("h", "t")
+    groups = similar(rows, scratch, words, similarity)
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "n")).alias("first")
     rooted = ids.groupBy("h").agg(first).join(groups, "h", "left").withColumn("root", F.coalesce("root", "h"))
     kept = rooted.groupBy("root").agg(F.min(F.struct("first", "h")).alias("x"))
     mine, hash_, its, many = map(fresh, ("mine", "hash", "key", "many"))
