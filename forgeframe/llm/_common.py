@@ -31,11 +31,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    with contextlib.suppress(Exception):
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Folders of this process's operator calls, which their results may still read.
+MADE: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the folders of all operator calls so far: for callers that have written the results that they need."""
+    while MADE:
+        delete(spark, MADE.pop())
+
+
 class Scratch:
     """A folder of one operator call in the shared folder; its tables cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+        MADE.append(self.path)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and reads it again."""
@@ -45,10 +64,7 @@ class Scratch:
 
     def drop(self, name: str = "") -> None:
         """Deletes a table that no later step reads, or all of them."""
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(posixpath.join(self.path, name) if name else self.path)
-        with contextlib.suppress(Exception):
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        delete(self.spark, posixpath.join(self.path, name) if name else self.path)
 
 
 def fresh(name: str) -> str:

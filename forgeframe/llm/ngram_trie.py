@@ -7,32 +7,41 @@ context of the first word. The model is a trigram model, interpolated with absol
     P(w | b)   = (n(b w) - D) / c(b) + bow(b) P(w)
     P(w | a b) = (n(a b w) - D) / n(a b) + bow(a b) P(w | b)
 
-Bigrams and trigrams seen once are left to the shorter context (so only trigrams whose first
-two words are kept need counting). The terms are rounded down to 256 levels and each bow is
-what they leave, rounded down too, so no context's probabilities sum to more than 1.
+All n-grams count; ``least`` leaves those seen less often to the shorter context (none by
+default). The terms are rounded down to 256 levels and each bow is what they leave, rounded down
+too, so no context's probabilities sum to more than 1.
 
 Every text is cut into words twice: once to count the vocabulary, once to number its words;
 counting and scoring read the numbers, from a table that ``op6`` keeps for all documents.
 
-Trie: the words of the vocabulary are numbered in the order of their 64-bit hash. A level is
-one monotone sequence, ``number of the context in the level above * 2**bits + word``, stored
-by Elias and Fano: packed low bits, and high bits in which the ones of a context's successors
-follow its zeros, so they are the pointers as well. A context-relative search is a select on
-the high bits and a binary search among the successors there. Beside each sequence lie the
-8-bit codes of terms and bows. Levels are cut into shards by hash ranges of the (first) word,
-each about ``SHARD`` tokens and written by one task into the shared folder; tasks map them.
+Trie: the words of the vocabulary are numbered in the order of their 64-bit hash. A level holds
+for each n-gram of the level above the words that follow it, sorted, as packed numbers, and their
+terms as 8-bit codes; where each one's successors begin is a monotone sequence of pointers, stored
+by Elias and Fano. A search selects two pointers and looks for the word among just the successors
+between them. The bows of a level's contexts lie beside it, as 8-bit codes.
 
-Counting gathers from the whole corpus: every task sends its distinct n-grams, sorted, as
-differences and compressed, to their shards, where they are merged.
+Levels are cut into shards, each written by one task into the shared folder; tasks map those that
+they need (where the folder isn't mounted they read them, and keep ``OPEN`` at a time). Words are
+cut by hash ranges of about ``SHARD`` tokens. What follows the contexts of a shard is one shard of
+the next level, unless the contexts occur more often than that, as a very frequent word does: then
+it is dealt over several by a hash of the following word, and the bows are put together afterwards.
 
-Null texts count as empty: one token, the end. With no training text N = V = 0. A word whose
-hash another word has counts as that word (64 bits). Repeated rows get equal scores; extra
-columns are kept, input columns named like an output column are replaced.
+Counting gathers from the whole corpus: every task sends its distinct n-grams, sorted, as
+differences and compressed, to their shards, where they are merged. Raw counts are kept for words
+only; those of bigrams are deleted when the trigrams are written.
+
+Null texts count as empty: one token, the end. With no training text N = V = 0, and an empty
+table gives an empty result. Very long texts are read whole, one at a time in a task. A word whose
+hash another word has counts as that word (64 bits). Repeated rows count as often as they occur
+and get equal scores; extra columns are kept, input columns named like an output column are
+replaced.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
+import math
 import posixpath
 
 from pyspark.sql import DataFrame
@@ -40,74 +49,101 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from forgeframe.llm import _files
-from forgeframe.llm._common import Scratch, fresh, map_rows
+from forgeframe.llm._common import Scratch, delete, fresh, map_rows
 
-DISCOUNT, SHARD, TOP_BITS, LEVELS, NONE = 0.75, 4_000_000, 12, 255, 255
-FLUSH = 4_000_000
+DISCOUNT, SHARD, TOP_BITS, LEVELS, NONE = 0.75, 2_000_000, 16, 255, 255
+FLUSH, OPEN = 4_000_000, 64
 
 
 # ---- Elias-Fano ---------------------------------------------------------------------------
 
 
+def pack(values, bits: int):
+    """Numbers of ``bits`` bits (0 to 63) one after another in 64-bit words."""
+    import numpy as np
+
+    out = np.zeros(len(values) * bits // 64 + 2, np.uint64)
+    if bits:
+        at = np.arange(len(values), dtype=np.uint64) * np.uint64(bits)
+        word, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+        # numbers that begin in the same word are put together first
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+        if len(first):
+            out[word[first]] = np.bitwise_or.reduceat(values << off, first)
+        over = off + np.uint64(bits) > 64
+        np.bitwise_or.at(out, word[over] + 1, values[over] >> (np.uint64(64) - off[over]))
+    return out
+
+
+def unpack(packed, bits: int, i):
+    """Numbers i of ``pack``."""
+    import numpy as np
+
+    if not bits:
+        return np.zeros(len(i), np.uint64)
+    at = i.astype(np.uint64) * np.uint64(bits)
+    word, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+    first = packed[word] >> off
+    second = np.where(off > 0, packed[word + 1] << ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
+    return (first | second) & np.uint64((1 << bits) - 1)
+
+
+def select(flags, before, k):
+    """The places of ones number k of a bit string, from the number of ones before each of its 64-bit words."""
+    import numpy as np
+
+    word = np.searchsorted(before, k, "right") - 1
+    left, free, place = k - before[word], flags[word], word << 6
+    for width in (32, 16, 8, 4, 2, 1):
+        below = np.bitwise_count(free & np.uint64((1 << width) - 1)).astype(np.int64)
+        go = left >= below
+        left = left - below * go
+        free = free >> (go * np.uint64(width)).astype(np.uint64)
+        place = place + go * width
+    return place
+
+
 class Monotone:
-    """A sorted sequence of distinct unsigned integers by Elias and Fano."""
+    """A sorted sequence of unsigned integers by Elias and Fano."""
 
     def __init__(self, arrays: dict, name: str):
-        self.low, self.high, self.zeros = (arrays[f"{name}.{x}"] for x in ("low", "high", "zeros"))
+        self.low, self.high, self.before = (arrays[f"{name}.{x}"] for x in ("low", "high", "before"))
         self.size, self.bits = (int(x) for x in arrays[f"{name}.shape"])
 
     @staticmethod
-    def build(values, name: str) -> dict:
-        """values: sorted uint64."""
+    def build(values, name: str, flip: bool = False) -> dict:
+        """values: sorted uint64. flip: for ``find``, which selects zeros; else for ``get``, which selects ones."""
         import numpy as np
 
         n = len(values)
         universe = int(values[-1]) + 1 if n else 1
         bits = max(0, (universe // max(n, 1)).bit_length() - 1)
         high_of = (values >> np.uint64(bits)).astype(np.int64)
-        places = high_of + np.arange(n)
-        n_bits = (int(high_of[-1]) if n else 0) + n + 2
-        flags = np.zeros(-(-n_bits // 64) * 64, np.uint8)
-        flags[places] = 1
+        flags = np.zeros(-(-((int(high_of[-1]) if n else 0) + n + 2) // 64) * 64, np.uint8)
+        flags[high_of + np.arange(n)] = 1
         high = np.packbits(flags, bitorder="little").view(np.uint64)
-        zeros = np.r_[0, np.cumsum(64 - np.bitwise_count(high).astype(np.int64))][:-1].astype(np.int64)
-        low = np.zeros(n * bits // 64 + 2, np.uint64)
-        if bits:
-            part = values & np.uint64((1 << bits) - 1)
-            at = np.arange(n, dtype=np.uint64) * np.uint64(bits)
-            word, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            np.bitwise_or.at(low, word, part << off)
-            over = off + np.uint64(bits) > 64
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - off[over]))
-        return {f"{name}.low": low, f"{name}.high": high, f"{name}.zeros": zeros, f"{name}.shape": np.array([n, bits], np.int64)}
+        ones = np.bitwise_count(high).astype(np.int64)
+        before = np.r_[0, np.cumsum(64 - ones if flip else ones)][:-1]
+        return {f"{name}.low": pack(values & np.uint64((1 << bits) - 1), bits), f"{name}.high": high, f"{name}.before": before, f"{name}.shape": np.array([n, bits], np.int64)}
 
-    def lows(self, i):
-        """The low bits of elements i."""
+    def get(self, i):
+        """Elements i."""
         import numpy as np
 
-        if not self.bits:
-            return np.zeros(len(i), np.uint64)
-        at = i.astype(np.uint64) * np.uint64(self.bits)
-        word, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-        first = self.low[word] >> off
-        second = np.where(off > 0, self.low[word + 1] << ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
-        return (first | second) & np.uint64((1 << self.bits) - 1)
+        return ((select(self.high, self.before, i) - i) << self.bits) | unpack(self.low, self.bits, i).astype(np.int64)
+
+    def lows(self, i):
+        """The low bits of elements i."""
+        return unpack(self.low, self.bits, i)
 
     def zero(self, k):
         """The place of zero number k in the high bits."""
-        import numpy as np
+        return select(self.inverse(), self.before, k)
 
-        word = np.searchsorted(self.zeros, k, "right") - 1
-        left = k - self.zeros[word]
-        free = ~self.high[word]
-        place = word << 6
-        for width in (32, 16, 8, 4, 2, 1):
-            below = np.bitwise_count(free & np.uint64((1 << width) - 1)).astype(np.int64)
-            go = left >= below
-            left = left - below * go
-            free = free >> (go * np.uint64(width)).astype(np.uint64)
-            place = place + go * width
-        return place
+    def inverse(self):
+        if not hasattr(self, "_inverse"):
+            self._inverse = ~self.high
+        return self._inverse
 
     def find(self, values):
         """The positions of values (uint64), -1 for those that aren't there."""
@@ -117,7 +153,7 @@ class Monotone:
         if not self.size or not len(values):
             return out
         high = (values >> np.uint64(self.bits)).astype(np.int64)
-        n_zeros = int(self.zeros[-1]) + 64 - int(np.bitwise_count(self.high[-1]))
+        n_zeros = int(self.before[-1]) + 64 - int(np.bitwise_count(self.high[-1]))
         lane = np.flatnonzero((high >= 0) & (high < n_zeros))  # of 64 bits, the highest turn negative
         high = high[lane]
         want = values[lane] & np.uint64((1 << self.bits) - 1)
@@ -147,14 +183,6 @@ class Monotone:
             lane, want, low, top = lane[go], want[go], low[go], top[go]
         return out
 
-    def values(self):
-        """All elements."""
-        import numpy as np
-
-        flags = np.unpackbits(self.high.view(np.uint8), bitorder="little")
-        places = np.flatnonzero(flags)[: self.size]
-        return ((places - np.arange(self.size)).astype(np.uint64) << np.uint64(self.bits)) | self.lows(np.arange(self.size))
-
 
 def coded(x, name: str) -> dict:
     """Codes 0 to 254 of numbers in (0, 1], rounded down on a logarithmic scale, and the numbers of the codes."""
@@ -221,7 +249,9 @@ class Tokens:
 
 
 class Trie:
-    """The mapped shards of a model. shape: dict with path, tokens (N), words (V), cuts and offsets of the shards, bits."""
+    """The mapped shards of a model. shape: dict with path, tokens (N), words (V), bits of a word's number, cuts and
+    offsets of the words' shards; for levels 2 and 3, children: where the children of each shard above begin (and the
+    end), salt: the bits by which following words are dealt over them."""
 
     def __init__(self, shape: dict):
         import numpy as np
@@ -229,29 +259,33 @@ class Trie:
         self.shape = shape
         self.cuts = np.array(shape["cuts"], np.int64)  # first bucket of each shard
         self.offsets = np.array(shape["offsets"], np.int64)
+        self.children = {n: np.array(x, np.int64) for n, x in shape.get("children", {}).items()}
+        self.salt = {n: np.array(x, np.int64) for n, x in shape.get("salt", {}).items()}
         self.opened: dict = {}
+        self.mapped = _files.mounted(shape["path"]) is not None
         self.tokens = Tokens()
         self.end = self.words(np.array([END], np.int64))[0]
 
-    def level(self, n: int, shard: int):
-        """(arrays, sequence) of a shard that has words."""
-        if (n, shard) not in self.opened:
-            a = _files.load(posixpath.join(self.shape["path"], f"level{n}-{shard}"))
-            self.opened[n, shard] = a, Monotone(a, "keys")
-        return self.opened[n, shard]
+    def file(self, name: str) -> dict:
+        if name not in self.opened:
+            if not self.mapped and len(self.opened) >= OPEN:
+                self.opened.pop(next(iter(self.opened)))
+            self.opened[name] = _files.load(posixpath.join(self.shape["path"], name))
+        return self.opened[name]
 
-    def parted(self, shard, lane):
-        """(shard, its part of lane) for each shard that holds words."""
+    def parted(self, ids, lane):
+        """(id, its part of lane) for each id that lane has."""
         import numpy as np
 
-        if len(self.offsets) == 2:
-            parts = [(0, lane)]
-        else:
-            s = shard[lane].astype(np.uint16)
-            lane = lane[np.argsort(s, kind="stable")]
-            edge = np.cumsum(np.r_[0, np.bincount(s, minlength=len(self.offsets) - 1)])
-            parts = [(i, lane[edge[i] : edge[i + 1]]) for i in range(len(edge) - 1)]
-        return [(i, x) for i, x in parts if len(x) and self.offsets[i + 1] > self.offsets[i]]
+        if not len(lane):
+            return []
+        mine = ids[lane]
+        if mine.min() == mine.max():
+            return [(int(mine[0]), lane)]
+        order = np.argsort(mine.astype(np.uint16) if mine.max() < 1 << 16 else mine, kind="stable")
+        lane, mine = lane[order], mine[order]
+        edge = np.r_[0, np.flatnonzero(mine[1:] != mine[:-1]) + 1, len(mine)]
+        return [(int(mine[a]), lane[a:z]) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
     def words(self, h):
         """Numbers of hashes of words, -1: unknown."""
@@ -259,8 +293,10 @@ class Trie:
 
         ids = np.full(len(h), -1, np.int64)
         for s, lane in self.parted(np.searchsorted(self.cuts, bucket(h), "right") - 1, np.arange(len(h))):
-            a, keys = self.level(1, s)
-            at = keys.find(relative(h[lane], int(a["base"][0])))
+            if self.offsets[s] == self.offsets[s + 1]:
+                continue
+            a = self.file(f"level1-{s}")
+            at = Monotone(a, "keys").find(relative(h[lane], int(a["base"][0])))
             ids[lane] = np.where(at >= 0, at + self.offsets[s], -1)
         return ids
 
@@ -299,32 +335,55 @@ class Trie:
         shard = np.maximum(np.searchsorted(self.offsets, ids, "right") - 1, 0)
         return shard, np.where(ids >= 0, ids - self.offsets[shard], -1)
 
-    def step(self, n: int, shard, context, word):
-        """Level n at (context, word): position (-1: absent) and term, and the context's bow (1: no such context)."""
+    def child(self, n: int, parent, word):
+        """The shard of level n that holds a word after a context of shard ``parent`` of the level above."""
+        import numpy as np
+
+        salt = self.salt[n][parent]
+        if not salt.any():
+            return self.children[n][parent]
+        mixed = np.maximum(word, 0).astype(np.uint64) * np.uint64(ROOT)
+        return self.children[n][parent] + np.where(salt > 0, (mixed >> np.uint64(32)).astype(np.int64) >> (32 - salt), 0)
+
+    def step(self, n: int, parent, context, word):
+        """Level n at (context of shard parent, word): shard and position (-1: absent), term, and the context's bow (1: no such context)."""
         import numpy as np
 
         at, term, bow = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.ones(len(word))
-        bits = np.uint64(self.shape["bits"])
-        for s, lane in self.parted(shard, np.flatnonzero(context >= 0)):
-            a, keys = self.level(n, s)
-            code = a["bow.code"][context[lane]]
-            bow[lane] = a["bow.scale"][code]
+        child = self.child(n, parent, word)
+        bits = self.shape["bits"]
+        for c, lane in self.parted(child, np.flatnonzero(context >= 0)):
+            bows = self.file(f"bows{n}-{int(parent[lane[0]])}")
+            code = bows["bow.code"][context[lane]]
+            bow[lane] = bows["bow.scale"][code]
             lane = lane[(code != NONE) & (word[lane] >= 0)]
-            found = keys.find((context[lane].astype(np.uint64) << bits) | word[lane].astype(np.uint64))
-            ok = found >= 0
-            lane, found = lane[ok], found[ok]
-            at[lane] = found
-            term[lane] = a["term.scale"][a["term.code"][found]]
-        return at, term, bow
+            if not len(lane):
+                continue
+            a = self.file(f"level{n}-{c}")
+            pointers, words = Monotone(a, "from"), a["words"]
+            edge = pointers.get(np.concatenate([context[lane], context[lane] + 1]))
+            low, top, want = edge[: len(lane)], edge[len(lane) :], word[lane].astype(np.uint64)
+            go = low < top
+            lane, low, top, want = lane[go], low[go], top[go], want[go]
+            while len(lane):
+                middle = (low + top) >> 1
+                seen = unpack(words, bits, middle)
+                hit = seen == want
+                at[lane[hit]] = middle[hit]
+                term[lane[hit]] = a["term.scale"][a["term.code"][middle[hit]]]
+                low, top = np.where(seen < want, middle + 1, low), np.where(seen < want, top, middle)
+                go = ~hit & (low < top)
+                lane, low, top, want = lane[go], low[go], top[go], want[go]
+        return child, at, term, bow
 
     def bigrams(self, ids, first):
-        """For each token: shard, and step() of level 2 with the token before it; absent where a text begins."""
+        """For each token step() of level 2 with the token before it; absent where a text begins."""
         import numpy as np
 
         before = np.r_[-1, ids[:-1]]
         before[first] = -1
         shard, context = self.home(before)
-        return shard, *self.step(2, shard, context, ids)
+        return self.step(2, shard, context, ids)
 
     def score(self, numbered: list[bytes]):
         """Tokens, known tokens, base score and score (both log10) of each text."""
@@ -335,7 +394,7 @@ class Trie:
         counts = np.zeros(len(ids), np.int64)
         shard, own = self.home(ids)
         for s, lane in self.parted(shard, np.flatnonzero(own >= 0)):
-            counts[lane] = self.level(1, s)[0]["n"][own[lane]]
+            counts[lane] = self.file(f"level1-{s}")["n"][own[lane]]
         single = (counts + 1) / (n_all + n_words + 1)
         p = single
         if n_all:
@@ -343,7 +402,7 @@ class Trie:
             p = term + bow * single
             shard, at = np.r_[0, shard[:-1]], np.r_[-1, at[:-1]]  # of the two tokens before
             at[first] = at[first + 1] = -1
-            _, term, bow = self.step(3, shard, at, ids)
+            _, _, term, bow = self.step(3, shard, at, ids)
             p = term + bow * p
         real = np.ones(len(ids), bool)
         real[first] = False
@@ -368,7 +427,7 @@ def packed(keys, counts) -> bytes:
     import pyarrow as pa
 
     step = np.diff(keys, prepend=np.uint64(0))
-    raw = step.view(np.uint8).reshape(-1, 8).T.tobytes() + np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()
+    raw = step.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.uint32).tobytes()  # a task sends before it has 2**32
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
@@ -383,8 +442,8 @@ def unpacked(blob: bytes):
     return np.cumsum(step, dtype=np.uint64), raw[8 * k :].view(np.uint32).astype(np.int64)
 
 
-def united(parts):
-    """Sorted distinct keys of several (keys, counts) that occur more than once in all, and their counts."""
+def united(parts, least: int = 1):
+    """Sorted distinct keys of several (keys, counts) that occur ``least`` times or more in all, and their counts."""
     import numpy as np
 
     # most counts are 1: those keys are only sorted, which is much faster than sorting pairs
@@ -395,14 +454,13 @@ def united(parts):
         more, n = more[order], n[order]
         first = np.flatnonzero(np.r_[True, more[1:] != more[:-1]])
         more, n = more[first], np.add.reduceat(n, first)
-        at = np.minimum(np.searchsorted(keys, more), max(0, len(keys) - 1))
-        both = keys[at] == more if len(keys) else np.zeros(len(more), bool)
+        at = np.searchsorted(keys, more)
+        both = keys[np.minimum(at, len(keys) - 1)] == more if len(keys) else np.zeros(len(more), bool)
         counts[at[both]] += n[both]
-        more, n = more[~both], n[~both]
-    keys, counts = keys[counts > 1], counts[counts > 1]
-    keys, counts = np.concatenate([keys, more]), np.concatenate([counts, n])
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+        keys, counts = np.insert(keys, at[~both], more[~both]), np.insert(counts, at[~both], n[~both])
+    if least > 1:
+        keys, counts = keys[counts >= least], counts[counts >= least]
+    return keys, counts
 
 
 # ---- building -----------------------------------------------------------------------------
@@ -474,20 +532,26 @@ def dealt(df: DataFrame, shards: int, *order: str) -> DataFrame:
     return df.repartition(shards, "shard").sortWithinPartitions("shard", *order)
 
 
-def level_of(keys, counts, whole, n_contexts: int, bits: int) -> dict:
-    """The arrays of a level from its kept n-grams: keys, terms, and bows of all contexts (code NONE: no successor)."""
+def level_of(keys, counts, whole, bits: int) -> tuple[dict, object]:
+    """The arrays of a shard from its n-grams, and what the terms of each context sum to (0: no successor)."""
     import numpy as np
 
     context = (keys >> np.uint64(bits)).astype(np.int64)
     terms = coded((counts - DISCOUNT) / whole[context], "term")
-    stored = terms["term.scale"][terms["term.code"]]
-    used = np.bincount(context, stored, n_contexts)
-    some = np.zeros(n_contexts, bool)
-    some[context] = True
+    begins = np.searchsorted(context, np.arange(len(whole) + 1)).astype(np.uint64)
+    used = np.bincount(context, terms["term.scale"][terms["term.code"]], len(whole))
+    return Monotone.build(begins, "from") | terms | {"words": pack(keys & np.uint64((1 << bits) - 1), bits)}, used
+
+
+def bows_of(used) -> dict:
+    """Codes of what the terms of each context leave (NONE: no successor)."""
+    import numpy as np
+
+    some = used > 0
     bows = coded(np.maximum(1e-9, 1 - used[some]), "bow")
-    code = np.full(n_contexts, NONE, np.uint8)
+    code = np.full(len(used), NONE, np.uint8)
     code[some] = bows["bow.code"]
-    return Monotone.build(keys, "keys") | terms | bows | {"bow.code": code}
+    return bows | {"bow.code": code}
 
 
 def count_grams(numbered: DataFrame, shape: dict, n: int) -> DataFrame:
@@ -513,11 +577,12 @@ def count_grams(numbered: DataFrame, shape: dict, n: int) -> DataFrame:
                 if n == 2:
                     before = np.r_[-1, ids[:-1]]
                     before[first] = -1
-                    shard, context = trie.home(before)
+                    parent, context = trie.home(before)
                 else:
-                    shard, context, _, _ = trie.bigrams(ids, first)
-                    shard, context = np.r_[0, shard[:-1]], np.r_[-1, context[:-1]]
+                    parent, context, _, _ = trie.bigrams(ids, first)
+                    parent, context = np.r_[0, parent[:-1]], np.r_[-1, context[:-1]]
                     context[first] = context[first + 1] = -1
+                shard = trie.child(n, parent, ids)
                 key = (context.astype(np.uint64) << np.uint64(shape["bits"])) | ids.astype(np.uint64)
                 for s, lane in trie.parted(shard, np.flatnonzero(context >= 0)):
                     held.setdefault(s, []).append(key[lane])
@@ -542,37 +607,42 @@ def number(docs: DataFrame, shape: dict, text: str = "text", keep: list[str] | N
     return map_rows(rows, StructType([*[docs.schema[c] for c in keep], StructField("words", BinaryType())]), make)
 
 
-def train_words(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD) -> dict:
+def train_words(docs: DataFrame, text: str = "text", shard_tokens: int | None = None) -> dict:
     """Counts the words of ``docs`` and writes level 1; returns the shape that ``number`` and ``train_grams`` need."""
-    spark = docs.sparkSession
+    spark, shard_tokens = docs.sparkSession, shard_tokens or SHARD
     scratch = Scratch(spark, "ngrams")
     path = posixpath.join(scratch.path, "trie")
     words = scratch.table(vocabulary(docs, text), "words")
     range_of = F.expr(f"shiftright(h, {64 - TOP_BITS}) + {1 << (TOP_BITS - 1)}").cast("int")
     sums = {r.b: (r.n, r.v) for r in words.groupBy(range_of.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # at most 2**TOP_BITS hash ranges
     tokens, n_words = sum(n for n, _ in sums.values()), sum(v for _, v in sums.values())
-    cuts, load = [0], 0
+    cuts, loads, offsets = [0], [0], [0, 0]
     for b in sorted(sums):
-        if load and load + sums[b][0] > shard_tokens:
+        if loads[-1] and loads[-1] + sums[b][0] > shard_tokens:
             cuts.append(b)
-            load = 0
-        load += sums[b][0]
-    offsets = [0]
-    for i, c in enumerate(cuts):
-        end = cuts[i + 1] if i + 1 < len(cuts) else 1 << TOP_BITS
-        offsets.append(offsets[-1] + sum(v for b, (_, v) in sums.items() if c <= b < end))
-    shape = {"path": path, "tokens": int(tokens), "words": int(n_words), "cuts": cuts, "offsets": offsets, "bits": max(1, int(n_words).bit_length())}
+            loads.append(0)
+            offsets.append(offsets[-1])
+        loads[-1] += sums[b][0]
+        offsets[-1] += sums[b][1]
+    shape = {"path": path, "tokens": int(tokens), "words": int(n_words), "cuts": cuts, "offsets": offsets, "bits": max(1, int(n_words).bit_length()), "shard": shard_tokens, "load": loads}
     if not tokens:
-        return shape | {"offsets": [0, 0], "cuts": [0]}
-    ranges = spark.createDataFrame([(b, bisect.bisect_right(cuts, b) - 1) for b in range(1 << TOP_BITS)], "b int, shard bigint")
-    numbered = words.withColumn("b", range_of).join(F.broadcast(ranges), "b").select("shard", "h", "n")
+        return shape
+    def place(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            shard = np.searchsorted(cuts, bucket(b.column("h").to_numpy(zero_copy_only=False)), "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), b.column("h"), b.column("n")], ["shard", "h", "n"])
+
+    numbered = words.mapInArrow(place, "shard bigint, h bigint, n bigint")
 
     def write_words(s, columns):
         import numpy as np
 
         h, n = (c.to_numpy(zero_copy_only=False) for c in columns)
         base = int(h[0])
-        _files.save(posixpath.join(path, f"level1-{s}"), Monotone.build(relative(h, base), "keys") | {"n": n.astype(np.int64), "base": np.array([base], np.int64)})
+        _files.save(posixpath.join(path, f"level1-{s}"), Monotone.build(relative(h, base), "keys", flip=True) | {"n": n.astype(np.int64), "base": np.array([base], np.int64)})
         return s, len(h)
 
     merged(dealt(numbered, len(cuts), "h"), write_words, "shard bigint, n bigint").agg(F.sum("n")).collect()
@@ -580,36 +650,67 @@ def train_words(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD)
     return shape
 
 
-def train_grams(numbered: DataFrame, shape: dict) -> dict:
-    """Counts the n-grams of (words) from ``number`` and writes the upper levels."""
-    path, spark = shape["path"], numbered.sparkSession
-    if not shape["tokens"]:
-        return shape
+def dealt_over(loads: list[int], shard: int) -> tuple[list[int], list[int]]:
+    """For shards of these loads (tokens): where each one's children begin (and the end), and the bits that choose among them."""
+    salt = [min(32, max(0, math.ceil(math.log2(x / shard)))) if x > shard else 0 for x in loads]
+    return list(itertools.accumulate((1 << x for x in salt), initial=0)), salt
 
-    def write_grams(order):
-        def write(s, columns):
-            keys, counts = united([unpacked(b) for b in columns[0].to_pylist()])
-            whole = _files.load(posixpath.join(path, f"level{order - 1}-{s}"))["n"]
-            found = level_of(keys, counts, whole, len(whole), shape["bits"])
-            _files.save(posixpath.join(path, f"level{order}-{s}"), found | ({"n": counts} if order == 2 else {}))
-            return s, len(keys)
 
-        return write
+def train_grams(numbered: DataFrame, shape: dict, least: int = 1) -> dict:
+    """Counts the n-grams of (words) from ``number`` and writes the upper levels; returns the whole shape.
 
-    shards = len(shape["cuts"])
-    used = [s for s in range(shards) if shape["offsets"][s + 1] > shape["offsets"][s]]
-    every = spark.createDataFrame([(s, EMPTY) for s in used], "shard bigint, grams binary")  # so that every shard is written
+    least: n-grams seen less often are left to the shorter context.
+    """
+    path, spark = shape["path"], numbered.sparkSession
+    if not shape["tokens"]:
+        return shape
+    at = lambda name: posixpath.join(path, name)
+    loads = shape["load"]
+    live = [s for s in range(len(loads)) if shape["offsets"][s + 1] > shape["offsets"][s]]
     for order in (2, 3):
+        first, salt = dealt_over(loads, shape["shard"])
+        shape = shape | {"children": shape.get("children", {}) | {order: first}, "salt": shape.get("salt", {}) | {order: salt}}
+
+        def write(s, columns, order=order, first=first, salt=salt, bits=shape["bits"]):
+            keys, counts = united([unpacked(b) for b in columns[0].to_pylist()], least)
+            parent = bisect.bisect_right(first, s) - 1
+            whole = _files.load(at(f"level1-{parent}" if order == 2 else f"building/counts-{parent}"))["n"]
+            found, used = level_of(keys, counts, whole, bits)
+            _files.save(at(f"level{order}-{s}"), found)
+            if salt[parent]:
+                _files.save(at(f"building/used{order}-{s}"), {"used": used})
+            else:
+                _files.save(at(f"bows{order}-{parent}"), bows_of(used))
+            if order == 2:
+                _files.save(at(f"building/counts-{s}"), {"n": counts})
+            return s, len(keys), int(counts.sum())
+
+        children = [c for p in live for c in range(first[p], first[p + 1])]
+        every = spark.createDataFrame([(c, EMPTY) for c in children], "shard bigint, grams binary")  # so that every shard is written
         grams = count_grams(numbered, shape, order).unionByName(every)
-        merged(dealt(grams, shards), write_grams(order), "shard bigint, n bigint").agg(F.sum("n")).collect()
+        done = merged(dealt(grams, len(children)), write, "shard bigint, n bigint, load bigint").collect()  # one row a shard
+
+        def join_bows(s, columns, order=order, first=first):
+            used = sum(_files.load(at(f"building/used{order}-{c}"))["used"] for c in range(first[s], first[s + 1]))
+            _files.save(at(f"bows{order}-{s}"), bows_of(used))
+            return (s,)
+
+        over = [p for p in live if salt[p]]
+        if over:
+            rows = spark.createDataFrame([(p, p) for p in over], "shard bigint, p bigint")
+            merged(dealt(rows, len(over)), join_bows, "shard bigint").collect()
+        live, loads = children, [0] * first[-1]
+        for r in done:
+            loads[r.shard] = r.load
+    delete(spark, at("building"))
     return shape
 
 
-def train(docs: DataFrame, text: str = "text") -> dict:
+def train(docs: DataFrame, text: str = "text", shard_tokens: int | None = None, least: int = 1) -> dict:
     """The shape of a trie trained on all of ``docs``."""
-    shape = train_words(docs, text)
+    shape = train_words(docs, text, shard_tokens)
     table = Scratch(docs.sparkSession, "numbered").table(number(docs, shape, text, []), "words")
-    return train_grams(table, shape)
+    return train_grams(table, shape, least)
 
 
 def _empty() -> bytes:

@@ -240,11 +240,16 @@ def test_monotone_sequences():
     draw = random.Random(2)
     for n, top in ((0, 1), (1, 5), (2, 2**63), (50, 60), (5000, 5000), (3000, 2**40), (4000, 2**64 - 1)):
         values = np.array(sorted(draw.sample(range(top), n)) if top <= 10_000 else sorted({draw.randrange(top) if i % 3 else draw.randrange(500) for i in range(n)}), np.uint64)
-        m = ngram_trie.Monotone(ngram_trie.Monotone.build(values, "k"), "k")
-        assert (m.values() == values).all()
+        m = ngram_trie.Monotone(ngram_trie.Monotone.build(values, "k", flip=True), "k")
         asked = np.concatenate([values, values + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
         want = {int(v): i for i, v in enumerate(values)}
         assert m.find(asked).tolist() == [want.get(int(a), -1) for a in asked]
+        small = np.sort(np.concatenate([values, values[::3]]) >> np.uint64(2))  # pointers may be equal
+        pointers = ngram_trie.Monotone(ngram_trie.Monotone.build(small, "k"), "k")
+        assert (pointers.get(np.arange(len(small))) == small.astype(np.int64)).all()
+    for bits in (0, 1, 7, 31, 33, 63):
+        numbers = np.array([draw.randrange(2**bits) for _ in range(999)], np.uint64)
+        assert (ngram_trie.unpack(ngram_trie.pack(numbers, bits), bits, np.arange(999)) == numbers).all()
 
 
 def test_tokens_hash_words():
@@ -258,11 +263,14 @@ def test_tokens_hash_words():
     assert len(np.unique(h)) == len(set(flat)) and all((a == b) == (x == y) for a, x in zip(flat, h.tolist()) for b, y in zip(flat, h.tolist()))
 
 
-def test_scores_equal_a_plain_model(spark, odd):
+@pytest.mark.parametrize(("least", "shard"), [(1, None), (1, 40), (2, 100)])
+def test_scores_equal_a_plain_model(spark, odd, least, shard):
+    """One shard for all, and small ones, so that frequent words and bigrams are dealt over several."""
     draw = random.Random(5)
     words = ["the", "of", "and", "a", "b", "c"]
     train = [(i, " ".join(draw.choices(words, k=draw.randrange(0, 12)))) for i in range(200)] + [(500, None)]
-    shape = ngram_trie.train(spark.createDataFrame(train, "doc_id bigint, text string"))
+    shape = ngram_trie.train(spark.createDataFrame(train, "doc_id bigint, text string"), shard_tokens=shard, least=least)
+    assert (max(shape["salt"][2]) > 0 and max(shape["salt"][3]) > 0) == (shard is not None)
     tokens = lambda t: ["END", *[w.decode("latin-1") for w in (t or "").encode().lower().split()], "END"]
     c, b, g = Counter(), Counter(), Counter()
     for _, t in train:
@@ -270,7 +278,7 @@ def test_scores_equal_a_plain_model(spark, odd):
         c.update(q[1:])
         b.update(zip(q, q[1:]))
         g.update(zip(q, q[1:], q[2:]))
-    b, g = ({k: v for k, v in x.items() if v > 1} for x in (b, g))
+    b, g = ({k: v for k, v in x.items() if v >= least} for x in (b, g))
     n, v = sum(c.values()), len(c)
     assert shape["tokens"] == n and shape["words"] == v
 
@@ -313,10 +321,20 @@ def test_probabilities_sum_to_one_at_most(spark):
     assert len(first) == 5
     shard, own = trie.home(np.array([trie.words(trie.tokens(["x"])[0])[0]]))
     every = np.arange(shape["words"])
-    at, term, bow = trie.step(2, np.repeat(shard, len(every)), np.repeat(own, len(every)), every)
+    _, at, term, bow = trie.step(2, np.repeat(shard, len(every)), np.repeat(own, len(every)), every)
     assert term.sum() + bow[0] <= 1 + 1e-9 and term.sum() + bow[0] > 0.9
 
 
+def test_a_word_that_is_a_third_of_all_tokens(spark):
+    """No shard of a level holds much more than its share, whatever follows one word."""
+    draw = random.Random(3)
+    docs = [(i, " ".join(x for _ in range(40) for x in ("the", f"w{draw.randrange(4000)}", f"v{draw.randrange(4000)}"))) for i in range(150)]
+    shape = ngram_trie.train(spark.createDataFrame(docs, "doc_id bigint, text string"), shard_tokens=1000)
+    sizes = {n: [len(ngram_trie._files.load(f"{shape['path']}/level{n}-{c}")["term.code"]) for p in range(len(shape["salt"][n])) for c in range(*shape["children"][n][p : p + 2]) if n == 3 or shape["offsets"][p] < shape["offsets"][p + 1]] for n in (2, 3)}
+    assert max(shape["salt"][2]) >= 2 and all(max(x) <= 2000 for x in sizes.values()) and sum(sizes[3]) > 10_000
+    assert not any("building" in x for x in ngram_trie._files.os.listdir(ngram_trie._files.mounted(shape["path"])))
+
+
 def test_sizes_of_words(spark):
     rows = mixing.plan(spark.createDataFrame([(1, "s", " a\u00a0b c\t"), (2, "s", None), (3, None, "")], "doc_id bigint, source string, text string")).collect()
     assert {r.key: r["size"] for r in rows} == {1: 2, 2: 0, 3: 0}
