@@ -39,17 +39,23 @@ VERBATIM = {"a", "code", "pre"}
 
 def special_links(text: str, prefix: str, repo_link: str, site: str, subpath: str = "") -> str:
     """As the Column of this name in ``text``."""
-    for m in re.finditer(T.MENTION, text):
-        at = m[0][m[0].index("@") :]
-        text = text.replace(at, f'<a href="{subpath}/{at[1:]}">{at}</a>')
-    for m in [x[0] for x in re.finditer(T.ISSUE_NUMBER, text)]:
-        m = m.lstrip(" ([")
-        text = text.replace(m, f'<a href="{prefix}/issues/{m[1:]}">{m}</a>', 1)
-    for m in [x[0] for x in re.finditer(T.CROSS_ISSUE, text)]:
-        m = m.lstrip(" ")
-        repo, _, index = m.partition("#")
-        text = text.replace(m, f'<a href="{site}{repo}/issues/{index}">{m}</a>', 1)
-    return re.sub(T.SHA, lambda m: m[0] if m[0].isdigit() and int(m[0]) else f'<a href="{repo_link}/commit/{m[0]}"><code>{m[0][:10]}</code></a>', text)
+    anchor = lambda to, label: f'<a href="{to}">{label}</a>'
+
+    def one(m: re.Match) -> str:
+        m = m[0]
+        if re.fullmatch(T.MENTION, m):
+            lead, _, name = m.rpartition("@")
+            return lead + anchor(f"{subpath}/{name}", "@" + name)
+        if re.fullmatch(T.ISSUE_NUMBER, m):
+            name = m.lstrip(" ([")
+            return m[: len(m) - len(name)] + anchor(f"{prefix}/issues/{name[1:]}", name)
+        if re.fullmatch(T.CROSS_ISSUE, m):
+            name = m.lstrip(" ")
+            repo, _, index = name.partition("#")
+            return m[: len(m) - len(name)] + anchor(f"{site}{repo}/issues/{index}", name)
+        return m if m.isdigit() and int(m) else f'<a href="{repo_link}/commit/{m}"><code>{m[:10]}</code></a>'
+
+    return re.sub(T.SPECIAL, one, text)
 
 
 class Linker(HTMLParser):
@@ -328,7 +334,10 @@ def version_compare(a: str, comparison: str, b: str) -> bool:
 
 
 #: Networks that deliveries may not reach.
-BLOCKED = "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.88.99.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 255.255.255.255/32 ::1/128 fc00::/7 fe80::/10".split()
+BLOCKED = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.88.99.0/24",
+    "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "255.255.255.255/32", "::1/128", "fc00::/7", "fe80::/10",
+)
 
 
 def blocked_address(host: str, allowed: tuple[str, ...] = ()) -> bool:
@@ -345,3 +354,8 @@ def blocked_address(host: str, allowed: tuple[str, ...] = ()) -> bool:
 def password_hash(password: str, salt: str) -> str:
     """PBKDF2 with SHA-256, 10000 rounds, 50 bytes, in hex."""
     return hashlib.pbkdf2_hmac("sha256", password.encode(), salt.encode(), 10000, 50).hex()
+
+
+def password_matches(password: str, salt: str, stored: str) -> bool:
+    """Whether a password has the stored hash, compared in constant time."""
+    return _hmac.compare_digest(password_hash(password, salt).encode(), stored.encode())

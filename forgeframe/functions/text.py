@@ -24,12 +24,6 @@ def found(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
 
-def replace_first(text: Column, old: Column, new: Column) -> Column:
-    """The first occurrence of a literal text replaced."""
-    at = call("instr", text, old)
-    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, at + F.length(old), F.length(text)))).otherwise(text)
-
-
 def replaced_matches(c: Column, pattern: str, change) -> Column:
     """Every match of a pattern replaced by ``change(match)``, in place."""
     rest = F.split(c, pattern, -1)
@@ -43,29 +37,37 @@ def mentions(c: Column) -> Column:
     return F.transform(found(c, MENTION), lambda m: F.regexp_replace(m, r"^[^@]*@", ""))
 
 
+def anchor(to: Column, label: Column) -> Column:
+    return F.concat(F.lit('<a href="'), to, F.lit('">'), label, F.lit("</a>"))
+
+
+def before(m: Column, sign: str) -> Column:
+    """What a match holds before the last ``sign``."""
+    return F.regexp_extract(m, f"(?s)^(.*){sign}", 1)
+
+
+def issue_link(m: Column, prefix: str, style: str = "numeric", external: str = "") -> Column:
+    named = style == "alphanumeric"
+    lead = F.regexp_extract(m, r"^([ (\[]?)", 1)
+    name = F.regexp_replace(m, r"^[ (\[]", "")
+    index = name if named and external else F.substring(name, F.lit(2), F.length(name))
+    url = F.replace(F.lit(external), F.lit("{index}"), index) if external else F.concat(F.lit(f"{prefix}/issues/"), index)
+    return F.concat(lead, anchor(url, name))
+
+
 def issue_links(c: Column, prefix: str, style: str = "numeric", external: str = "") -> Column:
     """Issue references as links; ``external`` is a format with ``{index}`` (other trackers)."""
-    named = style == "alphanumeric"
-    strip = lambda m: F.regexp_replace(m, r"^[ (\[]", "")
+    return replaced_matches(c, ISSUE_NAME if style == "alphanumeric" else ISSUE_NUMBER, lambda m: issue_link(m, prefix, style, external))
 
-    def link(text, m):
-        m = strip(m)
-        index = m if named and external else F.substring(m, F.lit(2), F.length(m))
-        url = F.replace(F.lit(external), F.lit("{index}"), index) if external else F.concat(F.lit(f"{prefix}/issues/"), index)
-        return replace_first(text, m, F.concat(F.lit('<a href="'), url, F.lit('">'), m, F.lit("</a>")))
 
-    return F.aggregate(found(c, ISSUE_NAME if named else ISSUE_NUMBER), c, link)
+def cross_link(m: Column, site: str) -> Column:
+    name = F.regexp_replace(m, r"^ ", "")
+    return F.concat(F.regexp_extract(m, "^( ?)", 1), anchor(F.concat(F.lit(site), F.substring_index(name, "#", 1), F.lit("/issues/"), F.substring_index(name, "#", -1)), name))
 
 
 def cross_links(c: Column, site: str) -> Column:
     """References to issues of other repositories as links."""
-
-    def link(text, m):
-        m = F.regexp_replace(m, r"^[ (]", "")
-        repo, index = F.substring_index(m, "#", 1), F.regexp_replace(m, r"^[^#]*#", "")
-        return replace_first(text, m, F.concat(F.lit(f'<a href="{site}'), repo, F.lit("/issues/"), index, F.lit('">'), m, F.lit("</a>")))
-
-    return F.aggregate(found(c, CROSS_ISSUE), c, link)
+    return replaced_matches(c, CROSS_ISSUE, lambda m: cross_link(m, site))
 
 
 def short_sha(c: Column) -> Column:
@@ -82,19 +84,22 @@ def shas(c: Column) -> Column:
     return F.filter(found(c, SHA), lambda m: ~is_plain_number(m))
 
 
+def sha_link(m: Column, repo_link: str) -> Column:
+    return F.when(is_plain_number(m), m).otherwise(F.concat(F.lit(f'<a href="{repo_link}/commit/'), m, F.lit('"><code>'), short_sha(m), F.lit("</code></a>")))
+
+
 def sha_links(c: Column, repo_link: str) -> Column:
-    return replaced_matches(c, SHA, lambda m: F.when(is_plain_number(m), m).otherwise(F.concat(F.lit(f'<a href="{repo_link}/commit/'), m, F.lit('"><code>'), short_sha(m), F.lit("</code></a>"))))
+    return replaced_matches(c, SHA, lambda m: sha_link(m, repo_link))
 
 
-def mention_links(c: Column, subpath: str = "") -> Column:
-    """Every occurrence of each mention as a link."""
+def mention_link(m: Column, subpath: str = "") -> Column:
+    name = F.substring_index(m, "@", -1)
+    return F.concat(before(m, "@"), anchor(F.concat(F.lit(f"{subpath}/"), name), F.concat(F.lit("@"), name)))
 
-    def link(text, m):
-        name = F.regexp_replace(m, r"^[^@]*@", "")
-        at = F.concat(F.lit("@"), name)
-        return F.replace(text, at, F.concat(F.lit(f'<a href="{subpath}/'), name, F.lit('">'), at, F.lit("</a>")))
 
-    return F.aggregate(found(c, MENTION), c, link)
+def mention_links(c: Column, subpath: str = "") -> Column:
+    """Each mention as a link, at its place."""
+    return replaced_matches(c, MENTION, lambda m: mention_link(m, subpath))
 
 
 def auto_link(url: Column, site: str, prefix: str) -> Column:
@@ -111,9 +116,19 @@ def auto_link(url: Column, site: str, prefix: str) -> Column:
     return F.when(url.startswith(site) & (url.rlike(commit) | url.rlike(issue)), own).otherwise(link(url, escape_html(url)))
 
 
+#: All that ``special_links`` makes links of, tried in this order at each place.
+SPECIAL = "|".join((MENTION, ISSUE_NUMBER, CROSS_ISSUE, SHA))
+
+
 def special_links(c: Column, prefix: str, repo_link: str, site: str, subpath: str = "") -> Column:
-    """Mentions, issues, other repositories' issues and commits as links, in this order."""
-    return sha_links(cross_links(issue_links(mention_links(c, subpath), prefix), site), repo_link)
+    """Mentions, issues, other repositories' issues and commits as links.
+
+    One pass from left to right: each is replaced at its own place, so no link is made inside
+    another one and equal or overlapping names (``@ann @anna``) stay apart.
+    """
+    whole = lambda m, pattern: m.rlike(f"^(?:{pattern})$")
+    one = lambda m: F.when(whole(m, MENTION), mention_link(m, subpath)).when(whole(m, ISSUE_NUMBER), issue_link(m, prefix)).when(whole(m, CROSS_ISSUE), cross_link(m, site)).otherwise(sha_link(m, repo_link))
+    return replaced_matches(c, SPECIAL, one)
 
 
 def references(c: Column, pattern: str, repo: str) -> Column:
@@ -395,3 +410,33 @@ def resolved_link(c: Column, prefix: str) -> Column:
 def utf8(c: Column) -> Column:
     """Binary content as text: as it is if valid, else with replacement characters."""
     return F.make_valid_utf8(c)
+
+
+def _padded(key: Column, pad: int) -> Column:
+    """A binary key of up to 64 bytes filled to 64, each byte xor ``pad``."""
+    digits = F.rpad(F.hex(key), 128, "0")
+    byte = lambda i: F.conv(F.substring(digits, i * 2 + 1, 2), 16, 10).cast("int").bitwiseXOR(F.lit(pad))
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
+
+
+def hmac_keys(secret: Column) -> tuple[Column, Column]:
+    """Inner and outer key of HMAC-SHA256: to be made once for each secret, not for each message."""
+    raw = secret.cast("binary")
+    key = F.when(F.length(raw) > 64, F.unhex(F.sha2(raw, 256))).otherwise(raw)
+    return _padded(key, 0x36), _padded(key, 0x5C)
+
+
+def hmac_sha256(message: Column, inner: Column, outer: Column) -> Column:
+    """HMAC-SHA256 in hex, as deliveries carry it, from ``hmac_keys``."""
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def file_kind(content: Column) -> Column:
+    """image, pdf, video, text or binary, by the first 1024 bytes; empty content is text."""
+    head = F.hex(F.substring(content, 1, 1024))
+    starts = lambda *digits: F.coalesce(*[F.when(head.startswith(d), True) for d in digits], F.lit(False))
+    riff, kind = starts("52494646"), F.substring(head, 17, 8)
+    image = starts("89504E470D0A1A0A", "FFD8FF", "47494638", "424D") | (riff & (kind == "57454250"))
+    video = starts("1A45DFA3", "4F676753") | (F.substring(head, 9, 8) == "66747970") | (riff & (kind == "41564920"))
+    odd = head.rlike("^(?:..)*+$") & F.exists(F.regexp_extract_all(head, F.lit("(..)"), F.lit(1)), lambda x: x.rlike("0[0-8E-F]|1[0-9AC-F]"))
+    return F.when(image, "image").when(starts("255044462D"), "pdf").when(video, "video").when(odd, "binary").otherwise("text")

@@ -1,10 +1,12 @@
 """Version history as tables: commits (sha, parents array, topo, message), file changes, tree entries (§ git views).
 
-Ancestors are found by growing sets of (start, sha) along composed parent edges.
+Ancestors are found by growing sets of (start, sha) along parent edges.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,27 +23,25 @@ def search(commits: DataFrame, keyword: str) -> DataFrame:
     return commits.filter(F.lower("message").contains(keyword.lower()))
 
 
-def ancestors(commits: DataFrame, starts: DataFrame, doublings: int = 6) -> DataFrame:
+def ancestors(commits: DataFrame, starts: DataFrame, merge_every: int = 16) -> DataFrame:
     """(start, sha): every commit that each start reaches, itself included.
 
-    Edges are first composed to jumps of up to ``2 ** doublings`` generations, which bounds both
-    their number and, for long histories, the rounds; then only what a round has newly found is
-    joined again. Every round is checkpointed, so lineage stays short.
+    A round joins only what the round before has newly found with the parent edges, and writes
+    only that; every ``merge_every`` rounds the rounds' tables are put together. A history takes
+    as many rounds as its longest way from a start to a root.
     """
-    jump = commits.select(F.col("sha").alias("a"), F.explode("parents").alias("b")).distinct().checkpoint()
-    size = jump.count()
-    for _ in range(doublings):
-        further = jump.alias("x").join(jump.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        jump = jump.unionByName(further).distinct().checkpoint()
-        size, before = jump.count(), size
-        if size == before:
-            break
-    found = new = starts.select(F.col("sha").alias("start"), "sha").distinct().checkpoint()
-    while not new.isEmpty():
-        more = new.join(jump, F.col("sha") == F.col("a")).select("start", F.col("b").alias("sha")).distinct()
+    edge = commits.select(F.col("sha").alias("a"), F.explode("parents").alias("b")).distinct().checkpoint()
+    new = starts.select(F.col("sha").alias("start"), "sha").distinct().checkpoint()
+    rounds = [new]
+    while True:
+        found = reduce(DataFrame.unionByName, rounds)
+        more = new.join(edge, F.col("sha") == F.col("a")).select("start", F.col("b").alias("sha")).distinct()
         new = more.join(found, ["start", "sha"], "left_anti").checkpoint()
-        found = found.unionByName(new).checkpoint()
-    return found
+        if new.isEmpty():
+            return found
+        rounds.append(new)
+        if len(rounds) > merge_every:
+            rounds = [reduce(DataFrame.unionByName, rounds).checkpoint()]
 
 
 def between(commits: DataFrame, base: str, head: str, symmetric: bool = False) -> DataFrame:
@@ -66,8 +66,25 @@ def name_status(changes: DataFrame) -> DataFrame:
     return changes.groupBy("sha").agg(of("A").alias("added"), of("D").alias("removed"), of("M").alias("modified"))
 
 
+def commit_count(commits: DataFrame, head: str) -> DataFrame:
+    """One row n: how many commits a head reaches, itself included."""
+    reach = ancestors(commits, commits.sparkSession.createDataFrame([(head,)], "sha string"))
+    return reach.join(commits.select("sha"), "sha", "left_semi").agg(F.count("*").alias("n"))
+
+
+def changed_names(commits: DataFrame, changes: DataFrame, base: str, head: str) -> DataFrame:
+    """(path): names that head changes against base, from the commits that only head has."""
+    return changes.join(between(commits, base, head).select("sha"), "sha", "left_semi").select("path").distinct()
+
+
+def folders(path):
+    """A path and all folders above it."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
 def tree_listing(entries: DataFrame, changes: DataFrame, commits: DataFrame) -> DataFrame:
-    """(path, sha): each tree entry with the newest commit that changed it or something below it."""
-    touched = changes.join(commits.select("sha", "topo"), "sha")
-    rows = entries.join(touched, (touched["path"] == entries["entry"]) | touched["path"].startswith(F.concat(entries["entry"], F.lit("/"))), "left")
-    return rows.groupBy("entry").agg(F.max_by("sha", F.struct("topo", "sha")).alias("sha"))
+    """(entry, sha): each tree entry with the newest commit that changed it or something below it."""
+    touched = changes.join(commits.select("sha", "topo"), "sha").select("sha", "topo", F.explode(folders(F.col("path"))).alias("entry"))
+    newest = touched.groupBy("entry").agg(F.max_by("sha", F.struct("topo", "sha")).alias("sha"))
+    return entries.select("entry").distinct().join(newest, "entry", "left")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from forgeframe.operators import joins, paging
 from forgeframe.operators import predicates as P
@@ -42,13 +41,18 @@ def tags_after(tags: DataFrame, position: str, name: str, after: str, limit: int
 
     tags: one repository's, with a unique order column; an unknown cursor starts at the top.
     """
-    every = W.partitionBy()
-    rows = tags.select(F.col(name).alias("name"), F.row_number().over(W.orderBy(position)).alias("r"))
-    rows = rows.withColumns({"at": F.max(F.when(F.col("name") == after, F.col("r"))).over(every), "total": F.count(F.lit(1)).over(every)})
-    last = F.coalesce(F.col("at"), F.lit(0))
-    on = (F.col("r") > last) & (F.col("r") <= last + limit) if limit > 0 else F.col("r") > last
-    back = F.when(F.col("r") == F.col("at") - limit, F.col("name")) if after and limit > 0 else F.lit(None).cast("string")
-    shown = F.array_sort(F.collect_list(F.when(on, F.struct("r", "name"))))
-    out = rows.groupBy("at", "total").agg(shown.alias("p"), F.max(back).alias("previous_after"))
-    next_ = F.col("total") > last + limit if limit > 0 else F.lit(False)
-    return out.select(F.col("p.name").alias("tags"), F.col("at").isNull().alias("has_latest"), F.coalesce("previous_after", F.lit("")).alias("previous_after"), next_.alias("has_next"))
+    rows = tags.select(F.col(position).alias("p"), F.col(name).alias("name"))
+    at = rows.filter(F.col("name") == after).agg(F.max("p")).scalar()
+    below = rows.filter(at.isNull() | (F.col("p") > at))
+    pair = F.struct("p", "name")
+    # top-k pages; one tag more tells whether there is a next page
+    page = below.orderBy("p").limit(limit + 1) if limit > 0 else below
+    page = page.agg(F.array_sort(F.collect_list(pair)).alias("page"))
+    back = rows.filter(F.col("p") <= at).orderBy(F.desc("p")).limit(limit + 1) if after and limit > 0 else rows.limit(0)
+    back = back.agg(F.array_sort(F.collect_list(pair))).scalar()
+    out = page.withColumn("back", back)
+    shown = F.slice("page", 1, limit) if limit > 0 else F.col("page")
+    previous = F.when(F.size("back") > limit, F.try_element_at("back", F.lit(1))["name"]).otherwise("")
+    unknown = rows.filter(F.col("name") == after).agg(F.count("*")).scalar() == 0
+    next_ = F.size("page") > limit if limit > 0 else F.lit(False)
+    return out.select(F.transform(shown, lambda x: x["name"]).alias("tags"), unknown.alias("has_latest"), F.coalesce(previous, F.lit("")).alias("previous_after"), next_.alias("has_next"))

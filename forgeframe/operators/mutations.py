@@ -13,11 +13,29 @@ from pyspark.sql import Window as W
 from forgeframe.operators.aggregates import access_modes, recounted
 
 
+CELLS = 4096
+
+
+def numbered(rows: DataFrame, column: str, start, *order: str) -> DataFrame:
+    """Rows with ``column``: gapless numbers after ``start``, in the order of hash cells.
+
+    Rows are numbered inside cells and cells get offsets from a table of at most ``CELLS`` counts, so
+    no task holds all rows. Reruns give the same numbers, whichever of several equal rows gets which.
+    """
+    rows = rows.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(CELLS)))
+    counts = rows.groupBy("_cell").agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select("_cell", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    place = F.row_number().over(W.partitionBy("_cell").orderBy(*order))
+    out = rows.withColumn("_place", place).join(F.broadcast(offsets), "_cell")
+    return out.withColumn(column, (start + F.col("_ahead") + F.col("_place")).cast("bigint")).drop("_cell", "_place", "_ahead")
+
+
 def add_edges(edges: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """Edges with those of ``new`` that aren't there yet (M1); ids go on from the highest."""
     fresh = new.select(*keys).distinct().join(edges.select(*keys), list(keys), "left_anti")
     top = edges.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
-    return edges.unionByName(fresh.select((top + F.row_number().over(W.orderBy(*keys))).alias("id"), *keys), allowMissingColumns=True)
+    return edges.unionByName(numbered(fresh, "id", top, *keys).select("id", *keys), allowMissingColumns=True)
 
 
 def remove_edges(edges: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
@@ -158,13 +176,12 @@ def create_issues(issue: DataFrame, new: DataFrame, milestone: DataFrame, access
     rows = rows.join(writers, ["assignee_id", "repo_id"], "left").join(top, "repo_id", "left")
     order = ["repo_id", "poster_id", "name"]
     rows = rows.withColumns({
-        "id": last + F.row_number().over(W.orderBy(*order)),
         "index": F.coalesce("_index", F.lit(0)) + F.row_number().over(W.partitionBy("repo_id").orderBy(*order)),
         "milestone_id": F.when(F.col("_m"), F.col("milestone_id")).otherwise(0).cast("bigint"),
         "assignee_id": F.when(F.col("_a"), F.col("assignee_id")).otherwise(0).cast("bigint"),
         "is_closed": F.lit(False), "is_pull": F.lit(False), "num_comments": F.lit(0).cast("bigint"),
     })
-    return issue.unionByName(rows.drop("_m", "_a", "_index"), allowMissingColumns=True)
+    return issue.unionByName(numbered(rows.drop("_m", "_a", "_index"), "id", last, *order), allowMissingColumns=True)
 
 
 def change_status(tables: dict[str, DataFrame], issues: DataFrame, closed: bool) -> dict[str, DataFrame]:

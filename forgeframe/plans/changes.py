@@ -12,9 +12,9 @@ from forgeframe.streaming import flows
 
 
 def follow_add(s):
-    new = s.users.filter("id <= 30").select(F.col("id").alias("user_id"), (F.col("id") % 5 + 1).alias("follow_id"))
+    new = s.users.select(F.col("id").alias("user_id"), (F.col("id") % 5 + 1).alias("follow_id"))
     rows = M.add_edges(s.follow, new, "user_id", "follow_id")
-    return rows.groupBy("follow_id").agg(F.count_distinct("user_id").alias("n"), F.max("id").alias("top")).filter("follow_id <= 5").select("follow_id", "n")
+    return rows.groupBy("follow_id").agg(F.count_distinct("user_id").alias("n"), F.count_distinct("id").alias("ids"))
 
 
 def unfollow(s):
@@ -24,7 +24,7 @@ def unfollow(s):
 
 def access_replace(s):
     new = s.users.filter("id in (1, 2)").select(F.col("id").alias("user_id"), F.lit(9).cast("bigint").alias("repo_id"), F.lit(2).cast("bigint").alias("mode"))
-    return M.replace_rows(s.access, F.col("repo_id") == 9, new).filter("repo_id between 8 and 10").select("user_id", "repo_id", "mode")
+    return M.replace_rows(s.access, F.col("repo_id") == 9, new).select("user_id", "repo_id", "mode")
 
 
 def tables(s, *names):
@@ -64,7 +64,7 @@ def team_delete(s):
 
 def user_rename(s):
     out = M.rename_user(tables(s, "users", "action"), 4, "Renamed")
-    return out["action"].filter("act_user_id between 3 and 5").groupBy("act_user_name").agg(F.count("*").alias("n"))
+    return out["action"].groupBy("act_user_name").agg(F.count("*").alias("n"))
 
 
 def repo_transfer(s):
@@ -95,7 +95,7 @@ def milestone_clear(s):
 
 def user_update(s):
     changes = s.users.filter("id <= 3").select("id", F.when(F.col("id") > 1, "new").alias("full_name"), F.lit(None).cast("string").alias("email"))
-    return M.partial_update(s.users, "id", changes).filter("id <= 5").select("id", "full_name", "email")
+    return M.partial_update(s.users, "id", changes).select("id", "full_name", "email")
 
 
 def primary_swap(s):
@@ -139,14 +139,14 @@ def webhook_routing(s):
     settings = F.to_json(F.struct(F.col("push_only"), F.col("send_everything"), F.col("on_issues").alias("choose_events"), F.struct(F.lit(False).alias("push"), F.lit(True).alias("issues")).alias("events")))
     hooks = s.webhook.withColumns({"events": settings, "secret": F.when(F.col("id") % 2 == 0, "k").otherwise("")})
     event = F.element_at(F.array(*map(F.lit, ["push", "issues", "fork"])), (F.col("event_id") % 3 + 1).cast("int"))
-    events = s.events.filter("event_id <= 600").select("event_id", (F.col("event_id") % 20 + 1).alias("repo_id"), (F.col("event_id") % 4 * 10).alias("org_id"), event.alias("event"), F.col("props").alias("payload"))
+    events = s.events.select("event_id", (F.col("event_id") % 20 + 1).alias("repo_id"), (F.col("event_id") % 4 * 10).alias("org_id"), event.alias("event"), F.col("props").alias("payload"))
     return flows.route_hooks(events, hooks).select("event_id", "hook_id", "event", (F.length("signature") == 64).alias("signed"))
 
 
 def issue_state_fold(s):
     refs = F.concat(F.when(F.col("event_id") % 2 == 0, F.lit("Closes #")).otherwise(F.lit("reopens #")), (F.col("event_id") % 11 + 1).cast("string"))
     commits = s.events.select((F.col("event_id") % 5 + 1).alias("repo_id"), F.col("event_id").alias("place"), refs.alias("message"))
-    issue = s.issue.filter("id <= 55").select("id", (F.col("id") % 5 + 1).alias("repo_id"), F.expr("(id - 1) div 5 + 1").alias("index"), "is_closed")
+    issue = s.issue.select("id", (F.col("id") % 5 + 1).alias("repo_id"), F.expr("(id - 1) div 5 + 1").alias("index"), "is_closed")
     return flows.issue_states(commits, issue, s.repository.withColumn("owner_name", F.lit("ann")))
 
 
@@ -160,7 +160,7 @@ def hourly_counts(s):
 
 
 EDGES = "SELECT user_id, follow_id FROM follow"
-NEW = "SELECT id, id % 5 + 1 FROM users WHERE id <= 30"
+NEW = "SELECT id, id % 5 + 1 FROM users"
 TEAMS = """SELECT user_id, repo_id, mode FROM collaboration {c}
     UNION ALL SELECT tu.uid, r.id, 4 FROM team t JOIN repository r ON r.owner_id = t.org_id JOIN team_user tu ON tu.team_id = t.id WHERE t.lower_name = 'owners' {a}
     UNION ALL SELECT tu.uid, tr.repo_id, t.authorize FROM team t JOIN ({l}) tr ON tr.team_id = t.id JOIN team_user tu ON tu.team_id = t.id WHERE t.lower_name <> 'owners' {b}"""
@@ -168,9 +168,9 @@ LINKS = "SELECT team_id, repo_id FROM team_repo"
 GONE = "SELECT id FROM users WHERE id BETWEEN 151 AND 400 AND id NOT IN (SELECT uid FROM org_user WHERE uid % 2 = 0) AND id NOT IN (SELECT owner_id FROM repository)"
 MAXED = "SELECT user_id, repo_id, MAX(mode) AS mode FROM ({}) GROUP BY 1, 2"
 QUERIES = {
-    "follow_add": query(follow_add, f"SELECT follow_id, COUNT(DISTINCT user_id) AS n FROM ({EDGES} UNION ALL {NEW}) WHERE follow_id <= 5 GROUP BY 1"),
+    "follow_add": query(follow_add, f"SELECT follow_id, COUNT(DISTINCT user_id) AS n, COUNT(*) AS ids FROM ({EDGES} UNION ALL (({NEW}) EXCEPT {EDGES})) GROUP BY 1"),
     "unfollow": query(unfollow, "SELECT follow_id, COUNT(*) AS n FROM follow WHERE follow_id <> 3 GROUP BY 1"),
-    "access_replace": query(access_replace, "SELECT user_id, repo_id, mode FROM access WHERE repo_id IN (8, 10) UNION ALL SELECT id, 9, 2 FROM users WHERE id IN (1, 2)"),
+    "access_replace": query(access_replace, "SELECT user_id, repo_id, mode FROM access WHERE repo_id <> 9 UNION ALL SELECT id, 9, 2 FROM users WHERE id IN (1, 2)"),
     "user_delete": query(user_delete, f"SELECT 'stars' AS name, COUNT(*) AS n FROM star JOIN repository r ON r.id = star.repo_id WHERE uid NOT IN ({GONE}) UNION ALL SELECT 'users', COUNT(*) FROM users WHERE id NOT IN ({GONE}) UNION ALL SELECT 'following', COUNT(*) FROM follow WHERE user_id IN (SELECT id FROM users) AND user_id NOT IN ({GONE}) AND follow_id NOT IN ({GONE})"),
     "repo_delete": query(
         repo_delete,
@@ -184,7 +184,7 @@ QUERIES = {
     "org_delete": query(org_delete, "SELECT COUNT(*) AS n, 0 AS m FROM users WHERE NOT (id BETWEEN 151 AND 399)"),
     "member_leave": query(member_leave, "SELECT uid FROM org_user WHERE org_id = 20 AND uid <> 31"),
     "team_delete": query(team_delete, f"SELECT mode, COUNT(*) AS n FROM ({MAXED.format(TEAMS.format(c='', a='AND t.id <> 3', b='AND t.id <> 3', l=LINKS))}) GROUP BY 1"),
-    "user_rename": query(user_rename, "SELECT CASE WHEN act_user_id = 4 THEN 'Renamed' ELSE act_user_name END AS act_user_name, COUNT(*) AS n FROM action WHERE act_user_id BETWEEN 3 AND 5 GROUP BY 1"),
+    "user_rename": query(user_rename, "SELECT CASE WHEN act_user_id = 4 THEN 'Renamed' ELSE act_user_name END AS act_user_name, COUNT(*) AS n FROM action GROUP BY 1"),
     "repo_transfer": query(
         repo_transfer,
         f"""WITH moved AS (SELECT id, CASE WHEN id = 7 THEN 30 ELSE owner_id END AS owner_id FROM repository), kept AS (SELECT user_id, repo_id, mode FROM collaboration WHERE repo_id = 7 AND user_id <> 30 AND user_id NOT IN (SELECT uid FROM org_user WHERE org_id = 30)),
@@ -201,7 +201,7 @@ QUERIES = {
     "status_change": query(status_change, "SELECT milestone_id AS id, COUNT(*) FILTER (WHERE is_closed OR repo_id = 5) AS closed, COUNT(*) FILTER (WHERE is_closed OR repo_id = 5) * 100 // COUNT(*) AS completeness FROM issue GROUP BY 1"),
     "mention_upsert": query(mention_upsert, "SELECT m AS is_mentioned, COUNT(*) AS n FROM (SELECT issue_id, bool_or(m) AS m FROM (SELECT issue_id, is_mentioned AS m FROM issue_user WHERE uid = 2 UNION ALL SELECT id, true FROM issue WHERE id % 9 = 0) GROUP BY 1) GROUP BY 1"),
     "milestone_clear": query(milestone_clear, "SELECT CASE WHEN milestone_id IN (3, 4) THEN 0 ELSE milestone_id END AS milestone_id, COUNT(*) AS n FROM issue GROUP BY 1"),
-    "user_update": query(user_update, "SELECT id, CASE WHEN id IN (2, 3) THEN 'new' ELSE full_name END AS full_name, email FROM users WHERE id <= 5"),
+    "user_update": query(user_update, "SELECT id, CASE WHEN id IN (2, 3) THEN 'new' ELSE full_name END AS full_name, email FROM users"),
     "primary_swap": query(primary_swap, "SELECT id, CASE WHEN id = 14 THEN 'second14@example.com' ELSE email END AS email FROM users WHERE id IN (13, 14) UNION ALL SELECT uid, email FROM email_address WHERE uid = 14 UNION ALL SELECT id, email FROM users WHERE id = 14"),
     "visibility_change": query(visibility_change, "SELECT CASE WHEN r.id IS NOT NULL THEN true ELSE a.is_private END AS is_private, COUNT(*) AS n FROM action a LEFT JOIN (SELECT id FROM repository WHERE id = 4 OR fork_id = 4) r ON r.id = a.repo_id GROUP BY 1"),
     "token_migration": query(token_migration, "SELECT id, CASE WHEN id % 2 = 0 THEN 'kept' ELSE sha256(sha1(name)) END AS sha256 FROM users"),
@@ -217,14 +217,14 @@ QUERIES = {
     "webhook_routing": query(
         webhook_routing,
         """SELECT e.event_id, w.id AS hook_id, e.event, w.id % 2 = 0 AS signed FROM
-           (SELECT event_id, event_id % 20 + 1 AS repo_id, event_id % 4 * 10 AS org_id, CASE event_id % 3 WHEN 0 THEN 'push' WHEN 1 THEN 'issues' ELSE 'fork' END AS event FROM events WHERE event_id <= 600) e
+           (SELECT event_id, event_id % 20 + 1 AS repo_id, event_id % 4 * 10 AS org_id, CASE event_id % 3 WHEN 0 THEN 'push' WHEN 1 THEN 'issues' ELSE 'fork' END AS event FROM events) e
            JOIN (SELECT id, repo_id AS k, 'r' AS t, push_only, send_everything, on_issues FROM webhook WHERE is_active UNION ALL SELECT id, org_id, 'o', push_only, send_everything, on_issues FROM webhook WHERE is_active) w
            ON (w.t = 'r' AND w.k = e.repo_id) OR (w.t = 'o' AND e.org_id > 0 AND w.k = e.org_id)
            WHERE w.send_everything OR (e.event = 'push' AND w.push_only) OR (e.event = 'issues' AND w.on_issues)""",
     ),
     "issue_state_fold": query(
         issue_state_fold,
-        """SELECT i.id, c.shut AS is_closed FROM (SELECT id, id % 5 + 1 AS repo_id, (id - 1) // 5 + 1 AS n, is_closed FROM issue WHERE id <= 55) i
+        """SELECT i.id, c.shut AS is_closed FROM (SELECT id, id % 5 + 1 AS repo_id, (id - 1) // 5 + 1 AS n, is_closed FROM issue) i
            JOIN (SELECT event_id % 5 + 1 AS repo_id, event_id % 11 + 1 AS n, arg_max(event_id % 2 = 0, event_id) AS shut FROM events GROUP BY 1, 2) c
            ON c.repo_id = i.repo_id AND c.n = i.n WHERE i.is_closed <> c.shut""",
     ),

@@ -103,15 +103,16 @@ def missing_rows(s):
 
 
 def notify_anti(s):
-    names = s.users.filter("id <= 400").select(F.upper("name").alias("name"))
+    names = s.users.select(F.upper("name").alias("name"))
     return joins.not_named(names, s.users.filter("id % 3 = 0").select("name"))
 
 
 def mail_recipients(s):
-    watchers = s.issue.select(F.col("id").alias("issue_id"), "repo_id").join(s.watch.select("repo_id", "user_id").distinct(), "repo_id").filter("issue_id <= 400")
-    people = s.comment.filter("issue_id <= 400").select("issue_id", F.col("poster_id").alias("user_id")).distinct()
-    assigned = s.issue.filter("id <= 400 and assignee_id > 0").select(F.col("id").alias("issue_id"), F.col("assignee_id").alias("user_id"))
-    return A.recipients(watchers, people, assigned, s.users, 5)
+    watchers = s.issue.select(F.col("id").alias("issue_id"), "repo_id").join(s.watch.select("repo_id", "user_id").distinct(), "repo_id")
+    people = s.comment.select("issue_id", F.col("poster_id").alias("user_id")).distinct()
+    assigned = s.issue.filter("assignee_id > 0").select(F.col("id").alias("issue_id"), F.col("assignee_id").alias("user_id"))
+    rows = A.recipients(watchers, people, assigned, s.users, 5)
+    return rows.groupBy("issue_id").agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("email").alias("last"))
 
 
 def lfs_batch(s):
@@ -204,10 +205,10 @@ GRANTS = """SELECT user_id, repo_id, mode FROM collaboration
     UNION ALL SELECT tu.uid, tr.repo_id, t.authorize FROM team t JOIN team_repo tr ON tr.team_id = t.id JOIN team_user tu ON tu.team_id = t.id WHERE t.lower_name <> 'owners'"""
 ACCESS = """CASE WHEN q.user_id <= 0 OR r.id IS NULL THEN CASE WHEN NOT r.is_private THEN 1 ELSE 0 END WHEN q.user_id = r.owner_id THEN 4
     WHEN a.mode IS NOT NULL THEN a.mode WHEN NOT r.is_private THEN 1 ELSE 0 END"""
-MAILED = """SELECT w.issue_id, w.user_id, 0 AS rank FROM (SELECT DISTINCT i.id AS issue_id, w.user_id FROM issue i JOIN watch w ON w.repo_id = i.repo_id WHERE i.id <= 400) w
+MAILED = """SELECT w.issue_id, w.user_id, 0 AS rank FROM (SELECT DISTINCT i.id AS issue_id, w.user_id FROM issue i JOIN watch w ON w.repo_id = i.repo_id) w
     JOIN users u ON u.id = w.user_id WHERE u.type = 0 AND u.is_active
-    UNION ALL SELECT DISTINCT issue_id, poster_id, 1 FROM comment WHERE issue_id <= 400
-    UNION ALL SELECT id, assignee_id, 2 FROM issue WHERE id <= 400 AND assignee_id > 0"""
+    UNION ALL SELECT DISTINCT issue_id, poster_id, 1 FROM comment
+    UNION ALL SELECT id, assignee_id, 2 FROM issue WHERE assignee_id > 0"""
 QUERIES = {
     "orgs_of_user": query(orgs_of_user, "SELECT u.id, u.name FROM users u JOIN org_user o ON o.org_id = u.id WHERE o.uid = 19"),
     "owned_orgs": query(owned_orgs, "SELECT u.id, u.name FROM users u JOIN org_user o ON o.org_id = u.id WHERE o.uid IN (12, 19) AND o.is_owner"),
@@ -231,8 +232,8 @@ QUERIES = {
     "read_flags": query(read_flags, "SELECT i.id, COALESCE(u.r, true) AS is_read FROM issue i LEFT JOIN (SELECT issue_id, bool_or(is_read) AS r FROM issue_user WHERE uid = 4 GROUP BY issue_id) u ON u.issue_id = i.id"),
     "participants": query(participants, "SELECT DISTINCT issue_id, poster_id FROM comment WHERE type = 0"),
     "missing_rows": query(missing_rows, "SELECT id FROM repository WHERE id NOT IN (SELECT repo_id FROM access WHERE mode >= 3)"),
-    "notify_anti": query(notify_anti, "SELECT upper(name) AS name FROM users WHERE id <= 400 AND id % 3 <> 0"),
-    "mail_recipients": query(mail_recipients, f"SELECT issue_id, name, email FROM (SELECT m.issue_id, u.name, u.email, ROW_NUMBER() OVER (PARTITION BY m.issue_id, u.lower_name ORDER BY m.rank) AS n FROM ({MAILED}) m JOIN users u ON u.id = m.user_id WHERE m.user_id <> 5) WHERE n = 1"),
+    "notify_anti": query(notify_anti, "SELECT upper(name) AS name FROM users WHERE id % 3 <> 0"),
+    "mail_recipients": query(mail_recipients, f"SELECT issue_id, COUNT(*) AS n, MIN(name) AS first, MAX(email) AS last FROM (SELECT m.issue_id, u.name, u.email, ROW_NUMBER() OVER (PARTITION BY m.issue_id, u.lower_name ORDER BY m.rank) AS n FROM ({MAILED}) m JOIN users u ON u.id = m.user_id WHERE m.user_id <> 5) WHERE n = 1 GROUP BY 1"),
     "lfs_batch": query(lfs_batch, "SELECT CASE WHEN size % 4 = 0 THEN 404 WHEN size % 3 = 0 THEN 422 ELSE 200 END AS code, COUNT(*) AS n FROM lfs_object GROUP BY 1"),
     "whitelist_filter": query(
         whitelist_filter,

@@ -26,7 +26,7 @@ def folder(spark, name: str) -> str:
 
 
 def api_issues(s):
-    rows = api.issues(s.issue.filter("repo_id <= 20"), s.users, s.issue_label, s.label.withColumn("color", F.lower("color")), s.pull_request)
+    rows = api.issues(s.issue, s.users, s.issue_label, s.label.withColumn("color", F.lower("color")), s.pull_request)
     return rows.select("id", "number", F.col("user.login").alias("login"), F.size("labels").cast("bigint").alias("n_labels"), F.col("assignee.username").alias("assignee"), "state", F.col("pull_request.merged").alias("merged"))
 
 
@@ -65,47 +65,64 @@ def api_teams(s):
 
 
 def api_commits(s):
-    rows = s.events.filter("event_id <= 300").select(F.sha1(F.col("event_id").cast("string").cast("binary")).alias("sha"), F.col("event_type").alias("message"), F.lit("A").alias("author_name"), F.concat(F.lit("Customer#"), F.lpad((F.col("event_id") % 400 * 7).cast("string"), 9, "0"), F.lit("@example.com")).alias("author_email"), F.lit("B").alias("committer_name"), F.concat(F.lit("none"), (F.col("event_id") % 3).cast("string"), F.lit("@x")).alias("committer_email"))
+    rows = s.events.select(F.sha1(F.col("event_id").cast("string").cast("binary")).alias("sha"), F.col("event_type").alias("message"), F.lit("A").alias("author_name"), F.concat(F.lit("Customer#"), F.lpad((F.col("event_id") % 400 * 7).cast("string"), 9, "0"), F.lit("@example.com")).alias("author_email"), F.lit("B").alias("committer_name"), F.concat(F.lit("none"), (F.col("event_id") % 3).cast("string"), F.lit("@x")).alias("committer_email"))
     return api.commits(rows, s.users).select("id", "message", F.col("author.username").alias("author"), F.col("committer.username").alias("committer"))
 
 
-#: A small history: commit n has the parents n // 2 and, if divisible by 5, n - 3.
-COMMITS = "SELECT CAST(p_partkey AS VARCHAR(20)) AS sha, CAST(p_partkey // 2 AS VARCHAR(20)) AS one, CASE WHEN p_partkey % 5 = 0 THEN CAST(p_partkey - 3 AS VARCHAR(20)) END AS two, p_partkey AS topo, p_name AS message FROM part WHERE p_partkey BETWEEN 1 AND 120"
+#: A history: commit n has the parents n // 2 and, if divisible by 5, n - 3.
+COMMITS = "SELECT CAST(p_partkey AS VARCHAR(20)) AS sha, CAST(p_partkey // 2 AS VARCHAR(20)) AS one, CASE WHEN p_partkey % 5 = 0 THEN CAST(p_partkey - 3 AS VARCHAR(20)) END AS two, p_partkey AS topo, p_name AS message FROM part"
 REACH = f"""WITH RECURSIVE c AS ({COMMITS}), e AS (SELECT sha AS a, one AS b FROM c WHERE one <> '0' UNION ALL SELECT sha, two FROM c WHERE two IS NOT NULL),
     r AS (SELECT sha AS start, sha FROM c WHERE sha IN ('100', '93') UNION SELECT r.start, e.b FROM r JOIN e ON e.a = r.sha)"""
 
 
-def small_history(s):
-    rows = s.part.filter("p_partkey between 1 and 120").select(F.col("p_partkey").cast("string").alias("sha"), F.array_compact(F.array(F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2).cast("string")), F.when(F.col("p_partkey") % 5 == 0, (F.col("p_partkey") - 3).cast("string")))).alias("parents"), F.col("p_partkey").alias("topo"), F.col("p_name").alias("message"))
+def commits_of(s):
+    rows = s.part.select(F.col("p_partkey").cast("string").alias("sha"), F.array_compact(F.array(F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2).cast("string")), F.when(F.col("p_partkey") % 5 == 0, (F.col("p_partkey") - 3).cast("string")))).alias("parents"), F.col("p_partkey").alias("topo"), F.col("p_name").alias("message"))
     if not s.spark.sparkContext.getCheckpointDir():
         folder(s.spark, "history")
     return rows
 
 
 def history_page(s):
-    return history.page(small_history(s), 2, 30).select("sha", "topo")
+    return history.page(commits_of(s), 2, 30).select("sha", "topo")
 
 
 def history_search(s):
-    return history.search(small_history(s), "AL").select("sha")
+    return history.search(commits_of(s), "AL").select("sha")
 
 
 def history_between(s):
-    return history.between(small_history(s), "93", "100", symmetric=True).select("sha")
+    return history.between(commits_of(s), "93", "100", symmetric=True).select("sha")
+
+
+def history_count(s):
+    return history.commit_count(commits_of(s), "100")
+
+
+def history_names(s):
+    rows = s.lineitem.select(F.col("l_partkey").cast("string").alias("sha"), F.concat(F.lit("f"), (F.col("l_suppkey") % 50).cast("string")).alias("path"))
+    return history.changed_names(commits_of(s), rows, "93", "100")
+
+
+def tree_listing(s):
+    """Folders by supplier and files in them, changed by commits that are orders."""
+    path = F.concat(F.lit("d"), (F.col("l_suppkey") % 30).cast("string"), F.lit("/f"), (F.col("l_partkey") % 40).cast("string"))
+    changes = s.lineitem.select(F.col("l_orderkey").cast("string").alias("sha"), path.alias("path"))
+    entries = changes.select(F.col("path").alias("entry")).unionByName(s.supplier.select(F.concat(F.lit("d"), (F.col("s_suppkey") % 31).cast("string")).alias("entry"))).distinct()
+    return history.tree_listing(entries, changes, s.orders.select(F.col("o_orderkey").cast("string").alias("sha"), F.col("o_orderkey").alias("topo")))
 
 
 def merge_base(s):
-    return history.merge_base(small_history(s), "93", "100").select("sha")
+    return history.merge_base(commits_of(s), "93", "100").select("sha")
 
 
 def name_status(s):
-    changes = s.lineitem.filter("l_orderkey <= 200").select(F.col("l_orderkey").cast("string").alias("sha"), F.element_at(F.array(*map(F.lit, "ADM")), (F.col("l_partkey") % 3 + 1).cast("int")).alias("status"), F.concat(F.lit("f"), (F.col("l_partkey") % 50).cast("string")).alias("path"))
+    changes = s.lineitem.select(F.col("l_orderkey").cast("string").alias("sha"), F.element_at(F.array(*map(F.lit, "ADM")), (F.col("l_partkey") % 3 + 1).cast("int")).alias("status"), F.concat(F.lit("f"), (F.col("l_partkey") % 50).cast("string")).alias("path"))
     return history.name_status(changes).select("sha", *[F.array_join(c, ",").alias(c) for c in ("added", "removed", "modified")])
 
 
 def jsonl_round_trip(s):
     at = folder(s.spark, "archive")
-    archive.dump(s.follow, "follow", at, single=False)
+    archive.dump(s.follow, "follow", at)
     return archive.restore(s.spark, "follow", at)
 
 
@@ -126,7 +143,8 @@ def run_once(s, df, name: str):
 def stream_fanout(s):
     rows, _ = stream_of(s, "events")
     rows = rows.select(F.col("event_id").alias("id"), "user_id", (F.col("event_id") % 100 + 1).alias("repo_id"), (F.col("event_id") % 40 + 1).alias("act_user_id"))
-    return run_once(s, flows.fan_out(rows, s.watch.filter("user_id <= 5")), "fanout")
+    written = run_once(s, flows.fan_out(rows, s.watch), "fanout")
+    return written.groupBy("user_id", "repo_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum("act_user_id").alias("actors"))
 
 
 def stream_windows(s):
@@ -147,7 +165,7 @@ QUERIES = {
         api_issues,
         """SELECT i.id, i."index" AS number, u.name AS login, (SELECT COUNT(*) FROM issue_label l JOIN label b ON b.id = l.label_id WHERE l.issue_id = i.id) AS n_labels,
            a.name AS assignee, CASE WHEN i.is_closed THEN 'closed' ELSE 'open' END AS state, CASE WHEN i.is_pull THEN i.id % 3 = 0 END AS merged
-           FROM issue i LEFT JOIN users u ON u.id = i.poster_id LEFT JOIN users a ON a.id = i.assignee_id WHERE i.repo_id <= 20""",
+           FROM issue i LEFT JOIN users u ON u.id = i.poster_id LEFT JOIN users a ON a.id = i.assignee_id""",
     ),
     "api_repositories": query(api_repositories, "SELECT r.id, concat_ws('/', u.name, r.name) AS full_name, r.is_private AS private, r.is_fork AS fork, 'https://git.example.com/' || concat_ws('/', u.name, r.name) || '.git' AS clone_url, false AS admin, true AS push FROM repository r LEFT JOIN users u ON u.id = r.owner_id"),
     "api_collaborators": query(api_collaborators, "SELECT u.id, c.mode >= 3 AS admin, c.mode >= 2 AS push, true AS pull FROM collaboration c LEFT JOIN users u ON u.id = c.user_id WHERE c.repo_id = 3"),
@@ -156,20 +174,28 @@ QUERIES = {
     "api_labels": query(api_labels, "SELECT id, name, substr(color, 2) AS color FROM label"),
     "api_hooks": query(api_hooks, "SELECT id, '/u/r/settings/hooks/' || id AS url, is_active AS active, CASE WHEN send_everything THEN 'create,delete,fork,push,issues,pull_request,issue_comment,release' ELSE concat_ws(',', CASE WHEN on_issues THEN 'fork' END, CASE WHEN push_only THEN 'push' END, CASE WHEN on_issues THEN 'issues' END) END AS events FROM webhook"),
     "api_teams": query(api_teams, "SELECT id, lower_name AS name, '' AS description, CASE authorize WHEN 1 THEN 'read' WHEN 2 THEN 'write' WHEN 3 THEN 'admin' ELSE 'owner' END AS permission FROM team"),
-    "api_commits": query(api_commits, "SELECT sha1(CAST(e.event_id AS VARCHAR)) AS id, e.event_type AS message, COALESCE(u.name, '') AS author, '' AS committer FROM events e LEFT JOIN users u ON u.id = e.event_id % 400 * 7 WHERE e.event_id <= 300"),
+    "api_commits": query(api_commits, "SELECT sha1(CAST(e.event_id AS VARCHAR)) AS id, e.event_type AS message, COALESCE(u.name, '') AS author, '' AS committer FROM events e LEFT JOIN users u ON u.id = e.event_id % 400 * 7"),
     "history_page": query(history_page, f"SELECT sha, topo FROM ({COMMITS}) ORDER BY topo DESC LIMIT 30 OFFSET 30"),
     "history_search": query(history_search, f"SELECT sha FROM ({COMMITS}) WHERE lower(message) LIKE '%al%'"),
     "history_between": query(history_between, f"{REACH} SELECT sha FROM r GROUP BY sha HAVING COUNT(DISTINCT start) = 1"),
+    "history_count": query(history_count, f"{REACH} SELECT COUNT(*) AS n FROM r WHERE start = '100'"),
+    "history_names": query(history_names, f"{REACH} SELECT DISTINCT 'f' || l_suppkey % 50 AS path FROM lineitem WHERE CAST(l_partkey AS VARCHAR) IN (SELECT sha FROM r WHERE start = '100') AND CAST(l_partkey AS VARCHAR) NOT IN (SELECT sha FROM r WHERE start = '93')"),
+    "tree_listing": query(
+        tree_listing,
+        """WITH c AS (SELECT 'd' || l_suppkey % 30 AS d, 'd' || l_suppkey % 30 || '/f' || l_partkey % 40 AS f, l_orderkey AS topo FROM lineitem)
+           SELECT f AS entry, CAST(MAX(topo) AS VARCHAR) AS sha FROM c GROUP BY f
+           UNION ALL SELECT e.entry, CAST(MAX(c.topo) AS VARCHAR) FROM (SELECT DISTINCT 'd' || s_suppkey % 31 AS entry FROM supplier) e LEFT JOIN c ON c.d = e.entry GROUP BY e.entry""",
+    ),
     "merge_base": query(merge_base, f"{REACH} SELECT sha FROM r GROUP BY sha HAVING COUNT(DISTINCT start) = 2 ORDER BY CAST(sha AS INT) DESC LIMIT 1"),
     "name_status": query(
         name_status,
         """SELECT sha, COALESCE(string_agg(p, ',' ORDER BY p) FILTER (WHERE s = 0), '') AS added, COALESCE(string_agg(p, ',' ORDER BY p) FILTER (WHERE s = 1), '') AS removed,
            COALESCE(string_agg(p, ',' ORDER BY p) FILTER (WHERE s = 2), '') AS modified FROM
-           (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS sha, l_partkey % 3 AS s, 'f' || l_partkey % 50 AS p FROM lineitem WHERE l_orderkey <= 200) GROUP BY sha""",
+           (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS sha, l_partkey % 3 AS s, 'f' || l_partkey % 50 AS p FROM lineitem) GROUP BY sha""",
     ),
     "jsonl_round_trip": query(jsonl_round_trip, "SELECT id, user_id, follow_id FROM follow"),
-    "stream_fanout": query(stream_fanout, """SELECT id, act_user_id AS user_id, repo_id, act_user_id FROM action
-        UNION ALL SELECT a.id, w.user_id, a.repo_id, a.act_user_id FROM action a JOIN (SELECT DISTINCT user_id, repo_id FROM watch WHERE user_id <= 5) w ON w.repo_id = a.repo_id AND w.user_id <> a.act_user_id"""),
+    "stream_fanout": query(stream_fanout, """SELECT user_id, repo_id, COUNT(*) AS n, CAST(SUM(id) AS BIGINT) AS ids, CAST(SUM(act_user_id) AS BIGINT) AS actors FROM (SELECT id, act_user_id AS user_id, repo_id, act_user_id FROM action
+        UNION ALL SELECT a.id, w.user_id, a.repo_id, a.act_user_id FROM action a JOIN (SELECT DISTINCT user_id, repo_id FROM watch) w ON w.repo_id = a.repo_id AND w.user_id <> a.act_user_id) GROUP BY 1, 2"""),
     "stream_windows": query(stream_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, COUNT(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1, 2"),
     "mail_messages": query(mail_messages, """SELECT u.email AS "to", '[site] ' || i.name || ' (#' || i."index" || ')' AS subject FROM (SELECT DISTINCT issue_id, uid FROM issue_user WHERE is_mentioned) m JOIN users u ON u.id = m.uid JOIN issue i ON i.id = m.issue_id WHERE u.is_active AND u.type = 0"""),
 }

@@ -16,11 +16,11 @@ def key_of(table: str) -> list[str]:
     return ["repo_id", "oid"] if table == "lfs_object" else ["id"]
 
 
-def dump(df: DataFrame, table: str, folder: str, single: bool = True) -> None:
+def dump(df: DataFrame, table: str, folder: str, single: bool = False) -> None:
     """Writes ``folder/<Table>.json`` as JSON Lines in key order.
 
-    ``single``: one file, as archives have it; else one file a partition, globally ordered,
-    which is the form for large tables.
+    One file a partition, globally ordered; ``single``: one file through one task, for small
+    tables that other programs read.
     """
     named = df.orderBy(*key_of(table)).select(*[F.col(c).alias(S.field(table, c)) for c in df.columns])
     (named.coalesce(1) if single else named).write.mode("overwrite").option("ignoreNullFields", "false").json(posixpath.join(folder, f"{S.archive_name(table)}.json"))

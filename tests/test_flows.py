@@ -91,6 +91,8 @@ def test_edges_are_added_once(spark):
     once = mutations.add_edges(edges, new, "user_id", "follow_id")
     assert sorted(map(tuple, once.collect())) == [(4, 1, 2), (5, 2, 1)]
     assert sorted(map(tuple, mutations.add_edges(once, new, "user_id", "follow_id").collect())) == [(4, 1, 2), (5, 2, 1)]
+    many = mutations.add_edges(edges, spark.range(10_000).selectExpr("id AS user_id", "7L AS follow_id"), "user_id", "follow_id")
+    assert sorted(r.id for r in many.collect()) == list(range(4, 10_005))
 
 
 def test_history(spark, tmp_path):
@@ -105,6 +107,12 @@ def test_history(spark, tmp_path):
     assert got["c"] == ([], ["y"], ["x/1"])
     entries = spark.createDataFrame([("x",), ("y",), ("z",)], "entry string")
     assert {(r.entry, r.sha) for r in history.tree_listing(entries, changes, commits).collect()} == {("x", "c"), ("y", "c"), ("z", None)}
+    plan = history.tree_listing(entries, changes, commits)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert history.commit_count(commits, "e").first().n == 5 and history.commit_count(commits, "zz").first().n == 0
+    assert {r.path for r in history.changed_names(commits, changes, "d", "c").collect()} == {"x/1", "y"}
+    chain = spark.range(60).selectExpr("CAST(id AS STRING) AS sha", "IF(id > 0, array(CAST(id - 1 AS STRING)), array()) AS parents", "id AS topo")
+    assert history.commit_count(chain, "49").first().n == 50
 
 
 def test_mail_order(spark):

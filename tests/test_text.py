@@ -128,3 +128,40 @@ def test_versions_and_hosts():
     assert H.version_compare("1.2.3", "<", "1.10.0") and H.version_compare("2.0.0-rc1", "<", "2.0.0") and not H.version_compare("x", "=", "1") and H.version_compare("2.1.0.windows.1", ">=", "2.1")
     assert H.blocked_address("127.0.0.1") and H.blocked_address("::1") and not H.blocked_address("8.8.8.8") and not H.blocked_address("10.0.0.1", ("10.0.0.1",))
     assert H.file_kind(b"") == "text" and H.file_kind(b"\x00\x01") == "binary" and H.file_kind(b"%PDF-1") == "pdf"
+
+
+def test_links_stand_at_their_places(spark):
+    """Equal and overlapping names, and names that look like commits, give no link inside another one."""
+    link = lambda to, label: f'<a href="{to}">{label}</a>'
+    cases = {
+        "@ann @anna @ann": " ".join(link(f"/{n}", f"@{n}") for n in ("ann", "anna", "ann")),
+        "#1 #12 (#1)": f"{link('/p/issues/1', '#1')} {link('/p/issues/12', '#12')} ({link('/p/issues/1', '#1')})",
+        "@deadbeef1 a/b#7 a/b#7": f"{link('/deadbeef1', '@deadbeef1')} {link('https://s/a/b/issues/7', 'a/b#7')} {link('https://s/a/b/issues/7', 'a/b#7')}",
+        "deadbeef12345": '<a href="/r/commit/deadbeef12345"><code>deadbeef12</code></a>',
+        "x": "x",
+        "": "",
+    }
+    for text, want in cases.items():
+        assert H.special_links(text, "/p", "/r", "https://s/") == want
+        assert one(spark, T.special_links(F.lit(text), "/p", "/r", "https://s/")) == want
+
+
+def test_signatures(spark):
+    import hashlib
+    import hmac
+
+    for secret in ("k", "", "é" * 10, "x" * 64, "y" * 65, "z" * 200):
+        for payload in ("", "p", '{"a": "ü"}' * 50):
+            assert one(spark, T.hmac_sha256(F.lit(payload), *T.hmac_keys(F.lit(secret)))) == hmac.new(secret.encode(), payload.encode(), hashlib.sha256).hexdigest()
+
+
+def test_file_kinds_are_those_of_python(spark):
+    heads = [b"", b"text", b"a\tb\n\x1b[0m", b"\x00", b"ab\x1c", b"\x89PNG\r\n\x1a\n..", b"\xff\xd8\xff", b"GIF89a", b"BMx", b"%PDF-1", b"\x1aE\xdf\xa3", b"OggS", b"RIFF1234WEBPx", b"RIFF1234AVI x", b"1234ftypmp42", b"a" * 1024 + b"\x00", "é漢".encode()]
+    rows = spark.createDataFrame([(i, bytearray(h)) for i, h in enumerate(heads)], "i int, h binary").select("i", T.file_kind(F.col("h")).alias("k")).collect()
+    assert {r.i: r.k for r in rows} == {i: H.file_kind(h) for i, h in enumerate(heads)}
+
+
+def test_passwords():
+    stored = H.password_hash("secret", "salt")
+    assert len(stored) == 100 and H.password_matches("secret", "salt", stored)
+    assert not H.password_matches("secret", "Salt", stored) and not H.password_matches("", "salt", stored) and not H.password_matches("secret", "salt", "")
