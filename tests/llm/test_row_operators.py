@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from forgeframe.llm import mixing, sharding, simhash, url_filter, vector_graph
 from forgeframe.llm._common import Scratch
@@ -303,8 +304,6 @@ def alike(a, b):
 
 
 def check_groups(spark, texts, **how):
-    from pyspark.sql import functions as F
-
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     scratch = Scratch(spark, "t")
     root = {r.h: r.root for r in simhash.similar(docs.select(F.xxhash64("text").alias("h"), F.col("text").alias("t")), scratch, **how).collect()}
@@ -423,13 +422,62 @@ def test_vector_edges(spark):
     assert {(r.vec_id, r.n_links, r.component, r.kept) for r in rows} == {(None, 1, 4, False), (4, 1, 4, True), (5, 0, 5, True), (6, 0, 6, True)}
 
 
-def test_search_over_shards_finds_what_brute_force_finds():
+def test_search_finds_what_brute_force_finds():
     rng = np.random.default_rng(1)
-    x = vector_graph.unit(np.concatenate([rng.normal(size=(400, 24)), np.repeat(rng.normal(size=(8, 24)), 40, 0) + 0.05 * rng.normal(size=(320, 24))]))
-    a, b = vector_graph.search(x, vector_graph.pruned(x), 0.9)
-    want = np.argwhere((x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool))
-    found = set(zip(a.tolist(), b.tolist()))
-    assert found <= set(map(tuple, want.tolist())) and len(found) >= 0.98 * len(want)
+    x = vector_graph.unit(np.concatenate([rng.normal(size=(400, 24)), np.repeat(rng.normal(size=(8, 24)), 40, 0) + 0.05 * rng.normal(size=(320, 24)), rng.normal(size=24) + 0.05 * rng.normal(size=(300, 24))]))
+    want = set(map(tuple, np.argwhere((x @ x.T >= 0.9)).tolist()))
+    for entry in (np.arange(len(x)), np.full(len(x), -1)):
+        pairs: list = []
+        vector_graph.search(x, x, vector_graph.pruned(x), 0.9, entry, lambda q, y: pairs.extend(zip(q.tolist(), y.tolist())))
+        assert len(pairs) == len(set(pairs)) and set(pairs) <= want and len(pairs) >= 0.97 * len(want)
+    label, links = np.arange(len(x)), sorted(want)
+    for part in (links[::2], links[1::2]):
+        vector_graph.merge(label, *np.array(part).T)
+    assert label.tolist() == groups(len(x), links)
+
+
+def test_units_neither_overflow_nor_underflow(spark):
+    rng = np.random.default_rng(8)
+    near, far = rng.normal(size=16), rng.normal(size=16)
+    rows = [near * f for f in (1.0, 1e-200, 1e200, 1e-310)] + [far * 1e-200, np.r_[1e-200 * np.ones(15), 1e200], np.full(16, 1e-323)]
+    assert np.allclose(np.linalg.norm(vector_graph.unit(rows), axis=1), 1)
+    got = {r.vec_id: r for r in vector_graph.near_duplicates(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id bigint, embedding array<double>")).collect()}
+    assert [got[i].component for i in range(7)] == [0, 0, 0, 0, 4, 5, 6] and [got[i].n_links for i in range(7)] == [3, 3, 3, 3, 0, 0, 0]
+
+
+def linked_by_brute_force(x):
+    u = vector_graph.unit(x)
+    near = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    return near.sum(1), groups(len(u), [(i, j) for i, j in np.argwhere(near).tolist() if j < i])
+
+
+@pytest.mark.parametrize("way", ["graph", "every"])
+def test_crowds_and_pairs_across_shards(spark, monkeypatch, way):
+    """A crowd that fills many shards, and pairs that have none in common, are found over the united lists; so by all pairs."""
+    monkeypatch.setattr(vector_graph, "PER_SHARD", 100)
+    monkeypatch.setattr(vector_graph, "LARGE", 300)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=16) + 0.12 * rng.normal(size=(1500, 16)), rng.normal(size=(1000, 16))])
+    x = np.concatenate([x, x[1500::4] + 0.1 * rng.normal(size=(250, 16))])
+    nodes = spark.createDataFrame([(i, 1, v) for i, v in enumerate(x.tolist())], "h bigint, n bigint, v array<double>").repartition(4)
+    links, label = linked_by_brute_force(x)
+    if way == "graph":
+        shards = {}
+        for r in vector_graph.assigned(nodes, Scratch(spark, "t"), 2).collect():
+            shards.setdefault(r.h, set()).add(r.shard)
+        size = Counter(s for v in shards.values() for s in v)
+        u = vector_graph.unit(x)
+        apart = [(i, j) for i, j in np.argwhere(np.triu(u @ u.T >= 0.9, 1)).tolist() if not shards[i] & shards[j]]
+        assert max(size.values()) <= 300 and len(size) > 20 and len(apart) > 1000
+        counts, edges = vector_graph.link(nodes, 0.9, 2)
+    else:
+        counts, edges = vector_graph.every_pair(nodes, 0.9, 500)
+    got = {r.h: r.n for r in counts.groupBy("h").agg(F.sum("links").alias("n")).collect()}
+    assert all(got[i] <= links[i] for i in range(len(x)))
+    shares = [got[i] / links[i] for i in range(len(x)) if links[i]]
+    assert np.mean(shares) >= (0.98 if way == "graph" else 1)
+    found = groups(len(x), [(r.u, r.v) for r in edges.collect()])
+    assert sum(a == b for a, b in zip(found, label)) >= (0.98 if way == "graph" else 1) * len(x)
 
 
 # ---- the pipeline -------------------------------------------------------------------------
