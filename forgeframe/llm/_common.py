@@ -56,10 +56,10 @@ class Scratch:
         self.spark, self.path = spark, posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
         MADE.append(self.path)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Writes ``df`` and reads it again."""
         at = posixpath.join(self.path, name)
-        df.write.mode("overwrite").parquet(at)
+        df.write.mode("overwrite").option("compression", codec).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str = "") -> None:
@@ -72,6 +72,22 @@ def fresh(name: str) -> str:
     return f"_{name}_{uuid.uuid4().hex[:12]}"
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``; at its end, memory that was freed goes back to the system, as workers live on for other tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[list]], list[list]]], block_bytes: int = 4 << 20) -> DataFrame:
     """``df`` through ``mapInArrow``: ``make()`` runs once a task and gives a function from
     columns (lists) to columns (lists). Rows are handed over in blocks of about
@@ -93,7 +109,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[list]
                 out = f([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, target, strict=True)], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def crc_mod(column: str, by: int):

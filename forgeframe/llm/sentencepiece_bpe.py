@@ -307,9 +307,9 @@ def encode(docs, model_path: str, text: str = "text", keep: list[str] | None = N
 
     from pyspark.sql import functions as F
 
-    from forgeframe.llm._common import fresh
+    from forgeframe.llm._common import fresh, tidied
 
-    return docs.select(*keep, F.col(text).alias(fresh("text"))).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(fresh("text"))).mapInArrow(tidied(run), schema)
 
 
 def decode(docs, model_path: str, ids: str = "ids"):

@@ -33,7 +33,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgeframe.llm._common import Scratch, fresh, map_rows
+from forgeframe.llm._common import Scratch, fresh, map_rows, tidied
 from forgeframe.llm._graph import components
 
 BUCKET = 64
@@ -112,7 +112,7 @@ def bit_counts(found: DataFrame):
                 total += (part.T @ part).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(total.tolist(), pa.list_(pa.int64()))], ["i", "n"])
 
-    rows = found.mapInArrow(run, "i int, n array<bigint>")
+    rows = found.mapInArrow(tidied(run), "i int, n array<bigint>")
     sums = rows.groupBy("i").agg(F.array(*[F.sum(F.col("n")[j]) for j in range(64)]).alias("n")).collect()
     out = np.zeros((64, 64), np.float64)
     for r in sums:
@@ -241,7 +241,7 @@ def common(rows: DataFrame, scratch: Scratch, words: int, texts: int = 1 << 14,
                 sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["s"])
 
-    counted = scratch.table(sample.mapInArrow(run, "s bigint").groupBy("s").agg(F.count("*").alias("n")).filter("n > 2"), "common")
+    counted = scratch.table(sample.mapInArrow(tidied(run), "s bigint").groupBy("s").agg(F.count("*").alias("n")).filter("n > 2"), "common")
     least, total = 3, 0
     for r in sorted(counted.groupBy("n").agg(F.count("*").alias("m")).collect(), key=lambda r: -r.n):
         total += r.m
@@ -291,7 +291,7 @@ def prefixes(rows: DataFrame, last, words: int, num: int, den: int) -> DataFrame
                 ids = part.column("h").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[take].view(np.int64)), pa.array(ids[own]), pa.array(size[own].astype(np.int32)), pa.array(pos[take].astype(np.int32)), *[pa.array([None if i else make(o) for i, o in zip(pos[take].tolist(), own.tolist())], kind) for make, kind in ((lambda o: odd[o].tobytes(), pa.binary()), (prints.__getitem__, pa.int64()))]], ["k", "id", "size", "pos", "odd", "f"])
 
-    return rows.mapInArrow(run, "k bigint, id bigint, size int, pos int, odd binary, f bigint")
+    return rows.mapInArrow(tidied(run), "k bigint, id bigint, size int, pos int, odd binary, f bigint")
 
 
 def shared(keys: DataFrame) -> DataFrame:
@@ -322,7 +322,7 @@ def shared(keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names)
 
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.select(*names).repartition(parts, "k").sortWithinPartitions("k", "id").mapInArrow(run, "k bigint, id bigint, size int, pos int")
+    return keys.select(*names).repartition(parts, "k").sortWithinPartitions("k", "id").mapInArrow(tidied(run), "k bigint, id bigint, size int, pos int")
 
 
 def possible(pairs: DataFrame, odd: DataFrame, num: int, den: int) -> DataFrame:
@@ -431,7 +431,7 @@ def forest(cells: DataFrame, num: int, den: int, more: int = 0) -> DataFrame:
             yield from flush(held)
 
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(parts, "k", "cell").sortWithinPartitions("k", "cell").mapInArrow(run, "k bigint, cell bigint, u bigint, v bigint")
+    return cells.repartition(parts, "k", "cell").sortWithinPartitions("k", "cell").mapInArrow(tidied(run), "k bigint, cell bigint, u bigint, v bigint")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch, words: int, num: int, den: int, name: str) -> DataFrame:
@@ -460,7 +460,7 @@ def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch, words: int, nu
                 ends = np.cumsum([0, *map(len, sets)])
                 yield pa.RecordBatch.from_arrays([part.column("h"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["h", "s"])
 
-    sets = scratch.table(rows.join(asked, "h", "left_semi").select("h", "t").mapInArrow(run, "h bigint, s array<bigint>").dropDuplicates(["h"]), f"{name}-sets")
+    sets = scratch.table(rows.join(asked, "h", "left_semi").select("h", "t").mapInArrow(tidied(run), "h bigint, s array<bigint>").dropDuplicates(["h"]), f"{name}-sets")
     one = sets.select(F.col("h").alias("u"), F.col("s").alias("a"))
     two = sets.select(F.col("h").alias("v"), F.col("s").alias("b"))
     common_ = F.size(F.array_intersect("a", "b"))

@@ -36,7 +36,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgeframe.llm._common import Scratch
+from forgeframe.llm._common import Scratch, tidied
 from forgeframe.llm._graph import components
 
 ALPHA, DEGREE, POOL, BEAM, AUDIT = 1.2, 24, 48, 32, 256
@@ -240,7 +240,7 @@ def assigned(nodes: DataFrame, scratch: Scratch, overlap: int) -> DataFrame:
             near = np.zeros((b.num_rows, 1), np.int64) if c is None else np.concatenate([np.argsort(-(unit(b.column("v").slice(a, 1024).to_pylist()) @ c.T), axis=1, kind="stable")[:, :overlap] for a in range(0, b.num_rows, 1024)])
             yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), b.column("h").take(pa.array(np.repeat(np.arange(len(near)), near.shape[1])))], ["shard", "h"])
 
-    rows = scratch.table(nodes.select("h", "v").mapInArrow(nearest, "shard bigint, h bigint"), f"shards{overlap}")
+    rows = scratch.table(nodes.select("h", "v").mapInArrow(tidied(nearest), "shard bigint, h bigint"), f"shards{overlap}")
     for level in range(20):
         large = {r.shard: r.n for r in rows.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).collect()}  # fewer than a row in LARGE
         if not large:
@@ -257,7 +257,7 @@ def assigned(nodes: DataFrame, scratch: Scratch, overlap: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], ["shard", "v"])
 
         means: dict = {}
-        for r in inside.select("shard", "v").mapInArrow(sums, "shard bigint, v array<double>").groupBy("shard").agg(F.collect_list("v").alias("v")).collect():  # a row for each large shard, a vector for each task
+        for r in inside.select("shard", "v").mapInArrow(tidied(sums), "shard bigint, v array<double>").groupBy("shard").agg(F.collect_list("v").alias("v")).collect():  # a row for each large shard, a vector for each task
             means[r.shard] = np.sum(r.v, 0) / large[r.shard]
         sent = spark.sparkContext.broadcast((large, means))
 
@@ -281,7 +281,7 @@ def assigned(nodes: DataFrame, scratch: Scratch, overlap: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_s)), b.column("h").take(pa.array(np.concatenate(out_h)))], ["shard", "h"])
 
         kept = rows.join(F.broadcast(names), "shard", "left_anti")
-        rows = scratch.table(kept.unionByName(inside.select("shard", "h", "v").mapInArrow(split, "shard bigint, h bigint")).distinct(), f"split{overlap}-{level}")
+        rows = scratch.table(kept.unionByName(inside.select("shard", "h", "v").mapInArrow(tidied(split), "shard bigint, h bigint")).distinct(), f"split{overlap}-{level}")
         scratch.drop(f"large{overlap}-{level}")
     return rows
 
@@ -473,7 +473,7 @@ def audit(nodes: DataFrame, links: DataFrame, least: float) -> float:
                     total += (near * part.column("n").to_numpy()[None, :]).sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["h", "true_links"])
 
-    true = nodes.select("h", "n", "v").mapInArrow(brute, "h bigint, true_links bigint").groupBy("h").agg(F.sum("true_links").alias("true_links"))
+    true = nodes.select("h", "n", "v").mapInArrow(tidied(brute), "h bigint, true_links bigint").groupBy("h").agg(F.sum("true_links").alias("true_links"))
     share = F.least("true_links", F.coalesce("links", F.lit(0))) / F.col("true_links")
     row = true.join(links, "h", "left").filter("true_links > 0").agg(F.avg(share).alias("a")).first()
     return 1.0 if row.a is None else row.a
