@@ -49,9 +49,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from forgeframe.llm import _files
-from forgeframe.llm._common import Scratch, delete, fresh, map_rows
+from forgeframe.llm._common import Scratch, delete, fresh, map_rows, tidied
 
-DISCOUNT, SHARD, TOP_BITS, LEVELS, NONE = 0.75, 2_000_000, 16, 255, 255
+DISCOUNT, SHARD, TOP_BITS, LEVELS, NONE = 0.75, 4_000_000, 16, 255, 255
 FLUSH, OPEN = 4_000_000, 64
 
 
@@ -88,31 +88,60 @@ def unpack(packed, bits: int, i):
     return (first | second) & np.uint64((1 << bits) - 1)
 
 
-def select(flags, before, k):
-    """The places of ones number k of a bit string, from the number of ones before each of its 64-bit words."""
+def placed() -> object:
+    """Of each byte and k below 8: the place of its one number k."""
     import numpy as np
 
-    word = np.searchsorted(before, k, "right") - 1
-    left, free, place = k - before[word], flags[word], word << 6
-    for width in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(free & np.uint64((1 << width) - 1)).astype(np.int64)
-        go = left >= below
-        left = left - below * go
-        free = free >> (go * np.uint64(width)).astype(np.uint64)
-        place = place + go * width
-    return place
+    out = np.zeros((256, 8), np.int64)
+    for byte in range(256):
+        ones = [i for i in range(8) if byte >> i & 1]
+        out[byte, : len(ones)] = ones
+    return out.ravel()
+
+
+def directory(flags, count):
+    """For ``select``: how many counted bits stand before each 64-bit word, and the word of every 64th of them."""
+    import numpy as np
+
+    before = np.r_[0, np.cumsum(count)[:-1]].astype(np.int64)
+    total = int(before[-1] + count[-1]) if len(count) else 0
+    return before, (np.searchsorted(before, np.arange(0, total + 64, 64), "right") - 1).astype(np.int32)
+
+
+def select(flags, before, hint, table, k):
+    """The places of ones number k of a bit string."""
+    import numpy as np
+
+    last, u = len(flags) - 1, np.uint64
+    word = hint[k >> 6].astype(np.int64)
+    lane = np.flatnonzero((word < last) & (before[np.minimum(word + 1, last)] <= k))
+    while len(lane):
+        word[lane] += 1
+        w = word[lane]
+        lane = lane[(w < last) & (before[np.minimum(w + 1, last)] <= k[lane])]
+    x, rank = flags[word], (k - before[word]).astype(u)
+    # ones up to each byte, all bytes of a word at once
+    sums = x - ((x >> u(1)) & u(0x5555555555555555))
+    sums = (sums & u(0x3333333333333333)) + ((sums >> u(2)) & u(0x3333333333333333))
+    sums = ((sums + (sums >> u(4))) & u(0x0F0F0F0F0F0F0F0F)) * u(0x0101010101010101)
+    high = u(0x8080808080808080)
+    shift = np.bitwise_count(((rank * u(0x0101010101010101)) | high) - sums & high).astype(u) << u(3)
+    left = rank - (((sums << u(8)) >> shift) & u(255))
+    byte = (x >> shift) & u(255)
+    return (word << 6) + shift.astype(np.int64) + table[((byte << u(3)) | left).astype(np.int64)]
 
 
 class Monotone:
     """A sorted sequence of unsigned integers by Elias and Fano."""
 
-    def __init__(self, arrays: dict, name: str):
-        self.low, self.high, self.before = (arrays[f"{name}.{x}"] for x in ("low", "high", "before"))
+    def __init__(self, arrays: dict, name: str, table=None):
+        self.low, self.high, self.before, self.hint = (arrays[f"{name}.{x}"] for x in ("low", "high", "before", "hint"))
         self.size, self.bits = (int(x) for x in arrays[f"{name}.shape"])
+        self.table = placed() if table is None else table
 
     @staticmethod
     def build(values, name: str, flip: bool = False) -> dict:
-        """values: sorted uint64. flip: for ``find``, which selects zeros; else for ``get``, which selects ones."""
+        """values: sorted uint64. flip: for ``find``, which selects zeros; else for ``pair``, which selects ones."""
         import numpy as np
 
         n = len(values)
@@ -123,14 +152,24 @@ class Monotone:
         flags[high_of + np.arange(n)] = 1
         high = np.packbits(flags, bitorder="little").view(np.uint64)
         ones = np.bitwise_count(high).astype(np.int64)
-        before = np.r_[0, np.cumsum(64 - ones if flip else ones)][:-1]
-        return {f"{name}.low": pack(values & np.uint64((1 << bits) - 1), bits), f"{name}.high": high, f"{name}.before": before, f"{name}.shape": np.array([n, bits], np.int64)}
+        before, hint = directory(high, 64 - ones if flip else ones)
+        return {f"{name}.low": pack(values & np.uint64((1 << bits) - 1), bits), f"{name}.high": high, f"{name}.before": before, f"{name}.hint": hint, f"{name}.shape": np.array([n, bits], np.int64)}
 
-    def get(self, i):
-        """Elements i."""
+    def pair(self, i):
+        """Elements i and i + 1."""
         import numpy as np
 
-        return ((select(self.high, self.before, i) - i) << self.bits) | unpack(self.low, self.bits, i).astype(np.int64)
+        u = np.uint64
+        place = select(self.high, self.before, self.hint, self.table, i)
+        rest = (self.high[place >> 6] >> (place & 63).astype(u)) >> u(1)
+        after = place + 1 + np.bitwise_count((rest & (~rest + u(1))) - u(1)).astype(np.int64)  # the next one of the same word
+        none = np.flatnonzero(rest == 0)
+        if len(none):
+            after[none] = select(self.high, self.before, self.hint, self.table, i[none] + 1)
+        one, two = (place - i) << self.bits, (after - i - 1) << self.bits
+        if self.bits:
+            one, two = one | self.lows(i).astype(np.int64), two | self.lows(i + 1).astype(np.int64)
+        return one, two
 
     def lows(self, i):
         """The low bits of elements i."""
@@ -138,7 +177,7 @@ class Monotone:
 
     def zero(self, k):
         """The place of zero number k in the high bits."""
-        return select(self.inverse(), self.before, k)
+        return select(self.inverse(), self.before, self.hint, self.table, k)
 
     def inverse(self):
         if not hasattr(self, "_inverse"):
@@ -261,7 +300,7 @@ class Trie:
         self.offsets = np.array(shape["offsets"], np.int64)
         self.children = {n: np.array(x, np.int64) for n, x in shape.get("children", {}).items()}
         self.salt = {n: np.array(x, np.int64) for n, x in shape.get("salt", {}).items()}
-        self.opened: dict = {}
+        self.opened, self.table = {}, placed()
         self.mapped = _files.mounted(shape["path"]) is not None
         self.tokens = Tokens()
         self.end = self.words(np.array([END], np.int64))[0]
@@ -270,7 +309,8 @@ class Trie:
         if name not in self.opened:
             if not self.mapped and len(self.opened) >= OPEN:
                 self.opened.pop(next(iter(self.opened)))
-            self.opened[name] = _files.load(posixpath.join(self.shape["path"], name))
+            a = self.opened[name] = _files.load(posixpath.join(self.shape["path"], name))
+            a |= {k: Monotone(a, k, self.table) for k in ("from", "keys") if f"{k}.high" in a}
         return self.opened[name]
 
     def parted(self, ids, lane):
@@ -296,7 +336,7 @@ class Trie:
             if self.offsets[s] == self.offsets[s + 1]:
                 continue
             a = self.file(f"level1-{s}")
-            at = Monotone(a, "keys").find(relative(h[lane], int(a["base"][0])))
+            at = a["keys"].find(relative(h[lane], int(a["base"][0])))
             ids[lane] = np.where(at >= 0, at + self.offsets[s], -1)
         return ids
 
@@ -360,20 +400,29 @@ class Trie:
             if not len(lane):
                 continue
             a = self.file(f"level{n}-{c}")
-            pointers, words = Monotone(a, "from"), a["words"]
-            edge = pointers.get(np.concatenate([context[lane], context[lane] + 1]))
-            low, top, want = edge[: len(lane)], edge[len(lane) :], word[lane].astype(np.uint64)
-            go = low < top
-            lane, low, top, want = lane[go], low[go], top[go], want[go]
-            while len(lane):
-                middle = (low + top) >> 1
-                seen = unpack(words, bits, middle)
-                hit = seen == want
+            pointers, words = a["from"], a["words"]
+            low, top = pointers.pair(context[lane])
+            want = word[lane]
+            # words are numbered by their hash, so successors lie evenly and a guess by proportion is nearly right
+            least, most, turn = np.zeros(len(lane), np.int64), np.full(len(lane), self.shape["words"], np.int64), 0
+            while True:
+                go = low < top
+                lane, low, top, want, least, most = (z[go] for z in (lane, low, top, want, least, most))
+                if not len(lane):
+                    break
+                if turn < 6:
+                    middle = np.minimum(low + ((want - least) / (most - least) * (top - low)).astype(np.int64), top - 1)
+                else:
+                    middle = (low + top) >> 1
+                seen = unpack(words, bits, middle).astype(np.int64)
+                hit = np.flatnonzero(seen == want)
                 at[lane[hit]] = middle[hit]
                 term[lane[hit]] = a["term.scale"][a["term.code"][middle[hit]]]
-                low, top = np.where(seen < want, middle + 1, low), np.where(seen < want, top, middle)
-                go = ~hit & (low < top)
-                lane, low, top, want = lane[go], low[go], top[go], want[go]
+                less = seen < want
+                low, least = np.where(less, middle + 1, low), np.where(less, seen + 1, least)
+                top, most = np.where(less, top, middle), np.where(less, most, seen)
+                top[hit] = low[hit]
+                turn += 1
         return child, at, term, bow
 
     def bigrams(self, ids, first):
@@ -495,7 +544,7 @@ def vocabulary(docs: DataFrame, text: str) -> DataFrame:
         if ends:
             yield pa.RecordBatch.from_arrays([pa.array([END], pa.int64()), pa.array([ends], pa.int64())], ["h", "n"])
 
-    return docs.select(text).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(tidied(run), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def merged(rows: DataFrame, finish, schema: str) -> DataFrame:
@@ -525,7 +574,7 @@ def merged(rows: DataFrame, finish, schema: str) -> DataFrame:
                 at = to
         yield from out()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def dealt(df: DataFrame, shards: int, *order: str) -> DataFrame:
@@ -592,7 +641,7 @@ def count_grams(numbered: DataFrame, shape: dict, n: int) -> DataFrame:
                     size = 0
         yield out()
 
-    return numbered.select("words").mapInArrow(run, "shard bigint, grams binary")
+    return numbered.select("words").mapInArrow(tidied(run), "shard bigint, grams binary")
 
 
 def number(docs: DataFrame, shape: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -635,7 +684,7 @@ def train_words(docs: DataFrame, text: str = "text", shard_tokens: int | None =
             shard = np.searchsorted(cuts, bucket(b.column("h").to_numpy(zero_copy_only=False)), "right") - 1
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), b.column("h"), b.column("n")], ["shard", "h", "n"])
 
-    numbered = words.mapInArrow(place, "shard bigint, h bigint, n bigint")
+    numbered = words.mapInArrow(tidied(place), "shard bigint, h bigint, n bigint")
 
     def write_words(s, columns):
         import numpy as np
@@ -682,7 +731,7 @@ def train_grams(numbered: DataFrame, shape: dict, least: int = 1) -> dict:
             else:
                 _files.save(at(f"bows{order}-{parent}"), bows_of(used))
             if order == 2:
-                _files.save(at(f"building/counts-{s}"), {"n": counts})
+                _files.save(at(f"building/counts-{s}"), {"n": counts.astype("<u4" if len(counts) == 0 or counts.max() < 2**32 else "<u8")})
             return s, len(keys), int(counts.sum())
 
         children = [c for p in live for c in range(first[p], first[p + 1])]

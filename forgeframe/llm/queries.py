@@ -45,7 +45,7 @@ def op6_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("held_out", crc_mod("doc_id", 7) == 2)
     shape = ngram_trie.train_words(docs.filter("not held_out"))
-    numbered = Scratch(spark, "op6").table(ngram_trie.number(docs, shape, keep=["doc_id", "held_out"]), "numbered")
+    numbered = Scratch(spark, "op6").table(ngram_trie.number(docs, shape, keep=["doc_id", "held_out"]), "numbered", "zstd")
     shape = ngram_trie.train_grams(numbered.filter("not held_out"), shape)
     found = ngram_trie.score_numbered(numbered, shape)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(shape["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score")
