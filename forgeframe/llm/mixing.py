@@ -11,7 +11,9 @@ size, the excess shared again by weight until none is above. That fixed point is
 by cap / weight.
 
 Null sources are one source, the last; null keys share one hash; null and empty texts have
-size 0 and are never cut. Equal keys are ordered by size. Empty table: empty result. Input
+size 0 and are never cut. Equal keys are ordered by size; where very many rows have one key, first
+by a hash of size and text, in ``SALTS`` cells, so that they are not one task. Only sizes of texts
+are moved, however long they are. Targets take one row a source. Empty table: empty result. Input
 columns named like an output column are replaced.
 """
 
@@ -24,7 +26,8 @@ from pyspark.sql import Window as W
 from forgeframe.llm._common import WORD, Scratch, fresh
 from forgeframe.llm.sharding import BITS, hash60
 
-CELL_BITS = 10
+#: Bits of a key's hash that name a cell; cells of a hot key; the share of all rows that makes a key hot.
+CELL_BITS, SALTS, HOT = 12, 256, 10_000
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -54,18 +57,27 @@ def plan(docs: DataFrame, weights=(3.0, 1.0, 2.0), share=1.5, cap=2.0, key="doc_
         F.col(source).isNull().alias("none"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         hash60(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("k"),
+        F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int").alias("salt"),
     )
     rows = scratch.table(rows, "rows").withColumn("cell", F.expr(f"k div {1 << (BITS - CELL_BITS)}"))
-    cells = scratch.table(rows.groupBy("s", "none", "cell").agg(F.sum("size").alias("cell_size")), "cells")
+    # hot keys (fewer than HOT) cut their cells: what is before one, the key itself in SALTS parts, what is after it
+    per_key = rows.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > F.greatest(F.lit(1000), F.lit(rows.count() // HOT)))
+    hot = scratch.table(per_key.groupBy(F.expr(f"k div {1 << (BITS - CELL_BITS)}").alias("cell")).agg(F.collect_list("k").alias("hot")), "hot")
+    rows = rows.join(F.broadcast(hot), "cell", "left")
+    below, inside = F.size(F.filter("hot", lambda x: x < F.col("k"))), F.array_contains("hot", F.col("k"))
+    part = F.when(F.col("hot").isNull(), 0).otherwise(2 * below + F.when(inside, 1).otherwise(0))
+    rows = rows.withColumns({"part": part, "salt": F.when(F.coalesce(inside, F.lit(False)), F.col("salt")).otherwise(0)}).drop("hot")
+    place = ["cell", "part", "salt"]
+    cells = scratch.table(rows.groupBy("s", "none", *place).agg(F.sum("size").alias("cell_size")), "cells")
     sizes = cells.groupBy("s", "none").agg(F.sum("cell_size").alias("source_size"))
     budget = targets(sizes, tuple(weights), share, cap)
     budget = budget.withColumn("whole", F.least(F.floor(F.col("target") + 0.5).cast("bigint"), F.floor(F.lit(float(cap)) * F.col("source_size")).cast("bigint")))
     budget = budget.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("whole div source_size")).otherwise(F.lit(0).cast("bigint")))
     budget = budget.withColumn("rest", F.col("whole") - F.col("epochs") * F.col("source_size"))
-    running = F.sum("cell_size").over(W.partitionBy("s", "none").orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
-    info = cells.select("s", "none", "cell", F.coalesce(running, F.lit(0)).alias("offset")).join(budget, ["s", "none"])
-    ahead = F.sum("size").over(W.partitionBy("s", "none", "cell").orderBy("k", "key", "size").rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("ahead", F.coalesce(ahead, F.lit(0))).join(info, ["s", "none", "cell"])
+    running = F.sum("cell_size").over(W.partitionBy("s", "none").orderBy(*place).rowsBetween(W.unboundedPreceding, -1))
+    info = cells.select("s", "none", *place, F.coalesce(running, F.lit(0)).alias("offset")).join(budget, ["s", "none"])
+    ahead = F.sum("size").over(W.partitionBy("s", "none", *place).orderBy("k", "key", "size").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("ahead", F.coalesce(ahead, F.lit(0))).join(info, ["s", "none", *place])
     before = (F.col("offset") + F.col("ahead")).alias("before")
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     return rows.withColumn("before", before).withColumn("taken", (F.col("epochs") * F.col("size") + extra).cast("bigint"))
