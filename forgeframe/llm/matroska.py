@@ -8,7 +8,10 @@ element it needs. The writer makes a one-track PCM file (8 bits, 8000 Hz) with f
 lacing in full blocks, EBML lacing in a last block of several frames, and a cue for each
 cluster; equal bytes give equal files.
 
-Null content: no packets. A broken file gives one row with its error and no packet.
+Null content: no packets. A broken file gives one row with its error and no packet. Null texts are
+stored like empty ones, as 64 zero bytes; very long texts whole, one file at a time in a task, so a
+task needs a few times its longest text. Repeated rows give equal files. Empty tables give empty
+results; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -101,6 +104,8 @@ def laced(b: bytes, a: int, z: int, kind: int) -> list[tuple[int, int]]:
     """(offset, size) of the frames of a block's data."""
     if not kind:
         return [(a, z - a)]
+    if a >= z:
+        raise ValueError("a lace has no number of frames")
     n = b[a] + 1
     a += 1
     sizes: list[int] = []
@@ -111,8 +116,10 @@ def laced(b: bytes, a: int, z: int, kind: int) -> list[tuple[int, int]]:
     elif kind == 1:
         for _ in range(n - 1):
             size = 0
-            while b[a] == 255:
+            while a < z and b[a] == 255:
                 size, a = size + 255, a + 1
+            if a >= z:
+                raise ValueError("a lace's sizes are longer than its block")
             sizes.append(size + b[a])
             a += 1
     else:

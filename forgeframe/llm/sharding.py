@@ -13,7 +13,8 @@ Slots are numbered in cells of (shard, hash range, salt), so one huge group is s
 
 DataFrame functions only. Null texts are one group of size 1 a row with a null checksum; empty
 texts have size 1. Repeated rows each get a slot. Fewer groups than shards: shards stay empty.
-An empty table gives an empty result. Input columns named like an output column are replaced.
+An empty table gives an empty result. Texts are hashed and measured whole where they lie, however long, and
+not moved. Input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
