@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from forgeframe.llm import language_id, mixing, sentencepiece_bpe, simhash
 from forgeframe.llm._common import Scratch, crc_mod, fresh
 
-#: Mean symbols in a phrase below which a text is in no known language (letters that no sample has make phrases of one).
-STRANGE = 1.5
+#: A text is in no known language if the sample of the likeliest one lacks so large a share of its letters.
+STRANGE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts in none of the learned languages."""
     aside = {c: fresh(c) for c in docs.columns if c in language_id.OWN}
     found = language_id.identify(docs.withColumnsRenamed(aside), docs.filter(crc_mod("doc_id", 5) != 0))
-    kept = found.filter(f"lang_pred <> 'und' and phrase >= {STRANGE}").drop(*language_id.OWN)
+    kept = found.filter(f"lang_pred <> 'und' and unknown < {STRANGE}").drop(*language_id.OWN)
     return kept.withColumnsRenamed({new: old for old, new in aside.items()}).select(*docs.columns)
 
 

@@ -39,7 +39,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from forgeframe.llm._common import fresh, map_rows
 
 #: Columns that ``identify`` adds.
-OWN = ["lang_pred", "score", "phrase"]
+OWN = ["lang_pred", "score", "phrase", "unknown"]
 ROWS, LONGEST, SYMBOLS, LABELS, ALPHABET, BLOCK = 16, 10_000, 60_000, 16, 255, 1024
 
 
@@ -197,22 +197,23 @@ class Classifier:
         out[:, full] = np.add.reduceat(begins, first[full], axis=1, dtype=np.int64)
         return out
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """For each text: language, score, symbols in a phrase of that language."""
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, float, float]]:
+        """For each text: language, score, symbols in a phrase of that language, share of symbols that its sample doesn't have."""
         import numpy as np
 
-        out: list[tuple[str, float, float]] = [("und", 0.0, 0.0)] * len(texts)
+        out: list[tuple[str, float, float, float]] = [("und", 0.0, 0.0, 1.0)] * len(texts)
         if not self.langs:
             return out
         points, size = symbols(texts, self.kind)
         count = self.phrases(points, size)
         cost = count * self.bits[:, None] / np.maximum(size, 1)
         best = np.argmin(cost, 0)
+        strange = np.bincount(np.repeat(np.arange(len(texts)), size), self.code[np.repeat(best, size), points] == 0, len(texts)) / np.maximum(size, 1)
         ranked = np.sort(cost, 0)
         second = ranked[1] if len(self.langs) > 1 else np.full(len(texts), np.inf)
         for i in np.flatnonzero(size).tolist():
             score = 1.0 if math.isinf(second[i]) else float(min(1.0, max(0.0, 1 - ranked[0, i] / max(second[i], 1e-12))))
-            out[i] = (self.langs[best[i]], score, float(size[i] / max(1, count[best[i], i])))
+            out[i] = (self.langs[best[i]], score, float(size[i] / max(1, count[best[i], i])), float(strange[i]))
         return out
 
 
@@ -235,24 +236,24 @@ def samples(labelled: DataFrame, text: str, lang: str, rows: int, longest: int,
 
 
 def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS, longest: int = LONGEST, most: int = SYMBOLS, labels: int = LABELS) -> DataFrame:
-    """``docs`` with lang_pred, score and phrase (mean symbols in a phrase), learned from ``labelled``."""
+    """``docs`` with lang_pred, score, phrase (mean symbols in a phrase) and unknown (share of symbols that the
+    language's sample doesn't have), learned from ``labelled``."""
     spark = docs.sparkSession
     docs = docs.select(*[c for c in docs.columns if c not in OWN or c == text])
     # built once, of a bounded sample: at most labels * (most + longest) symbols
     learned = spark.sparkContext.broadcast(vars(Classifier(samples(labelled, text, lang, rows, longest, labels), most)))  # plain arrays: workers need not have this module
     own = dict(zip(map(fresh, OWN), OWN))
-    schema = StructType([*docs.schema.fields, *[StructField(c, k) for c, k in zip(own, (StringType(), DoubleType(), DoubleType()))]])
-    at = docs.columns.index(text)
+    schema = StructType([*docs.schema.fields, *[StructField(c, k) for c, k in zip(own, (StringType(), DoubleType(), DoubleType(), DoubleType()))]])
 
     def make():
         classify = Classifier.__new__(Classifier)
         vars(classify).update(learned.value)
 
         def block(columns):
-            found = classify(columns[at])
-            return [*columns, *[list(x) for x in zip(*found)]] if found else [*columns, [], [], []]
+            found = classify(columns[0])
+            return [list(x) for x in zip(*found)] if found else [[] for _ in OWN]
 
         return block
 
-    out = map_rows(docs, schema, make, 2 << 20)
+    out = map_rows(docs.select("*", F.col(text).alias(fresh("text"))), schema, make, 2 << 20, len(docs.columns))
     return out.drop(*[c for c in docs.columns if c in OWN]).withColumnsRenamed(own)

@@ -23,9 +23,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from forgeframe.llm._common import map_rows
+from forgeframe.llm._common import fresh, map_rows
 
 #: Phrases and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -218,17 +219,16 @@ def scan(docs: DataFrame, text: str = "text", phrases=PHRASES, templates=TEMPLAT
     """``docs`` with n_words, base and matches (arrays of label, start, end in words) and score."""
     own = ["n_words", "base", "matches", "score"]
     docs = docs.select(*[c for c in docs.columns if c not in own])
-    at = docs.columns.index(text)
 
     def make():
         scanner = Scanner(phrases, templates)
         span = lambda places: [{"label": a, "start": b, "end": c} for a, b, c in places]
 
         def block(columns):
-            found = [scanner(t) for t in columns[at]]
-            return [*columns, [n for n, _, _ in found], [span(b) for _, b, _ in found], [span(o) for _, _, o in found], [covered(b + o) / n if n else 0.0 for n, b, o in found]]
+            found = [scanner(t) for t in columns[0]]
+            return [[n for n, _, _ in found], [span(b) for _, b, _ in found], [span(o) for _, _, o in found], [covered(b + o) / n if n else 0.0 for n, b, o in found]]
 
         return block
 
     schema = StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("base", SPAN), StructField("matches", SPAN), StructField("score", DoubleType())])
-    return map_rows(docs, schema, make)
+    return map_rows(docs.select("*", F.col(text).alias(fresh("text"))), schema, make, through=len(docs.columns))

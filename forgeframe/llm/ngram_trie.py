@@ -651,9 +651,9 @@ def number(docs: DataFrame, shape: dict, text: str = "text", keep: list[str] | N
 
     def make():
         trie = Trie(shape)
-        return lambda columns: [*columns[:-1], trie.number(columns[-1])]
+        return lambda columns: [trie.number(columns[0])]
 
-    return map_rows(rows, StructType([*[docs.schema[c] for c in keep], StructField("words", BinaryType())]), make)
+    return map_rows(rows, StructType([*[docs.schema[c] for c in keep], StructField("words", BinaryType())]), make, through=len(keep))
 
 
 def train_words(docs: DataFrame, text: str = "text", shard_tokens: int | None = None) -> dict:
@@ -778,9 +778,9 @@ def score_numbered(numbered: DataFrame, shape: dict) -> DataFrame:
 
     def make():
         trie = Trie(shape)
-        return lambda columns: [*columns[:-1], *([x.tolist() for x in trie.score(columns[-1])] if columns[-1] else [[]] * len(SCORES))]
+        return lambda columns: [x.tolist() for x in trie.score(columns[0])] if columns[0] else [[]] * len(SCORES)
 
-    return map_rows(numbered.select(*keep, "words"), StructType([*[numbered.schema[c] for c in keep], *[StructField(n, k) for n, k in SCORES]]), make, 3 << 20)
+    return map_rows(numbered.select(*keep, "words"), StructType([*[numbered.schema[c] for c in keep], *[StructField(n, k) for n, k in SCORES]]), make, 3 << 20, len(keep))
 
 
 def score(docs: DataFrame, shape: dict, text: str = "text") -> DataFrame:

@@ -9,7 +9,8 @@ once, the arrays compacted, until no pair remains.
 Merging all occurrences at once equals the library's one-by-one agenda unless a merge makes a
 pair of smaller rank; then the later occurrences of that part wait for the next round.
 
-Nulls encode like the empty text: no ids. Order, ties and repeated rows need no rule; extra
+Nulls encode like the empty text: no ids. Very long texts are encoded whole, with a bound on the
+parts that a task remembers. Empty tables give empty results. Order, ties and repeated rows need no rule; extra
 columns are kept by ``encode`` under their own names.
 """
 
@@ -23,7 +24,7 @@ import pandas as pd
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Parts whose ids a task keeps, about 0.4 kB each.
-KEPT = 150_000
+KEPT = 100_000
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -292,7 +293,7 @@ def encode(docs, model_path: str, text: str = "text", keep: list[str] | None = N
     def run(batches):
         model, met = Model(blob), {}
         for batch in batches:
-            step = max(1, int(batch.num_rows * (4 << 20) / max(batch.nbytes, 1)))
+            step = max(1, int(batch.num_rows * (1 << 20) / max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, step):
                 rows = batch.slice(at, step)
                 cut = [model.cut(t) for t in rows.column(rows.num_columns - 1).to_pylist()]
@@ -346,4 +347,4 @@ def digest(docs, model_path: str, key: str = "doc_id", text: str = "text"):
 
         return block
 
-    return map_rows(docs.select(key, text), f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
+    return map_rows(docs.select(key, text), f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make, 1 << 20)

@@ -21,8 +21,9 @@ shingles finds the rest, as no radius that parts of 64 bits can be probed for re
 
 Nulls: null texts count as empty, null keys never become a component's name unless all its
 keys are null. Equal texts have equal fingerprints; repeated rows are all returned. Empty
-tables give empty results. Extra columns are not read, except by ``deduplicate``, which keeps
-them all.
+tables give empty results. Very long texts are hashed whole, one at a time in a task. Extra
+columns are not read, except by ``deduplicate``, which keeps them all; a key column named ``f`` or
+``component`` gets an underscore.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from forgeframe.llm._common import Scratch, fresh, map_rows, tidied
 from forgeframe.llm._graph import components
@@ -84,18 +86,25 @@ def majority(hashes, counts):
     return out
 
 
+def key_name(key: str) -> str:
+    """The key column's name in results: with an underscore if it is one of theirs."""
+    return f"{key}_" if key in ("f", "component") else key
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """(key, f): the 64-bit fingerprint as a signed integer."""
     import numpy as np
 
     def make():
         def block(columns):
-            hashes, counts = shingle_hashes(columns[1], words)
-            return [columns[0], majority(hashes, counts).view(np.int64).tolist()]
+            hashes, counts = shingle_hashes(columns[0], words)
+            return [majority(hashes, counts).view(np.int64).tolist()]
 
         return block
 
-    return map_rows(docs.select(key, text), f"`{key}` {dict(docs.dtypes)[key]}, f bigint", make, 1 << 20)
+    key_ = docs.select(key).schema[0]
+    schema = StructType([StructField(key_name(key), key_.dataType), StructField("f", LongType())])
+    return map_rows(docs.select(F.col(key).alias(key_name(key)), F.col(text).alias(fresh("text"))), schema, make, 1 << 20, 1)
 
 
 def bit_counts(found: DataFrame):
@@ -208,6 +217,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     """(key, f, component): fingerprints within two bits are linked; a component is named by its smallest key."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.table(fingerprints(docs, key, text, words), "fingerprints")
+    key = key_name(key)
     found = scratch.table(rows.groupBy("f").agg(F.min(key).alias("least")), "distinct")
     roots = scratch.table(components(links(found.select("f"), scratch), scratch), "roots")
     named = found.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))

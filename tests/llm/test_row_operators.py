@@ -112,6 +112,19 @@ def test_url_scores_equal_a_plain_model(spark):
         assert got[u] == pytest.approx(total / (len(u) + 1), abs=1e-6), u
 
 
+def test_long_and_common_urls(spark):
+    """A URL of several pieces scores as one, and one that most rows have is judged like others."""
+    long = "http://m.example.com/" + "".join(random.Random(1).choices("abcdefgh/-", k=5000))
+    labelled = [f"http://s{i}.example.net/en/{i}" for i in range(80)] + [f"http://casino{i}.net/win/{i}" for i in range(80)]
+    urls = labelled + [long, "http://common.example.com/x"] + ["http://common.example.com/x"] * 1500
+    rows = url_filter.judge(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string"), RULES).collect()
+    assert sorted(r.page_id for r in rows) == list(range(len(urls)))
+    assert len({(r.verdict, r.score) for r in rows if r.url == urls[161]}) == 1 and all(r.score is not None for r in rows if r.rule is None)
+    text = "\x02" + long + "\x03"
+    found = Counter(r.s for r in url_filter.substrings(spark.createDataFrame([(long,)], "url string"), 4).collect())
+    assert found == Counter(text[i : i + n] for n in range(1, 5) for i in range(len(text) - n + 1))
+
+
 def test_url_edges(spark):
     schema = "page_id bigint, url string"
     assert url_filter.judge(spark.createDataFrame([], schema), RULES).count() == 0
@@ -224,6 +237,26 @@ def test_mix_edges(spark):
     assert sum(r.taken for r in one) in (4, 5) and {r.target for r in one} == {4.5}
 
 
+def test_mix_with_a_hot_key(spark):
+    """Null keys and one repeated key make up most rows: they lie in several cells, sums stay exact, reruns agree."""
+    draw = random.Random(5)
+    rows = [(None if i % 3 else 7, "ab"[i % 5 == 0], " ".join(["w"] * draw.randrange(40)) + f" {i}") for i in range(6000)] + [(i, "a", "x y") for i in range(10, 200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(5)
+    scratch = Scratch(spark, "t")
+    got = mixing.plan(docs, scratch=scratch).collect()
+    sizes, taken, targets = Counter(), Counter(), {}
+    for _, s, t in rows:
+        sizes[s] += len(t.split())
+    for r in got:
+        taken[r.s] += r.taken
+        targets[r.s] = r.target
+        assert 0 <= r.taken <= 2 * r["size"] and r.source_size == sizes[r.s]
+    assert len(got) == len(rows) and all(abs(taken[s] - targets[s]) <= 0.5 + 1e-6 for s in targets)
+    assert len({(r.cell, r.part, r.salt) for r in got if r.key is None}) > 100
+    some = [sorted(((str(r.key), r["size"], r.taken) for r in x)) for x in (got, mixing.plan(docs.repartition(3)).collect())]
+    assert some[0] == some[1]
+
+
 # ---- SimHash ------------------------------------------------------------------------------
 
 
@@ -246,6 +279,9 @@ def test_fingerprints(spark):
     label = groups(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])
     for i, f in enumerate(prints):
         assert got[i].f % 2**64 == f and got[i].component == label[i]
+    for clash in ("f", "component"):
+        other = simhash.classes(docs.drop("f").withColumnRenamed("doc_id", clash), clash)
+        assert other.columns == [clash + "_", "f", "component"] and {r[0]: (r.f, r.component) for r in other.collect()} == {k: (r.f, r.component) for k, r in got.items()}
 
 
 @pytest.mark.parametrize("crowd", [0, 300])
@@ -490,7 +526,8 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     schema = docs.schema
     extra = spark.createDataFrame([(9001, None, None, None, None), (9002, "123 456", "en", "src1", 7), (9003, "漢字 漢字 漢字", None, "src1", 9)], schema)
-    docs = docs.unionByName(extra)
+    short = spark.createDataFrame([(9004, "a", "en", "src1", 1), (9005, "Of!", None, None, 3)], schema)
+    docs = docs.unionByName(extra).unionByName(short)
     kept = p.known_language(spark, docs, sf)
     assert kept.schema.names == schema.names and {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {9001, 9002, 9003}
     once = p.without_copies(spark, kept, sf)
@@ -502,7 +539,7 @@ def test_pipeline(spark):
     assert len(rows) == mixed.count() and all(r.n_tokens == len(r.ids) > 0 for r in rows)
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
-    clash = docs.limit(40).selectExpr("*", "doc_id % 3 AS score", "'x' AS lang_pred", "2 AS phrase", "doc_id AS h", "text AS t", "source AS root", "7 AS k")
+    clash = docs.limit(40).selectExpr("*", "doc_id % 3 AS score", "'x' AS lang_pred", "2 AS phrase", "doc_id AS unknown", "doc_id AS h", "text AS t", "source AS root", "7 AS k")
     for _, stage in p.STAGES[:-1]:
         out = stage(spark, clash, sf)
         assert out.columns == clash.columns and all(r.score == r.doc_id % 3 and r.lang_pred == "x" and r.h == r.doc_id and r.root == r.source for r in out.collect())

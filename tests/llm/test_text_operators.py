@@ -90,7 +90,7 @@ def test_letters_are_unicode_letters():
     classify = language_id.Classifier([("en", "the thing"), ("hi", "हिन्दी भाषा है")])
     odd = ["½", "²³", "Ⅷ", "\u0301", "①", "_", "हिन्दी, है", "É́a", "ª"]
     found = classify(odd)
-    for t, (lang, score, _) in zip(odd, found):
+    for t, (lang, score, *_) in zip(odd, found):
         assert (lang == "und") == (not any(unicodedata.category(c)[0] == "L" for c in t)) and (lang != "und" or score == 0), t
     assert plain(classify, ["  हिन्दी, है!  A-b_C ½ d "])[0] == ["हिन्दी है a b c d"] and found[6][0] == "hi"
 
@@ -220,6 +220,22 @@ def test_media_lacing_and_groups():
     assert [(p.track, p.timestamp_ms, p.key, p.cluster, p.lacing) for p in found.packets] == [(1, 1005, False, 0, 1)] * 3 + [(1, 1006, False, 0, 3)] * 3 + [(2, 999, True, 0, 0), (2, 1, True, 1, 0)]
 
 
+def test_broken_laces():
+    for kind, body in ((1, b""), (1, b"\x02\xff\xff"), (1, b"\x01\x09ab"), (2, b"\x02ab"), (3, b"\x02"), (3, b"\x02\x81"), (3, b"\x01\xff")):
+        with pytest.raises(ValueError):
+            matroska.laced(b"head" + body, 4, 4 + len(body), kind)
+
+
+def test_columns_of_any_type_pass_through(spark):
+    """Nested and timestamp columns beside the text, as they are."""
+    docs = spark.sql("SELECT 1 AS doc_id, 'the thing, all rights reserved' AS text, TIMESTAMP '2024-01-02 03:04:05.678901' AS at, named_struct('a', array(1, null), 'b', map('k', 1.5D)) AS deep, CAST(1.25 AS DECIMAL(9, 2)) AS d, X'00ff' AS raw UNION ALL SELECT 2, null, null, null, null, null")
+    train = spark.createDataFrame([("the thing", "en")], "text string, lang string")
+    shape = ngram_trie.train(docs)
+    want = sorted(docs.collect(), key=str)
+    for out in (language_id.identify(docs, train), license_scan.scan(docs), ngram_trie.score(docs, shape)):
+        assert out.columns[:6] == docs.columns and sorted(out.select(*docs.columns).collect(), key=str) == want
+
+
 def test_media_columns(spark, odd):
     files = matroska.store(odd)
     rows = matroska.packets(files.unionByName(spark.createDataFrame([(99, bytearray(b"nope")), (98, None)], files.schema)), "doc_id", "media")
