@@ -440,3 +440,8 @@ def file_kind(content: Column) -> Column:
     video = starts("1A45DFA3", "4F676753") | (F.substring(head, 9, 8) == "66747970") | (riff & (kind == "41564920"))
     odd = head.rlike("^(?:..)*+$") & F.exists(F.regexp_extract_all(head, F.lit("(..)"), F.lit(1)), lambda x: x.rlike("0[0-8E-F]|1[0-9AC-F]"))
     return F.when(image, "image").when(starts("255044462D"), "pdf").when(video, "video").when(odd, "binary").otherwise("text")
+
+
+def random_text(n: int, seed: int | None = None) -> Column:
+    """Random letters and digits (X45), new in each row; with a seed, the same in each run over the same partitions."""
+    return F.randstr(F.lit(n), None if seed is None else F.lit(seed))

@@ -150,6 +150,12 @@ def issue_state_fold(s):
     return flows.issue_states(commits, issue, s.repository.withColumn("owner_name", F.lit("ann")))
 
 
+def exclusive(s):
+    """Events as tasks of repositories that serve one at a time; the total wait of each."""
+    rows = s.events.select("event_id", (F.col("event_id") % 100 + 1).alias("repo_id"), F.expr("event_id div 3").alias("at"), (F.col("user_id") % 90 + 1).alias("takes"))
+    return flows.exclusive(rows, "repo_id", "at", "takes", "event_id").groupBy("repo_id").agg(F.sum(F.col("started") - F.col("at")).alias("waited"), F.max("ended").alias("ended"))
+
+
 def pull_states(s):
     checks = s.events.select((F.col("event_id") % 200).alias("id"), F.col("event_id").alias("at"), (F.col("value") > 20).alias("clean"))
     return flows.pull_states(checks, s.spark.range(0, 200, 7).select("id"))
@@ -228,6 +234,13 @@ QUERIES = {
            JOIN (SELECT event_id % 5 + 1 AS repo_id, event_id % 11 + 1 AS n, arg_max(event_id % 2 = 0, event_id) AS shut FROM events GROUP BY 1, 2) c
            ON c.repo_id = i.repo_id AND c.n = i.n WHERE i.is_closed <> c.shut""",
     ),
+    "exclusive": query(
+        exclusive,
+        """WITH RECURSIVE r AS (SELECT event_id, event_id % 100 + 1 AS repo_id, event_id // 3 AS came, user_id % 90 + 1 AS takes, ROW_NUMBER() OVER (PARTITION BY event_id % 100 ORDER BY event_id // 3, event_id) AS n FROM events),
+           run AS (SELECT repo_id, n, came AS started, came + takes AS ended, 0 AS waited FROM r WHERE n = 1
+               UNION ALL SELECT r.repo_id, r.n, GREATEST(r.came, run.ended), GREATEST(r.came, run.ended) + r.takes, GREATEST(r.came, run.ended) - r.came FROM run JOIN r ON r.repo_id = run.repo_id AND r.n = run.n + 1)
+           SELECT repo_id, CAST(SUM(waited) AS BIGINT) AS waited, MAX(ended) AS ended FROM run GROUP BY repo_id""",
+    ),
     "pull_states": query(pull_states, "SELECT event_id % 200 AS id, CASE WHEN event_id % 200 % 7 = 0 THEN 1 WHEN arg_max(value > 20, event_id) THEN 2 ELSE 0 END AS status FROM events GROUP BY 1, event_id % 200 % 7"),
     "daily_counts": query(hourly_counts, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2"),
 }

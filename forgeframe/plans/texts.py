@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from forgeframe.functions import charset, chat, register
 from forgeframe.functions import html as H
 from forgeframe.functions import text as T
 from forgeframe.plans.site import query
@@ -132,6 +133,35 @@ def chat_messages(s):
     return s.events.select("event_id", T.chat_text(event, F.lit("site"), F.lit("https://g/u/site"), F.col("event_type"), F.lit("ann"), F.col("user_id") % 3).alias("x"))
 
 
+ACTIONS = ["opened", "closed", "reopened", "edited", "assigned", "unassigned", "label_updated", "label_cleared", "milestoned", "demilestoned", "synchronized"]
+
+
+def chat_issues(s):
+    """Issue and pull request events in the three chat formats."""
+    id_ = F.col("event_id")
+    rows = s.events.select(
+        "event_id", F.when(id_ % 2 == 0, "issues").otherwise("pull_request").alias("event"), F.element_at(F.array(*map(F.lit, ACTIONS)), (id_ % 11 + 1).cast("int")).alias("action"),
+        F.lit("u/site").alias("full_name"), F.lit("https://g/u/site").alias("url"), F.lit("https://g/").alias("site"), F.lit("ann").alias("sender"), id_.alias("index"),
+        F.concat(F.col("event_type"), F.lit(" <1>")).alias("title"), F.when(id_ % 3 == 0, "a & b").otherwise("").alias("body"), F.lit("bob").alias("assignee"), F.lit("m1").alias("milestone"),
+        F.when(id_ % 4 < 2, F.array(F.lit("l1"), F.lit("l2"))).otherwise(F.array().cast("array<string>")).alias("labels"), (id_ % 5 == 0).alias("merged"),
+        *[F.lit(None).cast("string").alias(c) for c in ("ref", "ref_type", "repo", "pusher", "fork", "fork_url", "compare_url", "comment", "tag", "release_name", "draft", "prerelease", "comment_id")],
+        F.lit(None).cast("array<struct<id: string, url: string, message: string, author: string>>").alias("commits"),
+    )
+    rows = rows.select("event_id", chat.slack().alias("a"), chat.discord().alias("b"), chat.dingtalk().alias("c"))
+    return rows.select("event_id", F.coalesce("a.text", F.lit("")).alias("slack"), F.col("a.attachment").alias("attachment"), F.col("b.title").alias("discord"), F.col("b.description").alias("description"), F.coalesce(F.get(F.col("b.fields"), F.lit(0))["value"], F.lit("")).alias("field"), F.col("c.text").alias("dingtalk"))
+
+
+def registered(s):
+    register.register(s.spark)
+    return s.spark.sql("SELECT c_custkey, site_short_sha(sha1(c_name)) AS sha, site_ellipsis(c_name, 8) AS short, site_email_hash(c_name) AS mail, site_percent(c_custkey % 7, c_custkey % 5) AS share, site_access_name(CAST(c_custkey % 5 AS INT)) AS access, site_subtract(c_custkey, 3) AS less FROM {customer}", customer=s.customer)
+
+
+def charsets(s):
+    charset_of = F.when(F.col("page_id") % 2 == 0, F.encode(F.lit("où était le garçon très tôt"), "ISO-8859-1")).otherwise(F.col("html").cast("binary"))
+    rows = s.pages.select("page_id", charset_of.alias("content"))
+    return rows.select("page_id", charset.charset(F.col("content")).alias("charset"), F.sha1(charset.text_of(F.col("content")).cast("binary")).alias("text"))
+
+
 def file_names(s):
     name = F.concat(F.when(F.col("p_size") % 2 == 0, "README").otherwise("notes"), F.element_at(F.array(*map(F.lit, [".md", ".org", ".IPYNB", ".txt", ""])), F.col("p_size") % 5 + 1))
     return s.part.select("p_partkey", T.markup_kind(name).alias("kind"), T.is_readme(name).alias("readme"), T.task_item(F.concat(F.when(F.col("p_size") % 3 == 0, "[x] ").when(F.col("p_size") % 3 == 1, "[ ] ").otherwise(""), F.lit("t"))).alias("task"))
@@ -245,6 +275,27 @@ QUERIES = {
            WHEN 1 THEN '[<https://g/u/site|site>:' || event_type || '] branch deleted by ann' WHEN 2 THEN '<https://g/u/site|site> is forked to <https://g/u/site|ann/site>'
            WHEN 3 THEN '[<https://g/u/site|site>:<https://g/u/site/src/' || event_type || '|' || event_type || '>] ' || CASE WHEN user_id % 3 = 1 THEN '1 new commit' ELSE user_id % 3 || ' new commits' END || ' pushed by ann' END AS x FROM events""",
     ),
+    "chat_issues": query(
+        chat_issues,
+        """WITH e AS (SELECT event_id, event_id % 2 = 0 AS issue, event_id % 11 AS a, event_id % 5 = 0 AS merged, event_type || ' <1>' AS title,
+            CASE WHEN event_id % 2 = 0 THEN 'Issue' ELSE 'Pull request' END AS thing, 'https://g/u/site/' || CASE WHEN event_id % 2 = 0 THEN 'issues/' ELSE 'pulls/' END || event_id AS url,
+            CASE WHEN event_id % 3 = 0 THEN 'a & b' ELSE '' END AS body, event_id % 4 < 2 AS labelled, ['Opened', 'Closed', 'Reopened', 'Edited', 'Assigned', 'Unassigned', 'Label_updated', 'Label_cleared', 'Milestoned', 'Demilestoned', 'Synchronized'][event_id % 11 + 1] AS acted,
+            ['', 'closed', 're-opened', 'edited', 'assigned', 'unassigned', 'labels updated', 'labels cleared', 'milestoned', 'demilestoned', 'synchronized'][event_id % 11 + 1] AS did FROM events),
+        f AS (SELECT *, '<' || url || '|#' || event_id || ' ' || replace(replace(title, '<', '&lt;'), '>', '&gt;') || '> by <https://g/ann|ann>' AS link, CASE WHEN a = 1 AND NOT issue AND merged THEN 'merged' ELSE did END AS done FROM e)
+        SELECT event_id, CASE WHEN a = 0 AND issue THEN '[u/site] New issue created by <https://g/ann|ann>' WHEN a = 0 THEN '[u/site] Pull request submitted by <https://g/ann|ann>'
+            WHEN a = 4 THEN '[u/site] ' || thing || ' assigned to <https://g/bob|bob>: ' || link WHEN a = 10 AND issue THEN '' ELSE '[u/site] ' || thing || ' ' || done || ': ' || link END AS slack,
+            CASE WHEN a IN (0, 3) THEN replace(body, '&', '&amp;') ELSE '' END AS attachment,
+            CASE WHEN a = 0 THEN CASE WHEN issue THEN 'New issue' ELSE 'New pull request' END ELSE thing || ' ' || done END || ': #' || event_id || ' ' || title AS discord,
+            CASE WHEN a IN (0, 3) THEN body ELSE '' END AS description,
+            CASE a WHEN 4 THEN 'bob' WHEN 8 THEN 'm1' WHEN 6 THEN CASE WHEN labelled THEN 'l1, l2' WHEN issue THEN '<empty>' ELSE '' END ELSE '' END AS field,
+            CASE WHEN issue THEN '# Issue Event ' || acted || chr(10) || '- Issue: **[#' || event_id || ' ' || title || '](' || url || ')**'
+                || CASE a WHEN 4 THEN chr(10) || '- New Assignee: **bob**' WHEN 8 THEN chr(10) || '- New Milestone: **m1**' WHEN 6 THEN chr(10) || '- Labels: ' || CASE WHEN labelled THEN '**l1**,**l2**' ELSE '**empty**' END ELSE '' END
+                || CASE WHEN body <> '' THEN chr(10) || '> ' || body ELSE '' END
+            ELSE '# Pull Request ' || CASE WHEN a = 1 AND merged THEN 'Merged' ELSE acted END || chr(10) || '- PR: [#' || event_id || ' ' || title || '](' || url || ')'
+                || CASE a WHEN 4 THEN chr(10) || '- New Assignee: **bob**' WHEN 8 THEN chr(10) || '- New Milestone: *m1*' WHEN 6 THEN chr(10) || '- New Labels: ' || CASE WHEN labelled THEN '**l1**,**l2**' ELSE '' END WHEN 0 THEN chr(10) || '> ' || body WHEN 3 THEN chr(10) || '> ' || body ELSE '' END END AS dingtalk FROM f""",
+    ),
+    "registered": query(registered, "SELECT c_custkey, substr(sha1(c_name), 1, 10) AS sha, substr(c_name, 1, 8) || CASE WHEN length(c_name) > 8 THEN '...' ELSE '' END AS short, md5(lower(c_name)) AS mail, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 7 * 100 // (c_custkey % 5) ELSE 0 END AS share, ['none', 'read', 'write', 'admin', 'owner'][c_custkey % 5 + 1] AS access, c_custkey - 3 AS less FROM customer"),
+    "charsets": query(charsets, "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'windows-1252' ELSE 'UTF-8' END AS charset, sha1(CASE WHEN page_id % 2 = 0 THEN 'où était le garçon très tôt' ELSE html END) AS text FROM pages"),
     "file_names": query(file_names, "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'markdown' WHEN 1 THEN 'orgmode' WHEN 2 THEN 'ipynb' ELSE '' END AS kind, p_size % 2 = 0 AS readme, CASE p_size % 3 WHEN 0 THEN '<input type=\"checkbox\" disabled=\"\" checked=\"\" /> t' WHEN 1 THEN '<input type=\"checkbox\" disabled=\"\" /> t' ELSE 't' END AS task FROM part"),
     "urls": query(urls, "SELECT id, 'https://g/' || lower_name || '/r' AS url, lower_name || '/r/compare/a...b' AS compare, 'https://secure.gravatar.com/avatar/' || md5(email) || '?d=identicon' AS avatar FROM users"),
     "auto_links": query(auto_links, """SELECT p_partkey, '<a href="https://g/u/' || CASE WHEN p_size % 2 = 0 THEN 'r' ELSE 'other' END || '/issues/' || p_size || '">' || CASE WHEN p_size % 2 = 0 THEN '' ELSE 'u/other' END || '#' || p_size || '</a>' AS x FROM part"""),

@@ -63,6 +63,48 @@ def restore_all(spark: SparkSession, folder: str, only_database: bool = True) ->
     return {name: restore(spark, name, posixpath.join(folder, "db")) for name in manifest["tables"]}
 
 
+#: What an archive may hold beside the tables, and the option that leaves it out.
+PARTS = {"custom": "database_only", "data": "database_only", "repositories": "exclude_repositories"}
+
+
+def pack(tables: dict[str, DataFrame], folder: str, zip_path: str, parts: dict[str, str] | None = None, database_only: bool = False, exclude_repositories: bool = False, exclude_mirrors: bool = False, mirrors: tuple[str, ...] = (), **meta) -> dict:
+    """The zip of a whole site (S5): the dump of all tables, the manifest, and folders of files.
+
+    Tables are dumped by Spark into ``folder``, a path that the driver has mounted; the driver then copies
+    files into the zip one by one, never whole in memory. parts: folders for ``custom``, ``data`` and
+    ``repositories``; mirrors: repositories (owner/name) that ``exclude_mirrors`` leaves out.
+    """
+    import os
+    import zipfile
+
+    left_out = {"database_only": database_only, "exclude_repositories": exclude_repositories or database_only}
+    taken = {name: at for name, at in (parts or {}).items() if not left_out[PARTS[name]]}
+    manifest = dump_all(tables, folder, parts=sorted(taken), **meta)
+    with zipfile.ZipFile(zip_path, "w", zipfile.ZIP_DEFLATED, allowZip64=True) as z:
+        for name, at in [("", folder), *taken.items()]:
+            for d, _, files in sorted(os.walk(at)):
+                inside = os.path.relpath(d, at)
+                gone = name == "repositories" and exclude_mirrors and any(f"{inside}/".startswith(m + suffix) for m in mirrors for suffix in ("/", ".git/"))
+                for f in [] if gone else sorted(files):
+                    if not f.endswith(".crc") and f != "_SUCCESS":
+                        z.write(os.path.join(d, f), os.path.normpath(os.path.join(name, inside, f)))
+    return manifest
+
+
+def unpack(spark: SparkSession, zip_path: str, folder: str) -> tuple[dict[str, DataFrame], list[str]]:
+    """The tables of a ``pack`` and the folders beside them, unzipped into ``folder``; refuses names that lead out of it."""
+    import os
+    import zipfile
+
+    with zipfile.ZipFile(zip_path) as z:
+        for name in z.namelist():
+            if not os.path.realpath(os.path.join(folder, name)).startswith(os.path.realpath(folder) + os.sep):
+                raise ValueError(f"the archive has a file outside of its folder: {name}")
+        z.extractall(folder)
+    manifest = json.loads(spark.read.text(posixpath.join(folder, "manifest")).first().value)
+    return restore_all(spark, folder), manifest.get("parts", [])
+
+
 def next_id(df: DataFrame, key: str = "id") -> DataFrame:
     """One row: the value that a sequence goes on with."""
     return df.agg(F.coalesce(F.max(key) + 1, F.lit(1)).cast("bigint").alias("next_id"))
