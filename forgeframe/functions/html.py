@@ -18,6 +18,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import functions as F
 
+from forgeframe.functions import markup
 from forgeframe.functions import text as T
 
 
@@ -33,7 +34,7 @@ def udf(f: Callable, kind: str = "string"):
 
 # ---- links in HTML ------------------------------------------------------------------------
 
-VOID = {"input", "br", "hr", "img"}
+VOID = {"input", "br", "hr", "img", "area", "col", "wbr"}
 VERBATIM = {"a", "code", "pre"}
 
 
@@ -124,16 +125,33 @@ def linked_html(text: str, prefix: str = "", repo_link: str = "", site: str = ""
 
 # ---- sanitising ---------------------------------------------------------------------------
 
-#: What user HTML may hold (a documented subset of common user-content policies).
-ELEMENTS = set("a abbr b blockquote br code dd del div dl dt em h1 h2 h3 h4 h5 h6 hr i img input ins kbd li ol p pre q s samp small span strong sub sup table tbody td tfoot th thead tr u ul var".split())
-ATTRIBUTES = {"a": {"href", "title"}, "img": {"src", "alt", "title", "width", "height"}, "td": {"colspan", "rowspan", "align"}, "th": {"colspan", "rowspan", "align"}, "code": {"class"}, "input": {"type", "checked", "disabled"}, "ol": {"start"}}
+#: What user HTML may hold, elements and their attributes with the values that they may have.
+ELEMENTS = set(
+    """a abbr acronym area article aside b bdi bdo blockquote br caption cite code col colgroup dd del details dfn div dl dt em figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr i img
+    input ins kbd li map mark meter ol p pre progress q rp rt ruby s samp section small span strike strong sub summary sup table tbody td tfoot th thead time tr tt u ul var wbr""".split()
+)
+NUMBER, SIZE, SIDE, LEVEL = r"[0-9]+", r"[0-9]+%?", r"(?i:center|justify|left|right|char)", r"(?i:baseline|bottom|middle|top)"
+PARAGRAPH, WHEN, ANY, REAL = r"[\w\s\-',\[\]!./\\()&]*", r"[0-9T:+.Z -]+", r"(?s:.*)", r"[-+]?[0-9]*\.?[0-9]+"
+EVERYWHERE = {"dir": r"(?i:ltr|rtl)", "id": r"[a-zA-Z0-9:\-_.]+", "lang": r"[a-zA-Z]{2,20}", "title": PARAGRAPH}
+CELL = {"abbr": PARAGRAPH, "align": SIDE, "valign": LEVEL, "colspan": NUMBER, "rowspan": NUMBER, "height": SIZE, "width": SIZE, "headers": r"[\w -]+", "scope": r"(?i:row|col|rowgroup|colgroup)", "nowrap": r"(?i:|nowrap)"}
+ROW = {"align": SIDE, "valign": LEVEL}
+ATTRIBUTES = {
+    "a": {"href": ANY, "title": ANY}, "area": {"alt": PARAGRAPH, "coords": r"[0-9]+(?:,[0-9]+)+", "href": ANY, "rel": ANY, "shape": r"(?i:default|circle|rect|poly)"}, "map": {"name": r"[\w-]+"},
+    "img": {"src": ANY, "alt": ANY, "title": ANY, "width": SIZE, "height": SIZE, "align": r"(?i:left|right|top|texttop|middle|absmiddle|baseline|bottom|absbottom)"},
+    "td": CELL, "th": CELL, "tr": ROW, "tbody": ROW, "thead": ROW, "tfoot": ROW, "col": ROW | {"span": NUMBER, "width": SIZE}, "colgroup": ROW | {"span": NUMBER, "width": SIZE},
+    "table": {"height": SIZE, "width": SIZE, "summary": PARAGRAPH}, "code": {"class": r"language-\w+"}, "input": {"type": "checkbox", "checked": ANY, "disabled": ANY},
+    "ol": {"start": NUMBER, "type": "(?:disc|circle|square|a|A|i|I|1)"}, "ul": {"type": "(?:disc|circle|square)"}, "li": {"type": "(?:disc|circle|square|a|A|i|I|1)", "value": NUMBER},
+    "blockquote": {"cite": ANY}, "q": {"cite": ANY}, "del": {"cite": ANY, "datetime": WHEN}, "ins": {"cite": ANY, "datetime": WHEN}, "time": {"datetime": WHEN}, "details": {"open": "(?i:|open)"},
+    "meter": {k: REAL for k in ("value", "min", "max", "low", "high", "optimum")}, "progress": {"value": REAL, "max": REAL}, "bdo": {"dir": "(?i:ltr|rtl)"},
+}
 DROPPED = {"script", "style", "iframe", "object", "embed", "noscript", "template", "textarea", "title", "head"}
 SCHEMES = {"http", "https", "mailto"}
 SAFE_IMAGES = {"image/png", "image/jpeg", "image/gif", "image/webp", "image/x-icon"}
 
 
 def safe_url(value: str, schemes: set[str] = SCHEMES) -> bool:
-    m = re.match(r"\s*([a-zA-Z][a-zA-Z0-9+.-]*):(.*)", value, re.S)
+    # browsers leave out control characters and white space in a scheme
+    m = re.match(r"([a-zA-Z][a-zA-Z0-9+.-]*):(.*)", re.sub(r"[\x00-\x20]", "", value), re.S)
     if not m:
         return True
     if m[1].lower() == "data":
@@ -144,7 +162,7 @@ def safe_url(value: str, schemes: set[str] = SCHEMES) -> bool:
 class Cleaner(HTMLParser):
     def __init__(self, schemes: set[str]):
         super().__init__(convert_charrefs=False)
-        self.to, self.schemes, self.skip = [], schemes, []
+        self.to, self.schemes, self.skip, self.open = [], schemes, [], []
 
     def handle_starttag(self, tag, attrs):
         if self.skip or tag in DROPPED:
@@ -156,25 +174,27 @@ class Cleaner(HTMLParser):
         kept = []
         for k, v in attrs:
             v = v or ""
-            if k not in ATTRIBUTES.get(tag, ()):
-                continue
-            if k in ("href", "src") and not safe_url(v, self.schemes):
-                continue
-            if (tag, k) == ("code", "class") and not re.fullmatch(r"language-\w+", v) or (tag, k) == ("input", "type") and v != "checkbox":
+            allowed = ATTRIBUTES.get(tag, {}).get(k) or EVERYWHERE.get(k)
+            if allowed is None or not re.fullmatch(allowed, v) or k in ("href", "src", "cite") and not safe_url(v, self.schemes):
                 continue
             kept.append(f' {k}="{_html.escape(v)}"')
-        if tag == "a" and any(k.startswith(" href=") for k in kept):
+        if tag in ("a", "area") and any(k.startswith(" href=") for k in kept):
             kept.append(' rel="nofollow"')
         if tag == "a" and not kept or tag == "img" and not any(k.startswith(" src=") for k in kept) or tag == "input" and not kept:
             return
         self.to.append(f"<{tag}{''.join(kept)}>")
+        if tag not in VOID:
+            self.open.append(tag)
 
     def handle_endtag(self, tag):
         if self.skip:
             if tag == self.skip[-1]:
                 self.skip.pop()
             return
-        if tag in ELEMENTS and tag not in VOID and any(t.startswith(f"<{tag}") for t in self.to):
+        if tag in self.open:
+            self.open.reverse()
+            self.open.remove(tag)
+            self.open.reverse()
             self.to.append(f"</{tag}>")
 
     def handle_data(self, data):
@@ -198,55 +218,17 @@ def sanitised(text: str, schemes: set[str] = SCHEMES) -> str:
     return "".join(parser.to)
 
 
-# ---- markdown subset ----------------------------------------------------------------------
-
-
-def inline_markdown(s: str, prefix: str) -> str:
-    s = _html.escape(s, quote=False)
-    s = re.sub(r"`([^`]+)`", r"<code>\1</code>", s)
-    s = re.sub(r"!\[([^\]]*)\]\(([^)\s]+)\)", r'<img src="\2" alt="\1">', s)
-    link = lambda m: f'<a href="{m[2] if re.match(T.LINK, m[2]) or m[2].startswith("#") else posixpath.join(prefix, m[2])}">{m[1]}</a>'
-    s = re.sub(r"\[([^\]]+)\]\(([^)\s]+)\)", link, s)
-    s = re.sub(r"\*\*([^*]+)\*\*", r"<strong>\1</strong>", s)
-    return re.sub(r"\*([^*]+)\*", r"<em>\1</em>", s)
-
-
-def markdown(text: str, prefix: str = "", repo_link: str = "", site: str = "") -> str:
-    """A subset of Markdown (heads, lists, tasks, quotes, fenced code, emphasis, links, images), then links, then sanitised."""
-    out, items, code = [], [], None
-
-    def close():
-        if items:
-            out.append("<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>")
-            items.clear()
-
-    for line in text.split("\n"):
-        if line.startswith("```"):
-            if code is None:
-                close()
-                lang = line[3:].strip()
-                code = [f'<pre><code class="language-{lang}">' if re.fullmatch(r"\w+", lang) else "<pre><code>"]
-            else:
-                out.append(code[0] + "\n".join(code[1:]) + "</code></pre>")
-                code = None
-        elif code is not None:
-            code.append(_html.escape(line, quote=False))
-        elif m := re.match(r"[-*+] (.*)", line):
-            box = m[1]
-            mark = '<input type="checkbox" disabled="">' if box.startswith("[ ] ") else '<input type="checkbox" disabled="" checked="">' if box.startswith("[x] ") else ""
-            items.append(mark + inline_markdown(box[3:] if mark else box, prefix))
-        else:
-            close()
-            if m := re.match(r"(#{1,6}) (.*)", line):
-                out.append(f"<h{len(m[1])}>{inline_markdown(m[2], prefix)}</h{len(m[1])}>")
-            elif line.startswith("> "):
-                out.append(f"<blockquote>{inline_markdown(line[2:], prefix)}</blockquote>")
-            elif line.strip():
-                out.append(f"<p>{inline_markdown(line, prefix)}</p>")
-    close()
-    if code:
-        out.append(code[0] + "\n".join(code[1:]) + "</code></pre>")
-    return sanitised(linked_html("\n".join(out), prefix, repo_link, site))
+# ---- markup -------------------------------------------------------------------------------
+
+
+def markdown(text: str, prefix: str = "", repo_link: str = "", site: str = "", hard: bool = False) -> str:
+    """Markdown as HTML, then links in its text, then sanitised."""
+    return sanitised(linked_html(markup.raw_markdown(text, prefix, site, hard), prefix, repo_link, site))
+
+
+def org_mode(text: str, prefix: str = "", repo_link: str = "", site: str = "") -> str:
+    """Org mode as HTML, then links in its text, then sanitised."""
+    return sanitised(linked_html(markup.raw_org(text, prefix, site), prefix, repo_link, site))
 
 
 # ---- diffs --------------------------------------------------------------------------------
