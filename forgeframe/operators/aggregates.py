@@ -50,7 +50,7 @@ def access_modes(collaboration: DataFrame, team: DataFrame, team_user: DataFrame
     The team "owners" grants ownership of all its organisation's repositories, other teams their own mode on their repositories.
     """
     teams = team.filter(F.col("id") != without_team).select(F.col("id").alias("team_id"), "org_id", "lower_name", "authorize")
-    people = team_user.select("team_id", F.col("uid").alias("user_id"))
+    people = team_user.select("team_id", F.col("uid").alias("user_id")).distinct()
     owners = teams.filter(F.col("lower_name") == "owners").join(repos.select(F.col("id").alias("repo_id"), F.col("owner_id").alias("org_id")), "org_id").select("team_id", "repo_id", F.lit(4).cast("bigint").alias("mode"))
     others = teams.filter(F.col("lower_name") != "owners").join(team_repo.select("team_id", "repo_id"), "team_id").select("team_id", "repo_id", F.col("authorize").alias("mode"))
     grants = owners.unionByName(others).join(people, "team_id").select("user_id", "repo_id", "mode")
@@ -88,3 +88,19 @@ def recipients(watchers: DataFrame, participants: DataFrame, assignee: DataFrame
     rows = rows.filter((F.col("rank") > 0) | ((F.col("type") == 0) & F.col("is_active")))
     first = F.min_by(F.struct("name", "email"), F.struct("rank", "user_id")).alias("r")
     return rows.groupBy("issue_id", F.lower("name").alias("_low")).agg(first).select("issue_id", "r.name", "r.email")
+
+
+def issue_recipients(issues: DataFrame, watch: DataFrame, participants: DataFrame, assignee: DataFrame, users: DataFrame, doer: int) -> DataFrame:
+    """As ``recipients``, from issues (issue_id, repo_id) and watch (repo_id, user_id).
+
+    Watchers come first and are the same for all issues of a repository, so names are made distinct by
+    repository, and only then dealt to issues: what is grouped never holds a row for each issue and watcher.
+    """
+    people = users.select(F.col("id").alias("user_id"), "name", "email", F.lower("name").alias("_low"), ((F.col("type") == 0) & F.col("is_active")).alias("_reads"))
+    first = F.min_by(F.struct("name", "email"), F.struct("rank", "user_id")).alias("r")
+    seen = watch.select("repo_id", "user_id", F.lit(0).alias("rank")).distinct().filter(F.col("user_id") != doer).join(people.filter("_reads"), "user_id")
+    seen = seen.groupBy("repo_id", "_low").agg(first)
+    more = participants.select("issue_id", "user_id", F.lit(1).alias("rank")).unionByName(assignee.select("issue_id", "user_id", F.lit(2).alias("rank")))
+    more = more.filter(F.col("user_id") != doer).join(people, "user_id").groupBy("issue_id", "_low").agg(first)
+    more = more.join(issues, "issue_id").join(seen.select("repo_id", "_low"), ["repo_id", "_low"], "left_anti")
+    return issues.join(seen, "repo_id").select("issue_id", "r.name", "r.email").unionByName(more.select("issue_id", "r.name", "r.email"))

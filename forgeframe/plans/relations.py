@@ -108,10 +108,10 @@ def notify_anti(s):
 
 
 def mail_recipients(s):
-    watchers = s.issue.select(F.col("id").alias("issue_id"), "repo_id").join(s.watch.select("repo_id", "user_id").distinct(), "repo_id")
-    people = s.comment.select("issue_id", F.col("poster_id").alias("user_id")).distinct()
+    issues = s.issue.select(F.col("id").alias("issue_id"), "repo_id")
+    people = s.comment.select("issue_id", F.col("poster_id").alias("user_id")).distinct().join(issues.select("issue_id"), "issue_id", "left_semi")
     assigned = s.issue.filter("assignee_id > 0").select(F.col("id").alias("issue_id"), F.col("assignee_id").alias("user_id"))
-    rows = A.recipients(watchers, people, assigned, s.users, 5)
+    rows = A.issue_recipients(issues, s.watch.select("repo_id", "user_id"), people, assigned, s.users, 5)
     return rows.groupBy("issue_id").agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("email").alias("last"))
 
 
@@ -207,7 +207,7 @@ ACCESS = """CASE WHEN q.user_id <= 0 OR r.id IS NULL THEN CASE WHEN NOT r.is_pri
     WHEN a.mode IS NOT NULL THEN a.mode WHEN NOT r.is_private THEN 1 ELSE 0 END"""
 MAILED = """SELECT w.issue_id, w.user_id, 0 AS rank FROM (SELECT DISTINCT i.id AS issue_id, w.user_id FROM issue i JOIN watch w ON w.repo_id = i.repo_id) w
     JOIN users u ON u.id = w.user_id WHERE u.type = 0 AND u.is_active
-    UNION ALL SELECT DISTINCT issue_id, poster_id, 1 FROM comment
+    UNION ALL SELECT DISTINCT issue_id, poster_id, 1 FROM comment WHERE issue_id IN (SELECT id FROM issue)
     UNION ALL SELECT id, assignee_id, 2 FROM issue WHERE assignee_id > 0"""
 QUERIES = {
     "orgs_of_user": query(orgs_of_user, "SELECT u.id, u.name FROM users u JOIN org_user o ON o.org_id = u.id WHERE o.uid = 19"),

@@ -115,7 +115,7 @@ def submodules(s):
 
 
 def paths(s):
-    p = F.concat(F.lit("../a//b/./"), F.col("p_size").cast("string"), F.lit("\\..\\c/"))
+    p = F.concat(F.lit("../"), F.col("p_brand"), F.lit("//"), F.regexp_replace("p_type", " ", "/"), F.lit("/./"), F.col("p_size").cast("string"), F.lit("\\..\\c/"))
     return s.part.select("p_partkey", T.clean_path(p).alias("clean"), T.same_site(F.concat(F.lit("/"), F.when(F.col("p_size") % 2 == 0, "/x").otherwise("x"))).alias("same"), T.resolved_link(F.concat(F.lit("x"), F.col("p_size").cast("string")), "/u/r").alias("link"))
 
 
@@ -186,13 +186,21 @@ def signatures(s):
 
 
 def version_checks(s):
-    a = F.concat_ws(".", (F.col("p_size") % 3).cast("string"), (F.col("p_size") % 7).cast("string"), F.lit("0"))
-    return s.part.select("p_partkey", H.udf(H.version_compare, "boolean")(a, F.lit(">="), F.lit("1.3")).alias("newer"))
+    """Versions of one to three numbers, one with a pre-release, by all six comparisons."""
+    k = F.col("p_partkey")
+    three = F.concat_ws(".", (F.col("p_size") % 3).cast("string"), (k % 12).cast("string"), (k % 5).cast("string"))
+    a = F.when(k % 4 == 0, three).when(k % 4 == 1, F.concat(F.lit("v"), F.substring_index(three, ".", 2))).when(k % 4 == 2, F.substring_index(three, ".", 1)).otherwise(F.concat(three, F.lit("-rc.1")))
+    b = F.concat_ws(".", (k % 3).cast("string"), (F.col("p_size") % 12).cast("string"), F.lit("0"))
+    op = F.element_at(F.array(*map(F.lit, ["=", "!=", ">", "<", ">=", "<="])), (k % 6 + 1).cast("int"))
+    return s.part.select("p_partkey", H.udf(H.version_compare, "boolean")(a, op, b).alias("holds"))
 
 
 def file_kinds(s):
-    content = F.when(F.col("page_id") % 3 == 0, F.unhex(F.lit("89504E470D0A1A0A00"))).when(F.col("page_id") % 3 == 1, F.lit("%PDF-1.7").cast("binary")).otherwise(F.col("html").cast("binary"))
-    return s.pages.groupBy(T.file_kind(content).alias("kind")).agg(F.count("*").alias("n"))
+    """Pages as they are, and behind a few bytes of their URL's hash or of a format."""
+    n = F.col("page_id") % 9
+    first = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in ("", "89504E470D0A1A0A", "FFD8FF", "255044462D", "524946461234567857454250", "3132333466747970", "4F676753")]), F.least(n + 1, F.lit(7)).cast("int"))
+    content = F.when(n < 7, F.concat(first, F.col("html").cast("binary"))).otherwise(F.concat(F.substring(F.unhex(F.sha1("url")), 1, 3), F.col("html").cast("binary")))
+    return s.pages.select("page_id", T.file_kind(content).alias("kind"))
 
 
 def html_links(s):
@@ -220,8 +228,10 @@ def diff_rows(s):
 
 
 def blocked_hosts(s):
-    host = F.concat(F.lit("10.0.0."), F.col("n_nationkey").cast("string"))
-    return s.nation.select("n_nationkey", H.udf(H.blocked_address, "boolean")(F.when(F.col("n_nationkey") % 2 == 0, host).otherwise("8.8.8.8")).alias("blocked"))
+    """Addresses in and beside the blocked networks."""
+    nets = ["0.%s.1.2", "10.%s.0.1", "100.%s.0.1", "127.%s.0.1", "169.%s.0.1", "172.%s.3.4", "192.0.%s.5", "192.88.%s.1", "192.%s.0.9", "198.%s.7.7", "198.51.%s.8", "203.0.%s.1", "%s.1.1.1", "::%s", "fc%s::1", "fe80::%s"]
+    host = F.replace(F.element_at(F.array(*map(F.lit, nets)), (F.col("id") % len(nets) + 1).cast("int")), F.lit("%s"), F.expr("id div 16 % 256").cast("string"))
+    return s.users.select("id", H.udf(H.blocked_address, "boolean")(F.when(F.col("id") % 97 == 0, "no.address").otherwise(host)).alias("blocked"))
 
 
 def plain_sizes(n):
@@ -266,7 +276,7 @@ QUERIES = {
     "commit_messages": query(commit_messages, f"SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN '<h3>Fix &lt;a&gt; ' || {LINKED} || '</h3>' || chr(10) || '<pre>body &amp; more</pre>' ELSE '<h4>Fix &lt;a&gt; ' || {LINKED} || '<br>no head</h4>' END AS x FROM conversations"),
     "credentials": query(credentials, "SELECT s_suppkey, 'https://git.example.com/x.git' AS plain, 'https://<credentials>@git.example.com/x.git' AS marked FROM supplier"),
     "submodules": query(submodules, "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'https://me.example.com/u/r/../lib/commit/abc' WHEN 1 THEN 'https://h.example.com/a/b/commit/abc' ELSE 'http://h.example.com/a/b/commit/abc' END AS x FROM supplier"),
-    "paths": query(paths, "SELECT p_partkey, 'a/b/c' AS clean, p_size % 2 <> 0 AS same, '/u/r/x' || p_size AS link FROM part"),
+    "paths": query(paths, "SELECT p_partkey, p_brand || '/' || replace(p_type, ' ', '/') || '/c' AS clean, p_size % 2 <> 0 AS same, '/u/r/x' || p_size AS link FROM part"),
     "escapes": query(escapes, "SELECT p_partkey, p_name || '<br>#5 100%?' AS br, replace(p_name, ' ', '%20') || chr(10) || '%235%20100%25%3F' AS pound, '&lt;&#34;&#39;&amp;' || p_name AS html FROM part"),
     "mode_names": query(mode_names, "SELECT CASE mode WHEN 1 THEN 'read' WHEN 2 THEN 'write' WHEN 3 THEN 'admin' ELSE 'owner' END AS name, CAST(CASE mode WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 1 END AS BIGINT) AS again, COUNT(*) AS n FROM access GROUP BY 1, 2"),
     "chat_messages": query(
@@ -301,12 +311,27 @@ QUERIES = {
     "auto_links": query(auto_links, """SELECT p_partkey, '<a href="https://g/u/' || CASE WHEN p_size % 2 = 0 THEN 'r' ELSE 'other' END || '/issues/' || p_size || '">' || CASE WHEN p_size % 2 = 0 THEN '' ELSE 'u/other' END || '#' || p_size || '</a>' AS x FROM part"""),
     "encrypted": query(encrypted, "SELECT id, name FROM users"),
     "signatures": query(signatures, "SELECT id, sha256(unhex('37' || repeat('5c', 63)) || unhex(sha256(unhex('5d' || repeat('36', 63)) || encode(name)))) AS signature FROM users"),
-    "version_checks": query(version_checks, "SELECT p_partkey, p_size % 3 > 1 OR (p_size % 3 = 1 AND p_size % 7 >= 3) AS newer FROM part"),
-    "file_kinds": query(file_kinds, "SELECT CASE page_id % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'pdf' ELSE 'text' END AS kind, COUNT(*) AS n FROM pages GROUP BY 1"),
+    "version_checks": query(
+        version_checks,
+        """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN a = b WHEN 1 THEN a <> b WHEN 2 THEN a > b WHEN 3 THEN a < b WHEN 4 THEN a >= b ELSE a <= b END AS holds FROM
+           (SELECT p_partkey, [p_size % 3, CASE WHEN p_partkey % 4 = 2 THEN 0 ELSE p_partkey % 12 END, CASE WHEN p_partkey % 4 IN (1, 2) THEN 0 ELSE p_partkey % 5 END, CASE WHEN p_partkey % 4 = 3 THEN 0 ELSE 1 END] AS a,
+            [p_partkey % 3, p_size % 12, 0, 1] AS b FROM part)""",
+    ),
+    "file_kinds": query(
+        file_kinds,
+        """SELECT page_id, CASE WHEN n IN (1, 2, 4) THEN 'image' WHEN n = 3 THEN 'pdf' WHEN n IN (5, 6) THEN 'video' WHEN n >= 7 AND (h[1:6] = 'FFD8FF' OR h[1:4] = '424D') THEN 'image'
+            WHEN len(list_filter(range(0, 3), lambda i: regexp_matches(h[2 * i + 1 : 2 * i + 2], '^(0[0-8EF]|1[0-9AC-F])$'))) > 0 AND n >= 7 THEN 'binary'
+            WHEN regexp_matches(html[1:1024], '[\x00-\x08\x0e-\x1a\x1c-\x1f]') THEN 'binary' ELSE 'text' END AS kind FROM (SELECT page_id, html, page_id % 9 AS n, upper(sha1(url)) AS h FROM pages)""",
+    ),
     "html_links": query(html_links),
     "sanitise": query(sanitised),
     "markdown": query(markdown),
     "inline_diff": query(inline_diff),
     "diff_rows": query(diff_rows, """SELECT id, 'delete' AS kind, 1 AS "left", 0 AS "right", name AS content FROM users UNION ALL SELECT id, 'add', 0, 1, email FROM users UNION ALL SELECT id, 'plain', 2, 2, 'same' FROM users"""),
-    "blocked_hosts": query(blocked_hosts, "SELECT n_nationkey, n_nationkey % 2 = 0 AS blocked FROM nation"),
+    "blocked_hosts": query(
+        blocked_hosts,
+        """SELECT id, CASE WHEN id % 97 = 0 THEN true ELSE CASE id % 16 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN x BETWEEN 64 AND 127 WHEN 3 THEN true WHEN 4 THEN x = 254 WHEN 5 THEN x BETWEEN 16 AND 31
+            WHEN 6 THEN x IN (0, 2) WHEN 7 THEN x = 99 WHEN 8 THEN x IN (0, 168) WHEN 9 THEN x IN (18, 19) WHEN 10 THEN x = 100 WHEN 11 THEN x = 113 WHEN 12 THEN x IN (0, 10, 127) WHEN 13 THEN x = 1
+            WHEN 14 THEN x <= 99 AND x >= 10 ELSE true END END AS blocked FROM (SELECT id, id // 16 % 256 AS x FROM users)""",
+    ),
 }

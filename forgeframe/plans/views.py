@@ -143,7 +143,7 @@ def run_once(s, df, name: str):
 def stream_fanout(s):
     rows, _ = stream_of(s, "events")
     rows = rows.select(F.col("event_id").alias("id"), "user_id", (F.col("event_id") % 100 + 1).alias("repo_id"), (F.col("event_id") % 40 + 1).alias("act_user_id"))
-    written = run_once(s, flows.fan_out(rows, s.watch), "fanout")
+    written = run_once(s, flows.fan_out(rows, s.watch, 4), "fanout")
     return written.groupBy("user_id", "repo_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum("act_user_id").alias("actors"))
 
 

@@ -123,3 +123,28 @@ def test_mail_order(spark):
     got = recipients(e(1, 4, 2), e(3, 2), e(4), users, 99)
     assert {(r.name, r.email) for r in got.collect()} == {("Ann", "a"), ("bob", "b"), ("eve", "e")}
     assert got.filter(F.col("issue_id") == 9).count() == 3
+
+
+def test_recipients_by_repository(spark):
+    """The form that fans out last gives what the plain one gives."""
+    import random
+
+    from forgeframe.operators.aggregates import issue_recipients, recipients
+
+    draw = random.Random(4)
+    names = ["Ann", "ANN", "bob", "Bob", "eve", "Zoe", "zoe"]
+    users = spark.createDataFrame([(i, draw.choice(names) + str(i % 5), f"e{i}", i % 4 // 3, i % 5 > 0) for i in range(60)], "id bigint, name string, email string, type bigint, is_active boolean")
+    pairs = lambda n, m: spark.createDataFrame([(draw.randrange(m), draw.randrange(60)) for _ in range(n)], "a bigint, user_id bigint")
+    issues = spark.createDataFrame([(i, i % 4) for i in range(12)], "issue_id bigint, repo_id bigint")
+    watch = pairs(70, 4).withColumnRenamed("a", "repo_id")
+    people, assigned = (pairs(n, 12).withColumnRenamed("a", "issue_id") for n in (40, 10))
+    want = recipients(issues.join(watch, "repo_id").select("issue_id", "user_id").distinct(), people, assigned, users, 7)
+    got = issue_recipients(issues, watch, people, assigned, users, 7)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 50
+
+
+def test_salted_fan_out(spark):
+    actions = spark.createDataFrame([(i, i % 7, i % 3, i % 5) for i in range(50)], "id bigint, user_id bigint, repo_id bigint, act_user_id bigint")
+    watch = spark.createDataFrame([(i % 3, i % 11) for i in range(40)], "repo_id bigint, user_id bigint")
+    plain = sorted(map(tuple, flows.fan_out(actions, watch).collect()))
+    assert sorted(map(tuple, flows.fan_out(actions, watch, 5).collect())) == plain and len(plain) > 100
