@@ -156,6 +156,11 @@ def exclusive(s):
     return flows.exclusive(rows, "repo_id", "at", "takes", "event_id").groupBy("repo_id").agg(F.sum(F.col("started") - F.col("at")).alias("waited"), F.max("ended").alias("ended"))
 
 
+def running(s):
+    rows = s.events.select((F.col("event_id") % 300).alias("task"), F.when(F.col("user_id") % 2 == 0, "start").otherwise("end").alias("kind"), "ts", "event_id")
+    return flows.running(rows, "task", "kind", "ts", "event_id").select("task")
+
+
 def pull_states(s):
     checks = s.events.select((F.col("event_id") % 200).alias("id"), F.col("event_id").alias("at"), (F.col("value") > 20).alias("clean"))
     return flows.pull_states(checks, s.spark.range(0, 200, 7).select("id"))
@@ -241,6 +246,7 @@ QUERIES = {
                UNION ALL SELECT r.repo_id, r.n, GREATEST(r.came, run.ended), GREATEST(r.came, run.ended) + r.takes, GREATEST(r.came, run.ended) - r.came FROM run JOIN r ON r.repo_id = run.repo_id AND r.n = run.n + 1)
            SELECT repo_id, CAST(SUM(waited) AS BIGINT) AS waited, MAX(ended) AS ended FROM run GROUP BY repo_id""",
     ),
+    "running": query(running, "SELECT task FROM (SELECT event_id % 300 AS task, arg_max(user_id % 2 = 0, (ts, event_id)) AS up FROM events GROUP BY 1) WHERE up"),
     "pull_states": query(pull_states, "SELECT event_id % 200 AS id, CASE WHEN event_id % 200 % 7 = 0 THEN 1 WHEN arg_max(value > 20, event_id) THEN 2 ELSE 0 END AS status FROM events GROUP BY 1, event_id % 200 % 7"),
     "daily_counts": query(hourly_counts, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2"),
 }

@@ -86,6 +86,12 @@ def history_page(s):
     return history.page(commits_of(s), 2, 30).select("sha", "topo")
 
 
+def history_of_path(s):
+    """The commits that touch a folder or a file below it."""
+    changes = s.lineitem.select(F.col("l_partkey").cast("string").alias("sha"), F.concat(F.lit("d"), (F.col("l_suppkey") % 9).cast("string"), F.lit("/f"), (F.col("l_orderkey") % 50).cast("string")).alias("path"))
+    return history.page(commits_of(s), 1, 40, changes, "d3").select("sha", "topo")
+
+
 def history_search(s):
     return history.search(commits_of(s), "AL").select("sha")
 
@@ -176,6 +182,7 @@ QUERIES = {
     "api_teams": query(api_teams, "SELECT id, lower_name AS name, '' AS description, CASE authorize WHEN 1 THEN 'read' WHEN 2 THEN 'write' WHEN 3 THEN 'admin' ELSE 'owner' END AS permission FROM team"),
     "api_commits": query(api_commits, "SELECT sha1(CAST(e.event_id AS VARCHAR)) AS id, e.event_type AS message, COALESCE(u.name, '') AS author, '' AS committer FROM events e LEFT JOIN users u ON u.id = e.event_id % 400 * 7"),
     "history_page": query(history_page, f"SELECT sha, topo FROM ({COMMITS}) ORDER BY topo DESC LIMIT 30 OFFSET 30"),
+    "history_of_path": query(history_of_path, f"SELECT sha, topo FROM ({COMMITS}) WHERE sha IN (SELECT CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_suppkey % 9 = 3) ORDER BY topo DESC, sha LIMIT 40"),
     "history_search": query(history_search, f"SELECT sha FROM ({COMMITS}) WHERE lower(message) LIKE '%al%'"),
     "history_between": query(history_between, f"{REACH} SELECT sha FROM r GROUP BY sha HAVING COUNT(DISTINCT start) = 1"),
     "history_count": query(history_count, f"{REACH} SELECT COUNT(*) AS n FROM r WHERE start = '100'"),

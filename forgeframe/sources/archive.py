@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import posixpath
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -134,11 +135,39 @@ def authorized_keys(keys: DataFrame, command: str) -> DataFrame:
     return keys.orderBy(F.desc("id")).select(line.alias("value"))
 
 
-def blobs(spark: SparkSession, folder: str) -> DataFrame:
-    """(oid, size, sound) of content-addressed files: sound if the name is the content's SHA-256."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def rows(df: DataFrame, *order: str):
+    """A cursor (S6): rows in order, one partition at a time at the driver and the next one fetched ahead."""
+    return (df.orderBy(*order) if order else df).toLocalIterator(prefetchPartitions=True)
+
+
+def blobs(spark: SparkSession, folder: str, whole: int = 64 << 20) -> DataFrame:
+    """(oid, size, sound) of content-addressed files: sound if the name is the content's SHA-256.
+
+    Files of up to ``whole`` bytes are read by Spark; of larger ones only the paths are, and tasks read them
+    piece by piece. Spark's readers skip empty files, so there is no row for them.
+    """
+
+    @F.pandas_udf("string")
+    def digest(paths: pd.Series) -> pd.Series:
+        from hashlib import sha256
+
+        from pyarrow import fs
+
+        def one(uri: str) -> str:
+            store, path = fs.FileSystem.from_uri(uri)
+            found = sha256()
+            with store.open_input_stream(path) as f:
+                while piece := f.read(1 << 20):
+                    found.update(piece)
+            return found.hexdigest()
+
+        return paths.map(one)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     oid = F.element_at(F.split("path", "/"), -1)
-    return rows.select(oid.alias("oid"), F.col("length").alias("size"), (F.sha2("content", 256) == oid).alias("sound"))
+    small = files.filter(F.col("length") <= whole).select(oid.alias("oid"), F.col("length").alias("size"), (F.sha2("content", 256) == oid).alias("sound"))
+    large = files.filter(F.col("length") > whole).select(oid.alias("oid"), F.col("length").alias("size"), (digest(F.regexp_replace("path", "^file:/+", "file:///")) == oid).alias("sound"))
+    return small.unionByName(large)
 
 
 def valid_oid(c):

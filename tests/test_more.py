@@ -105,6 +105,21 @@ def test_exclusion(spark):
         assert got[i] == (started, started + takes)
 
 
+def test_cursor_and_blobs(spark, tmp_path):
+    import hashlib
+
+    assert [r.id for r in archive.rows(spark.range(100).repartition(7), "id")] == list(range(100))
+    for body in (b"abc", b"x" * 3_000_000):
+        name = hashlib.sha256(body).hexdigest()
+        (tmp_path / name[0]).mkdir(exist_ok=True)
+        (tmp_path / name[0] / name).write_bytes(body)
+    (tmp_path / "bad").write_bytes(b"no")
+    (tmp_path / ("0" * 64)).write_bytes(b"y" * 2000)
+    want = {(hashlib.sha256(b).hexdigest(), len(b), True) for b in (b"abc", b"x" * 3_000_000)} | {("bad", 2, False), ("0" * 64, 2000, False)}
+    for whole in (64 << 20, 1000):
+        assert {tuple(r) for r in archive.blobs(spark, str(tmp_path), whole).collect()} == want
+
+
 def test_archive_of_a_site(spark, tmp_path):
     for name in ("custom/conf/app.ini", "data/avatars/1", "repositories/ann/a.git/HEAD", "repositories/ann/mirror.git/HEAD", "repositories/ann/mirrored.git/HEAD"):
         (tmp_path / "site" / name).parent.mkdir(parents=True, exist_ok=True)
