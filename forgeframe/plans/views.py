@@ -3,26 +3,20 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from forgeframe.operators import api, history
 from forgeframe.plans.site import query
+from forgeframe.session import shared_dir
 from forgeframe.sources import archive
 from forgeframe.streaming import flows
 
 
 def folder(spark, name: str) -> str:
     """A folder that the whole cluster shares; a local one where the session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="forgeframe-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return posixpath.join(base, f"{name}-{uuid.uuid4().hex}")
+    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def api_issues(s):

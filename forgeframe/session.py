@@ -23,3 +23,19 @@ def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "8
 def load(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the session's checkpoint folder.
+
+    Where neither is set, a folder of this machine is set for the session, if that is all its cluster.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="forgeframe-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
