@@ -255,5 +255,5 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str
 
         return block
 
-    out = map_rows(docs.select("*", F.col(text).alias(fresh("text"))), schema, make, 2 << 20, len(docs.columns))
+    out = map_rows(docs.select("*", F.col(text).alias(fresh("text"))), schema, make, 1 << 20, len(docs.columns))
     return out.drop(*[c for c in docs.columns if c in OWN]).withColumnsRenamed(own)

@@ -28,7 +28,6 @@ columns are not read, except by ``deduplicate``, which keeps them all; a key col
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import DataFrame
