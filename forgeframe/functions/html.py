@@ -10,7 +10,6 @@ import hashlib
 import hmac as _hmac
 import html as _html
 import ipaddress
-import posixpath
 import re
 from collections.abc import Callable
 from html.parser import HTMLParser
