@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forgeframe.operators import aggregates, issues, joins, paging
+from forgeframe.operators import hooks as H
 from forgeframe.operators import predicates as P
 from forgeframe.plans.site import RAW, query
 from forgeframe.sources import archive
@@ -129,6 +130,17 @@ def derived_columns(s):
     return s.milestone.select("id", (F.col("num_issues") - F.col("num_closed_issues")).cast("bigint").alias("num_open_issues"), completeness().alias("completeness"))
 
 
+def row_hooks(s):
+    """Milestones and keys as they are read, and users as they are created."""
+    now = 1_700_050_000
+    stones = H.read(s.milestone.withColumn("deadline_unix", F.when(F.col("id") % 3 == 0, 253_370_764_800).otherwise(now - 86_400 * 5 + F.col("id") * 86_400)), "milestone", now)
+    keys = H.read(s.public_key.select("id", (F.lit(now) - F.col("id") * 90_000).alias("created_unix"), (F.lit(now) - F.col("id") % 20 * 45_000).alias("updated_unix")), "public_key", now)
+    new = H.created(s.users.select("id", F.when(F.col("id") % 2 == 0, F.col("created_unix")).alias("created_unix"), F.lit(0).cast("bigint").alias("updated_unix")), now)
+    one = stones.select(F.lit("milestone").alias("kind"), "id", F.concat_ws("|", "num_open_issues", "completeness", "deadline_string", "is_overdue").alias("x"))
+    two = keys.select(F.lit("key").alias("kind"), "id", F.concat_ws("|", "has_used", "has_recent_activity", F.date_format("updated", "yyyy-MM-dd HH:mm:ss")).alias("x"))
+    return one.unionByName(two).unionByName(new.select(F.lit("user").alias("kind"), "id", F.concat_ws("|", "created_unix", "updated_unix").alias("x")))
+
+
 def api_users(s):
     return s.users.select("id", F.col("name").alias("username"), F.col("full_name"), F.concat(F.lit("/avatars/"), F.col("id").cast("string")).alias("avatar_url"), F.col("email"))
 
@@ -172,6 +184,12 @@ QUERIES = {
     "sequence_reset": query(sequence_reset, "SELECT COALESCE(MAX(id) + 1, 1) AS next_id FROM issue"),
     "user_count": query(user_count, "SELECT COUNT(*) AS n FROM users WHERE type = 0"),
     "derived_columns": query(derived_columns, "SELECT id, CAST(num_issues - num_closed_issues AS BIGINT) AS num_open_issues, CAST(num_closed_issues * 100 // num_issues AS BIGINT) AS completeness FROM milestone"),
+    "row_hooks": query(
+        row_hooks,
+        """SELECT 'milestone' AS kind, id, concat_ws('|', num_issues - num_closed_issues, num_closed_issues * 100 // num_issues, CASE WHEN id % 3 = 0 THEN '' ELSE strftime(make_timestamp((1699618000 + id * 86400) * 1000000), '%Y-%m-%d') END, id % 3 <> 0 AND id < 5) AS x FROM milestone
+           UNION ALL SELECT 'key', id, concat_ws('|', id % 20 * 45000 < id * 90000, id % 20 * 45000 < 604800, strftime(make_timestamp((1700050000 - id % 20 * 45000) * 1000000), '%Y-%m-%d %H:%M:%S')) FROM public_key
+           UNION ALL SELECT 'user', id, CASE WHEN id % 2 = 0 THEN created_unix || '|' || created_unix ELSE '1700050000|1700050000' END FROM users""",
+    ),
     "api_users": query(api_users, "SELECT id, name AS username, full_name, '/avatars/' || CAST(id AS VARCHAR) AS avatar_url, email FROM users"),
     "valid_blobs": query(valid_blobs, "SELECT true AS sound, COUNT(*) AS n FROM lfs_object"),
 }
