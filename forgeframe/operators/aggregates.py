@@ -44,19 +44,52 @@ def recounted(owner: DataFrame, counter: str, rows: DataFrame, key: str) -> Data
     return owner.join(actual, "id", "left").withColumn(counter, F.coalesce("_n", F.lit(0))).drop("_n").select(*owner.columns)
 
 
-def access_modes(collaboration: DataFrame, team: DataFrame, team_user: DataFrame, team_repo: DataFrame, repos: DataFrame, without_team: int = 0) -> DataFrame:
-    """(user_id, repo_id, mode): the highest of collaboration and team grants.
+def team_grants(team: DataFrame, team_user: DataFrame, team_repo: DataFrame, repos: DataFrame, without_team: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Members (team_id, user_id), each once, and grants (team_id, repo_id, mode).
 
     The team "owners" grants ownership of all its organisation's repositories, other teams their own mode on their repositories.
     """
     teams = team.filter(F.col("id") != without_team).select(F.col("id").alias("team_id"), "org_id", "lower_name", "authorize")
     people = team_user.select("team_id", F.col("uid").alias("user_id")).distinct()
+    teams = teams.join(people.select("team_id"), "team_id", "left_semi")
     owners = teams.filter(F.col("lower_name") == "owners").join(repos.select(F.col("id").alias("repo_id"), F.col("owner_id").alias("org_id")), "org_id").select("team_id", "repo_id", F.lit(4).cast("bigint").alias("mode"))
     others = teams.filter(F.col("lower_name") != "owners").join(team_repo.select("team_id", "repo_id"), "team_id").select("team_id", "repo_id", F.col("authorize").alias("mode"))
-    grants = owners.unionByName(others).join(people, "team_id").select("user_id", "repo_id", "mode")
+    return people, owners.unionByName(others)
+
+
+def access_modes(collaboration: DataFrame, team: DataFrame, team_user: DataFrame, team_repo: DataFrame, repos: DataFrame, without_team: int = 0) -> DataFrame:
+    """(user_id, repo_id, mode): the highest of collaboration and team grants."""
+    people, granted = team_grants(team, team_user, team_repo, repos, without_team)
+    grants = granted.join(people, "team_id").select("user_id", "repo_id", "mode")
     return collaboration.select("user_id", "repo_id", "mode").unionByName(grants).groupBy("user_id", "repo_id").agg(F.max("mode").alias("mode"))
 
 
+def access_totals(collaboration: DataFrame, team: DataFrame, team_user: DataFrame, team_repo: DataFrame, repos: DataFrame, without_team: int = 0) -> DataFrame:
+    """(mode, n, u, r): of each mode of ``access_modes`` the number of its rows and the sums of their user_id and repo_id.
+
+    Members of the same teams have the same grants, and so have repositories with the same ones. Such users and
+    repositories are one class each, a mode is found for each pair of classes that share a team, and it counts for all
+    their pairs; no row is made for a user and repository but those of ``collaboration``, which then move to their own mode.
+    """
+    people, granted = team_grants(team, team_user, team_repo, repos, without_team)
+    granted = granted.groupBy("team_id", "repo_id").agg(F.max("mode").alias("mode"))
+    member = people.join(granted.select("team_id"), "team_id", "left_semi").groupBy("user_id").agg(F.array_sort(F.collect_set("team_id")).alias("teams"))
+    held = granted.groupBy("repo_id").agg(F.array_sort(F.collect_set(F.struct("team_id", "mode"))).alias("grants"))
+    users = member.groupBy("teams").agg(F.count("*").alias("users"), F.sum("user_id").alias("user_ids"))
+    kinds = held.groupBy("grants").agg(F.count("*").alias("repos"), F.sum("repo_id").alias("repo_ids"))
+    shared = users.withColumn("team_id", F.explode("teams")).join(kinds.select("*", F.explode("grants").alias("g")).select("*", "g.team_id", "g.mode").drop("g"), "team_id")
+    shared = shared.groupBy("teams", "grants", "users", "user_ids", "repos", "repo_ids").agg(F.max("mode").alias("mode"))
+    whole = shared.select("mode", (F.col("users") * F.col("repos")).alias("n"), (F.col("user_ids") * F.col("repos")).alias("u"), (F.col("repo_ids") * F.col("users")).alias("r"))
+    own = collaboration.groupBy("user_id", "repo_id").agg(F.max("mode").alias("own"))
+    own = own.join(member.withColumnRenamed("user_id", "_user"), F.col("user_id").eqNullSafe(F.col("_user")), "left").join(held.withColumnRenamed("repo_id", "_repo"), F.col("repo_id").eqNullSafe(F.col("_repo")), "left")
+    own = own.join(shared.select("teams", "grants", F.col("mode").alias("given"), F.lit(True).alias("has")), ["teams", "grants"], "left")
+    best = F.greatest("own", "given")
+    row = lambda mode, sign: F.struct(mode.alias("mode"), F.lit(sign).cast("bigint").alias("n"), (F.col("user_id") * sign).cast("bigint").alias("u"), (F.col("repo_id") * sign).cast("bigint").alias("r"))
+    moves = F.when(F.col("has"), F.when(best.eqNullSafe(F.col("given")), F.array()).otherwise(F.array(row(best, 1), row(F.col("given"), -1)))).otherwise(F.array(row(best, 1)))
+    moved = own.select(F.explode(moves).alias("m")).select("m.*")
+    return whole.unionByName(moved).groupBy("mode").agg(*[F.sum(c).alias(c) for c in "nur"]).filter("n > 0")
+
+
 def effective_access(asked: DataFrame, repos: DataFrame, access: DataFrame) -> DataFrame:
     """(user_id, repo_id) with mode (A10): owner, else the access row, else read if public, else none."""
     rows = asked.join(repos.select(F.col("id").alias("repo_id"), "owner_id", "is_private"), "repo_id", "left")

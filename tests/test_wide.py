@@ -1,7 +1,11 @@
 """Queries on tables in which few keys have very many rows, and on more keys than the smallest tables have."""
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
+from forgeframe.operators import aggregates as A
 from forgeframe.plans import registry
 
 
@@ -17,3 +21,58 @@ def against_sql(spark, name: str, sf: str, tables: str) -> None:
 
 def test_blocked_hosts_of_all_digits(spark):
     against_sql(spark, "blocked_hosts", "/root/testdata/sf0.1", "customer")
+
+
+def rows_made(df) -> int:
+    """The most rows that an operator of an executed plan put out, however it was re-planned."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        found = node.metrics().get("numOutputRows")
+        most = max(most, found.get().value() if found.isDefined() else 0)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def teams_of(spark, seed: int):
+    """collaboration, team, team_user, team_repo, repository with repeats, nulls and users of several teams."""
+    rng = random.Random(seed)
+    some = lambda n, *tops: [tuple(rng.choice([None, *range(1, top + 1)]) for top in tops) for _ in range(n)]
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in names.split()))
+    team = [(i, rng.randint(1, 3), rng.choice(["owners", "a", "b", None]), rng.choice([1, 2, 3, None])) for i in range(1, 8)]
+    return (
+        frame(some(60, 20, 25, 4), "user_id repo_id mode"),
+        spark.createDataFrame(team, "id bigint, org_id bigint, lower_name string, authorize bigint"),
+        frame(some(40, 20, 8), "uid team_id"),
+        frame(some(40, 25, 8), "repo_id team_id"),
+        frame([(i, rng.choice([None, 1, 2, 3])) for i in range(1, 26)], "id owner_id"),
+    )
+
+
+def test_access_totals_equal_the_rows(spark):
+    for seed in range(6):
+        tables = teams_of(spark, seed)
+        want = A.access_modes(*tables).groupBy("mode").agg(F.count("*").alias("n"), F.sum("user_id").alias("u"), F.sum("repo_id").alias("r"))
+        assert sorted(map(tuple, A.access_totals(*tables).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_access_is_not_counted_by_pairs(spark):
+    """A team of 1500 members with 1500 repositories: 2,250,000 grants, of which no row is made."""
+    team = spark.createDataFrame([(1, 1, "a", 2)], "id bigint, org_id bigint, lower_name string, authorize bigint")
+    many = spark.range(1, 1501)
+    totals = A.access_totals(
+        spark.createDataFrame([(1, 1, 3), (2000, 1, 4)], "user_id bigint, repo_id bigint, mode bigint"), team,
+        many.select(F.col("id").alias("uid"), F.lit(1).alias("team_id")), many.select(F.col("id").alias("repo_id"), F.lit(1).alias("team_id")),
+        many.select("id", F.lit(9).alias("owner_id")),
+    )
+    assert sorted(map(tuple, totals.collect())) == [(2, 2249999, 1688625000 - 1, 1688625000 - 1), (3, 1, 1, 1), (4, 1, 2000, 1)]
+    assert rows_made(totals) < 10_000
+    assert rows_made(registry.queries()["access_max_merge"](spark, "/root/testdata/sf0.001")) < 10_000
