@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from forgeframe.operators import aggregates as A
+from forgeframe.operators import mutations as M
 from forgeframe.plans import registry
 
 
@@ -75,4 +76,13 @@ def test_access_is_not_counted_by_pairs(spark):
     )
     assert sorted(map(tuple, totals.collect())) == [(2, 2249999, 1688625000 - 1, 1688625000 - 1), (3, 1, 1, 1), (4, 1, 2000, 1)]
     assert rows_made(totals) < 10_000
-    assert rows_made(registry.queries()["access_max_merge"](spark, "/root/testdata/sf0.001")) < 10_000
+    assert rows_made(registry.queries()["access_max_merge"](spark, "/root/testdata/sf0.01")) < 100_000
+
+
+def test_access_after_a_team_is_not_counted_by_pairs(spark):
+    assert rows_made(registry.queries()["team_delete"](spark, "/root/testdata/sf0.01")) < 100_000
+    teams, people, grants = (spark.createDataFrame(*x) for x in (([(1, 1, "a", 2), (3, 1, "a", 3)], "id bigint, org_id bigint, lower_name string, authorize bigint"), ([(1, 5), (3, 5), (3, 6)], "team_id bigint, uid bigint"), ([(1, 7), (3, 7), (3, 8)], "team_id bigint, repo_id bigint")))
+    tables = {"team": teams, "team_user": people, "team_repo": grants, "collaboration": spark.createDataFrame([], "user_id bigint, repo_id bigint, mode bigint"), "repository": spark.createDataFrame([], "id bigint, owner_id bigint")}
+    out = M.delete_team(tables, 3)
+    assert [tuple(r) for r in out["access"].collect()] == [(5, 7, 2)]
+    assert [tuple(r) for r in A.access_totals(*(out[n] for n in ("collaboration", "team", "team_user", "team_repo", "repository"))).collect()] == [(2, 1, 5, 7)]
