@@ -123,11 +123,11 @@ def recipients(watchers: DataFrame, participants: DataFrame, assignee: DataFrame
     return rows.groupBy("issue_id", F.lower("name").alias("_low")).agg(first).select("issue_id", "r.name", "r.email")
 
 
-def issue_recipients(issues: DataFrame, watch: DataFrame, participants: DataFrame, assignee: DataFrame, users: DataFrame, doer: int) -> DataFrame:
-    """As ``recipients``, from issues (issue_id, repo_id) and watch (repo_id, user_id).
+def recipient_parts(issues: DataFrame, watch: DataFrame, participants: DataFrame, assignee: DataFrame, users: DataFrame, doer: int) -> tuple[DataFrame, DataFrame]:
+    """Who is told of every issue of a repository (repo_id, r) and who else of one issue (issue_id, r); r: name, email.
 
     Watchers come first and are the same for all issues of a repository, so names are made distinct by
-    repository, and only then dealt to issues: what is grouped never holds a row for each issue and watcher.
+    repository; what is grouped never holds a row for each issue and watcher.
     """
     people = users.select(F.col("id").alias("user_id"), "name", "email", F.lower("name").alias("_low"), ((F.col("type") == 0) & F.col("is_active")).alias("_reads"))
     first = F.min_by(F.struct("name", "email"), F.struct("rank", "user_id")).alias("r")
@@ -136,4 +136,21 @@ def issue_recipients(issues: DataFrame, watch: DataFrame, participants: DataFram
     more = participants.select("issue_id", "user_id", F.lit(1).alias("rank")).unionByName(assignee.select("issue_id", "user_id", F.lit(2).alias("rank")))
     more = more.filter(F.col("user_id") != doer).join(people, "user_id").groupBy("issue_id", "_low").agg(first)
     more = more.join(issues, "issue_id").join(seen.select("repo_id", "_low"), ["repo_id", "_low"], "left_anti")
+    return seen.select("repo_id", "r"), more.select("issue_id", "r")
+
+
+def issue_recipients(issues: DataFrame, watch: DataFrame, participants: DataFrame, assignee: DataFrame, users: DataFrame, doer: int) -> DataFrame:
+    """As ``recipients``, from issues (issue_id, repo_id) and watch (repo_id, user_id)."""
+    seen, more = recipient_parts(issues, watch, participants, assignee, users, doer)
     return issues.join(seen, "repo_id").select("issue_id", "r.name", "r.email").unionByName(more.select("issue_id", "r.name", "r.email"))
+
+
+def recipient_totals(issues: DataFrame, watch: DataFrame, participants: DataFrame, assignee: DataFrame, users: DataFrame, doer: int) -> DataFrame:
+    """(issue_id, n, first, last): of each issue with ``issue_recipients`` their number, least name and greatest email.
+
+    Both parts are summed up where they are, by repository and by issue, so no row is made for an issue and watcher.
+    """
+    seen, more = recipient_parts(issues, watch, participants, assignee, users, doer)
+    totals = lambda rows, key: rows.groupBy(key).agg(F.count("*").alias("n"), F.min("r.name").alias("first"), F.max("r.email").alias("last"))
+    both = issues.select("issue_id", "repo_id").join(totals(seen, "repo_id"), "repo_id").drop("repo_id").unionByName(totals(more, "issue_id"))
+    return both.groupBy("issue_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))

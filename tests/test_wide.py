@@ -86,3 +86,17 @@ def test_access_after_a_team_is_not_counted_by_pairs(spark):
     out = M.delete_team(tables, 3)
     assert [tuple(r) for r in out["access"].collect()] == [(5, 7, 2)]
     assert [tuple(r) for r in A.access_totals(*(out[n] for n in ("collaboration", "team", "team_user", "team_repo", "repository"))).collect()] == [(2, 1, 5, 7)]
+
+
+def test_recipients_are_not_counted_by_issue_and_watcher(spark):
+    """300 issues of a repository with 300 watchers; totals equal the rows."""
+    many = spark.range(1, 301)
+    issues = many.select(F.col("id").alias("issue_id"), F.lit(1).alias("repo_id")).unionByName(spark.createDataFrame([(901, 2), (902, 2), (903, 3)], "issue_id bigint, repo_id int"))
+    users = spark.range(1, 400).select("id", F.concat(F.lit("N"), F.col("id") % 350).alias("name"), F.concat(F.lit("m"), F.col("id")).alias("email"), (F.col("id") % 7 == 0).cast("int").alias("type"), (F.col("id") % 5 > 0).alias("is_active"))
+    people = spark.createDataFrame([(1, 390), (1, 391), (2, 3), (2, 5), (901, 5), (901, 9), (902, 6)], "issue_id bigint, user_id bigint")
+    inputs = issues, many.select(F.lit(1).alias("repo_id"), F.col("id").alias("user_id")), people, spark.createDataFrame([(1, 392), (901, 359), (902, 6)], "issue_id bigint, user_id bigint"), users, 6
+    totals = A.recipient_totals(*inputs)
+    want = A.issue_recipients(*inputs).groupBy("issue_id").agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("email").alias("last"))
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, want.collect()))
+    assert rows_made(totals) < 10_000 < rows_made(want)
+    assert rows_made(registry.queries()["mail_recipients"](spark, "/root/testdata/sf0.01")) < 100_000
