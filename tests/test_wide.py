@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from forgeframe.operators import aggregates as A
 from forgeframe.operators import mutations as M
+from forgeframe.operators import sets
 from forgeframe.plans import registry
 
 
@@ -100,3 +101,25 @@ def test_recipients_are_not_counted_by_issue_and_watcher(spark):
     assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, want.collect()))
     assert rows_made(totals) < 10_000 < rows_made(want)
     assert rows_made(registry.queries()["mail_recipients"](spark, "/root/testdata/sf0.01")) < 100_000
+
+
+def whitelists(spark):
+    """Protected branches with repeats, blanks, no list, and users who are in several of a branch's teams."""
+    rows = [(1, "0,5,5, 7,x", "1,2"), (2, "", "3"), (3, "8", "9,z"), (4, None, "1,3,3"), (5, "40", None), (6, "0", "")]
+    rows += [(i, "41", "1" if i % 2 else "1,2") for i in range(100, 400)]
+    branches = spark.createDataFrame([(i, i % 4, f"b{i}", i != 5, u, t) for i, u, t in rows], "id bigint, repo_id bigint, name string, enable_whitelist boolean, whitelist_user_ids string, whitelist_team_ids string")
+    links = [(t, u) for u in range(300) for t in (1, 2, 3) if u % (t + 1) < 2] + [(None, 3), (1, None), (2, 7), (2, 7)]
+    members = lambda text: {u for x in (text or "").split(",") for t, u in links if x.strip().isdigit() and t == int(x) and u}
+    want = {(i, u) for i, us, ts in rows for u in members(ts) | {int(x) for x in (us or "").split(",") if x.strip().isdigit()} if u}
+    return branches, spark.createDataFrame(links, "team_id bigint, uid bigint"), want
+
+
+def test_whitelist_sizes(spark):
+    branches, links, want = whitelists(spark)
+    on = sorted((i, sum(b == i for b, _ in want)) for i in {b for b, _ in want} - {5})
+    sizes = M.rebuilt_sizes(branches, links)
+    assert sorted(map(tuple, sizes.collect())) == on and sum(n for _, n in on) > 20_000
+    assert rows_made(sizes) < 10_000
+    rows = M.rebuild_whitelist(branches, links)
+    assert sorted(map(tuple, rows.groupBy("protect_branch_id").count().collect())) == on
+    assert rows_made(registry.queries()["whitelist_rebuild"](spark, "/root/testdata/sf0.01")) < 5_000
