@@ -123,3 +123,12 @@ def test_whitelist_sizes(spark):
     rows = M.rebuild_whitelist(branches, links)
     assert sorted(map(tuple, rows.groupBy("protect_branch_id").count().collect())) == on
     assert rows_made(registry.queries()["whitelist_rebuild"](spark, "/root/testdata/sf0.01")) < 5_000
+
+
+def test_whitelisted_pairs_are_not_shuffled(spark):
+    branches, links, want = whitelists(spark)
+    rows = sets.whitelisted(branches, links)
+    assert sorted(map(tuple, rows.collect())) == sorted(want)
+    top = rows._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0]
+    # above the join that makes the pairs stand no aggregate and no exchange
+    assert "Aggregate" not in top.split("Join")[0] and "Exchange" not in top.split("Join")[0]
