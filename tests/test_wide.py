@@ -135,6 +135,38 @@ def test_whitelisted_pairs_are_not_shuffled(spark):
     assert "Aggregate" not in top.split("Join")[0] and "Exchange" not in top.split("Join")[0]
 
 
+def test_feed_fanout_rows_pack(spark, tmp_path):
+    """A repository with more watchers than a page of a column file has rows: its output stays small, whole and in many tasks."""
+    many, acts = 24_000, 200
+    spark.range(acts).selectExpr("id * 100 + 7 as event_id", "id as user_id", "'click' as event_type").write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(2 * many).selectExpr(f"id % {many} as l_suppkey", "7L as l_partkey", "'A' as l_returnflag").write.parquet(str(tmp_path / "lineitem.parquet"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of full size
+    try:
+        registry.queries()["feed_fanout"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    by_id = out.groupBy("id").agg(F.count("*").alias("n"), F.sum("user_id").alias("to"), F.countDistinct("user_id").alias("kinds"))
+    assert by_id.count() == acts and by_id.filter(f"n <> {many} or kinds <> {many} or to <> {many * (many - 1) // 2}").count() == 0
+    files = list((tmp_path / "out").glob("*.parquet"))
+    # 4 bytes a row if each action comes with all watchers at once
+    assert sum(f.stat().st_size for f in files) < many * acts
+    assert max(r["count"] for r in out.groupBy(F.input_file_name()).count().collect()) < 0.3 * many * acts
+
+
+def test_fan_out_in_blocks(spark):
+    """Rows as by plain loops, with sparse and negative ids, blocks of every size, repeats and nulls."""
+    rng = random.Random(8)
+    watchers = {1: range(-600, 905), 2: [rng.randrange(-(2**62), 2**62) for _ in range(50)], 3: range(16_383 - 504, 16_384 + 504), 4: [7], 5: [None]}
+    watch = spark.createDataFrame([(r, u) for r, us in watchers.items() for u in us for _ in range(1 + (r == 4))] + [(None, 3)], "repo_id bigint, user_id bigint")
+    acts = [(i, None, r, u) for i, (r, u) in enumerate((r, u) for r in (1, 2, 3, 4, 5, 6, None) for u in (7, 7, 16_384, None))]
+    actions = spark.createDataFrame(acts, "id bigint, user_id bigint, repo_id bigint, act_user_id bigint")
+    want = [(i, a, r, a) for i, _, r, a in acts] + [(i, u, r, a) for i, _, r, a in acts for u in watchers.get(r, ()) if None not in (u, a) and u != a]
+    for salts in (1, 5, flows.DEALT):
+        assert sorted(map(tuple, flows.fan_out(actions, watch, salts).collect()), key=str) == sorted(want, key=str)
+
+
 def test_fan_out_totals(spark):
     """Totals equal those of the rows, with actors who watch, repeats and nulls; none is made for an action and watcher."""
     rng = random.Random(5)
