@@ -74,11 +74,12 @@ def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return wrapped
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[list]], list[list]]], block_bytes: int = 4 << 20, through: int = 0) -> DataFrame:
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[list]], list[list]]], block_bytes: int = 4 << 20, through: int = 0, read: list[int] | None = None) -> DataFrame:
     """``df`` through ``mapInArrow``: ``make()`` runs once a task and gives a function from
     columns (lists) to columns (lists). The first ``through`` columns, of any type, stay as they
-    are and are not given to it; it then returns as many rows as it gets. Rows are handed over in blocks of about
-    ``block_bytes`` of strings, so long texts do not pile up in a Python worker.
+    are and are not given to it; it then returns as many rows as it gets. ``read``: places of the columns that are
+    given to it instead of those after ``through``, so that a text that stays need not be sent twice. Rows are handed
+    over in blocks of about ``block_bytes`` of strings, so long texts do not pile up in a Python worker.
     """
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -93,7 +94,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[list]
                 step = max(1, int(rows * block_bytes / batch.nbytes))
             for at in range(0, rows, step):
                 part = batch.slice(at, step)
-                out = f([c.to_pylist() for c in part.columns[through:]])
+                out = f([part.column(i).to_pylist() for i in (range(through, part.num_columns) if read is None else read)])
                 whole = [c if c.type == t.type else c.cast(t.type) for c, t in zip(part.columns[:through], target)]
                 made = [pa.array(c, t.type) for c, t in zip(out, list(target)[through:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*whole, *made], schema=target)

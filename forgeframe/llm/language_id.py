@@ -16,7 +16,7 @@ The classifier is fitted on a bounded sample of labelled rows: of each language
 whole texts of ``longest`` characters or fewer, lowest hash first, as long as they have
 ``symbols`` in all; where a language has only longer ones, its shortest text. It knows the
 ``ALPHABET`` most frequent symbols of a sample. More than ``labels`` languages raise an error:
-each needs an automaton in every task (25 MB for 70,000 symbols of 60 kinds).
+each needs an automaton in every task (2 MB for 70,000 symbols).
 
 Null texts and texts without a letter: ``und`` with score 0. Without labelled texts all are
 ``und``. Score: how much cheaper the best language is than the second, 0 to 1 (1 if there is
@@ -31,6 +31,7 @@ import math
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -75,7 +76,12 @@ def symbols(texts: list[str | None], kind):
 
 
 class Automaton:
-    """Suffix automaton of a sequence of small integers, as a dense table; 0 is the root and no target."""
+    """Suffix automaton of a sequence of small integers, as a double array.
+
+    A state is a place; what follows it by c stands at place + c, if ``owner`` has the state there, and is in
+    ``next``. 0 is the root and no target. Nearly all states have one successor, so the array is about as long as there
+    are successors, whatever the width. Each of 1 to width - 1 must be in the sequence: the root has them all.
+    """
 
     def __init__(self, symbols: list[int], width: int):
         import numpy as np
@@ -105,10 +111,55 @@ class Automaton:
                         p = link[p]
                     link[q] = link[now] = twin
             last = now
-        self.table = np.zeros((len(nexts), width), np.int32)
-        for s, found in enumerate(nexts):
-            for c, t in found.items():
-                self.table[s, c] = t
+        place = places(nexts, width)
+        state = np.repeat(place, [len(x) for x in nexts])
+        self.owner = np.full(int(place.max()) + width, -1, np.int32)
+        self.next = np.zeros(len(self.owner), np.int32)
+        at = state + np.array([c for x in nexts for c in x], np.int64)
+        self.owner[at], self.next[at] = state, place[np.array([t for x in nexts for t in x.values()], np.int64)]
+
+
+def places(nexts: list[dict[int, int]], width: int, window: int = 4096, tries: int = 8):
+    """A place of its own for each state, the root's 0, such that no two successors stand at one place."""
+    import numpy as np
+
+    count = np.array([len(x) for x in nexts])
+    most = len(nexts) * 2 + int(count.sum()) * 2 + 4 * (window + width)
+    free, unused, out = np.ones(most, bool), np.ones(most, bool), np.zeros(len(nexts), np.int64)
+    free[0] = unused[0] = False
+    free[list(nexts[0])] = False
+    low = failed = 0
+    for s in (np.argsort(-count[1:], kind="stable") + 1)[: int((count[1:] > 1).sum())].tolist():
+        codes, at = list(nexts[s]), low
+        while True:
+            if at + window + width > len(free):
+                free, unused = (np.r_[x, np.ones(len(x), bool)] for x in (free, unused))
+            ok = unused[at : at + window].copy()
+            for c in codes:
+                ok &= free[at + c : at + c + window]
+            first = int(ok.argmax())
+            if ok[first]:
+                break
+            failed += at == low
+            at += window
+        if failed > tries:  # what is left there goes to states with one successor
+            low, failed = low + window, 0
+        out[s] = at + first
+        unused[at + first] = False
+        free[[at + first + c for c in codes]] = False
+    by: dict[int, list[int]] = {}
+    for s, x in enumerate(nexts[1:], 1):
+        if len(x) < 2:
+            by.setdefault(next(iter(x), -1), []).append(s)
+    for c, states in by.items():
+        spare = len(states) + width
+        free, unused = (np.r_[x, np.ones(spare, bool)] for x in (free, unused))
+        found = np.flatnonzero(unused if c < 0 else unused[: len(unused) - c] & free[c:])[: len(states)]
+        out[states] = found
+        unused[found] = False
+        if c >= 0:
+            free[found + c] = False
+    return out
 
 
 class Classifier:
@@ -125,16 +176,22 @@ class Classifier:
                 by[lang] = [*by[lang], 32, *found] if lang in by else found
         self.langs = sorted(by)
         self.code = np.zeros((max(1, len(by)), 0x110000), np.uint8)  # 0: symbols that the sample doesn't have
-        tables, self.width = [], np.zeros(len(by), np.int64)
+        made = []
         for i, lang in enumerate(self.langs):
             known = [c for c, _ in sorted(Counter(by[lang]).items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
             self.code[i, known] = np.arange(1, len(known) + 1)
-            self.width[i] = len(known) + 1
-            tables.append(Automaton(self.code[i][by[lang]].tolist(), len(known) + 1).table)
-        self.base = np.cumsum([0, *[t.size for t in tables]])[:-1].astype(np.int64)
-        self.flat = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
+            made.append(Automaton(self.code[i][by[lang]].tolist(), len(known) + 1))
+        self.base = np.cumsum([0, *[len(a.next) for a in made]])[:-1].astype(np.int64)
+        self.owner, self.next = (np.concatenate([np.zeros(0, np.int32), *x]) for x in ([a.owner for a in made], [a.next for a in made]))
         self.bits = np.array([math.log2(max(2, len(by[k]))) for k in self.langs])
 
+    def after(self, root, state):
+        """What follows states by the symbols that stand at these places after the root; 0 for nothing."""
+        import numpy as np
+
+        at = root + state
+        return np.where(self.owner[at] == state, self.next[at], 0)
+
     def phrases(self, points, size):
         """Phrases of each text in each language. points, size: as ``symbols`` gives them."""
         import numpy as np
@@ -150,7 +207,7 @@ class Classifier:
         inner = np.arange(len(of)) - np.repeat(np.cumsum(np.r_[0, blocks])[:-1], blocks)
         start, length = first[of] + inner * BLOCK, np.minimum(BLOCK, size[of] - inner * BLOCK)
         order = np.argsort(-length, kind="stable")
-        base, width = self.base[:, None], self.width[:, None]
+        base = self.base[:, None]
         state = np.zeros((len(self.langs), len(of)), np.int64)  # in the blocks' order by length
         begins = np.zeros(codes.shape, bool)  # whether a phrase begins with a symbol
         active = np.searchsorted(-length[order], -np.arange(int(length.max())), side="left")  # blocks longer than t
@@ -158,10 +215,10 @@ class Classifier:
         for t, n in enumerate(active.tolist()):
             at = by_length[:n] + t
             root = base + codes[:, at]
-            to = self.flat[root + state[:, :n] * width]
+            to = self.after(root, state[:, :n])
             miss = to == 0
             begins[:, at] = miss | (state[:, :n] == 0)
-            state[:, :n] = np.where(miss, self.flat[root], to)
+            state[:, :n] = np.where(miss, self.next[root], to)
         end = np.empty_like(state)
         end[:, order] = state
         # blocks into which a phrase goes on: follow it until both parses begin one at the same symbol
@@ -178,11 +235,11 @@ class Classifier:
                 at = start[block[live]] + t
                 row = lang[live]
                 root = self.base[row] + codes[row, at]
-                to = self.flat[root + now[live] * self.width[row]]
+                to = self.after(root, now[live])
                 new = (to == 0) | (now[live] == 0)
                 met = new & begins[row, at]
                 begins[row, at] = new
-                now[live] = np.where(to == 0, self.flat[root], to)
+                now[live] = np.where(to == 0, self.next[root], to)
                 live = live[~met]
                 t += 1
             # a phrase that goes on over a whole block changes what enters the next one
@@ -230,7 +287,8 @@ def samples(labelled: DataFrame, text: str, lang: str, rows: int, longest: int,
         raise ValueError(f"more than {labels} languages: pass a larger labels if its automata fit a task's memory")
     if not top:
         return []
-    wanted = labelled.sparkSession.createDataFrame([(r.lang, r.h) for r in top], "lang string, h bigint")  # at most labels * rows
+    # at most labels * rows; from Arrow, as rows of Python would start workers of their own in all executors
+    wanted = labelled.sparkSession.createDataFrame(pa.table({"lang": pa.array([r.lang for r in top], pa.string()), "h": pa.array([r.h for r in top], pa.int64())}))
     texts = labelled.select(F.col(lang).cast("string").alias("lang"), h.alias("h"), F.col(text).alias("t")).join(F.broadcast(wanted), ["lang", "h"])
     return [(r.lang, r.t) for r in sorted(texts.dropDuplicates(["lang", "h"]).collect(), key=lambda r: (r.lang, r.h))]
 
@@ -255,5 +313,6 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str
 
         return block
 
-    out = map_rows(docs.select("*", F.col(text).alias(fresh("text"))), schema, make, 1 << 20, len(docs.columns))
+    at = docs.columns.index(text) if text in docs.columns else [c.lower() for c in docs.columns].index(text.lower())
+    out = map_rows(docs, schema, make, 1 << 19, len(docs.columns), [at])
     return out.drop(*[c for c in docs.columns if c in OWN]).withColumnsRenamed(own)

@@ -95,6 +95,35 @@ def test_letters_are_unicode_letters():
     assert plain(classify, ["  हिन्दी, है!  A-b_C ½ d "])[0] == ["हिन्दी है a b c d"] and found[6][0] == "hi"
 
 
+def test_samples_take_little_memory():
+    """What every task holds grows with a sample's length and not with its kinds of symbols, at all alphabets as substring search."""
+    draw = random.Random(7)
+    for kinds, longest in ((60, 6000), (250, 6000), (600, 3000)):  # of more than 255 kinds the rarest count as one
+        signs = [chr(0x4E00 + i) for i in range(kinds)]
+        sample = "".join(draw.choices(signs, range(kinds, 0, -1), k=longest))
+        classify = language_id.Classifier([("zh", sample)])
+        assert sum(x.nbytes for k, x in vars(classify).items() if isinstance(x, np.ndarray) and k not in ("kind", "code")) < 40 * longest
+        texts = [sample[50:900], "".join(draw.choices(signs, k=2000)), signs[-1] * 9, "abc"]
+        points, size = language_id.symbols(texts, classify.kind)
+        same = lambda t: "".join(chr(classify.code[0, ord(c)]) for c in t)
+        assert classify.phrases(points, size)[0].tolist() == [naive_phrases(same(sample), same(t)) for t in texts]
+
+
+def test_language_sends_each_text_once(spark, odd, monkeypatch):
+    """A text that stays in the result isn't a second column of the batches; the sample's ids start no Python workers of their own."""
+    from pyspark import SparkContext
+
+    train = spark.createDataFrame([(1, "the thing and the lent " * 9, "en"), (9, "der und das geld von " * 9, "de")], "doc_id bigint, text string, lang string").cache()
+    assert train.count() == 2
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **b: pytest.fail("rows of Python"))
+    out = language_id.identify(odd, train)
+    plan = out._jdf.queryExecution().analyzed()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().head()
+    assert plan.children().head().output().size() == len(odd.columns) - 1  # without score, which is replaced
+    assert Counter(r.text for r in out.collect()) == Counter(ODD)
+
+
 def test_language_of_held_out_documents(spark):
     """At least 0.99 of the documents that the classifier has not seen are named as labelled."""
     from forgeframe.llm import queries
