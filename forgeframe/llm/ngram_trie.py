@@ -114,11 +114,9 @@ def select(flags, before, hint, table, k):
 
     last, u = len(flags) - 1, np.uint64
     word = hint[k >> 6].astype(np.int64)
-    lane = np.flatnonzero((word < last) & (before[np.minimum(word + 1, last)] <= k))
-    while len(lane):
-        word[lane] += 1
-        w = word[lane]
-        lane = lane[(w < last) & (before[np.minimum(w + 1, last)] <= k[lane])]
+    lane = np.flatnonzero(before[np.minimum(word + 1, last)] <= k)
+    if len(lane):  # very frequent words lie many words of the string apart
+        word[lane] = np.searchsorted(before, k[lane], "right") - 1
     x, rank = flags[word], (k - before[word]).astype(u)
     # ones up to each byte, all bytes of a word at once
     sums = x - ((x >> u(1)) & u(0x5555555555555555))
@@ -391,48 +389,65 @@ class Trie:
 
         at, term, bow = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.ones(len(word))
         child = self.child(n, parent, word)
-        bits = self.shape["bits"]
+        bits = np.uint64(self.shape["bits"])
         for c, lane in self.parted(child, np.flatnonzero(context >= 0)):
+            # equal n-grams are looked up once, contexts too, and in their order in the shard
+            key = (context[lane].astype(np.uint64) << bits) | (word[lane] + 1).astype(np.uint64)
+            order = np.argsort(key)
+            lane, key = lane[order], key[order]
+            new = np.r_[True, key[1:] != key[:-1]]
+            of, key = np.cumsum(new) - 1, key[new]
+            owner = (key >> bits).astype(np.int64)
             bows = self.file(f"bows{n}-{int(parent[lane[0]])}")
-            code = bows["bow.code"][context[lane]]
-            bow[lane] = bows["bow.scale"][code]
-            lane = lane[(code != NONE) & (word[lane] >= 0)]
-            if not len(lane):
-                continue
-            a = self.file(f"level{n}-{c}")
-            pointers, words = a["from"], a["words"]
-            low, top = pointers.pair(context[lane])
-            want = word[lane]
-            # words are numbered by their hash, so successors lie evenly and a guess by proportion is nearly right
-            least, most, turn = np.zeros(len(lane), np.int64), np.full(len(lane), self.shape["words"], np.int64), 0
-            while True:
-                go = low < top
-                lane, low, top, want, least, most = (z[go] for z in (lane, low, top, want, least, most))
-                if not len(lane):
-                    break
-                if turn < 6:
-                    middle = np.minimum(low + ((want - least) / (most - least) * (top - low)).astype(np.int64), top - 1)
-                else:
-                    middle = (low + top) >> 1
-                seen = unpack(words, bits, middle).astype(np.int64)
-                hit = np.flatnonzero(seen == want)
-                at[lane[hit]] = middle[hit]
-                term[lane[hit]] = a["term.scale"][a["term.code"][middle[hit]]]
-                less = seen < want
-                low, least = np.where(less, middle + 1, low), np.where(less, seen + 1, least)
-                top, most = np.where(less, top, middle), np.where(less, most, seen)
-                top[hit] = low[hit]
-                turn += 1
+            code = bows["bow.code"][owner]
+            bow[lane] = bows["bow.scale"][code][of]
+            want = (key & np.uint64((1 << int(bits)) - 1)).astype(np.int64) - 1
+            live = np.flatnonzero((code != NONE) & (want >= 0))
+            if len(live):
+                a = self.file(f"level{n}-{c}")
+                found, terms = np.full(len(key), -1, np.int64), np.zeros(len(key))
+                found[live] = self.among(a, owner[live], want[live])
+                hit = np.flatnonzero(found >= 0)
+                terms[hit] = a["term.scale"][a["term.code"][found[hit]]]
+                at[lane], term[lane] = found[of], terms[of]
         return child, at, term, bow
 
-    def bigrams(self, ids, first):
-        """For each token step() of level 2 with the token before it; absent where a text begins."""
+    def among(self, a: dict, context, word):
+        """The positions of words among the successors of contexts (sorted) in a shard, -1: absent."""
+        import numpy as np
+
+        out, bits = np.full(len(word), -1, np.int64), self.shape["bits"]
+        new = np.r_[True, context[1:] != context[:-1]]
+        of = np.cumsum(new) - 1
+        low, top = (x[of] for x in a["from"].pair(context[new]))
+        live = np.flatnonzero(low < top)
+        low, top, word = low[live], top[live], word[live]
+        # words are numbered by their hash, so successors lie evenly and a guess by proportion is nearly right
+        least, most, turn = np.zeros(len(live), np.int64), np.full(len(live), self.shape["words"], np.int64), 0
+        while len(live):
+            if turn % 4 < 3:
+                middle = np.minimum(low + ((word - least) / (most - least) * (top - low)).astype(np.int64), top - 1)
+            else:
+                middle = (low + top) >> 1
+            seen = unpack(a["words"], bits, middle).astype(np.int64)
+            hit = np.flatnonzero(seen == word)
+            out[live[hit]] = middle[hit]
+            less = seen < word
+            low, top = np.where(less, middle + 1, low), np.where(less, top, middle)
+            top[hit] = low[hit]
+            go = np.flatnonzero(low < top)
+            live, low, top, word, least, most, less, seen = (x[go] for x in (live, low, top, word, least, most, less, seen))
+            least, most = np.where(less, seen + 1, least), np.where(less, most, seen)
+            turn += 1
+        return out
+
+    def before(self, shard, at, first):
+        """Shard and position of what ends before each token; absent where a text begins."""
         import numpy as np
 
-        before = np.r_[-1, ids[:-1]]
-        before[first] = -1
-        shard, context = self.home(before)
-        return self.step(2, shard, context, ids)
+        shard, at = np.r_[0, shard[:-1]], np.r_[-1, at[:-1]]
+        at[first] = -1
+        return shard, at
 
     def score(self, numbered: list[bytes]):
         """Tokens, known tokens, base score and score (both log10) of each text."""
@@ -447,11 +462,9 @@ class Trie:
         single = (counts + 1) / (n_all + n_words + 1)
         p = single
         if n_all:
-            shard, at, term, bow = self.bigrams(ids, first)
+            shard, at, term, bow = self.step(2, *self.before(shard, own, first), ids)
             p = term + bow * single
-            shard, at = np.r_[0, shard[:-1]], np.r_[-1, at[:-1]]  # of the two tokens before
-            at[first] = at[first + 1] = -1
-            _, _, term, bow = self.step(3, shard, at, ids)
+            _, _, term, bow = self.step(3, *self.before(shard, at, first), ids)
             p = term + bow * p
         real = np.ones(len(ids), bool)
         real[first] = False
@@ -623,14 +636,9 @@ def count_grams(numbered: DataFrame, shape: dict, n: int) -> DataFrame:
             step = max(1, int(b.num_rows * (3 << 20) / max(b.nbytes, 1)))
             for at in range(0, b.num_rows, step):
                 ids, first, _ = trie.sequence(b.column(0).slice(at, step).to_pylist())
-                if n == 2:
-                    before = np.r_[-1, ids[:-1]]
-                    before[first] = -1
-                    parent, context = trie.home(before)
-                else:
-                    parent, context, _, _ = trie.bigrams(ids, first)
-                    parent, context = np.r_[0, parent[:-1]], np.r_[-1, context[:-1]]
-                    context[first] = context[first + 1] = -1
+                parent, context = trie.before(*trie.home(ids), first)
+                if n == 3:
+                    parent, context = trie.before(*trie.step(2, parent, context, ids)[:2], first)
                 shard = trie.child(n, parent, ids)
                 key = (context.astype(np.uint64) << np.uint64(shape["bits"])) | ids.astype(np.uint64)
                 for s, lane in trie.parted(shard, np.flatnonzero(context >= 0)):

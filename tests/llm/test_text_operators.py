@@ -381,6 +381,24 @@ def test_a_word_that_is_a_third_of_all_tokens(spark):
     assert not any("building" in x for x in ngram_trie._files.os.listdir(ngram_trie._files.mounted(shape["path"])))
 
 
+@pytest.mark.parametrize("shard", [None, 500])
+def test_equal_ngrams_are_looked_up_once(spark, monkeypatch, shard):
+    """A block's look-ups grow with its distinct contexts, not with its tokens, and each token gets what it gets alone."""
+    draw = random.Random(4)
+    texts = [" ".join(draw.choices(["the", "of", *(f"w{i}" for i in range(300))], [300, 150, *[1] * 300], k=40)) for _ in range(60)]
+    shape = ngram_trie.train(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), shard_tokens=shard)
+    trie, asked, pair = ngram_trie.Trie(shape), [], ngram_trie.Monotone.pair
+    texts += ["zzz the zzz of the", ""]
+    alone = [trie.score(trie.number([t])) for t in texts]
+    monkeypatch.setattr(ngram_trie.Monotone, "pair", lambda self, i: asked.append(len(i)) or pair(self, i))
+    together = trie.score(trie.number(texts * 5))
+    assert all(x.tolist() == [v for row in alone for v in row[k].tolist()] * 5 for k, x in enumerate(together))
+    tokens = [["END", *t.split(), "END"] for t in texts]
+    words, pairs = {w for q in tokens for w in q}, {p for q in tokens for p in zip(q, q[1:])}
+    # a context's followers may be dealt over several shards
+    assert 0 < sum(asked) <= sum(len(x) << max(shape["salt"][n]) for n, x in ((2, words), (3, pairs))) < sum(len(q) for q in tokens) * 10
+
+
 def test_sizes_of_words(spark):
     rows = mixing.plan(spark.createDataFrame([(1, "s", " a\u00a0b c\t"), (2, "s", None), (3, None, "")], "doc_id bigint, source string, text string")).collect()
     assert {r.key: r["size"] for r in rows} == {1: 2, 2: 0, 3: 0}
