@@ -52,7 +52,7 @@ from forgeframe.llm import _files
 from forgeframe.llm._common import Scratch, delete, fresh, map_rows, tidied
 
 DISCOUNT, SHARD, TOP_BITS, LEVELS, NONE = 0.75, 4_000_000, 16, 255, 255
-FLUSH, OPEN = 4_000_000, 64
+FLUSH, OPEN, MANY = 4_000_000, 64, 256
 
 
 # ---- Elias-Fano ---------------------------------------------------------------------------
@@ -472,6 +472,11 @@ class Trie:
         return sizes - 1, add(counts > 0), add(np.log10(single)), add(np.log10(p))
 
 
+def block_bytes(shape: dict) -> int:
+    """Bytes of numbered words that a task looks up at once; with many shards more, as every block asks nearly all of them."""
+    return 3 << 20 if len(shape["cuts"]) <= MANY else 6 << 20
+
+
 def bucket(h):
     return (h >> (64 - TOP_BITS)) + (1 << (TOP_BITS - 1))
 
@@ -633,7 +638,7 @@ def count_grams(numbered: DataFrame, shape: dict, n: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([g for _, g in rows], pa.binary())], ["shard", "grams"])
 
         for b in batches:
-            step = max(1, int(b.num_rows * (3 << 20) / max(b.nbytes, 1)))
+            step = max(1, int(b.num_rows * block_bytes(shape) / max(b.nbytes, 1)))
             for at in range(0, b.num_rows, step):
                 ids, first, _ = trie.sequence(b.column(0).slice(at, step).to_pylist())
                 parent, context = trie.before(*trie.home(ids), first)
@@ -788,7 +793,7 @@ def score_numbered(numbered: DataFrame, shape: dict) -> DataFrame:
         trie = Trie(shape)
         return lambda columns: [x.tolist() for x in trie.score(columns[0])] if columns[0] else [[]] * len(SCORES)
 
-    return map_rows(numbered.select(*keep, "words"), StructType([*[numbered.schema[c] for c in keep], *[StructField(n, k) for n, k in SCORES]]), make, 3 << 20, len(keep))
+    return map_rows(numbered.select(*keep, "words"), StructType([*[numbered.schema[c] for c in keep], *[StructField(n, k) for n, k in SCORES]]), make, block_bytes(shape), len(keep))
 
 
 def score(docs: DataFrame, shape: dict, text: str = "text") -> DataFrame:
